@@ -107,7 +107,7 @@ def assign_ranges(df: DataFrame, plan: Ranges) -> DataFrame:
     )
 
 
-def _spread(ranged: DataFrame, plan: Ranges) -> DataFrame:
+def bring_together(ranged: DataFrame, plan: Ranges) -> DataFrame:
     """Bring each range together; at least as many shuffle partitions as ranges."""
     configured = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if plan.count > configured:
@@ -182,7 +182,7 @@ def fill_ordered(
     ranged = assign_ranges(source, plan)
     ahead, back = windows(plan)
     if plan.count > 1:
-        ranged = _spread(ranged, plan)
+        ranged = bring_together(ranged, plan)
         carried = _carry(source, ranged, methods, plan, ahead)
     work = ranged.withColumn("__pos", F.row_number().over(ahead).cast("bigint"))
     work = work.withColumn("__tied", _strict_order(plan, ahead))
@@ -297,7 +297,7 @@ def row_numbers(
     offsets = per_range.where(F.col("tail_of").isNotNull()).select(
         F.sum(F.coalesce("rows", F.lit(0))).over(chain).alias("__offset"), (F.col(BUCKET) + 1).alias(BUCKET)
     )
-    local = _spread(ranged, plan).withColumn(name, F.row_number().over(ahead).cast("bigint"))
+    local = bring_together(ranged, plan).withColumn(name, F.row_number().over(ahead).cast("bigint"))
     placed = local.join(offsets, BUCKET, "left")
     shift = F.when(F.col(HEAD), F.coalesce("__offset", F.lit(0))).otherwise(0)
     return placed.withColumn(name, F.col(name) + shift).select(*[col(c) for c in df.columns], F.col(name))
