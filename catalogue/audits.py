@@ -116,16 +116,18 @@ SELECT session, seq, event FROM l WHERE event <> 'undo' AND NOT (event = 'operat
 def _cleaning_log(spark: SparkSession) -> DataFrame:
     """A session that fills, tries a drop, takes it back, and caps."""
 
-    def detail(strategy: str, method: str | None = None, threshold: float | None = None, custom: str | None = None):
-        return (strategy, method, threshold, custom)
+    def detail(
+        column: str, strategy: str, method: str | None = None, threshold: float | None = None, custom: str | None = None
+    ):
+        return (column, strategy, method, threshold, custom)
 
     steps = [
         ("load", None, None),
-        ("operation", "missing_values", {"value": detail("fill_mean"), "props": detail("fill_custom", custom="none")}),
-        ("operation", "missing_values", {"user_id": detail("drop_rows")}),
+        ("operation", "missing_values", [detail("value", "fill_mean"), detail("props", "fill_custom", custom="none")]),
+        ("operation", "missing_values", [detail("user_id", "drop_rows")]),
         ("undo", "missing_values", None),
-        ("operation", "missing_values", {"user_id": detail("fill_median")}),
-        ("operation", "outlier_remediation", {"value": detail("cap", "iqr", 1.5), "user_id": detail("leave")}),
+        ("operation", "missing_values", [detail("user_id", "fill_median")]),
+        ("operation", "outlier_remediation", [detail("value", "cap", "iqr", 1.5), detail("user_id", "leave")]),
     ]
     rows = []
     for i, (event, operation, details) in enumerate(steps):

@@ -30,6 +30,7 @@ from loomprep.operators.classify import infer_task
 from loomprep.operators.features import FEATURES, LABEL, SEED, PreparedData, prepare_features, stratified_split
 from loomprep.operators.metrics import classification_metrics, log_loss, regression_metrics
 from loomprep.operators.neighbors import mean_of_neighbors, nearest, vote
+from loomprep.session import scratch_path
 
 # Algorithm names per task and their sizes.
 ALGORITHMS = {
@@ -42,6 +43,7 @@ BOOSTING_RATE = 0.1
 ITERATIONS = 1000
 RIDGE_ALPHA = 1.0
 LEAST_ROWS = 10
+ROW = "__row"
 
 # MLlib grows a tree level by level and keeps it on the driver; it allows 30 levels at most.
 TREE_DEPTH = 12
@@ -65,6 +67,10 @@ class TrainingResult:
     error: str | None = None
 
 
+def algorithms(task: str) -> list[str]:
+    return list(ALGORITHMS.get(task, ()))
+
+
 def train_model(
     df: DataFrame,
     target: str,
@@ -77,8 +83,8 @@ def train_model(
 ) -> TrainingResult:
     """Prepare, split, fit, predict and score. What goes wrong comes back as ``error``.
 
-    With a unique ``key`` the split is exact, stratified and the same on every run; without one the rows are split
-    at random with a fixed seed.
+    The split is exact and stratified by class. With a unique ``key`` it is the same on every run; without one the
+    prepared rows are numbered and written to the scratch folder first.
     """
     result = TrainingResult(task or "", algorithm, target)
     try:
@@ -92,12 +98,13 @@ def train_model(
 
 
 def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | None, trees: int, depth: int) -> None:
-    prepared = prepare_features(df, result.target, [key] if key else [])
     stratified = LABEL if result.task == "classification" else None
-    if key:
-        flagged = stratified_split(prepared.data, key, stratified, test_size)
-    else:
-        flagged = prepared.data.withColumn("is_test", F.rand(SEED) < test_size)
+    named = df if key else df.withColumn(ROW, F.monotonically_increasing_id())
+    prepared = prepare_features(named, result.target, [key or ROW])
+    # Row numbers change when rows are computed again, so they are written down before anything depends on them.
+    data = prepared.data if key else _written(prepared.data)
+    flagged = stratified_split(data, key or ROW, stratified, test_size)
+    key = key or ROW
     # Every iteration reads the training rows again; kept in memory, spilled to disk, recomputed if an executor goes.
     flagged = flagged.persist()
     try:
@@ -124,6 +131,12 @@ def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | Non
         flagged.unpersist()
 
 
+def _written(data: DataFrame) -> DataFrame:
+    path = scratch_path(data.sparkSession, "prepared")
+    data.write.parquet(path)
+    return data.sparkSession.read.parquet(path)
+
+
 def scored_schema(task: str) -> str:
     names = (
         ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "log_loss")
@@ -234,9 +247,7 @@ def _kernel_svm(train: DataFrame, test: DataFrame, classes: int) -> DataFrame:
     return scored.select(LABEL, "prediction")
 
 
-def _neighbors(train: DataFrame, test: DataFrame, task: str, key: str | None) -> DataFrame:
-    if key is None:
-        raise ValueError("KNN needs a unique key column to name the rows")
+def _neighbors(train: DataFrame, test: DataFrame, task: str, key: str) -> DataFrame:
     vectors = [col(key).cast("bigint").alias("id"), vector_to_array(FEATURES).alias("vector")]
     asking = test.select(*vectors)
     found = nearest(asking, train.select(*vectors, F.col(LABEL).cast("double").alias("label")))

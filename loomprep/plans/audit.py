@@ -24,7 +24,8 @@ def _record(**fields: T.DataType) -> T.StructType:
 
 _TEXT, _COUNT = T.StringType(), T.LongType()
 _SHAPE = _record(rows=_COUNT, cols=_COUNT, total_missing=_COUNT)
-_DETAIL = _record(strategy=_TEXT, method=_TEXT, threshold=T.DoubleType(), custom_value=_TEXT)
+# An array, not a map: the order of the steps is part of what they do.
+_DETAIL = _record(column=_TEXT, strategy=_TEXT, method=_TEXT, threshold=T.DoubleType(), custom_value=_TEXT)
 
 EVENT_SCHEMA = _record(
     session=_TEXT,
@@ -32,7 +33,7 @@ EVENT_SCHEMA = _record(
     event=_TEXT,
     ts=T.TimestampType(),
     operation=_TEXT,
-    details=T.MapType(_TEXT, _DETAIL),
+    details=T.ArrayType(_DETAIL),
     source=T.MapType(_TEXT, _TEXT),
     destination=_TEXT,
     format=_TEXT,
@@ -127,7 +128,7 @@ class AuditLog:
         self._append(
             "operation",
             operation=operation,
-            details={c: _detail(d) for c, d in details.items()},
+            details=[_detail(c, d) for c, d in details.items()],
             before=tuple(row[f"{n}_before"] for n in ("rows", "cols", "total_missing")),
             after=tuple(row[f"{n}_after"] for n in ("rows", "cols", "total_missing")),
             diff=(row["rows_delta"], row["cols_delta"], row["missing_delta"]),
@@ -158,11 +159,12 @@ class AuditLog:
         self._seq += 1
 
 
-def _detail(detail: Mapping[str, Any] | str) -> tuple[str, str | None, float | None, str | None]:
+def _detail(column: str, detail: Mapping[str, Any] | str) -> tuple[str, str, str | None, float | None, str | None]:
     if not isinstance(detail, Mapping):
-        return (str(detail), None, None, None)
+        return (column, str(detail), None, None, None)
     threshold, custom = detail.get("threshold"), detail.get("custom_value")
     return (
+        column,
         detail.get("strategy", "leave"),
         detail.get("method"),
         None if threshold is None else float(threshold),

@@ -89,7 +89,7 @@ def recipe_of(events: DataFrame, session: str | None = None) -> Recipe:
     for r in rows:
         if r["event"] != "operation":
             continue
-        details = {c: d.asDict() if hasattr(d, "asDict") else d for c, d in (r["details"] or {}).items()}
+        details = {d["column"]: d.asDict() for d in r["details"] or []}
         if r["operation"] == MISSING:
             steps += missing_steps(details)
         elif r["operation"] == OUTLIER:
