@@ -11,6 +11,8 @@ NUMBER = r"^[+-]?(?=[.]?[0-9])[0-9]*[.]?[0-9]*([eE][+-]?[0-9]+)?$"
 # A cast alone would also take 'now', 'epoch', '12:30' and a bare year.
 ISO_DATETIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 SEPARATED_DATETIME = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
+DATE_START = r"^\d{1,4}[-/.]\d"
+DATE_PARTS = r"^(\d+)[-/.](\d+)[-/.](\d+)[ T]?(.*)$"
 # Tried in this order: year first, then month first, then day first.
 DATE_ORDERS = ("y/M/d", "M/d/yyyy", "d/M/yyyy")
 CLOCKS = ("", " H:m", " H:m:s")
@@ -36,12 +38,13 @@ def datetime_value(value: Column, data_type: T.DataType) -> Column:
         return value.cast("timestamp")
     if not is_string(data_type):
         return F.lit(None).cast("timestamp")
+    # Most texts fail the first test, which reads a few characters; NULL then passes through the rest unread.
     text = F.trim(value)
-    slashed = F.regexp_replace(F.regexp_replace(text, r"^(\d+)[-/.](\d+)[-/.](\d+)", "$1/$2/$3"), "T", " ")
+    text = F.when(text.rlike(DATE_START), text)
+    separated = F.when(text.rlike(SEPARATED_DATETIME), F.regexp_replace(text, DATE_PARTS, "$1/$2/$3 $4"))
+    separated = F.rtrim(separated)
     parsed = [F.when(text.rlike(ISO_DATETIME), text.try_cast("timestamp"))]
-    for order in DATE_ORDERS:
-        for clock in CLOCKS:
-            parsed.append(F.when(text.rlike(SEPARATED_DATETIME), F.try_to_timestamp(slashed, F.lit(order + clock))))
+    parsed += [F.try_to_timestamp(separated, F.lit(order + clock)) for order in DATE_ORDERS for clock in CLOCKS]
     return F.coalesce(*parsed)
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomprep.functions.columns import col, collect_aggregates, field, is_numeric, is_string, is_temporal
 from loomprep.functions.convert import datetime_value, numeric_value
 from loomprep.operators.frequencies import distinct_counts, has_long_texts
 
+LOCATION = ("count", "min", "max", "mean", "zeros", "negatives")
+
 # Fixed values of the classification rule.
 PARSED_SHARE = 0.8
 CATEGORICAL_SHARE = 0.5
@@ -26,15 +29,33 @@ class ColumnFacts:
     numbers: int = 0
     dates: int = 0
     longest: int | None = None
+    location: dict[str, Any] | None = None
+
+
+def location_exprs(name: str, x: Column) -> dict[tuple[str, str], Column]:
+    """count, min, max, mean, zeros and negatives of one DOUBLE expression."""
+    return dict(
+        zip(
+            [(key, name) for key in LOCATION],
+            [F.count(x), F.min(x), F.max(x), F.avg(x), F.count_if(x == 0), F.count_if(x < 0)],
+        )
+    )
+
 
+def scan_facts(
+    df: DataFrame, columns: Sequence[str] | None = None, locate: bool = False
+) -> tuple[int, dict[str, ColumnFacts]]:
+    """Row count and per-column facts, collected as one small row per job.
 
-def scan_facts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int, dict[str, ColumnFacts]]:
-    """Row count and per-column facts, collected as one small row per job."""
+    ``locate`` takes the location numbers of numeric columns along in the same pass.
+    """
     names = list(columns or df.columns)
     exprs = {("rows", ""): F.count(F.lit(1))}
     for name in names:
         data_type = field(df, name).dataType
         exprs[("present", name)] = F.count(col(name))
+        if locate and is_numeric(data_type):
+            exprs.update(location_exprs(name, col(name).cast("double")))
         if is_string(data_type):
             exprs[("numbers", name)] = F.count(numeric_value(col(name), data_type))
             exprs[("dates", name)] = F.count(datetime_value(col(name), data_type))
@@ -46,6 +67,7 @@ def scan_facts(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int
             got.get(("numbers", name), 0),
             got.get(("dates", name), 0),
             got.get(("longest", name)),
+            {key: got[(key, name)] for key in LOCATION} if ("count", name) in got else None,
         )
         for name in names
     }

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomprep.functions.columns import col, collect_aggregates, numeric_columns
 
 SCHEMA = "col_a string, col_b string, r double"
+# Up to this many columns pairs are plain aggregates; more columns go through one matrix product.
+PAIRWISE_COLUMNS = 16
+ROUNDING = 1e-13
 
 
 def correlation(df: DataFrame) -> DataFrame | None:
@@ -34,6 +42,9 @@ def correlation(df: DataFrame) -> DataFrame | None:
     full = {n for n in live if base[(n, "count")] == rows}
     d = {n: x[n] - F.lit(base[(n, "mean")]) for n in live}
 
+    if len(live) > PAIRWISE_COLUMNS:
+        return _as_matrix(df, names, set(live), _wide_pairs(df, live, full, d))
+
     second: dict[tuple[str, ...], Column] = {}
     for n in sorted(full):
         second[("s", n)] = F.sum(d[n])
@@ -65,11 +76,56 @@ def correlation(df: DataFrame) -> DataFrame | None:
         r = (got[("ab", a, b)] - sa * sb / n) / math.sqrt(va) / math.sqrt(vb)
         return None if math.isnan(r) else max(-1.0, min(1.0, r))
 
-    matrix: dict[tuple[str, str], float | None] = {}
-    for a, b in combinations(names, 2):
-        r = pair(a, b) if a in live and b in live else None
-        matrix[(a, b)] = matrix[(b, a)] = r
-    for n in names:
-        matrix[(n, n)] = 1.0 if n in live else None
-    rows_out = [(a, b, matrix[(a, b)]) for a in names for b in names]
-    return df.sparkSession.createDataFrame(rows_out, SCHEMA)
+    pairs = {(a, b): pair(a, b) for a, b in combinations(live, 2)}
+    return _as_matrix(df, names, set(live), pairs)
+
+
+def _as_matrix(
+    df: DataFrame, names: Sequence[str], live: set[str], pairs: Mapping[tuple[str, str], float | None]
+) -> DataFrame:
+    def r(a: str, b: str) -> float | None:
+        if a == b:
+            return 1.0 if a in live else None
+        return pairs.get((a, b), pairs.get((b, a)))
+
+    return df.sparkSession.createDataFrame([(a, b, r(a, b)) for a in names for b in names], SCHEMA)
+
+
+def _wide_pairs(
+    df: DataFrame, live: Sequence[str], full: set[str], d: Mapping[str, Column]
+) -> dict[tuple[str, str], float | None]:
+    """All pairs of many columns from one distributed Gram matrix.
+
+    A row is the vector of centred values, presence marks and centred squares (gaps as zero), so that the products of
+    these parts are the pairwise-complete sums. The driver holds (3k)^2 numbers for k columns.
+    """
+    k = len(live)
+    zero = [F.coalesce(d[n], F.lit(0.0)) for n in live]
+    gaps = len(full) < k
+    parts = list(zero)
+    if gaps:
+        parts += [d[n].isNotNull().cast("double") for n in live] + [z * z for z in zero]
+    vectors = df.select(array_to_vector(F.array(*parts)).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    product = gram[:k, :k]
+    if gaps:
+        count, total, square = gram[k : 2 * k, k : 2 * k], gram[:k, k : 2 * k], gram[2 * k :, k : 2 * k]
+    else:
+        sums = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(d[n]).alias(f"s{i}") for i, n in enumerate(live)]).first()
+        count = np.full((k, k), float(sums["n"]))
+        total = np.repeat(np.array([sums[f"s{i}"] for i in range(k)])[:, None], k, axis=1)
+        square = np.repeat(np.diag(product)[:, None], k, axis=1)
+    out: dict[tuple[str, str], float | None] = {}
+    for i, j in combinations(range(k), 2):
+        n = count[i, j]
+        if n < 2:
+            out[(live[i], live[j])] = None
+            continue
+        vi, vj = square[i, j] - total[i, j] ** 2 / n, square[j, i] - total[j, i] ** 2 / n
+        # What is left of a constant side is rounding.
+        if vi <= ROUNDING * square[i, j] or vj <= ROUNDING * square[j, i]:
+            out[(live[i], live[j])] = None
+            continue
+        r = (product[i, j] - total[i, j] * total[j, i] / n) / math.sqrt(vi) / math.sqrt(vj)
+        out[(live[i], live[j])] = None if math.isnan(r) else max(-1.0, min(1.0, float(r)))
+    return out

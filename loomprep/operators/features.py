@@ -204,8 +204,11 @@ def stratified_split(
         .select("g", F.col("p").alias("edge"), (F.col("tests") - F.col("upto") + F.col("n")).alias("need"))
     )
     near = base.join(F.broadcast(edge), "g").where(prefix == F.col("edge"))
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.col("h").desc()))
-    limits = near.withColumn("place", place).where(F.col("place") == F.col("need")).select("g", "h").collect()
+    hashes = near.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    descending = Window.partitionBy("g").orderBy(F.col("h").desc())
+    reached = F.sum("n").over(descending.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at_edge = (F.col("reached") >= F.col("need")) & (F.col("reached") - F.col("n") < F.col("need"))
+    limits = hashes.withColumn("reached", reached).where(at_edge).select("g", "h").collect()
     limit_table = spark.createDataFrame([(r["g"], r["h"]) for r in limits], "__g string, __limit string")
     marked = df.withColumn("__g", group).join(F.broadcast(limit_table), "__g", "left")
     test = F.coalesce(F.md5(col(key).cast("string")) >= F.col("__limit"), F.lit(False))

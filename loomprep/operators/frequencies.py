@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from loomprep.functions.columns import col, field, is_float, is_nested, is_temporal
+from loomprep.functions.columns import chunked, col, field, is_float, is_nested, is_temporal
 
 # Longer texts are counted by their digest, so that the shuffle carries keys and not documents.
 PLAIN_LENGTH = 64
+# One generated row per column and input row: wider tables are counted in several scans of few columns each.
+COLUMNS_PER_SCAN = 64
 
 
 def _family(data_type: T.DataType) -> str | None:
@@ -63,8 +65,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, long_te
     parts = []
     for family in ("bigint", "double", "string"):
         names = [c for c in wanted if _family(field(df, c).dataType) == family]
-        if names:
-            counted = _counts(df, names, family, long_texts)
+        for chunk in chunked(names, COLUMNS_PER_SCAN):
+            counted = _counts(df, chunk, family, long_texts)
             parts.append(counted.groupBy("name").agg(F.count(F.lit(1)).alias("unique")))
     if not parts:
         return df.sparkSession.createDataFrame([], "name string, unique bigint")

@@ -21,16 +21,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEIGHBORS = 5
-PIVOTS = 64
-BLOCK_ROWS = 4096
-BATCH_ROWS = 4096
+FEWEST_PIVOTS, MOST_PIVOTS = 16, 2048
+BLOCK_ROWS = 8192
+BATCH_ROWS = 8192
+# Query rows compared at a time inside a task, which bounds the distance matrix it holds.
+SLICE_ROWS = 256
 
 
 def nearest(
     queries: DataFrame,
     train: DataFrame,
     k: int = NEIGHBORS,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
     batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
@@ -44,6 +46,7 @@ def nearest(
     rows = train.count()
     if rows == 0:
         return spark.createDataFrame([], "id bigint, rank int, neighbor bigint, label double, distance double")
+    pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(rows) // 2))
     fraction = min(1.0, 4.0 * pivots / rows)
     sampled = train.select("vector").sample(fraction, seed=11).limit(pivots).collect() or train.select("vector").take(1)
     centers = np.unique(np.array([r["vector"] for r in sampled], dtype=float), axis=0)
@@ -79,7 +82,7 @@ def nearest(
 
     routed = queries.select("id", "vector").mapInPandas(route, "id bigint, vector array<double>, cell array<int>")
     routed = routed.select("id", "vector", F.explode("cell").alias("cell"))
-    # One row per cell, at most ``pivots`` rows.
+    # One row per cell, at most MOST_PIVOTS rows.
     plan = spark.createDataFrame([(c, blocks[c]) for c in order], "cell int, blocks int")
     asked = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
     plan = plan.join(F.broadcast(asked), "cell").withColumn(
@@ -106,17 +109,26 @@ def nearest(
         if not len(asking) or not len(known):
             return pd.DataFrame({"id": [], "neighbor": [], "label": [], "distance": []})
         known = known.sort_values("id", kind="stable")
-        d = _distances(np.stack(asking["vector"].to_numpy()), np.stack(known["vector"].to_numpy()))
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        each = take.shape[1]
-        return pd.DataFrame(
-            {
-                "id": np.repeat(asking["id"].to_numpy(), each),
-                "neighbor": known["id"].to_numpy()[take].ravel(),
-                "label": known["label"].to_numpy()[take].ravel(),
-                "distance": np.take_along_axis(d, take, axis=1).ravel(),
-            }
-        )
+        vectors, ids, labels = np.stack(known["vector"].to_numpy()), known["id"].to_numpy(), known["label"].to_numpy()
+        each = min(k, len(ids))
+        parts = []
+        for start in range(0, len(asking), SLICE_ROWS):
+            part = asking.iloc[start : start + SLICE_ROWS]
+            d = _distances(np.stack(part["vector"].to_numpy()), vectors)
+            # Everything up to the k-th distance, ties included, in order of query, distance, id.
+            limit = np.partition(d, each - 1, axis=1)[:, each - 1]
+            row, at = np.nonzero(d <= limit[:, None])
+            order = np.lexsort((at, d[row, at], row))
+            row, at = row[order], at[order]
+            first = np.searchsorted(row, np.arange(len(part)))
+            kept = np.arange(len(row)) - first[row] < each
+            row, at = row[kept], at[kept]
+            parts.append(
+                pd.DataFrame(
+                    {"id": part["id"].to_numpy()[row], "neighbor": ids[at], "label": labels[at], "distance": d[row, at]}
+                )
+            )
+        return pd.concat(parts)
 
     keys = ["cell", "block", "batch"]
     found = (

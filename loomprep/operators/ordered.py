@@ -19,8 +19,8 @@ from loomprep.functions.columns import col, field, with_column
 from loomprep.functions.convert import numeric_value
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
-SAMPLES_PER_RANGE = 20
+MAX_RANGES = 32_768
+SAMPLES_PER_RANGE = 10
 
 BUCKET, HEAD, TAIL = "__range", "__head", "__tail"
 HOUSEKEEPING = (BUCKET, HEAD, TAIL)

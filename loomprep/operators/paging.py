@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomprep.functions.columns import col
-from loomprep.operators.ordered import row_numbers
+from loomprep.operators.ordered import BUCKET, HOUSEKEEPING, assign_ranges, plan_ranges
 
 PAGE_SIZE = 100
-# Every task keeps offset + limit rows for a top-k sort; deeper pages are found by counting key ranges.
+# Every task keeps offset + limit rows for a top-k sort; deeper pages are narrowed to few key ranges first.
 SHALLOW_ROWS = 100_000
 
 
@@ -20,14 +20,34 @@ def page_count(df: DataFrame, size: int = PAGE_SIZE) -> int:
 
 
 def page(df: DataFrame, number: int, order_by: str | Sequence[str], size: int = PAGE_SIZE) -> DataFrame:
-    """Rows [number*size, (number+1)*size) in the order of ``order_by``, counting pages from 0."""
+    """Rows [number*size, (number+1)*size) in the order of ``order_by`` (unique), counting pages from 0.
+
+    A deep page is found by counts per key range; only the ranges it lies in are sorted.
+    """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     start = number * size
-    if start + size <= SHALLOW_ROWS:
-        return df.orderBy([col(k) for k in keys]).offset(start).limit(size)
-    numbered = row_numbers(df, keys, name="__row")
-    wanted = (F.col("__row") > start) & (F.col("__row") <= start + size)
-    return numbered.where(wanted).orderBy("__row").drop("__row")
+    part = df
+    while start + size > SHALLOW_ROWS:
+        plan = plan_ranges(part, keys, rows_per_range=SHALLOW_ROWS // 4)
+        if plan.count == 1:
+            break
+        ranged = assign_ranges(part, plan)
+        counts = {r[BUCKET]: r["count"] for r in ranged.groupBy(BUCKET).count().collect()}
+        before, first, last, skipped = 0, None, 0, 0
+        for i in range(plan.count):
+            after = before + counts.get(i, 0)
+            if before < start + size and after > start:
+                if first is None:
+                    first, skipped = i, before
+                last = i
+            before = after
+        if first is None:
+            return df.where(F.lit(False))
+        part = ranged.where(F.col(BUCKET).between(first, last)).drop(*HOUSEKEEPING)
+        if skipped == 0 and last == plan.count - 1:
+            break
+        start -= skipped
+    return part.orderBy([col(k) for k in keys]).offset(start).limit(size)
 
 
 def sort_rows(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomprep.functions.columns import chunked, col, collect_aggregates, field, percent, run_jobs
 from loomprep.functions.convert import datetime_value, numeric_value
-from loomprep.operators.classify import scan_facts, settled_type, type_by_values
+from loomprep.operators.classify import LOCATION, location_exprs, scan_facts, settled_type, type_by_values
 from loomprep.operators.frequencies import distinct_counts, has_long_texts, top_values
 from loomprep.operators.quantiles import approximate_quantiles, exact_quantiles
 
@@ -33,16 +33,9 @@ def _finite(value: float | None) -> float | None:
 
 def location_stats(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, dict[str, Any]]:
     """count, min, max, mean, zeros and negatives of each DOUBLE expression."""
-    exprs: dict[tuple[str, str], Column] = {}
-    for name, x in columns.items():
-        exprs[(name, "count")] = F.count(x)
-        exprs[(name, "min")] = F.min(x)
-        exprs[(name, "max")] = F.max(x)
-        exprs[(name, "mean")] = F.avg(x)
-        exprs[(name, "zeros")] = F.count_if(x == 0)
-        exprs[(name, "negatives")] = F.count_if(x < 0)
-    got = collect_aggregates(df, exprs)
-    return {n: {key: got[(n, key)] for key in ("count", "min", "max", "mean", "zeros", "negatives")} for n in columns}
+    exprs = {key: e for name, x in columns.items() for key, e in location_exprs(name, x).items()}
+    got = collect_aggregates(df, exprs) if exprs else {}
+    return {n: {key: got[(key, n)] for key in LOCATION} for n in columns}
 
 
 def spread_stats(
@@ -87,11 +80,21 @@ def spread_stats(
     return out
 
 
-def numeric_stats(df: DataFrame, columns: Mapping[str, Column], exact: bool = True) -> dict[str, dict[str, Any]]:
-    """All P2-P7 numbers of each expression; ``exact=False`` takes quantiles from a sketch."""
+def numeric_stats(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    exact: bool = True,
+    known: Mapping[str, Mapping[str, Any]] | None = None,
+) -> dict[str, dict[str, Any]]:
+    """Location, spread, shape and quartiles of each expression; ``exact=False`` takes quantiles from a sketch.
+
+    ``known`` holds location numbers an earlier pass already brought.
+    """
     if not columns:
         return {}
-    location = location_stats(df, columns)
+    known = known or {}
+    located = location_stats(df, {n: x for n, x in columns.items() if n not in known})
+    location = {n: known.get(n) or located[n] for n in columns}
     counts = {n: location[n]["count"] for n in columns}
 
     def quantiles() -> dict[str, list[float | None]]:
@@ -134,17 +137,18 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = T
     The driver holds one small record per column; all counting, ranking and selection runs on executors.
     """
     names = list(columns or df.columns)
-    total, facts = scan_facts(df, names)
+    total, facts = scan_facts(df, names, locate=True)
     types = {n: settled_type(field(df, n).dataType, facts[n]) for n in names}
     long_texts = has_long_texts([facts[n].longest for n in names])
     listed = [n for n in names if types[n] in (None, "boolean")]
     numbers = {n: numeric_value(col(n), field(df, n).dataType) for n in names if types[n] == "numeric"}
+    known = {n: facts[n].location for n in numbers if facts[n].location}
     moments = {n: datetime_value(col(n), field(df, n).dataType) for n in names if types[n] == "datetime"}
     uniques, tops, numeric, dates = run_jobs(
         [
             lambda: {r["name"]: r["unique"] for r in distinct_counts(df, names, long_texts).collect()},
             lambda: _tops(df, listed, TOP_VALUES, long_texts),
-            lambda: numeric_stats(df, numbers, exact),
+            lambda: numeric_stats(df, numbers, exact, known),
             lambda: datetime_stats(df, moments),
         ]
     )

@@ -45,13 +45,13 @@ EVENT_SCHEMA = _record(
 
 def snapshot_columns(df: DataFrame) -> DataFrame:
     """One row per column: type, gaps, different values and, for numeric storage, rounded location and spread."""
-    total, facts = scan_facts(df)
+    total, facts = scan_facts(df, locate=True)
     numeric = {n: col(n).cast("double") for n in numeric_columns(df) if facts[n].present}
     long_texts = has_long_texts([f.longest for f in facts.values()])
     uniques, stats = run_jobs(
         [
             lambda: {r["name"]: r["unique"] for r in distinct_counts(df, None, long_texts).collect()},
-            lambda: numeric_stats(df, numeric),
+            lambda: numeric_stats(df, numeric, known={n: facts[n].location for n in numeric}),
         ]
     )
     rows = []

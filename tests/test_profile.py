@@ -153,14 +153,17 @@ def test_boxplot(spark):
 
 
 def test_pages_shallow_and_deep_agree(spark, monkeypatch):
-    from loomprep.operators import ordered, paging
+    from loomprep.operators import paging
 
     df = spark.range(1050).select(F.pmod(F.hash("id"), F.lit(100)).alias("k"), "id")
     assert page_count(df) == 11 and page_count(df.where("id < 0")) == 1
     shallow = page(df, 7, ["k", "id"]).collect()
-    monkeypatch.setattr(paging, "SHALLOW_ROWS", 10)
-    monkeypatch.setattr(ordered.plan_ranges, "__defaults__", ((), 100, 64))
+    last = page(df, 10, ["k", "id"]).collect()
+    assert len(last) == 50
+    monkeypatch.setattr(paging, "SHALLOW_ROWS", 200)
     assert page(df, 7, ["k", "id"]).collect() == shallow
+    assert page(df, 10, ["k", "id"]).collect() == last
+    assert page(df, 11, ["k", "id"]).collect() == []
 
 
 def test_search_reads_every_column(mixed):
@@ -176,3 +179,18 @@ def test_conversions_never_fail(spark):
     flags = [r["x"] for r in convert_column(df, "x", "boolean").collect()]
     assert flags == [True, True, False, None, None, None, None]
     assert [r["x"] for r in convert_column(df, "x", "datetime").collect()] == [None] * 7
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_wide_correlation_equals_pairs(spark, monkeypatch, gaps):
+    from loomprep.operators import correlation as module
+
+    x = [(F.abs(F.hash("id", F.lit(i))) % 1000 + 1000 + F.col("id") * (i % 3)) for i in range(6)]
+    if gaps:
+        x = [F.when(F.abs(F.hash("id", F.lit(-i))) % 4 > 0, e) for i, e in enumerate(x)]
+    df = spark.range(500).select(*[e.cast("double").alias(f"x{i}") for i, e in enumerate(x)], F.lit(3.0).alias("flat"))
+    narrow = sorted((r["col_a"], r["col_b"], r["r"]) for r in correlation(df).collect())
+    monkeypatch.setattr(module, "PAIRWISE_COLUMNS", 2)
+    wide = sorted((r["col_a"], r["col_b"], r["r"]) for r in correlation(df).collect())
+    for a, b in zip(narrow, wide):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-9)
