@@ -6,7 +6,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalogue.tables import table
-from loomprep.operators.features import label_codes, label_encode, one_hot, prepare_features, stratified_split
+from loomprep.operators.features import (
+    drop_unusable,
+    label_codes,
+    label_encode,
+    one_hot,
+    prepare_features,
+    stratified_split,
+)
 from loomprep.operators.metrics import classification_metrics, log_loss, regression_metrics, top_importances
 from loomprep.operators.models import regressor, train_model
 from loomprep.operators.neighbors import mean_of_neighbors, nearest, vote
@@ -44,6 +51,10 @@ def split_sql(source: str, key: str, label: str, name: str = "s") -> str:
                  AS is_test FROM {source} x JOIN {name}_k ON g = {label})"""
 
 
+def usable_columns(spark: SparkSession, d: str) -> DataFrame:
+    return drop_unusable(table(spark, d, "orders"))
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     """Labelled documents with simple numbers drawn from their whole text."""
     documents = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
@@ -216,6 +227,10 @@ QUERIES = {
         "SELECT c_custkey, " + ", ".join(f"(c_mktsegment = '{s}')::INT AS c_mktsegment_{s}" for s in SEGMENTS)
         + " FROM customer",
     ),
+    "drop_unusable": (
+        usable_columns,
+        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    ),
     "label_encode": (
         encoded, "SELECT p_partkey, p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT AS code FROM part",
     ),

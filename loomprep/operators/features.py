@@ -24,6 +24,7 @@ BROADCAST_CLASSES = 10_000
 BOUNDARY_ROWS = 100_000
 
 FEATURES, LABEL = "features", "label"
+UNUSABLE = ("datetime", "text", "empty")
 
 
 def levels(df: DataFrame, column: str) -> DataFrame:
@@ -76,9 +77,18 @@ class PreparedData:
         return len(self.feature_names)
 
 
-def prepare_features(df: DataFrame, target: str, keep: Sequence[str] = ()) -> PreparedData:
+def drop_unusable(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Drop the date, text and empty columns, which no model here can use."""
+    kinds = infer_types(df)
+    return df.select([col(c) for c in df.columns if c in keep or kinds[c] not in UNUSABLE])
+
+
+def prepare_features(
+    df: DataFrame, target: str, keep: Sequence[str] = (), task: str | None = None
+) -> PreparedData:
     """Vectors and labels: date, text and empty columns go, categories become one-hot (first level dropped), the
-    target becomes a class code where it is no number, and rows with a gap in a number or the target go.
+    target becomes a class code where it is no number or the task is classification, and rows with a gap in a number
+    or the target go.
 
     ``keep`` names columns to carry along (for example the row key).
     """
@@ -91,7 +101,7 @@ def prepare_features(df: DataFrame, target: str, keep: Sequence[str] = ()) -> Pr
     firsts = _first_levels(df, grouped)
     # A gap joins the dropped first level, which is all zeros.
     picked += [F.coalesce(col(c).cast("string"), F.lit(firsts[c])).alias(f"c{i}") for i, c in enumerate(grouped)]
-    encode = kinds[target] != "numeric"
+    encode = task == "classification" or kinds[target] != "numeric"
     goal = col(target).cast("string") if encode else numeric_value(col(target), field(df, target).dataType)
     work = df.select(*[col(k) for k in keep], *picked, goal.alias("__target"))
     needed = [f"n{i}" for i in range(len(numeric))] + ["__target"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomprep.functions.columns import col
 
@@ -53,8 +53,12 @@ def classification_metrics(predictions: DataFrame, label: str = "label", predict
 
 def log_loss(predictions: DataFrame, probability: str, label: str = "label") -> DataFrame:
     """One row: mean negative log of the probability given to the true class (an array column, label as index)."""
-    p = F.get(col(probability), col(label).cast("int")).cast("double")
-    safe = F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1.0 - EPSILON))
+    return loss_of(predictions, F.get(col(probability), col(label).cast("int")).cast("double"))
+
+
+def loss_of(predictions: DataFrame, true_probability: Column) -> DataFrame:
+    """Log loss from the probability given to the true class."""
+    safe = F.least(F.greatest(true_probability, F.lit(EPSILON)), F.lit(1.0 - EPSILON))
     return predictions.agg(F.round(F.avg(-F.log(safe)), 4).alias("log_loss"))
 
 

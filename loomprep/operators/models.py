@@ -23,12 +23,12 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from loomprep.functions.columns import col
 from loomprep.operators.classify import infer_task
 from loomprep.operators.features import FEATURES, LABEL, SEED, PreparedData, prepare_features, stratified_split
-from loomprep.operators.metrics import classification_metrics, log_loss, regression_metrics
+from loomprep.operators.metrics import classification_metrics, log_loss, loss_of, regression_metrics
 from loomprep.operators.neighbors import mean_of_neighbors, nearest, vote
 from loomprep.session import scratch_path
 
@@ -44,6 +44,7 @@ ITERATIONS = 1000
 RIDGE_ALPHA = 1.0
 LEAST_ROWS = 10
 ROW = "__row"
+TRUE_PROBABILITY = "true_probability"
 
 # MLlib grows a tree level by level and keeps it on the driver; it allows 30 levels at most.
 TREE_DEPTH = 12
@@ -100,7 +101,7 @@ def train_model(
 def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | None, trees: int, depth: int) -> None:
     stratified = LABEL if result.task == "classification" else None
     named = df if key else df.withColumn(ROW, F.monotonically_increasing_id())
-    prepared = prepare_features(named, result.target, [key or ROW])
+    prepared = prepare_features(named, result.target, [key or ROW], result.task)
     # Row numbers change when rows are computed again, so they are written down before anything depends on them.
     data = prepared.data if key else _written(prepared.data)
     flagged = stratified_split(data, key or ROW, stratified, test_size)
@@ -151,7 +152,9 @@ def _score(predictions: DataFrame, task: str) -> Row:
         return regression_metrics(predictions).first()
     scores = classification_metrics(predictions).first().asDict()
     scores["log_loss"] = None
-    if "probability" in predictions.columns:
+    if TRUE_PROBABILITY in predictions.columns:
+        scores["log_loss"] = loss_of(predictions, F.col(TRUE_PROBABILITY)).first()["log_loss"]
+    elif "probability" in predictions.columns:
         as_array = predictions.select(LABEL, vector_to_array("probability").alias("probability"))
         scores["log_loss"] = log_loss(as_array, "probability").first()["log_loss"]
     return Row(**scores)
@@ -169,7 +172,17 @@ def _fit(
         spread = train.agg(F.stddev_pop(LABEL)).first()[0] if result.algorithm == "Ridge" else None
         estimator = regressor(result.algorithm, result.n_train, spread, trees, depth)
     model = estimator.fit(train)
-    return model.transform(test), _weights(model)
+    predictions = model.transform(test)
+    if result.algorithm == "Gradient Boosting" and classes > 2:
+        predictions = predictions.withColumn(TRUE_PROBABILITY, _one_against_rest_probability())
+    return predictions, _weights(model)
+
+
+def _one_against_rest_probability() -> Column:
+    """Share of the true class among the boosted models' own probabilities, 1 / (1 + exp(-2 margin))."""
+    each = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+    whole = F.aggregate(each, F.lit(0.0), lambda a, p: a + p)
+    return F.try_divide(F.get(each, F.col(LABEL).cast("int")), whole)
 
 
 def classifier(algorithm: str, classes: int, rows: int, trees: int = TREES, depth: int = TREE_DEPTH) -> Estimator:
@@ -251,6 +264,10 @@ def _neighbors(train: DataFrame, test: DataFrame, task: str, key: str) -> DataFr
     vectors = [col(key).cast("bigint").alias("id"), vector_to_array(FEATURES).alias("vector")]
     asking = test.select(*vectors)
     found = nearest(asking, train.select(*vectors, F.col(LABEL).cast("double").alias("label")))
-    predicted = vote(found) if task == "classification" else mean_of_neighbors(found)
     truth = test.select(col(key).cast("bigint").alias("id"), F.col(LABEL))
-    return truth.join(predicted, "id").select("id", LABEL, "prediction")
+    if task == "regression":
+        return truth.join(mean_of_neighbors(found), "id").select("id", LABEL, "prediction")
+    shares = found.withColumnRenamed("label", "near").join(truth, "id").groupBy("id").agg(
+        F.avg((F.col("near") == F.col(LABEL)).cast("double")).alias(TRUE_PROBABILITY)
+    )
+    return truth.join(vote(found), "id").join(shares, "id").select("id", LABEL, "prediction", TRUE_PROBABILITY)

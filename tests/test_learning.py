@@ -36,7 +36,7 @@ def test_classifiers(classes, algorithm):
     assert (result.n_features, result.n_train, result.n_test) == (4, 80, 20)
     row = result.metrics.first()
     assert all(0 <= row[m] <= 1 for m in ("accuracy", "balanced_accuracy", "precision", "recall", "f1"))
-    assert (row["log_loss"] is None) == (algorithm in ("SVM", "KNN"))
+    assert (row["log_loss"] is None) == (algorithm == "SVM")
     assert (result.importances is None) == (algorithm in ("SVM", "KNN"))
 
 
@@ -57,6 +57,10 @@ def test_many_classes_and_no_key(spark):
         result = train_model(df, "t", algorithm, trees=3)
         assert result.error is None and result.metrics.first()["accuracy"] > 0.9
         assert (result.n_train, result.n_test) == (96, 24)
+        assert result.metrics.first()["log_loss"] < 1.0
+    numbered = df.select("x", (F.substring("t", 2, 1).cast("int") * 5 + 2).alias("t"))
+    result = train_model(numbered, "t", "Decision Tree")
+    assert result.task == "classification" and result.error is None and result.metrics.first()["accuracy"] > 0.9
 
 
 def test_errors_come_back_as_results(classes):
