@@ -9,13 +9,9 @@ from loomprep.functions.columns import col, field, is_numeric, is_string, is_tem
 # A cast alone would also take '1d', '1f', 'NaN' and hexadecimal floats.
 NUMBER = r"^[+-]?(?=[.]?[0-9])[0-9]*[.]?[0-9]*([eE][+-]?[0-9]+)?$"
 # A cast alone would also take 'now', 'epoch', '12:30' and a bare year.
-ISO_DATETIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
-SEPARATED_DATETIME = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
-DATE_START = r"^\d{1,4}[-/.]\d"
-DATE_PARTS = r"^(\d+)[-/.](\d+)[-/.](\d+)[ T]?(.*)$"
-# Tried in this order: year first, then month first, then day first.
-DATE_ORDERS = ("y/M/d", "M/d/yyyy", "d/M/yyyy")
-CLOCKS = ("", " H:m", " H:m:s")
+CLOCK = r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?\s?(?:Z|[+-]\d{2}(?::?\d{2})?)?))?$"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK
+YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + CLOCK
 
 # The words read as true and false, in lower case.
 TRUE_WORDS = ("true", "1", "yes")
@@ -38,14 +34,15 @@ def datetime_value(value: Column, data_type: T.DataType) -> Column:
         return value.cast("timestamp")
     if not is_string(data_type):
         return F.lit(None).cast("timestamp")
-    # Most texts fail the first test, which reads a few characters; NULL then passes through the rest unread.
+    # A text of another shape fails at its first characters. With the year last, the month is tried first.
     text = F.trim(value)
-    text = F.when(text.rlike(DATE_START), text)
-    separated = F.when(text.rlike(SEPARATED_DATETIME), F.regexp_replace(text, DATE_PARTS, "$1/$2/$3 $4"))
-    separated = F.rtrim(separated)
-    parsed = [F.when(text.rlike(ISO_DATETIME), text.try_cast("timestamp"))]
-    parsed += [F.try_to_timestamp(separated, F.lit(order + clock)) for order in DATE_ORDERS for clock in CLOCKS]
-    return F.coalesce(*parsed)
+
+    def read(pattern: str, order: str) -> Column:
+        return F.regexp_replace(text, pattern, order).try_cast("timestamp")
+
+    return F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$2-$3 $4")).when(
+        text.rlike(YEAR_LAST), F.coalesce(read(YEAR_LAST, "$3-$1-$2 $4"), read(YEAR_LAST, "$3-$2-$1 $4"))
+    )
 
 
 def boolean_value(value: Column) -> Column:

@@ -51,7 +51,10 @@ def plan_ranges(
     rows_per_range: int = ROWS_PER_RANGE,
     max_ranges: int = MAX_RANGES,
 ) -> Ranges:
-    """Choose the cuts from a sample of the key columns; at most a fixed number of keys reaches the driver."""
+    """Choose the cuts from a sample of the key columns; at most a fixed number of keys reaches the driver.
+
+    No cut is needed where the whole table, or every partition of it, is small enough for one task.
+    """
     order, parts = _names(order_by), _names(partition_by)
     if not order:
         raise ValueError("row order has no meaning in a distributed table: give order_by with a unique last key")
@@ -62,6 +65,10 @@ def plan_ranges(
     wanted = min(max_ranges, math.ceil(rows / rows_per_range))
     if wanted <= 1:
         return plan
+    if parts:
+        sizes = df.groupBy([col(p) for p in parts]).agg(F.count(F.lit(1)).alias("n"))
+        if sizes.agg(F.max("n")).first()[0] <= rows_per_range:
+            return plan
     keys = df.select([col(k) for k in plan.keys])
     fraction = min(1.0, wanted * SAMPLES_PER_RANGE / rows)
     sample = keys.sample(fraction, seed=17) if fraction < 1.0 else keys
@@ -120,6 +127,18 @@ def _same_partition(plan: Ranges, cut: Column) -> Column:
     return cut.isNotNull() & reduce(lambda a, b: a & b, same, F.lit(True))
 
 
+def within(df: DataFrame, plan: Ranges, first: int, last: int) -> DataFrame:
+    """Rows of the ranges ``first`` to ``last``, as a plain comparison of the keys."""
+    cuts = _cut_array(df, plan)
+    key = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(plan.keys)])
+    inside = F.lit(True)
+    if first > 0:
+        inside = inside & (key >= F.get(cuts, F.lit(first - 1)))
+    if last < plan.count - 1:
+        inside = inside & (key < F.get(cuts, F.lit(last)))
+    return df.where(inside)
+
+
 def windows(plan: Ranges) -> tuple[WindowSpec, WindowSpec]:
     """Row order inside a range and partition, and its reverse (a running frame towards the end would be quadratic)."""
     parts = [F.col(BUCKET)] + [col(p) for p in plan.partition_by]
@@ -184,12 +203,15 @@ def fill_ordered(
     if plan.count > 1:
         ranged = bring_together(ranged, plan)
         carried = _carry(source, ranged, methods, plan, ahead)
-    work = ranged.withColumn("__pos", F.row_number().over(ahead).cast("bigint"))
-    work = work.withColumn("__tied", _strict_order(plan, ahead))
+    work = ranged.withColumn("__tied", _strict_order(plan, ahead))
+    if "interpolate" in methods.values():
+        work = work.withColumn("__pos", F.row_number().over(ahead).cast("bigint"))
     names = list(methods)
     for i, name in enumerate(names):
         value, method = col(name), methods[name]
-        seen = F.when(value.isNotNull(), F.struct(F.col("__pos").alias("p"), value.alias("v")))
+        seen = value
+        if method == "interpolate":
+            seen = F.when(value.isNotNull(), F.struct(F.col("__pos").alias("p"), value.alias("v")))
         if method in ("forward", "interpolate"):
             work = work.withColumn(f"__before{i}", F.last(seen, ignorenulls=True).over(ahead))
         if method in ("backward", "interpolate"):
@@ -203,19 +225,20 @@ def fill_ordered(
         shift = F.lit(0).cast("bigint")
         if plan.count > 1:
             shift = F.when(F.col(HEAD), F.coalesce("__offset", F.lit(0))).otherwise(0)
-        b_value, b_pos = before.getField("v"), before.getField("p") + shift
-        a_value, a_pos = after.getField("v"), after.getField("p") + shift
-        if plan.count > 1:
-            in_head, in_tail = F.col(HEAD), F.col(TAIL)
-            b_pos = F.coalesce(b_pos, F.when(in_head, F.col(f"__before_pos{i}")))
-            b_value = F.coalesce(b_value, F.when(in_head, F.col(f"__before_val{i}")))
-            a_pos = F.coalesce(a_pos, F.when(in_tail, F.col(f"__after_pos{i}")))
-            a_value = F.coalesce(a_value, F.when(in_tail, F.col(f"__after_val{i}")))
+        carried_before = F.when(F.col(HEAD), F.col(f"__before_val{i}")) if plan.count > 1 else None
+        carried_after = F.when(F.col(TAIL), F.col(f"__after_val{i}")) if plan.count > 1 else None
         if method == "forward":
-            value = b_value
+            value = before if carried_before is None else F.coalesce(before, carried_before)
         elif method == "backward":
-            value = a_value
+            value = after if carried_after is None else F.coalesce(after, carried_after)
         else:
+            b_value, b_pos = before.getField("v"), before.getField("p") + shift
+            a_value, a_pos = after.getField("v"), after.getField("p") + shift
+            if plan.count > 1:
+                b_pos = F.coalesce(b_pos, F.when(F.col(HEAD), F.col(f"__before_pos{i}")))
+                b_value = F.coalesce(b_value, carried_before)
+                a_pos = F.coalesce(a_pos, F.when(F.col(TAIL), F.col(f"__after_pos{i}")))
+                a_value = F.coalesce(a_value, carried_after)
             pos = F.col("__pos") + shift
             line = b_value + (a_value - b_value) * F.try_divide(pos - b_pos, a_pos - b_pos)
             value = F.coalesce(col(name), F.when(b_value.isNotNull(), F.coalesce(line, b_value)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomprep.functions.columns import col
-from loomprep.operators.ordered import BUCKET, HOUSEKEEPING, assign_ranges, plan_ranges
+from loomprep.operators.ordered import BUCKET, assign_ranges, plan_ranges, within
 
 PAGE_SIZE = 100
 # Every task keeps offset + limit rows for a top-k sort; deeper pages are narrowed to few key ranges first.
@@ -31,8 +31,7 @@ def page(df: DataFrame, number: int, order_by: str | Sequence[str], size: int =
         plan = plan_ranges(part, keys, rows_per_range=SHALLOW_ROWS // 4)
         if plan.count == 1:
             break
-        ranged = assign_ranges(part, plan)
-        counts = {r[BUCKET]: r["count"] for r in ranged.groupBy(BUCKET).count().collect()}
+        counts = {r[BUCKET]: r["count"] for r in assign_ranges(part, plan).groupBy(BUCKET).count().collect()}
         before, first, last, skipped = 0, None, 0, 0
         for i in range(plan.count):
             after = before + counts.get(i, 0)
@@ -43,7 +42,7 @@ def page(df: DataFrame, number: int, order_by: str | Sequence[str], size: int =
             before = after
         if first is None:
             return df.where(F.lit(False))
-        part = ranged.where(F.col(BUCKET).between(first, last)).drop(*HOUSEKEEPING)
+        part = within(part, plan, first, last)
         if skipped == 0 and last == plan.count - 1:
             break
         start -= skipped
