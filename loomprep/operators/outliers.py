@@ -57,12 +57,19 @@ def default_threshold(method: str) -> float:
     return IQR_MULTIPLIER if method == "iqr" else ZSCORE_THRESHOLD
 
 
+Stats = Mapping[str, Mapping[str, Any]]
+
+
 def fit_bounds(
-    df: DataFrame, requests: Mapping[str, tuple[str, float | None]], ddof: int = 0
+    df: DataFrame,
+    requests: Mapping[str, tuple[str, float | None]],
+    ddof: int = 0,
+    known: tuple[Stats, Stats] | None = None,
 ) -> dict[str, Bounds]:
     """Bounds of several columns at once: ``{column: (method, threshold)}``.
 
-    ``ddof`` is the deviation the z-score itself divides by (0: population).
+    ``ddof`` is the deviation the z-score itself divides by (0: population). ``known`` holds location and spread
+    numbers an earlier pass already brought.
     """
     x = {n: numeric_value(col(n), field(df, n).dataType) for n in requests}
     limits = {n: t if t is not None else default_threshold(m) for n, (m, t) in requests.items()}
@@ -72,14 +79,15 @@ def fit_bounds(
         default_threshold(m)
     out: dict[str, Bounds] = {}
     if by_iqr:
-        for n, (q1, q3) in exact_quantiles(df, by_iqr, (0.25, 0.75)).items():
+        counts = {n: known[0][n]["count"] for n in by_iqr} if known else None
+        for n, (q1, q3) in exact_quantiles(df, by_iqr, (0.25, 0.75), counts).items():
             if q1 is None:
                 out[n] = Bounds(None, None)
             else:
                 out[n] = Bounds(q1 - limits[n] * (q3 - q1), q3 + limits[n] * (q3 - q1))
     if by_z:
-        location = location_stats(df, by_z)
-        spread = spread_stats(df, by_z, location)
+        location = known[0] if known else location_stats(df, by_z)
+        spread = known[1] if known else spread_stats(df, by_z, location)
         for n in by_z:
             mean, std = location[n]["mean"], spread[n]["std"]
             scale = spread[n]["std_pop"] if ddof == 0 else std
@@ -104,7 +112,8 @@ def outlier_report(df: DataFrame, method: str = "iqr", threshold: float | None =
     x = {n: col(n).cast("double") for n in names}
     location = location_stats(df, x)
     spread = spread_stats(df, x, location)
-    bounds = fit_bounds(df, {n: (method, threshold) for n in names if location[n]["count"]})
+    requests = {n: (method, threshold) for n in names if location[n]["count"]}
+    bounds = fit_bounds(df, requests, known=(location, spread))
     counted = collect_aggregates(
         df, {"": F.count(F.lit(1)), **{n: F.count_if(bounds[n].mask(x[n])) for n in bounds}}
     )
