@@ -72,17 +72,18 @@ def segments(distance: int, parts: int) -> list[tuple[int, int, int]]:
 def near_pairs(distinct: DataFrame, distance: int = 4, parts: int = 3) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct longs ``fp`` that differ in 1 to ``distance`` bits."""
 
-    def cut(shift: int, width: int) -> Column:
-        mask = (1 << width) - 1
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask).cast("bigint"))
+    def slot(number: int, key: Column) -> Column:
+        return F.struct(F.lit(number).alias("seg"), key.alias("key"))
+
+    def ball(number: int, part: Column, width: int, radius: int) -> Column:
+        flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+        return F.transform(F.lit(flips).cast("array<bigint>"), lambda flip: slot(number, part.bitwiseXOR(flip)))
 
     entries, probes = [], []
     for number, (shift, width, radius) in enumerate(segments(distance, parts)):
-        flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
-        part = cut(shift, width)
-        entries.append(F.struct(F.lit(number).alias("seg"), part.alias("key")))
-        balls = F.transform(F.lit(flips).cast("array<bigint>"), lambda m, p=part: p.bitwiseXOR(m))
-        probes.append(F.transform(balls, lambda k, n=number: F.struct(F.lit(n).alias("seg"), k.alias("key"))))
+        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        entries.append(slot(number, part))
+        probes.append(ball(number, part, width, radius))
     index = distinct.select(F.explode(F.array(*entries)).alias("e"), F.col("fp").alias("b")).select("e.*", "b")
     asked = distinct.select(F.explode(F.flatten(F.array(*probes))).alias("e"), F.col("fp").alias("a")).select("e.*", "a")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
