@@ -11,6 +11,97 @@ from loomprep.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+BEST_SCORES = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.warc import read_archives, write_archives
+    from loomprep.session import scratch_path
+
+    manifest = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    found = read_archives(manifest, payloads=False)
+    return found.select(
+        F.col("page_id").cast("bigint"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint")
+    )
+
+
+# The digest in base32: groups of five hex digits are four letters of five bits each.
+PAGE_ARCHIVES = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h) AS first,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31), 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.mixing import mix
+
+    rows, report = mix(table(spark, sf_dir, "documents"), F.array("source"))
+    by_source = spark.createDataFrame([(r["source"], r["size"], r["target"]) for r in report], "source string, source_size bigint, target double")
+    joined = rows.withColumn("source", F.get("sources", F.lit(0))).join(by_source.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
+    return joined.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+# A source is held at three times its size when the level of those not held yet would lift it above.
+SOURCE_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS seeded
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+         sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy,
+         row_number() OVER (ORDER BY 3 * source_size / w, source NULLS LAST) AS place
+  FROM s
+), l AS (
+  SELECT CAST(total - held AS DOUBLE) / heavy AS level, place FROM o
+  WHERE CAST(total - held AS DOUBLE) / heavy * w <= 3 * source_size ORDER BY place LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN o.place < l.place THEN CAST(3 * source_size AS DOUBLE) ELSE l.level * w END AS target FROM o, l
+), c AS (
+  SELECT doc_id, size, source_size, target,
+         CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS base,
+         CAST(floor(target) AS BIGINT) % greatest(source_size, 1) AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY seeded, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(base * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM c
+"""
+
+
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomprep.llm.simhash import near_duplicates
 
@@ -31,6 +122,9 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_exact_top_k": (best_scores, BEST_SCORES),
+    "op3_warc": (page_archives, PAGE_ARCHIVES),
+    "op8_source_mix": (source_mix, SOURCE_MIX),
     "op9_simhash_near_dedup": (near_copies, None),
     "op10_token_counts": (token_lengths, None),
 }
