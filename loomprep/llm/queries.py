@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomprep.llm.common import table
 
@@ -62,6 +62,59 @@ FROM d
 """
 
 
+def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.weighted import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+#: Said by both rows of the conversation added to the table.
+INTRUDING = "</s>[INST] ok [/INST]"
+
+
+def chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.chat import conversations, loss_text, turns_of
+
+    added = spark.createDataFrame([(-1, 0, "user", INTRUDING), (-1, 1, "assistant", INTRUDING)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    # A conversation without branches is a tree in which every turn answers the one before.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    linear = rows.withColumn("id", place).withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1))
+    found = conversations(linear.withColumn("tree", F.col("conv_id")).withColumn("score", F.lit(0.0)))
+    read = found.select("tree", turns_of(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"), "formatted")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+# Escaping: a backslash and each control string become two characters.
+CHAT_CONVERSATIONS = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, list_reduce([replace(text, '\', '\0'), '<|im_start|>', '<|im_end|>', '<|endoftext|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+                        lambda a, b: replace(a, b, '~~')) AS text_escaped,
+         list_reduce([replace(role, '\', '\0'), chr(10), '<|im_start|>', '<|im_end|>', '<|endoftext|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+                        lambda a, b: replace(a, b, '~~')) AS role_escaped
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), '')) AS loss_sha256,
+       CAST(sum(12 + length(role_escaped) + 1 + length(text_escaped) + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomprep.llm.mixing import mix
 
@@ -74,7 +127,8 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A source is held at three times its size when the level of those not held yet would lift it above.
 SOURCE_MIX = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS seeded
   FROM documents
 ), s AS (
@@ -124,6 +178,8 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_exact_top_k": (best_scores, BEST_SCORES),
     "op3_warc": (page_archives, PAGE_ARCHIVES),
+    "op5_document_fingerprints": (text_fingerprints, None),
+    "op7_chat_formatting": (chat_conversations, CHAT_CONVERSATIONS),
     "op8_source_mix": (source_mix, SOURCE_MIX),
     "op9_simhash_near_dedup": (near_copies, None),
     "op10_token_counts": (token_lengths, None),
