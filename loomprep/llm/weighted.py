@@ -12,9 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomprep.llm.common import written
-
 SAMPLES = 32
+RANGES = 4  # ranges of ids per shuffle partition
 WHITE = r"[\x20\x09-\x0D]+"
 SHIFT, FINE = 100.0, float(1 << 24)  # order-keeping whole number for a logarithm between -100 and 27
 
@@ -78,25 +77,26 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
     return F.when((a == "") & (b == ""), 1.0).otherwise(reduce(Column.__add__, parts) / float(samples))
 
 
-def successors(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``next``, a struct of the ``order`` columns of the following row; the first row follows the last.
+def range_starts(ids: DataFrame, id_col: str) -> list:
+    """The smallest id of each of many ranges of about equal size; the driver holds one id per range."""
+    ranges = RANGES * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ids.select(id_col).where(F.col(id_col).isNotNull()).repartitionByRange(ranges, id_col)
+    found = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min(id_col).alias("first")).collect()
+    return sorted(r["first"] for r in found)
 
-    Rows are dealt out by range; a window inside each range finds the neighbour, and the last row of a range gets the first
-    of the next. The driver holds one row per range.
-    """
-    spark = rows.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "successor-ranges")
-    key = F.struct(*order)
-    firsts = sorted(dealt.groupBy("range").agg(F.min(key).alias("first")).collect())
-    if not firsts:
-        return dealt.drop("range").withColumn("next", key)
-    following = [(r["range"], firsts[(i + 1) % len(firsts)]["first"]) for i, r in enumerate(firsts)]
-    kinds = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in order)
-    across = spark.createDataFrame(following, f"range int, first struct<{kinds}>")
-    inside = F.lead(key).over(Window.partitionBy("range").orderBy(*order))
-    found = dealt.withColumn("inside", inside).join(F.broadcast(across), "range")  # one row per range
-    return found.withColumn("next", F.coalesce("inside", "first")).drop("inside", "first", "range")
+
+def range_number(value: Column, starts: list, kind: str) -> Column:
+    """Number of the range that holds the value, by halving."""
+    cuts = F.lit(starts).cast(f"array<{kind}>")
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"] + 1) / 2).cast("int")
+        above = F.get(cuts, middle) <= value
+        return F.struct(F.when(above, middle).otherwise(state["low"]).alias("low"), F.when(above, state["high"]).otherwise(middle - 1).alias("high"))
+
+    steps = F.array(*map(F.lit, range(max(1, len(starts).bit_length()))))
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(starts) - 1).alias("high"))
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -108,29 +108,36 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with one row. A row with a null id has no next document: nothing is put in and ``near_next`` is null. Other columns
     are left out.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    placed = own.where(F.col("id").isNotNull()).select("id", "h", F.char_length("text").alias("n")).distinct()
-    links = written(successors(placed, ["id", "h"]), "fingerprint-links")
-    asked = links.select(
-        F.col("next.id").alias("id"), F.col("next.h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.expr("n div 2").cast("int").alias("half")
-    )
-    heads = own.join(asked, ["id", "h"]).select(F.col("to_id"), F.col("to_h"), F.substr("text", F.lit(1), F.col("half")).alias("head"))
-    heads = heads.groupBy(F.col("to_id").alias("id"), F.col("to_h").alias("h")).agg(F.min("head").alias("head"))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    starts = range_starts(own, "id")
+    ranges = max(1, len(starts))
+    # The first rows of a range also visit the range before it, where they follow its last row.
+    place = range_number(F.col("id"), starts, kind) if starts else F.lit(0)
+    first = F.array_contains(F.lit(starts).cast(f"array<{kind}>"), F.col("id")) if starts else F.lit(False)
+    at = lambda number, visits: F.struct(number.cast("int").alias("range"), F.lit(visits).alias("visits"))
+    home = F.when(F.col("id").isNull(), -1 - F.pmod("h", F.lit(ranges)).cast("int")).otherwise(place)
+    back = F.pmod(place - 1, F.lit(ranges))
+    stays = F.when(first & F.col("id").isNotNull(), F.array(at(home, 0), at(back, 1))).otherwise(F.array(at(home, 0)))
+    dealt = own.select("id", "h", "text", F.explode(stays).alias("at")).select("at.range", "at.visits", "id", "h", "text")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range")
+    keys = ["range", "visits", "id", "h"]
+    single = dealt.groupBy(*keys).agg(F.first("text").alias("text"))
+    order = Window.partitionBy("range").orderBy("visits", "id", "h")
     n = F.char_length("text")
-    edited = F.concat(F.substr("text", F.lit(1), n - F.expr("char_length(text) div 2").cast("int")), F.coalesce("head", F.lit("")))
-    texts = own.join(heads, ["id", "h"], "left").select("id", "h", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+    half = F.expr("char_length(text) div 2").cast("int")
+    head = F.when(F.col("id").isNull(), "").otherwise(F.substr(F.coalesce(F.lead("text").over(order), F.lit("")), F.lit(1), half))
+    texts = single.select(*keys, "text", n.cast("bigint").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - half), head).alias("edited"))
     facts = texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    made = signatures(facts, ["id", "h", "n_chars", "edited_sha256"], ["text", "edited"], samples)
-    both = made.groupBy("id", "h", "n_chars", "edited_sha256").agg(
+    keys += ["n_chars", "edited_sha256"]
+    made = signatures(facts, keys, ["text", "edited"], samples)
+    both = made.groupBy(*keys).agg(
         F.max(F.when(F.col("variant") == 0, packed(samples))).alias("fingerprint"),
         F.max(F.when(F.col("variant") == 1, packed(samples))).alias("edited_fingerprint"),
     )
-    both = written(both, "fingerprints")
-    follows = links.select("id", "h", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
-    after = both.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
-    joined = both.join(follows, ["id", "h"], "left").join(after, ["next_id", "next_h"], "left")
-    return joined.select(
+    following = F.when(F.col("id").isNotNull(), F.lead("fingerprint").over(order))
+    named = both.withColumn("next_fingerprint", following).where("visits = 0")
+    return named.select(
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
