@@ -62,6 +62,27 @@ FROM d
 """
 
 
+#: Demonstration only: whoever runs this on real texts passes a key of their own.
+PSEUDONYM_KEY = "demonstration"
+
+
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, found_col="n_replaced")
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomprep.llm.language import folded, identify, train
+
+    documents = table(spark, sf_dir, "documents")
+    model = train(documents, public_tokenizers.path("piece_bpe_32k.model"), use=folded("doc_id") != 2)
+    found = identify(documents, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (folded("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+
+
 def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomprep.llm.weighted import edited_fingerprints
 
@@ -178,7 +199,9 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_exact_top_k": (best_scores, BEST_SCORES),
     "op3_warc": (page_archives, PAGE_ARCHIVES),
+    "op4_pii_pseudonyms": (pseudonyms, None),
     "op5_document_fingerprints": (text_fingerprints, None),
+    "op6_language_id": (languages, None),
     "op7_chat_formatting": (chat_conversations, CHAT_CONVERSATIONS),
     "op8_source_mix": (source_mix, SOURCE_MIX),
     "op9_simhash_near_dedup": (near_copies, None),
