@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomprep.llm.common import written
 
@@ -246,12 +247,13 @@ def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
 _scorers: dict[str, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row, from the text alone; score is the posterior of the predicted language.
+def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its posterior; columns that have these names already are replaced.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text when nothing was learned. Ties go to the
-    language that is first by name. Repeated rows and null ids are rows like any other; other columns are left out.
+    language that is first by name.
     """
+    kept = docs.select(*[c for c in docs.columns if c not in (lang_col, score_col)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     number = uuid.uuid4().hex  # of this call, by which a worker knows its scorer
 
@@ -260,8 +262,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             _scorers.clear()
             _scorers[number] = Scorer(shared.value)
         for batch in batches:
-            names, scores = _scorers[number].predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            names, scores = _scorers[number].predict(batch.column(text_col).to_pylist())
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_col, score_col])
+
+    schema = StructType([*kept.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
+    return kept.mapInArrow(run, schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) for every row, from the text alone. Repeated rows and null ids are rows like any other."""
+    return identified(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model)

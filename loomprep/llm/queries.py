@@ -34,6 +34,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomprep.llm.pieces import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode(table(spark, sf_dir, "documents"), path)
+    read = decode(encoded, path, keep_ids=True)
+    return read.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.col("ids").alias("piece_ids"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomprep.llm.warc import read_archives, write_archives
     from loomprep.session import scratch_path
@@ -198,6 +214,7 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_exact_top_k": (best_scores, BEST_SCORES),
+    "op2_sentencepiece": (text_pieces, None),
     "op3_warc": (page_archives, PAGE_ARCHIVES),
     "op4_pii_pseudonyms": (pseudonyms, None),
     "op5_document_fingerprints": (text_fingerprints, None),
