@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalogue import audits, charts, exchange, fills, learning, outlying, profiling
+from catalogue import audits, charts, exchange, fills, learning, outlying, profiling, scale_side
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (profiling, charts, fills, outlying, audits, exchange, learning)
+MODULES = (profiling, charts, fills, outlying, audits, exchange, learning, scale_side)
 
 
 def all_queries() -> dict[str, Query]:

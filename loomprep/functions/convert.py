@@ -12,6 +12,19 @@ NUMBER = r"^[+-]?(?=[.]?[0-9])[0-9]*[.]?[0-9]*([eE][+-]?[0-9]+)?$"
 CLOCK = r"(?:[ T](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?\s?(?:Z|[+-]\d{2}(?::?\d{2})?)?))?$"
 YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + CLOCK
 YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + CLOCK
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+SHORT_YEAR = r"^(\d{1,2}[-/.]\d{1,2}[-/.])(\d{2})(?=[ T]|$)"
+HALF_DAY = r"(?i)[ T](1[0-2]|0?[1-9])(:\d{2})?(:\d{2})?\s?([ap])\.?m\.?$"
+# The months by their first three letters.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_NAME = (
+    r"(?i)(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?)\.?"
+)
+MONTH_FIRST = rf"^({MONTH_NAME})[ -](\d{{1,2}})(?:st|nd|rd|th)?,?[ -](\d{{4}})(?=[ T]|$)"
+MONTH_SECOND = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]({MONTH_NAME}),?[ -](\d{{4}})(?=[ T]|$)"
+# Two-digit years from this one on belong to the last century.
+CENTURY = 69
 
 # The words read as true and false, in lower case.
 TRUE_WORDS = ("true", "1", "yes")
@@ -28,6 +41,32 @@ def numeric_value(value: Column, data_type: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def _plain_date(text: Column) -> Column:
+    """Month names, two-digit years, compact dates and half-day clocks written as numbers; other texts as they are."""
+
+    def named(pattern: str, month: int, day: int) -> Column:
+        name = F.lower(F.substring(F.regexp_extract(text, pattern, month), 1, 3))
+        number = ((F.position(name, F.lit(MONTHS)) + 2) / 3).cast("int").cast("string")
+        rest = F.regexp_replace(text, pattern, "")
+        return F.concat(F.regexp_extract(text, pattern, 3), F.lit("-"), number, F.lit("-"), F.regexp_extract(text, pattern, day), rest)
+
+    year = F.regexp_extract(text, SHORT_YEAR, 2)
+    century = F.when(year >= str(CENTURY), "19").otherwise("20")
+    longer = F.concat(F.regexp_extract(text, SHORT_YEAR, 1), century, year, F.regexp_replace(text, SHORT_YEAR, ""))
+    date = (
+        F.when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3"))
+        .when(text.rlike(SHORT_YEAR), longer)
+        .when(text.rlike(MONTH_FIRST), named(MONTH_FIRST, 1, 2))
+        .when(text.rlike(MONTH_SECOND), named(MONTH_SECOND, 2, 1))
+        .otherwise(text)
+    )
+    hour = F.regexp_extract(date, HALF_DAY, 1).try_cast("int") % 12
+    hour = hour + F.when(F.lower(F.regexp_extract(date, HALF_DAY, 4)) == "p", 12).otherwise(0)
+    minutes = F.regexp_extract(date, HALF_DAY, 2)
+    clock = F.concat(F.lit(" "), hour.cast("string"), F.when(minutes == "", ":00").otherwise(minutes), F.regexp_extract(date, HALF_DAY, 3))
+    return F.when(date.rlike(HALF_DAY), F.concat(F.regexp_replace(date, HALF_DAY, ""), clock)).otherwise(date)
+
+
 def datetime_value(value: Column, data_type: T.DataType) -> Column:
     """``value`` as TIMESTAMP; NULL where it is not a date."""
     if is_temporal(data_type):
@@ -35,7 +74,7 @@ def datetime_value(value: Column, data_type: T.DataType) -> Column:
     if not is_string(data_type):
         return F.lit(None).cast("timestamp")
     # A text of another shape fails at its first characters. With the year last, the month is tried first.
-    text = F.trim(value)
+    text = _plain_date(F.trim(value))
 
     def read(pattern: str, order: str) -> Column:
         return F.regexp_replace(text, pattern, order).try_cast("timestamp")

@@ -16,8 +16,12 @@ WHISKER = 1.5
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(bin, lower, upper, count) of equal-width bins from min to max; the last bin is closed, empty bins stay."""
+    """(bin, lower, upper, count) of equal-width bins from min to max; the last bin is closed, empty bins stay.
+
+    Bins cover the finite values; an infinite one is in no bin.
+    """
     x = numeric_value(col(column), field(df, column).dataType)
+    x = F.when(F.abs(x) != float("inf"), x)
     ends = collect_aggregates(df, {"lo": F.min(x), "hi": F.max(x)})
     schema = "bin bigint, lower double, upper double, count bigint"
     if ends["lo"] is None:

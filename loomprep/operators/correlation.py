@@ -15,16 +15,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loomprep.functions.columns import col, collect_aggregates, numeric_columns
 
 SCHEMA = "col_a string, col_b string, r double"
-# Up to this many columns pairs are plain aggregates; more columns go through one matrix product.
+# Up to this many columns pairs are plain aggregates; more columns go through one matrix product, after which the pairs
+# in which a side hardly varies are summed as plain aggregates too.
 PAIRWISE_COLUMNS = 16
-ROUNDING = 1e-13
+HARDLY = 1e-6
 
 
-def correlation(df: DataFrame) -> DataFrame | None:
+def correlation(df: DataFrame, pairwise_columns: int = PAIRWISE_COLUMNS) -> DataFrame | None:
     """Long form (col_a, col_b, r) of the full matrix; None with fewer than two numeric columns.
 
-    r is NULL where a side is constant. Columns without gaps share their own sums, so k columns cost
-    k(k-1)/2 products; only pairs that touch a gap carry sums of their own.
+    r is NULL where a side is constant over the rows that have both values, told by its least and greatest value. Columns
+    without gaps share their own sums, so k columns cost k(k-1)/2 products; only pairs that touch a gap carry sums of
+    their own. The driver holds a number per pair of columns.
     """
     names = numeric_columns(df)
     if len(names) < 2:
@@ -42,14 +44,20 @@ def correlation(df: DataFrame) -> DataFrame | None:
     full = {n for n in live if base[(n, "count")] == rows}
     d = {n: x[n] - F.lit(base[(n, "mean")]) for n in live}
 
-    if len(live) > PAIRWISE_COLUMNS:
-        return _as_matrix(df, names, set(live), _wide_pairs(df, live, full, d))
+    if len(live) > pairwise_columns:
+        pairs, unsettled = _wide_pairs(df, live, full, d)
+        return _as_matrix(df, names, set(live), {**pairs, **_plain_pairs(df, unsettled, full, d, rows)})
+    return _as_matrix(df, names, set(live), _plain_pairs(df, list(combinations(live, 2)), full, d, rows))
 
+
+def _plain_pairs(
+    df: DataFrame, wanted: Sequence[tuple[str, str]], full: set[str], d: Mapping[str, Column], rows: int
+) -> dict[tuple[str, str], float | None]:
     second: dict[tuple[str, ...], Column] = {}
-    for n in sorted(full):
+    for n in sorted({n for pair in wanted for n in pair} & full):
         second[("s", n)] = F.sum(d[n])
         second[("ss", n)] = F.sum(d[n] * d[n])
-    for a, b in combinations(live, 2):
+    for a, b in wanted:
         second[("ab", a, b)] = F.sum(d[a] * d[b])
         if a not in full or b not in full:
             both = d[a].isNotNull() & d[b].isNotNull()
@@ -76,8 +84,7 @@ def correlation(df: DataFrame) -> DataFrame | None:
         r = (got[("ab", a, b)] - sa * sb / n) / math.sqrt(va) / math.sqrt(vb)
         return None if math.isnan(r) else max(-1.0, min(1.0, r))
 
-    pairs = {(a, b): pair(a, b) for a, b in combinations(live, 2)}
-    return _as_matrix(df, names, set(live), pairs)
+    return {(a, b): pair(a, b) for a, b in wanted}
 
 
 def _as_matrix(
@@ -93,11 +100,12 @@ def _as_matrix(
 
 def _wide_pairs(
     df: DataFrame, live: Sequence[str], full: set[str], d: Mapping[str, Column]
-) -> dict[tuple[str, str], float | None]:
-    """All pairs of many columns from one distributed Gram matrix.
+) -> tuple[dict[tuple[str, str], float | None], list[tuple[str, str]]]:
+    """All pairs of many columns from one distributed Gram matrix, and the pairs that it leaves to be settled.
 
     A row is the vector of centred values, presence marks and centred squares (gaps as zero), so that the products of
-    these parts are the pairwise-complete sums. The driver holds (3k)^2 numbers for k columns.
+    these parts are the pairwise-complete sums. Where next to nothing of a side's sum of squares is left, rounding could
+    pass for variation and the pair is left. The driver holds (3k)^2 numbers for k columns.
     """
     k = len(live)
     zero = [F.coalesce(d[n], F.lit(0.0)) for n in live]
@@ -116,16 +124,16 @@ def _wide_pairs(
         total = np.repeat(np.array([sums[f"s{i}"] for i in range(k)])[:, None], k, axis=1)
         square = np.repeat(np.diag(product)[:, None], k, axis=1)
     out: dict[tuple[str, str], float | None] = {}
+    unsettled: list[tuple[str, str]] = []
     for i, j in combinations(range(k), 2):
         n = count[i, j]
         if n < 2:
             out[(live[i], live[j])] = None
             continue
         vi, vj = square[i, j] - total[i, j] ** 2 / n, square[j, i] - total[j, i] ** 2 / n
-        # What is left of a constant side is rounding.
-        if vi <= ROUNDING * square[i, j] or vj <= ROUNDING * square[j, i]:
-            out[(live[i], live[j])] = None
+        if vi <= HARDLY * square[i, j] or vj <= HARDLY * square[j, i]:
+            unsettled.append((live[i], live[j]))
             continue
         r = (product[i, j] - total[i, j] * total[j, i] / n) / math.sqrt(vi) / math.sqrt(vj)
         out[(live[i], live[j])] = None if math.isnan(r) else max(-1.0, min(1.0, float(r)))
-    return out
+    return out, unsettled

@@ -17,10 +17,6 @@ from loomprep.operators.classify import infer_types
 from loomprep.operators.ordered import row_numbers
 
 SEED = 42
-# One output column per level: more levels than this is no table any more (the sparse vector form has no limit).
-WIDEST_ONE_HOT = 2_000
-# Class tables up to this size are broadcast; larger ones are joined by shuffle.
-BROADCAST_CLASSES = 10_000
 BOUNDARY_ROWS = 100_000
 
 FEATURES, LABEL = "features", "label"
@@ -36,9 +32,7 @@ def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> D
     """Replace each column by one 0/1 column per level, named ``column_level``; a missing value is all zeros."""
     out: list[Column] = [col(c) for c in df.columns if c not in columns]
     for c in columns:
-        found = sorted(r["level"] for r in levels(df, c).limit(WIDEST_ONE_HOT + 1).collect())
-        if len(found) > WIDEST_ONE_HOT:
-            raise ValueError(f"{c!r} has more than {WIDEST_ONE_HOT} levels: use prepare_features, which stays sparse")
+        found = sorted(r["level"] for r in levels(df, c).collect())  # the names of the new columns
         for level in found[1:] if drop_first else found:
             hit = F.coalesce(col(c).cast("string") == F.lit(level), F.lit(False))
             out.append(hit.cast("int").alias(f"{c}_{level}"))
@@ -179,18 +173,15 @@ def stratified_split(
 
     In each class the rows with the largest md5 of their key are the test rows; without a class column, or where a
     class is too small, in the whole table. No rows move: counts of hash prefixes give one boundary hash per class,
-    and the flag is a comparison with it. The key must be unique.
+    and the flag is a comparison with it. A missing class is a class of its own. The key must be unique. The driver holds
+    one row per class.
     """
-    group = col(label).cast("string") if label else F.lit("")
+    group = F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit("")) if label else F.lit("")
     base = df.select(group.alias("g"), F.md5(col(key).cast("string")).alias("h"))
     sizes = None
     if label:
-        per_class = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-        small = per_class.limit(BROADCAST_CLASSES + 1).collect()
-        if len(small) <= BROADCAST_CLASSES:
-            sizes = test_sizes({r["g"]: r["n"] for r in small}, test_size)
-        else:
-            raise ValueError(f"{label!r} has more than {BROADCAST_CLASSES} classes")
+        small = base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = test_sizes({r["g"]: r["n"] for r in small}, test_size)
     if sizes is None:
         group = F.lit("")
         base = base.withColumn("g", group)
@@ -206,20 +197,19 @@ def stratified_split(
     counted = base.groupBy("g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     from_top = Window.partitionBy("g").orderBy(F.col("p").desc())
     upto = F.sum("n").over(from_top.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # At most BROADCAST_CLASSES rows, checked above.
     edge = (
         counted.withColumn("upto", upto)
-        .join(F.broadcast(wanted), "g")
+        .join(wanted, "g")
         .where((F.col("upto") >= F.col("tests")) & (F.col("upto") - F.col("n") < F.col("tests")))
         .select("g", F.col("p").alias("edge"), (F.col("tests") - F.col("upto") + F.col("n")).alias("need"))
     )
-    near = base.join(F.broadcast(edge), "g").where(prefix == F.col("edge"))
+    near = base.join(edge, "g").where(prefix == F.col("edge"))
     hashes = near.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
     descending = Window.partitionBy("g").orderBy(F.col("h").desc())
     reached = F.sum("n").over(descending.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at_edge = (F.col("reached") >= F.col("need")) & (F.col("reached") - F.col("n") < F.col("need"))
     limits = hashes.withColumn("reached", reached).where(at_edge).select("g", "h").collect()
     limit_table = spark.createDataFrame([(r["g"], r["h"]) for r in limits], "__g string, __limit string")
-    marked = df.withColumn("__g", group).join(F.broadcast(limit_table), "__g", "left")
+    marked = df.withColumn("__g", group).join(limit_table, "__g", "left")
     test = F.coalesce(F.md5(col(key).cast("string")) >= F.col("__limit"), F.lit(False))
     return marked.select(*[col(c) for c in df.columns], test.alias(flag))

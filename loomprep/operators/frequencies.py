@@ -16,7 +16,7 @@ COLUMNS_PER_SCAN = 64
 
 
 def _family(data_type: T.DataType) -> str | None:
-    if is_nested(data_type) or isinstance(data_type, T.NullType):
+    if isinstance(data_type, T.NullType):
         return None
     if isinstance(data_type, (T.IntegralType, T.BooleanType)) or is_temporal(data_type):
         return "bigint"
@@ -31,6 +31,8 @@ def _key(df: DataFrame, name: str, family: str) -> Column:
         return F.unix_micros(value.cast("timestamp"))
     if isinstance(data_type, T.BooleanType):
         return value.cast("int").cast("bigint")
+    if is_nested(data_type):
+        return F.hex(value) if isinstance(data_type, T.BinaryType) else F.to_json(F.struct(value.alias("v")))
     return value.cast(family)
 
 
@@ -84,41 +86,29 @@ def approximate_distinct_counts(df: DataFrame, columns: Sequence[str] | None = N
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 10, long_texts: bool = True) -> DataFrame:
     """(name, rank, value, count): the ``k`` most frequent present values of each column as text.
 
-    Ties go to the smaller value; among texts over 64 characters to the smaller first 64 characters, then to the
-    smaller digest. Every task keeps its own best ``k`` per column before the final ranking.
+    Ties go to the smaller value. Texts over 64 characters are counted by their digest; only those that can be among
+    the first ``k`` by count and leading characters are read again, and the whole texts settle their ties. Every task
+    keeps its own best ``k`` per column before the final ranking.
     """
     as_text = df.select([col(c).cast("string").alias(c) for c in columns])
     counted = _counts(as_text, columns, "string", long_texts)
-    order = [F.col("count").desc(), F.col("value").asc()]
+    by_value = Window.partitionBy("name").orderBy(F.col("count").desc(), F.col("value").asc())
     if long_texts:
-        order.append(F.col("digest").asc_nulls_first())
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(*order)))
-    best = ranked.where(F.col("rank") <= k)
-    if not long_texts:
-        return best.select("name", "rank", "value", "count")
-    return _restore_texts(as_text, columns, best)
-
-
-def _restore_texts(as_text: DataFrame, columns: Sequence[str], best: DataFrame) -> DataFrame:
-    """Put the whole text back where a digest stood; at most ``k`` rows per column are held meanwhile."""
-    rows = best.select("name", "rank", "value", "digest", "count").collect()
-    spark = as_text.sparkSession
-    ranked = spark.createDataFrame(rows, "name string, rank int, value string, digest string, count bigint")
-    digests = [r["digest"] for r in rows if r["digest"]]
-    if not digests:
-        return ranked.select("name", "rank", "value", "count")
+        near = counted.withColumn("rank", F.rank().over(by_value)).where(F.col("rank") <= k).drop("rank")
+        counted = _restore_texts(as_text, columns, near)
+    ranked = counted.withColumn("rank", F.row_number().over(by_value))
+    return ranked.where(F.col("rank") <= k).select("name", "rank", "value", "count")
+
+
+def _restore_texts(as_text: DataFrame, columns: Sequence[str], near: DataFrame) -> DataFrame:
+    """(name, value, count) with the whole text where a digest stood."""
     entries = [F.struct(F.lit(c).alias("name"), col(c).alias("text")) for c in columns]
-    texts = (
-        as_text.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.*")
-        .where(F.length("text") > PLAIN_LENGTH)
-        .withColumn("digest", F.md5("text"))
-        .where(F.col("digest").isin(digests))
-    )
-    whole = texts.dropDuplicates(["name", "digest"])
-    return ranked.join(whole, ["name", "digest"], "left").select(
-        "name", "rank", F.coalesce("text", "value").alias("value"), "count"
-    )
+    long = as_text.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where(F.length("text") > PLAIN_LENGTH)
+    wanted = near.where(F.col("digest").isNotNull())
+    texts = long.withColumn("digest", F.md5("text")).join(wanted.select("name", "digest"), ["name", "digest"], "left_semi")
+    whole = texts.groupBy("name", "digest").agg(F.min("text").alias("value"))
+    restored = wanted.drop("value").join(whole, ["name", "digest"]).select("name", "value", "count")
+    return near.where(F.col("digest").isNull()).select("name", "value", "count").unionByName(restored)
 
 
 def value_frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -127,10 +117,11 @@ def value_frequencies(df: DataFrame, column: str) -> DataFrame:
 
 
 def mode_of(df: DataFrame, column: str):
-    """Most frequent present value, ties to the smallest; None when all are missing."""
+    """Most frequent present value, ties to the smallest; None when all are missing. Dates come as text."""
     counted = value_frequencies(df, column)
-    row = counted.agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode")).first()
-    return row["mode"]
+    best = F.min_by("value", F.struct(-F.col("count"), F.col("value")))
+    # A date goes through the driver as text: a Python datetime would depend on the driver's time zone.
+    return counted.agg((best.cast("string") if is_temporal(field(df, column).dataType) else best).alias("mode")).first()["mode"]
 
 
 def has_long_texts(max_lengths: Sequence[int | None]) -> bool:

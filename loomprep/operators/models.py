@@ -47,7 +47,7 @@ ROW = "__row"
 TRUE_PROBABILITY = "true_probability"
 
 # MLlib grows a tree level by level and keeps it on the driver; it allows 30 levels at most.
-TREE_DEPTH = 12
+TREE_DEPTH = 30
 FOURIER_FEATURES = 256
 
 

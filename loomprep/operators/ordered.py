@@ -34,6 +34,7 @@ class Ranges:
     order_by: tuple[str, ...]
     partition_by: tuple[str, ...]
     cuts: tuple[tuple, ...] = ()
+    types: tuple[T.DataType, ...] = ()
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -79,7 +80,7 @@ def plan_ranges(
             cut = picked[min(len(picked) - 1, i * len(picked) // wanted)]
             if not cuts or cut != cuts[-1]:
                 cuts.append(cut)
-    return Ranges(order, parts, tuple(cuts))
+    return Ranges(order, parts, tuple(cuts), tuple(field(df, k).dataType for k in parts + order))
 
 
 def _names(names: str | Sequence[str]) -> tuple[str, ...]:
@@ -88,7 +89,7 @@ def _names(names: str | Sequence[str]) -> tuple[str, ...]:
 
 def _cut_array(df: DataFrame, plan: Ranges) -> Column:
     """All cuts as one array value, evaluated once per query."""
-    key = T.StructType([T.StructField(f"k{i}", field(df, k).dataType) for i, k in enumerate(plan.keys)])
+    key = T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(plan.types)])
     schema = T.StructType([T.StructField("cuts", T.ArrayType(key))])
     return df.sparkSession.createDataFrame([(list(plan.cuts),)], schema).scalar()
 

@@ -19,7 +19,9 @@ def page_count(df: DataFrame, size: int = PAGE_SIZE) -> int:
     return max(1, (df.count() - 1) // size + 1)
 
 
-def page(df: DataFrame, number: int, order_by: str | Sequence[str], size: int = PAGE_SIZE) -> DataFrame:
+def page(
+    df: DataFrame, number: int, order_by: str | Sequence[str], size: int = PAGE_SIZE, shallow_rows: int = SHALLOW_ROWS
+) -> DataFrame:
     """Rows [number*size, (number+1)*size) in the order of ``order_by`` (unique), counting pages from 0.
 
     A deep page is found by counts per key range; only the ranges it lies in are sorted.
@@ -27,8 +29,8 @@ def page(df: DataFrame, number: int, order_by: str | Sequence[str], size: int =
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     start = number * size
     part = df
-    while start + size > SHALLOW_ROWS:
-        plan = plan_ranges(part, keys, rows_per_range=SHALLOW_ROWS // 4)
+    while start + size > shallow_rows:
+        plan = plan_ranges(part, keys, rows_per_range=max(1, shallow_rows // 4))
         if plan.count == 1:
             break
         counts = {r[BUCKET]: r["count"] for r in assign_ranges(part, plan).groupBy(BUCKET).count().collect()}

@@ -110,13 +110,19 @@ def numeric_stats(
     return out
 
 
+def _moment(value: Column) -> Column:
+    """Whole seconds, and the fraction where there is one."""
+    shown = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def datetime_stats(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, dict[str, Any]]:
     """Earliest and latest moment as text and the whole days between them."""
     exprs: dict[tuple[str, str], Column] = {}
     for n, t in columns.items():
         low, high = F.min(t), F.max(t)
-        exprs[(n, "min_date")] = F.date_format(low, "yyyy-MM-dd HH:mm:ss")
-        exprs[(n, "max_date")] = F.date_format(high, "yyyy-MM-dd HH:mm:ss")
+        exprs[(n, "min_date")] = _moment(low)
+        exprs[(n, "max_date")] = _moment(high)
         exprs[(n, "date_range_days")] = F.floor((F.unix_micros(high) - F.unix_micros(low)) / MICROS_PER_DAY)
     got = collect_aggregates(df, exprs) if exprs else {}
     return {n: {k: got[(n, k)] for k in ("min_date", "max_date", "date_range_days")} for n in columns}

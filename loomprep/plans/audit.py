@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loomprep.functions.columns import col, field, numeric_columns, run_jobs
@@ -115,7 +116,17 @@ class AuditLog:
 
     def __init__(self, spark: SparkSession, path: str, session: str) -> None:
         self.spark, self.path, self.session = spark, path, session
-        self._seq = 0
+        self._seq = self._next()
+
+    def _next(self) -> int:
+        """A session that is opened again goes on where it stopped."""
+        try:
+            last = self.events().where(F.col("session") == self.session).agg(F.max("seq")).first()[0]
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            last = None
+        return 0 if last is None else last + 1
 
     def record_load(self, df: DataFrame, source: Mapping[str, Any]) -> None:
         shape = self._shape(df)

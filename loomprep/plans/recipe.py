@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field as dc_field, replace
+from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomprep.functions.columns import col, collect_aggregates, field, is_numeric, is_string, run_jobs, with_column
 from loomprep.functions.convert import numeric_value
@@ -14,7 +15,7 @@ from loomprep.functions.nulls import drop_missing
 from loomprep.operators.classify import infer_types
 from loomprep.operators.frequencies import mode_of
 from loomprep.operators.missing import ORDERED, check_strategy
-from loomprep.operators.ordered import Ranges, fill_ordered, plan_ranges
+from loomprep.operators.ordered import ROWS_PER_RANGE, Ranges, fill_ordered, plan_ranges
 from loomprep.operators.outliers import Bounds, check_remedy, fit_bounds, log_value
 from loomprep.operators.quantiles import exact_quantiles
 
@@ -76,6 +77,8 @@ def _constant_fill(value: Column, data_type, constant: Any) -> Column:
     """Keep the column's type unless a number would lose its fraction."""
     if is_string(data_type):
         return F.coalesce(value, F.lit(str(constant)))
+    if isinstance(data_type, T.DecimalType) and isinstance(constant, Decimal):
+        return F.coalesce(value, F.lit(constant).cast(data_type))
     if is_numeric(data_type):
         number = float(constant)
         if number.is_integer() or data_type.simpleString() in ("double", "float"):
@@ -137,7 +140,11 @@ class Recipe:
     steps: Sequence[Step] = dc_field(default_factory=list)
 
     def fit(
-        self, df: DataFrame, order_by: str | Sequence[str] = (), partition_by: str | Sequence[str] = ()
+        self,
+        df: DataFrame,
+        order_by: str | Sequence[str] = (),
+        partition_by: str | Sequence[str] = (),
+        rows_per_range: int = ROWS_PER_RANGE,
     ) -> FittedRecipe:
         """Learn every mean, mode, bound and cut the steps need.
 
@@ -148,20 +155,24 @@ class Recipe:
         for s in steps:
             s.check()
             field(df, s.column)
+        keys = {n for names in (order_by, partition_by) for n in ((names,) if isinstance(names, str) else names or ())}
         ranges = None
-        if any(s.strategy in ORDERED for s in steps):
-            ranges = plan_ranges(df, order_by, partition_by)
         done: list[FittedStep] = []
         group: list[Step] = []
 
         def close() -> None:
+            nonlocal ranges
             if group:
                 current = FittedRecipe(tuple(done)).transform(df)
+                if ranges is None and any(s.strategy in ORDERED for s in group):
+                    ranges = plan_ranges(current, order_by, partition_by, rows_per_range)
                 done.extend(_fit_group(current, group, ranges))
+                if any(s.column in keys for s in group):
+                    ranges = None  # the cuts are made anew on the changed keys
                 group.clear()
 
         for s in steps:
-            if any(s.column == g.column for g in group):
+            if any(s.column == g.column or (g.column in keys and s.strategy in ORDERED) for g in group):
                 close()
             group.append(s)
             if s.strategy in DROPS_ROWS:
@@ -196,7 +207,6 @@ def _fit_group(df: DataFrame, group: Sequence[Step], ranges: Ranges | None) -> l
     def modes() -> dict[str, Any]:
         return {n: mode_of(df, n) for n in columns("fill_mode")}
 
-
     simple, middle, bounds, common = run_jobs([one_pass, medians, limits, modes])
     values = {**simple, **middle, **common}
     fitted = []

@@ -14,9 +14,6 @@ from loomprep.plans.recipe import MISSING, OUTLIER, FittedRecipe, Recipe, Step,
 from loomprep.sources.readers import read_table
 from loomprep.sources.writers import write_table
 
-# A recipe is configuration; a session with more events than this is not one.
-LONGEST_SESSION = 10_000
-
 
 def resolve_undo(
     events: DataFrame,
@@ -98,11 +95,10 @@ def recipe_of(events: DataFrame, session: str | None = None) -> Recipe:
 
 
 def _session_rows(events: DataFrame, session: str | None) -> list:
+    """What one session's recipe and files are read from; the driver holds a session's steps, which are configuration."""
     chosen = events if session is None else events.where(F.col("session") == session)
-    rows = resolve_undo(chosen).orderBy("seq").limit(LONGEST_SESSION + 1).collect()
-    if len(rows) > LONGEST_SESSION:
-        raise ValueError(f"more than {LONGEST_SESSION} events: choose one session")
-    return rows
+    wanted = [c for c in ("session", "seq", "event", "operation", "details", "source", "destination", "format") if c in events.columns]
+    return resolve_undo(chosen.select(wanted)).orderBy("seq").collect()
 
 
 def replay(
@@ -114,16 +110,20 @@ def replay(
     order_by: str | Sequence[str] = (),
     partition_by: str | Sequence[str] = (),
 ) -> tuple[DataFrame, FittedRecipe]:
-    """Load, clean and export again as logged, on the logged input or another; same operators, same numbers."""
+    """Load, clean and export again as logged, on the logged input or another; same operators, same numbers.
+
+    The input is read in the logged encoding. A destination that holds the input's files is refused.
+    """
     rows = _session_rows(events, session)
     load = next((r for r in rows if r["event"] == "load"), None)
     export = next((r for r in reversed(rows) if r["event"] == "export"), None)
+    logged = dict(load["source"] or {}) if load else {}
     if source is None:
-        logged = dict(load["source"] or {}) if load else {}
         if "path" not in logged:
             raise ValueError("the log names no input file: pass source")
         source = logged["path"]
-    df = read_table(spark, source) if isinstance(source, str) else source
+    encoding = logged.get("encoding")
+    df = read_table(spark, source, encoding=encoding if encoding not in (None, "", "None") else "UTF-8") if isinstance(source, str) else source
     fitted = recipe_of(events, session).fit(df, order_by, partition_by)
     cleaned = fitted.transform(df)
     target = output or (export["destination"] if export else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,8 +35,11 @@ def build_session(app: str = "loomprep", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, label: str) -> str:
     """New path for a written intermediate, under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local temporary folder is used.
+    Where that setting is absent a session that runs in one process uses a local temporary folder. Executors of a cluster
+    would each write to a disk of their own, and what is read back would be incomplete, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="loomprep-")
     return f"{root}/{label}-{uuid.uuid4().hex}"

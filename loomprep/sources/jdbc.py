@@ -40,8 +40,9 @@ def read_table(
 
 
 def _bounds(spark: SparkSession, url: str, table: str, column: str, options: Mapping[str, str]) -> tuple[object, object]:
-    whole = spark.read.jdbc(url, table, properties=dict(options))
-    row = whole.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    # The database answers with one row; an aggregate over the table would fetch the whole column first.
+    asked = f"(SELECT min({column}) AS low, max({column}) AS high FROM {table}) bounds"
+    row = spark.read.jdbc(url, asked, properties=dict(options)).first()
     return row["low"], row["high"]
 
 

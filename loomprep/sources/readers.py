@@ -28,13 +28,10 @@ MISSING_WORDS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 BOOLEAN_WORDS = {"True": True, "TRUE": True, "true": True, "False": False, "FALSE": False, "false": False}
-INTEGER = r"^[+-]?[0-9]{1,18}$"
+INTEGER = r"^[+-]?[0-9]+$"
+WIDE_INTEGER = T.DecimalType(38, 0)
 INFINITY = r"^[+-]?(?i)(inf|infinity)$"
 
-# The size that counts as large and what is then kept.
-LARGE_ROWS = 1_000_000
-KEPT_ROWS = 500_000
-
 
 def file_type(path: str) -> str:
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
@@ -119,12 +116,18 @@ def _read_as(value, data_type: T.DataType):
 
 
 def _typed(words: DataFrame) -> DataFrame:
-    """BIGINT, DOUBLE or BOOLEAN where every present value reads so; text otherwise."""
+    """BIGINT, DOUBLE or BOOLEAN where every present value reads so; text otherwise.
+
+    Whole numbers that a BIGINT cannot hold become DECIMAL(38, 0), and text where that cannot hold them either: as a DOUBLE
+    different ones would read as one.
+    """
     exprs = {}
     for c in words.columns:
         text = F.trim(col(c))
         exprs[(c, "present")] = F.count(col(c))
         exprs[(c, "whole")] = F.count_if(text.rlike(INTEGER))
+        exprs[(c, "long")] = F.count_if(text.rlike(INTEGER) & text.try_cast("bigint").isNotNull())
+        exprs[(c, "wide")] = F.count_if(text.rlike(INTEGER) & text.try_cast(WIDE_INTEGER).isNotNull())
         exprs[(c, "number")] = F.count_if(text.rlike(NUMBER) | text.rlike(INFINITY))
         exprs[(c, "flag")] = F.count_if(col(c).isin(*BOOLEAN_WORDS))
     seen = collect_aggregates(words, exprs)
@@ -132,7 +135,8 @@ def _typed(words: DataFrame) -> DataFrame:
     for c in words.columns:
         present = seen[(c, "present")]
         if present and seen[(c, "whole")] == present:
-            target: T.DataType = T.LongType()
+            fits = seen[(c, "long")] == present
+            target: T.DataType = T.LongType() if fits else WIDE_INTEGER if seen[(c, "wide")] == present else T.StringType()
         elif present and seen[(c, "number")] == present:
             target = T.DoubleType()
         elif present and seen[(c, "flag")] == present:
@@ -150,17 +154,28 @@ def read_json(
     multi_line: bool | None = None,
     flatten: bool = False,
 ) -> DataFrame:
-    """Records from JSON Lines or from one array per file (told apart by the first character)."""
+    """Records from JSON Lines, one array per file or one object over several lines; each file is told by its first line.
+
+    The driver holds the names of the files that are not in lines, or of those that are, when a folder has both.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
     if multi_line is None:
         first = (
             spark.read.text(path)
             .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-            .select(F.ltrim("value").startswith("[").alias("array"))
-            .head(1)
+            .select(F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("line"), F.monotonically_increasing_id().alias("place"))
+            .groupBy("file")
+            .agg(F.min_by("line", "place").alias("line"))
         )
-        multi_line = bool(first and first[0]["array"])
-    reader = spark.read.option("multiLine", multi_line)
-    df = (reader.schema(schema) if schema else reader).json(path)
+        in_lines = first.select("file", (~F.col("line").startswith("[") & F.get_json_object("line", "$").isNotNull()).alias("lines"))
+        kinds = {r["lines"] for r in in_lines.select("lines").distinct().collect()}
+        if len(kinds) > 1:
+            files = {k: [r["file"] for r in in_lines.where(F.col("lines") == k).collect()] for k in (True, False)}
+            parts = [reader.option("multiLine", not k).json(files[k]) for k in (True, False)]
+            df = parts[0].unionByName(parts[1], allowMissingColumns=True)
+            return flatten_structs(df) if flatten else df
+        multi_line = kinds == {False}
+    df = reader.option("multiLine", multi_line).json(path)
     return flatten_structs(df) if flatten else df
 
 
@@ -183,9 +198,9 @@ def first_rows(df: DataFrame, n: int, order_by: str | Sequence[str] = ()) -> Dat
 
 
 def cap_rows(
-    df: DataFrame, order_by: str | Sequence[str] = (), threshold: int = LARGE_ROWS, keep: int = KEPT_ROWS
+    df: DataFrame, order_by: str | Sequence[str], threshold: int, keep: int
 ) -> tuple[DataFrame, dict[str, int | bool]]:
-    """Keep the first rows of a table over the threshold and say so. Nothing in this package calls it unasked."""
+    """Keep the asked number of rows of a table over the asked threshold, and say so. Neither has a default."""
     rows = df.count()
     if rows <= threshold:
         return df, {"limited": False, "original_total_rows": rows}

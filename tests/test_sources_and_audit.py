@@ -64,7 +64,7 @@ def test_json_arrays_lines_and_nesting(spark, tmp_path):
 def test_row_cap_is_flagged(small):
     kept, info = cap_rows(small, "a", threshold=2, keep=1)
     assert kept.collect()[0]["a"] == 1 and info == {"limited": True, "original_total_rows": 3}
-    assert cap_rows(small, "a")[1]["limited"] is False
+    assert cap_rows(small, "a", threshold=10, keep=1)[1]["limited"] is False
 
 
 def test_database_write_mode_is_checked(small):
