@@ -117,12 +117,15 @@ def inferred_long_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixed_json(spark: SparkSession, d: str) -> DataFrame:
-    """A folder with JSON lines beside files that are one array each."""
+    """A folder with JSON lines, lines that are arrays, and an array over several lines."""
     nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     folder = scratch_path(spark, "mixed") + ".json"
     nations.where("n_nationkey % 2 = 0").write.json(folder)
-    whole = nations.where("n_nationkey % 2 = 1").groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))).alias("value"))
-    whole.select("value").write.mode("append").text(folder)
+    odd = nations.where("n_nationkey % 2 = 1")
+    row = F.struct("n_nationkey", "n_name", "n_regionkey")
+    odd.where("n_regionkey < 3").groupBy("n_regionkey").agg(F.to_json(F.collect_list(row)).alias("value")).select("value").write.mode("append").text(folder)
+    spread = odd.where("n_regionkey >= 3").agg(F.to_json(F.collect_list(row), {"pretty": "true"}).alias("value"))
+    spread.write.mode("append").text(folder)
     return read_table(spark, folder).select("n_nationkey", "n_name", "n_regionkey")
 
 

@@ -154,7 +154,7 @@ def read_json(
     multi_line: bool | None = None,
     flatten: bool = False,
 ) -> DataFrame:
-    """Records from JSON Lines, one array per file or one object over several lines; each file is told by its first line.
+    """Records from JSON Lines, or from an array or object that goes over several lines; a file is told by its first line.
 
     The driver holds the names of the files that are not in lines, or of those that are, when a folder has both.
     """
@@ -167,7 +167,7 @@ def read_json(
             .groupBy("file")
             .agg(F.min_by("line", "place").alias("line"))
         )
-        in_lines = first.select("file", (~F.col("line").startswith("[") & F.get_json_object("line", "$").isNotNull()).alias("lines"))
+        in_lines = first.select("file", F.get_json_object("line", "$").isNotNull().alias("lines"))
         kinds = {r["lines"] for r in in_lines.select("lines").distinct().collect()}
         if len(kinds) > 1:
             files = {k: [r["file"] for r in in_lines.where(F.col("lines") == k).collect()] for k in (True, False)}
