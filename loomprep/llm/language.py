@@ -208,7 +208,7 @@ class Scorer:
         names, scores = [], []
         for part in portions(texts):
             counters = [Counter(t.split()) if t and LETTER.search(t) else None for t in part]
-            new = list({w for c in counters if c for w in c if w not in self.known})
+            new = list({w for c in counters if c for w in c if w not in self.known}) if self.model.languages else []
             place = {w: len(self.rows) + i for i, w in enumerate(new)}
             made = [self.model.logs(new[i : i + 4096]) for i in range(0, len(new), 4096)]
             rows = np.concatenate([self.rows, *made])

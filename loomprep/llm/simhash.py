@@ -69,6 +69,11 @@ def segments(distance: int, parts: int) -> list[tuple[int, int, int]]:
     return [(sum(widths[:i]), w, x) for i, (w, x) in enumerate(zip(widths, radii, strict=True))]
 
 
+def signed(bits: int) -> int:
+    """64 bits as Spark's long."""
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def near_pairs(distinct: DataFrame, distance: int = 4, parts: int = 3) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct longs ``fp`` that differ in 1 to ``distance`` bits."""
 
@@ -76,12 +81,12 @@ def near_pairs(distinct: DataFrame, distance: int = 4, parts: int = 3) -> DataFr
         return F.struct(F.lit(number).alias("seg"), key.alias("key"))
 
     def ball(number: int, part: Column, width: int, radius: int) -> Column:
-        flips = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+        flips = [signed(sum(1 << b for b in bits)) for n in range(radius + 1) for bits in combinations(range(width), n)]
         return F.transform(F.lit(flips).cast("array<bigint>"), lambda flip: slot(number, part.bitwiseXOR(flip)))
 
     entries, probes = [], []
     for number, (shift, width, radius) in enumerate(segments(distance, parts)):
-        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(signed((1 << width) - 1)).cast("bigint"))
         entries.append(slot(number, part))
         probes.append(ball(number, part, width, radius))
     index = distinct.select(F.explode(F.array(*entries)).alias("e"), F.col("fp").alias("b")).select("e.*", "b")

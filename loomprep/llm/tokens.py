@@ -100,13 +100,13 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", entries
     if not rows:
         return {}
     share = min(1.0, sampled / rows)
-    part = docs.where(F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    part = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                found.update(p for p in PRE_TOKENS.findall(text.as_py()[:COUNTED_AT_ONCE]) if len(p) <= LONGEST_KEPT)
+                found.update(p for p in pieces_of(text.as_py()) if len(p) <= LONGEST_KEPT)
         top = found.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
