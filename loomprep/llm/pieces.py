@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -31,6 +31,7 @@ from loomprep.llm.common import written
 from loomprep.session import scratch_path
 
 FREQUENT = 1 << 20  # words of the table that every worker holds
+WIDE = 20  # bits of a piece number or rank
 LONGEST = 60  # characters of a word in the lattice, whose boundaries are the bits of a long
 CHARS_AT_ONCE = 1 << 21
 TALLIED = 1 << 20  # distinct words after which a task hands on its counts
@@ -65,6 +66,8 @@ def pieces_of(path: str, unigram: bool = False) -> Pieces:
         raise ValueError(f"{path}: a piece reaches over the end of a word")
     if model.encode("  a  b ") != model.encode(model.decode(model.encode("  a  b "))) or model.decode(model.encode("  a  b ")) != "  a  b ":
         raise ValueError(f"{path}: texts are normalised before encoding")
+    if model.vocab_size() >= (1 << WIDE) - 1:
+        raise ValueError(f"{path}: more pieces than an edge has bits for")
     if octets and octets != list(range(octets[0], octets[0] + 256)):
         raise ValueError(f"{path}: byte pieces are not in order")
     return Pieces(own, octets[0] if octets else -1, model.unk_id(), unigram, max(len(p) for p, _, _ in own))
@@ -72,13 +75,15 @@ def pieces_of(path: str, unigram: bool = False) -> Pieces:
 
 def piece_table(spark: SparkSession, table: Pieces) -> DataFrame:
     """(piece, id, rank, early) per text piece: rank 0 is the best score; ``early`` says that some piece of better rank
-    starts or ends with this one, so that making this one can make that one possible."""
+    has this one as a half, so that making this one can make that one possible."""
     ordered = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
     rank = {p: r for r, (p, _, _) in enumerate(ordered)}
     early = set()
     for p, r in rank.items():
         for cut in range(1, len(p)):
-            early.update(part for part in (p[:cut], p[cut:]) if rank.get(part, -1) > r and len(part) > 1)
+            halves = (p[:cut], p[cut:])
+            if all(len(half) == 1 or half in rank for half in halves):
+                early.update(half for half in halves if len(half) > 1 and rank[half] > r)
     rows = [(p, i, rank[p], p in early, s) for p, i, s in table.pieces]
     return spark.createDataFrame(rows, "piece string, id int, rank int, early boolean, score double")
 
@@ -108,6 +113,11 @@ def tallied(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named in it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def interior(start: Column, end: Column) -> Column:
     """Bits of the places strictly between two places of a word."""
     one = F.lit(1).cast("bigint")
@@ -117,18 +127,19 @@ def interior(start: Column, end: Column) -> Column:
 def merged(edges: Column, n: Column) -> Column:
     """Places that are still boundaries, as bits, after all merges in order of rank, leftmost first.
 
-    One pass over the edges makes each merge that is possible at its turn. A merge that can make a better one possible ends
+    One pass over the edges makes each merge that is possible at its turn. A merge that makes a better one possible ends
     the pass, and the next pass starts again from the best edge, so the order is that of the library's queue.
     """
     all_places = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
 
+    def possible(mask: Column, e: Column) -> Column:
+        return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
+
     def step(state: Column, e: Column) -> Column:
-        ends = F.bit_count(state["mask"].bitwiseAND(e["ends"])) == 2
-        possible = ~state["stop"] & ends & (F.bit_count(state["mask"].bitwiseAND(e["inner"])) == 1)
-        return F.struct(
-            F.when(possible, state["mask"].bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(state["mask"]).alias("mask"),
-            (state["stop"] | (possible & e["early"])).alias("stop"),
-        )
+        after = state["mask"].bitwiseAND(F.bitwise_not(e["inner"]))
+        better = lambda f: (f["rank"] < e["rank"]) & possible(after, f)
+        made = F.struct(after.alias("mask"), (e["early"] & F.exists(edges, better)).alias("stop"))
+        return F.when(~state["stop"] & possible(state["mask"], e), made).otherwise(state)
 
     def one_pass(state: Column, _: Column) -> Column:
         start = F.struct(state["mask"].alias("mask"), F.lit(False).alias("stop"))
@@ -160,6 +171,28 @@ def best_path(edges: Column, n: Column, unknown: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["mask"])
 
 
+def packed_edge(rank: Column, start: Column, end: Column, early: Column, piece: Column) -> Column:
+    """An edge in one long, in order of rank and start; piece -1 stands for a character without a piece."""
+    fields = ((rank, WIDE), (start, 6), (end, 6), (early.cast("int"), 1), (piece + 1, WIDE))
+    code = F.lit(0).cast("bigint")
+    for value, width in fields:
+        code = F.shiftleft(code, width).bitwiseOR(value.cast("bigint"))
+    return code
+
+
+def unpacked_edge(code: Column, score: Column | None = None) -> Column:
+    """What the folds need: rank, start, end, id (null without a piece), early, the bits of its ends and of the places inside."""
+
+    def part(shift: int, width: int) -> Column:
+        return F.shiftright(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
+
+    rank, start, end, piece = part(33, WIDE), part(27, 6), part(21, 6), part(0, WIDE)
+    one = F.lit(1).cast("bigint")
+    ends = F.call_function("shiftleft", one, start).bitwiseOR(F.call_function("shiftleft", one, end))
+    names = (rank.alias("rank"), start.alias("start"), end.alias("end"), F.when(piece > 0, piece - 1).alias("id"), (part(20, 1) == 1).alias("early"))
+    return F.struct(*names, ends.alias("ends"), interior(start, end).alias("inner"), *([score.alias("score")] if score is not None else []))
+
+
 def octets(text: Column, first_byte: int, unknown: int) -> Column:
     """Byte pieces of a character that has no piece, or the unknown piece where the file has none."""
     if first_byte < 0:
@@ -176,30 +209,33 @@ def dictionary(counts: DataFrame, path: str, table: Pieces) -> DataFrame:
     known = piece_table(spark, table)
     marked = counts.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(SPACE))).withColumn("length", F.char_length("unit"))
     short = marked.where(F.col("length") <= LONGEST)
-    starts = short.select("unit", "marked", "n", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("start"))
+    starts = short.select("unit", "n", "marked", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("start"))
     ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, F.col("length")))
     parts = starts.select("unit", "marked", "n", "length", "start", F.explode(ends).alias("end"))
     parts = parts.withColumn("piece", F.substr("marked", F.col("start") + 1, F.col("end") - F.col("start")))
     # The piece table has the size of a vocabulary, whatever the corpus.
     matched = parts.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    one = F.lit(1).cast("bigint")
-    both = F.call_function("shiftleft", one, F.col("start")).bitwiseOR(F.call_function("shiftleft", one, F.col("end")))
-    edge = F.struct("rank", "start", "end", "id", "early", "score", both.alias("ends"), interior(F.col("start"), F.col("end")).alias("inner"))
-    lattice = matched.groupBy("unit", "marked", "n", "length").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    lattice = lattice.withColumn("found", F.filter("edges", lambda e: e["id"].isNotNull()))
-    if table.unigram:
-        mask = best_path(F.col("found"), F.col("length"), min(s for _, _, s in table.pieces) - 10.0)
-    else:
-        mask = merged(F.filter("found", lambda e: e["end"] - e["start"] > 1), F.col("length"))
-    cut = lattice.withColumn("mask", mask).withColumn("places", F.filter(F.sequence(F.lit(0), F.col("length")), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1))
-
-    def ids_of(start: Column, i: Column) -> Column:
-        end = F.get("places", i + 1)
-        own = F.filter("found", lambda e: (e["start"] == start) & (e["end"] == end))
-        lone = octets(F.substr("marked", start + 1, end - start), table.first_byte, table.unknown)
-        return F.when(end.isNull(), F.array().cast("array<int>")).when(F.size(own) > 0, F.transform(own, lambda e: e["id"])).otherwise(lone)
-
-    encoded = cut.select("unit", "n", F.flatten(F.transform("places", ids_of)).alias("ids"))
+    code = packed_edge(F.coalesce("rank", F.lit((1 << WIDE) - 1)), F.col("start"), F.col("end"), F.coalesce("early", F.lit(False)), F.coalesce("id", F.lit(-1)))
+    edge = F.struct(code.alias("code"), F.col("score").alias("score")) if table.unigram else code
+    lattice = matched.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("codes"))
+    edges = F.transform("codes", lambda e: unpacked_edge(e["code"], e["score"]) if table.unigram else unpacked_edge(e))
+    marks = F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("marked"), F.char_length("unit").alias("length")
+    lattice = lattice.select("unit", "n", *marks, edges.alias("edges"))
+
+    def boundaries(edges: Column) -> Column:
+        if table.unigram:
+            return best_path(edges, F.col("length"), min(s for _, _, s in table.pieces) - 10.0)
+        return merged(edges, F.col("length"))
+
+    def ids_of(mask: Column) -> Column:
+        """The edges that the boundaries leave, in order of place."""
+        left = F.filter("edges", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
+        ordered = F.sort_array(F.transform(left, lambda e: F.struct(e["start"], e["id"])))
+        lone = lambda e: octets(F.substr("marked", e["start"] + 1, F.lit(1)), table.first_byte, table.unknown)
+        return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNull(), lone(e)).otherwise(F.array(e["id"]))))
+
+    known_edges = F.filter("edges", lambda e: e["id"].isNotNull() & (F.lit(table.unigram) | (e["end"] - e["start"] > 1)))
+    encoded = lattice.select("unit", "n", bound(known_edges, lambda e: bound(boundaries(e), ids_of)).alias("ids"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
