@@ -3,7 +3,7 @@
 A random sample proposes cut values around each wanted rank, an exact count tells which gap between cuts
 holds the rank, and only that gap is looked at again. When a gap holds few rows they are sorted in one
 aggregate. The sample only steers; the answer is exact whatever it proposes, and equal values (however many)
-are settled by the count alone.
+are settled by the count alone. All columns go through a round together: one job samples, one counts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomprep.functions.columns import collect_aggregates, run_jobs
+from loomprep.functions.columns import chunked, collect_aggregates, run_jobs
 
 # A gap of at most this many rows is sorted inside one aggregate buffer.
 SORTED_ROWS = 100_000
@@ -22,24 +22,23 @@ SAMPLE_ROWS = 100_000
 LARGEST_SAMPLE = 5_000_000
 
 
+# Quantiles of the sample that cuts are chosen from.
+GRID = 1_000
+# One generated row per column and input row: wider tables take several scans of few columns each.
+COLUMNS_PER_SCAN = 64
+
+
 @dataclass(frozen=True)
 class Gap:
-    """Open interval of values holding ``size`` rows, with ``below`` rows at or under its lower end."""
+    """Open interval of a column's values holding ``size`` rows, with ``below`` rows at or under its lower end."""
 
+    column: int
     low: float | None
     high: float | None
     below: int
     size: int
     ranks: tuple[int, ...]
 
-    def holds(self, value: Column) -> Column:
-        inside = value.isNotNull()
-        if self.low is not None:
-            inside = inside & (value > F.lit(self.low))
-        if self.high is not None:
-            inside = inside & (value < F.lit(self.high))
-        return inside
-
 
 def exact_quantiles(
     df: DataFrame,
@@ -52,13 +51,14 @@ def exact_quantiles(
     names = list(columns)
     if counts is None:
         counts = collect_aggregates(df, {n: F.count(columns[n]) for n in names})
+    out: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in names}
 
-    def job(name: str):
-        return lambda: _quantiles(
-            df.select(columns[name].alias("v")), int(counts[name]), probabilities, sorted_rows
-        )
+    def job(part: Sequence[str]):
+        return lambda: _quantiles(df, {n: columns[n] for n in part}, [int(counts[n]) for n in part], probabilities, sorted_rows)
 
-    return dict(zip(names, run_jobs([job(n) for n in names])))
+    for part in run_jobs([job(part) for part in chunked([n for n in names if counts[n]], COLUMNS_PER_SCAN)]):
+        out.update(part)
+    return out
 
 
 def approximate_quantiles(
@@ -71,95 +71,112 @@ def approximate_quantiles(
 
 
 def _quantiles(
-    values: DataFrame, n: int, probabilities: Sequence[float], sorted_rows: int
-) -> list[float | None]:
-    if n == 0:
-        return [None] * len(probabilities)
-    positions = [p * (n - 1) for p in probabilities]
-    ranks = sorted({r for x in positions for r in (math.floor(x), min(math.ceil(x), n - 1))})
-    found = _order_statistics(values, n, ranks, sorted_rows)
-    out: list[float | None] = []
-    for x in positions:
-        low = found[math.floor(x)]
-        high = found[min(math.ceil(x), n - 1)]
-        share = x - math.floor(x)
-        out.append(low if low == high or share == 0 else low + (high - low) * share)
+    df: DataFrame, columns: Mapping[str, Column], sizes: Sequence[int], probabilities: Sequence[float], sorted_rows: int
+) -> dict[str, list[float | None]]:
+    entries = [F.struct(F.lit(i).alias("c"), e.alias("v")) for i, e in enumerate(columns.values())]
+    values = df.select(F.explode(F.array(*entries)).alias("e")).select("e.c", "e.v").where(F.col("v").isNotNull())
+    positions = [[p * (n - 1) for p in probabilities] for n in sizes]
+    wanted = [sorted({r for x in xs for r in (math.floor(x), min(math.ceil(x), n - 1))}) for xs, n in zip(positions, sizes)]
+    found = _order_statistics(values, [Gap(c, None, None, 0, n, tuple(r)) for c, (n, r) in enumerate(zip(sizes, wanted))], sorted_rows)
+    out = {}
+    for c, name in enumerate(columns):
+        line: list[float | None] = []
+        for x in positions[c]:
+            low, high = found[(c, math.floor(x))], found[(c, min(math.ceil(x), sizes[c] - 1))]
+            share = x - math.floor(x)
+            line.append(low if low == high or share == 0 else low + (high - low) * share)
+        out[name] = line
     return out
 
 
-def _order_statistics(values: DataFrame, n: int, ranks: Sequence[int], sorted_rows: int) -> dict[int, float]:
-    """Value at each 0-based rank among the non-null values."""
-    v = F.col("v")
-    found: dict[int, float] = {}
-    gaps = [Gap(None, None, 0, n, tuple(ranks))]
-    whole = False
-    while any(g.size > sorted_rows for g in gaps):
-        largest = max(g.size for g in gaps)
-        sample = min(max(SAMPLE_ROWS, largest // 1000), LARGEST_SAMPLE)
-        fraction = 1.0 if whole else min(1.0, sample / largest)
-        source = values if fraction == 1.0 else values.sample(fraction, seed=len(found) + len(gaps))
-        wide = [g for g in gaps if g.size > sorted_rows]
-        cuts = collect_aggregates(source, {g: _proposed_cuts(g, v, fraction) for g in wide})
-        if not any(cuts.values()):
-            whole = True
-            continue
-        ordered = {g: sorted(set(cuts[g] or [])) for g in wide}
-        counts = collect_aggregates(
-            values,
-            {
-                (g, x, side): F.count_if(g.holds(v) & ((v < F.lit(x)) if side == "lt" else (v <= F.lit(x))))
-                for g in wide
-                for x in ordered[g]
-                for side in ("lt", "le")
-            },
-        )
+def _order_statistics(values: DataFrame, gaps: Sequence[Gap], sorted_rows: int) -> dict[tuple[int, int], float]:
+    """Value at each (column, 0-based rank) among the present values."""
+    found: dict[tuple[int, int], float] = {}
+    unlucky: set[Gap] = set()  # gaps of which the sample had no row
+    round_number = 0
+    while wide := [g for g in gaps if g.size > sorted_rows]:
+        round_number += 1
+        shares = [1.0 if g in unlucky else min(1.0, min(max(SAMPLE_ROWS, g.size // 1000), LARGEST_SAMPLE) / g.size) for g in wide]
+        proposed = _sampled_grid(values, wide, shares, round_number)
         narrowed = [g for g in gaps if g.size <= sorted_rows]
-        for g in wide:
-            steps = [(x, counts[(g, x, "lt")], counts[(g, x, "le")]) for x in ordered[g]]
-            narrowed += _narrow(g, steps, found)
-        whole = not any(ordered.values())
+        cells: list[tuple[int, float | None, float | None, bool]] = []
+        for i, g in enumerate(wide):
+            cuts = _cuts(g, proposed.get(i), shares[i])
+            ends = [g.low, *cuts, g.high]
+            cells += [(i, low, high, False) for low, high in zip(ends, ends[1:])] + [(i, x, x, True) for x in cuts]
+        counted = _counted(values, [(wide[i].column, low, high, point) for i, low, high, point in cells])
+        for i, g in enumerate(wide):
+            own = {(low, high, point): n for (j, low, high, point), n in zip(cells, counted) if j == i}
+            parts = _narrow(g, own, found)
+            narrowed += parts
+            unlucky |= {p for p in parts if p == g}
         gaps = narrowed
     if gaps:
-        near = F.lit(False)
-        for g in gaps:
-            near = near | g.holds(v)
-        last = values.where(near)
-        picked = collect_aggregates(last, {g: _values_at(g, v) for g in gaps})
-        for g in gaps:
-            found.update(zip(g.ranks, picked[g]))
+        found.update(_sorted_values(values, gaps))
     return found
 
 
-def _values_at(gap: Gap, v: Column) -> Column:
-    inside = F.sort_array(F.collect_list(F.when(gap.holds(v), v)))
-    return F.array(*[F.get(inside, F.lit(r - gap.below)) for r in gap.ranks])
+def _placed(values: DataFrame, rows: Sequence[tuple], extra: str = "") -> DataFrame:
+    """Values beside the interval they lie in: (number, column, low, high, point, ...), no two of them overlapping.
+
+    The table of intervals is broadcast; it has a few rows per column and wanted rank.
+    """
+    schema = f"number int, gc int, low double, high double, point boolean{extra}"
+    table = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    between = (low.isNull() | (v > low)) & (high.isNull() | (v < high))
+    return values.join(table, (F.col("c") == F.col("gc")) & F.when(F.col("point"), v == low).otherwise(between))
+
 
+def _sampled_grid(values: DataFrame, gaps: Sequence[Gap], shares: Sequence[float], seed: int) -> dict[int, list[float]]:
+    """Evenly spaced quantiles of a sample of every gap that the sample has rows of."""
+    rows = [(i, g.column, g.low, g.high, False, s) for i, (g, s) in enumerate(zip(gaps, shares))]
+    drawn = _placed(values, rows, ", share double").where((F.col("share") >= 1) | (F.rand(seed) < F.col("share")))
+    grid = F.percentile_approx("v", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), 10 * GRID)
+    return {r["number"]: r["grid"] for r in drawn.groupBy("number").agg(grid.alias("grid")).collect()}
 
-def _proposed_cuts(gap: Gap, v: Column, fraction: float) -> Column:
-    """Two sampled values around each run of neighbouring ranks, four deviations of the sampling error apart."""
-    error = max(2.0 / math.sqrt(max(1.0, fraction * gap.size)), 1e-6)
-    shares: list[float] = []
+
+def _cuts(gap: Gap, grid: Sequence[float] | None, share: float) -> list[float]:
+    """Two sampled values around each wanted rank, two deviations of the sampling error apart from it."""
+    if not grid:
+        return []
+    error = max(2.0 / math.sqrt(max(1.0, share * gap.size)), 1e-6)
+    picked = set()
     for r in gap.ranks:
         position = (r - gap.below) / gap.size
-        shares += [max(0.0, position - error), min(1.0, position + error)]
-    accuracy = min(100_000, max(1_000, math.ceil(4.0 / error)))
-    return F.percentile_approx(F.when(gap.holds(v), v), F.array(*[F.lit(s) for s in shares]), accuracy)
+        picked |= {grid[max(0, math.floor((position - error) * GRID))], grid[min(GRID, math.ceil((position + error) * GRID))]}
+    return sorted(picked)
+
+
+def _counted(values: DataFrame, cells: Sequence[tuple[int, float | None, float | None, bool]]) -> list[int]:
+    rows = [(i, *cell) for i, cell in enumerate(cells)]
+    got = {r["number"]: r["n"] for r in _placed(values, rows).groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [got.get(i, 0) for i in range(len(cells))]
 
 
-def _narrow(gap: Gap, steps: Sequence[tuple[float, int, int]], found: dict[int, float]) -> list[Gap]:
+def _sorted_values(values: DataFrame, gaps: Sequence[Gap]) -> dict[tuple[int, int], float]:
+    rows = [(i, g.column, g.low, g.high, False, [r - g.below for r in g.ranks]) for i, g in enumerate(gaps)]
+    inside = F.sort_array(F.collect_list("v"))
+    listed = _placed(values, rows, ", places array<int>").groupBy("number").agg(inside.alias("inside"), F.first("places").alias("places"))
+    picked = listed.select("number", F.transform("places", lambda i: F.get("inside", i)).alias("picked")).collect()
+    return {(gaps[r["number"]].column, rank): x for r in picked for rank, x in zip(gaps[r["number"]].ranks, r["picked"])}
+
+
+def _narrow(gap: Gap, counts: Mapping[tuple[float | None, float | None, bool], int], found: dict[tuple[int, int], float]) -> list[Gap]:
     """Settle the ranks that fall on a cut; give the others the gap between cuts they fall in."""
+    cuts = sorted(low for low, _, point in counts if point)
+    ends = [gap.low, *cuts, gap.high]
     inner: dict[tuple[float | None, float | None, int, int], list[int]] = {}
-    for r in gap.ranks:
-        q = r - gap.below
-        low, passed = gap.low, 0
-        for value, less, at_most in steps:
-            if q < less:
-                inner.setdefault((low, value, gap.below + passed, less - passed), []).append(r)
-                break
-            if q < at_most:
-                found[r] = value
-                break
-            low, passed = value, at_most
-        else:
-            inner.setdefault((low, gap.high, gap.below + passed, gap.size - passed), []).append(r)
-    return [Gap(low, high, below, size, tuple(rs)) for (low, high, below, size), rs in inner.items()]
+    below, waiting = gap.below, list(gap.ranks)
+    for low, high in zip(ends, ends[1:]):
+        size = counts[(low, high, False)]
+        for r in [r for r in waiting if r < below + size]:
+            inner.setdefault((low, high, below, size), []).append(r)
+        below += size
+        waiting = [r for r in waiting if r >= below]
+        if high is not None and high in cuts:
+            at = counts[(high, high, True)]
+            found.update({(gap.column, r): high for r in waiting if r < below + at})
+            below += at
+            waiting = [r for r in waiting if r >= below]
+    return [Gap(gap.column, low, high, start, size, tuple(rs)) for (low, high, start, size), rs in inner.items()]
