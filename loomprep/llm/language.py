@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +42,45 @@ def vocabulary(path: str) -> dict[str, int]:
     return {model.id_to_piece(i): n for n, i in enumerate(own, 1)}
 
 
-def edges(words: list[str], pieces: dict[str, int], longest: int) -> tuple[np.ndarray, ...]:
-    """(word, start, end, piece) of every piece at every place of the marked words, sorted by end."""
-    out: list[tuple[int, int, int, int]] = []
-    find = pieces.get
-    for w, word in enumerate(words):
-        n = len(word)
-        for start in range(n):
-            if find(word[start]) is None:
-                out.append((w, start, start + 1, 0))
-            for end in range(start + 1, min(n, start + longest) + 1):
-                piece = find(word[start:end])
-                if piece is not None:
-                    out.append((w, start, end, piece))
-    table = np.array(out, np.int32).reshape(-1, 4)
-    table = table[np.argsort(table[:, 2], kind="stable")]
-    return tuple(table.T)
+@lru_cache(maxsize=2)
+def tree(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces as a tree of characters: sorted keys (node, character), the node each leads to, the piece of a node."""
+    steps: dict[tuple[int, str], int] = {}
+    pieces = [0]
+    for text, number in vocabulary(path).items():
+        node = 0
+        for char in text:
+            node = steps.setdefault((node, char), len(pieces))
+            if node == len(pieces):
+                pieces.append(0)
+        pieces[node] = number
+    keys = np.array([(node << 21) | ord(char) for node, char in steps], np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order], np.array(pieces, np.int64)
+
+
+def edges(words: list[str], path: str) -> tuple[np.ndarray, ...]:
+    """(word, start, end, piece) of every piece at every place of the words, sorted by end. All places go down the tree of
+    pieces together, one character at a time."""
+    keys, nodes, pieces = tree(path)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    firsts = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(words)), lengths)
+    ends = (firsts + lengths)[word]
+    place, node, out, step = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], 0
+    while len(place):
+        key = (node << 21) | codes[place + step]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        known = keys[at] == key
+        piece = np.where(known, pieces[nodes[at]], 0)
+        shown = (piece > 0) | (step == 0)  # a character without a piece is an edge too
+        out.append(np.stack([word[place], place - firsts[word[place]], np.full(len(place), step + 1), piece])[:, shown])
+        on = known & (place + step + 1 < ends[place])
+        place, node, step = place[on], nodes[at[on]], step + 1
+    found = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+    found[2] += found[1]
+    return tuple(found[:, np.argsort(found[2], kind="stable")])
 
 
 @dataclass
@@ -69,9 +93,7 @@ class Model:
 
     def forward(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
         """Sums up to every place of the words, edges and their lifted chances."""
-        pieces = vocabulary(self.path)
-        longest = max(map(len, pieces))
-        w, start, end, piece = edges(words, pieces, longest)
+        w, start, end, piece = edges(words, self.path)
         lifted = self.chances[piece] * (LIFT ** (end - start))[:, None]
         lengths = np.array([len(x) for x in words])
         upto = np.zeros((len(words), lengths.max(initial=0) + 1, len(self.languages)))
@@ -210,6 +232,7 @@ class Scorer:
             counters = [Counter(t.split()) if t and LETTER.search(t) else None for t in part]
             new = list({w for c in counters if c for w in c if w not in self.known}) if self.model.languages else []
             place = {w: len(self.rows) + i for i, w in enumerate(new)}
+            known = self.known.get
             made = [self.model.logs(new[i : i + 4096]) for i in range(0, len(new), 4096)]
             rows = np.concatenate([self.rows, *made])
             for counter in counters:
@@ -217,7 +240,10 @@ class Scorer:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                at = [self.known[w] if w in self.known else place[w] for w in counter]
+                at = np.fromiter(map(known, counter, repeat(-1)), np.int64, len(counter))
+                if len(missing := np.flatnonzero(at < 0)):
+                    words = list(counter)
+                    at[missing] = [place[words[i]] for i in missing]
                 total = np.fromiter(counter.values(), np.float64, len(counter)) @ rows[at]
                 chance = np.exp(total - total.max())
                 best = int(total.argmax())
