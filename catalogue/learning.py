@@ -104,6 +104,60 @@ def _training(algorithm: str, task: str):
     return run
 
 
+def _two_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose class and value follow from their segment alone."""
+    customers = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    named = F.col("segment").isin("BUILDING", "MACHINERY")
+    return customers.withColumns({"wanted": F.when(named, "a").otherwise("b"), "value": F.when(named, 10.5).otherwise(20.25)})
+
+
+def _exact(algorithm: str, task: str):
+    """A full-sized run that has to be right everywhere."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        target, other = ("wanted", "value") if task == "classification" else ("value", "wanted")
+        result = train_model(_two_groups(spark, d).drop(other), target, algorithm, task, key="c_custkey")
+        if result.error:
+            raise RuntimeError(result.error)
+        numbers = [F.lit(n).cast("bigint").alias(k) for k, n in (
+            ("n_features", result.n_features), ("n_train", result.n_train), ("n_test", result.n_test), ("rows_dropped", result.rows_dropped))]
+        scores = ("accuracy", "balanced_accuracy", "precision", "recall", "f1") if task == "classification" else ("r2", "mae", "rmse")
+        return result.metrics.select(*numbers, *[F.round(k, 4).alias(k) for k in scores])
+
+    return run
+
+
+def _exact_sql(task: str) -> str:
+    scores = {k: 1.0 for k in ("accuracy", "balanced_accuracy", "precision", "recall", "f1")} if task == "classification" else {"r2": 1.0, "mae": 0.0, "rmse": 0.0}
+    shown = ", ".join(f"{x}::DOUBLE AS {k}" for k, x in scores.items())
+    return f"""SELECT (count(DISTINCT c_mktsegment) - 1)::BIGINT AS n_features, (count(*) - ceil(0.2::DOUBLE * count(*)))::BIGINT AS n_train,
+    ceil(0.2::DOUBLE * count(*))::BIGINT AS n_test, 0::BIGINT AS rows_dropped, {shown} FROM customer"""
+
+
+def exact_importances(spark: SparkSession, d: str) -> DataFrame:
+    """Only one segment decides."""
+    customers = _two_groups(spark, d).select("c_custkey", "segment", F.when(F.col("segment") == "BUILDING", "a").otherwise("b").alias("wanted"))
+    result = train_model(customers, "wanted", "Decision Tree", "classification", key="c_custkey")
+    if result.error:
+        raise RuntimeError(result.error)
+    return result.importances
+
+
+def text_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest neighbours of rows whose key is a text."""
+    customers = _two_groups(spark, d).withColumn("c_custkey", F.concat(F.lit("k"), F.col("c_custkey"))).drop("value")
+    result = train_model(customers, "wanted", "KNN", "classification", key="c_custkey")
+    if result.error:
+        raise RuntimeError(result.error)
+    return result.metrics.select(F.lit(result.n_test).cast("bigint").alias("n_test"), "accuracy")
+
+
+EXACT_RUNS = (
+    ("classification", ("Logistic Regression", "Random Forest", "Gradient Boosting", "KNN", "Decision Tree", "SVM")),
+    ("regression", ("Linear Regression", "Gradient Boosting", "KNN", "Decision Tree")),
+)
+
+
 def importances(spark: SparkSession, d: str) -> DataFrame:
     df = _documents(spark, d).drop("text")
     result = train_model(df, "quality", "Random Forest", "classification", key="doc_id", trees=20, tree_depth=6)
@@ -222,6 +276,15 @@ def split_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    **{
+        f"exact_{task}_{name.lower().replace(' ', '_')}": (_exact(name, task), _exact_sql(task)) for task, names in EXACT_RUNS for name in names
+    },
+    "exact_importances": (
+        exact_importances,
+        "SELECT DISTINCT 'segment_' || c_mktsegment AS feature, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END::DOUBLE AS importance "
+        "FROM customer WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer)",
+    ),
+    "knn_text_keys": (text_keys, "SELECT ceil(0.2::DOUBLE * count(*))::BIGINT AS n_test, 1.0::DOUBLE AS accuracy FROM customer"),
     "one_hot": (
         dummies,
         "SELECT c_custkey, " + ", ".join(f"(c_mktsegment = '{s}')::INT AS c_mktsegment_{s}" for s in SEGMENTS)

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomprep.functions.columns import col, field
@@ -58,17 +58,21 @@ def label_encode(df: DataFrame, column: str, output: str) -> DataFrame:
 
 @dataclass
 class PreparedData:
-    """Feature vectors and labels with what was done to get them."""
+    """Feature vectors and labels with what was done to get them.
+
+    ``names`` is a table of (place, feature): the levels of a column may be many, and nothing here needs them on the driver.
+    """
 
     data: DataFrame
-    model: PipelineModel
-    feature_names: list[str]
+    names: DataFrame
+    n_features: int
     classes: list[str] | None
     rows_dropped: int
 
-    @property
-    def n_features(self) -> int:
-        return len(self.feature_names)
+    @cached_property
+    def feature_names(self) -> list[str]:
+        """All names on the driver, for models that report a weight for each."""
+        return [r["feature"] for r in self.names.orderBy("place").collect()]
 
 
 def drop_unusable(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -106,33 +110,36 @@ def prepare_features(
         F.count_if(F.when(_all_present(needed), F.lit(True)).otherwise(False)).alias("kept"),
     ).first()
 
-    stages = []
-    if grouped:
-        index = [f"c{i}i" for i in range(len(grouped))]
-        stages.append(
-            StringIndexer(
-                inputCols=[f"c{i}" for i in range(len(grouped))],
-                outputCols=index,
-                stringOrderType="alphabetDesc",
-                handleInvalid="keep" if counted["kept"] == 0 else "error",
-            )
-        )
-        stages.append(OneHotEncoder(inputCols=index, outputCols=[f"c{i}v" for i in range(len(grouped))], dropLast=True))
-    inputs = [f"n{i}" for i in range(len(numeric))] + [f"c{i}v" for i in range(len(grouped))]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
+    spark = df.sparkSession
+    tables = [spark.createDataFrame([(i, n) for i, n in enumerate(numeric)], "place bigint, feature string")]
+    inputs, width = [f"n{i}" for i in range(len(numeric))], len(numeric)
+    whole = complete
+    for i, c in enumerate(grouped):
+        # Levels are numbered downwards, so that the first one is the last and is the one left out.
+        codes = label_codes(whole, f"c{i}").persist()
+        n = codes.count()
+        if n < 2:
+            continue
+        down = codes.select(F.col("level").alias(f"c{i}"), (F.lit(n - 1) - F.col("code")).cast("double").alias(f"c{i}i"))
+        complete = complete.join(down, f"c{i}")
+        inputs.append(f"c{i}v")
+        shown = F.concat(F.lit(f"{c}_"), F.col("level"))
+        tables.append(codes.where("code > 0").select((F.lit(width + n - 1) - F.col("code")).alias("place"), shown.alias("feature")))
+        width += n - 1
+    coded = [f"c{i}i" for i in range(len(grouped)) if f"c{i}v" in inputs]
+    if coded:
+        encoder = OneHotEncoder(inputCols=coded, outputCols=[f"{c[:-1]}v" for c in coded], dropLast=True)
+        complete = encoder.fit(complete).transform(complete)
+    classes = None
     if encode:
-        stages.append(StringIndexer(inputCol="__target", outputCol=LABEL, stringOrderType="alphabetAsc"))
-    model = Pipeline(stages=stages).fit(complete)
-    data = model.transform(complete)
-    if not encode:
-        data = data.withColumn(LABEL, F.col("__target"))
-    feature_names = list(numeric)
-    if grouped:
-        for c, found in zip(grouped, model.stages[0].labelsArray):
-            feature_names += [f"{c}_{level}" for level in found[:-1]]
-    classes = list(model.stages[-1].labelsArray[0]) if encode else None
+        found = label_codes(whole, "__target").persist()
+        classes = [r["level"] for r in found.orderBy("code").collect()]  # as many as a model can tell apart
+        complete = complete.join(found.select(F.col("level").alias("__target"), F.col("code").cast("double").alias(LABEL)), "__target")
+    else:
+        complete = complete.withColumn(LABEL, F.col("__target"))
+    data = VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(complete)
     out = data.select(*[col(k) for k in keep], FEATURES, LABEL)
-    return PreparedData(out, model, feature_names, classes, counted["rows"] - counted["kept"])
+    return PreparedData(out, reduce(DataFrame.unionByName, tables), width, classes, counted["rows"] - counted["kept"])
 
 
 def _all_present(names: Sequence[str]) -> Column:

@@ -24,12 +24,14 @@ from pyspark.ml.regression import (
     RandomForestRegressor,
 )
 from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql.types import IntegralType
 
-from loomprep.functions.columns import col
+from loomprep.functions.columns import col, field
 from loomprep.operators.classify import infer_task
 from loomprep.operators.features import FEATURES, LABEL, SEED, PreparedData, prepare_features, stratified_split
 from loomprep.operators.metrics import classification_metrics, log_loss, loss_of, regression_metrics
 from loomprep.operators.neighbors import mean_of_neighbors, nearest, vote
+from loomprep.operators.ordered import row_numbers
 from loomprep.session import scratch_path
 
 # Algorithm names per task and their sizes.
@@ -103,7 +105,8 @@ def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | Non
     named = df if key else df.withColumn(ROW, F.monotonically_increasing_id())
     prepared = prepare_features(named, result.target, [key or ROW], result.task)
     # Row numbers change when rows are computed again, so they are written down before anything depends on them.
-    data = prepared.data if key else _written(prepared.data)
+    # The split looks at the keys and classes several times.
+    data = prepared.data.persist() if key else _written(prepared.data)
     flagged = stratified_split(data, key or ROW, stratified, test_size)
     key = key or ROW
     # Every iteration reads the training rows again; kept in memory, spilled to disk, recomputed if an executor goes.
@@ -130,6 +133,7 @@ def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | Non
             result.importances = spark.createDataFrame(rows, "feature string, importance double")
     finally:
         flagged.unpersist()
+        data.unpersist()
 
 
 def _written(data: DataFrame) -> DataFrame:
@@ -261,6 +265,9 @@ def _kernel_svm(train: DataFrame, test: DataFrame, classes: int) -> DataFrame:
 
 
 def _neighbors(train: DataFrame, test: DataFrame, task: str, key: str) -> DataFrame:
+    if not isinstance(field(train, key).dataType, IntegralType):
+        numbers = row_numbers(train.select(col(key)).unionByName(test.select(col(key))), key, name=ROW)
+        train, test, key = train.join(numbers, key), test.join(numbers, key), ROW
     vectors = [col(key).cast("bigint").alias("id"), vector_to_array(FEATURES).alias("vector")]
     asking = test.select(*vectors)
     found = nearest(asking, train.select(*vectors, F.col(LABEL).cast("double").alias("label")))

@@ -48,7 +48,7 @@ def nearest(
         return spark.createDataFrame([], "id bigint, rank int, neighbor bigint, label double, distance double")
     pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(rows) // 2))
     fraction = min(1.0, 4.0 * pivots / rows)
-    sampled = train.select("vector").sample(fraction, seed=11).limit(pivots).collect() or train.select("vector").take(1)
+    sampled = train.select("vector").sample(fraction, seed=11).orderBy(F.xxhash64("vector")).limit(pivots).collect() or train.select("vector").take(1)
     centers = np.unique(np.array([r["vector"] for r in sampled], dtype=float), axis=0)
 
     def to_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
