@@ -18,7 +18,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomprep.llm.common import written
 from loomprep.session import scratch_path
 
-FREQUENT = 1 << 20  # words of the table that every worker holds
+FREQUENT = 1 << 19  # words of the table that every worker holds
 WIDE = 20  # bits of a piece number or rank
 LONGEST = 60  # characters of a word in the lattice, whose boundaries are the bits of a long
 CHARS_AT_ONCE = 1 << 21
-TALLIED = 1 << 20  # distinct words after which a task hands on its counts
+TALLIED = 1 << 18  # distinct words after which a task hands on its counts
 SPACE = "▁"
-UNITS = re.compile(r" *[^ \n]+| +|\n")
+UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
 @dataclass(frozen=True)
@@ -89,8 +88,8 @@ def piece_table(spark: SparkSession, table: Pieces) -> DataFrame:
 
 
 def units(text: str) -> list[str]:
-    """The words of a text, each with the spaces before it; no piece reaches over their ends."""
-    return UNITS.findall(" " + text) if text else []
+    """The words of a text, each with the space marks before it; no piece reaches over their ends."""
+    return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def tallied(docs: DataFrame, text_col: str) -> DataFrame:
@@ -132,20 +131,23 @@ def merged(edges: Column, n: Column) -> Column:
     """
     all_places = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
 
+    def early(e: Column) -> Column:
+        return e["code"].bitwiseAND(F.lit(1 << 20).cast("bigint")) != 0
+
     def possible(mask: Column, e: Column) -> Column:
         return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
 
     def step(state: Column, e: Column) -> Column:
         after = state["mask"].bitwiseAND(F.bitwise_not(e["inner"]))
-        better = lambda f: (f["rank"] < e["rank"]) & possible(after, f)
-        made = F.struct(after.alias("mask"), (e["early"] & F.exists(edges, better)).alias("stop"))
+        better = lambda f: (f["code"] < e["code"]) & possible(after, f)
+        made = F.struct(after.alias("mask"), (early(e) & F.exists(edges, better)).alias("stop"))
         return F.when(~state["stop"] & possible(state["mask"], e), made).otherwise(state)
 
     def one_pass(state: Column, _: Column) -> Column:
         start = F.struct(state["mask"].alias("mask"), F.lit(False).alias("stop"))
         return F.when(state["stop"], F.aggregate(edges, start, step)).otherwise(state)
 
-    passes = F.sequence(F.lit(0), F.size(F.filter(edges, lambda e: e["early"])))
+    passes = F.sequence(F.lit(0), F.size(F.filter(edges, early)))
     first = F.struct(all_places.alias("mask"), F.lit(True).alias("stop"))
     return F.aggregate(passes, first, one_pass, lambda s: s["mask"])
 
@@ -156,12 +158,13 @@ def best_path(edges: Column, n: Column, unknown: float) -> Column:
     one = F.lit(1).cast("bigint")
 
     def step(best: Column, place: Column) -> Column:
-        here = F.filter(edges, lambda e: e["end"] == place)
-        known = F.exists(here, lambda e: e["end"] - e["start"] == 1)
+        start_of = lambda e: part(e["code"], 27, 6)
+        here = F.filter(edges, lambda e: part(e["code"], 21, 6) == place)
+        known = F.exists(here, lambda e: e["inner"] == 0)
         lone = F.struct((F.get(best, place - 1)["score"] + unknown).alias("score"), (-(place - 1)).alias("back"), F.get(best, place - 1)["mask"].alias("mask"))
         paths = F.transform(
             here,
-            lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), F.get(best, e["start"])["mask"].alias("mask")),
+            lambda e: F.struct((F.get(best, start_of(e))["score"] + e["score"]).alias("score"), (-start_of(e)).alias("back"), F.get(best, start_of(e))["mask"].alias("mask")),
         )
         top = F.array_max(F.concat(paths, F.when(known, F.filter(F.array(lone), lambda x: F.lit(False))).otherwise(F.array(lone))))
         moved = F.transform(F.array(top), lambda t: F.struct(t["score"].alias("score"), t["back"].alias("back"), t["mask"].bitwiseOR(F.call_function("shiftleft", one, place)).alias("mask")))
@@ -180,17 +183,9 @@ def packed_edge(rank: Column, start: Column, end: Column, early: Column, piece:
     return code
 
 
-def unpacked_edge(code: Column, score: Column | None = None) -> Column:
-    """What the folds need: rank, start, end, id (null without a piece), early, the bits of its ends and of the places inside."""
-
-    def part(shift: int, width: int) -> Column:
-        return F.shiftright(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
-
-    rank, start, end, piece = part(33, WIDE), part(27, 6), part(21, 6), part(0, WIDE)
-    one = F.lit(1).cast("bigint")
-    ends = F.call_function("shiftleft", one, start).bitwiseOR(F.call_function("shiftleft", one, end))
-    names = (rank.alias("rank"), start.alias("start"), end.alias("end"), F.when(piece > 0, piece - 1).alias("id"), (part(20, 1) == 1).alias("early"))
-    return F.struct(*names, ends.alias("ends"), interior(start, end).alias("inner"), *([score.alias("score")] if score is not None else []))
+def part(code: Column, shift: int, width: int) -> Column:
+    """Some bits of a packed edge: rank at 33, start at 27, end at 21, early at 20, piece + 1 at 0."""
+    return F.shiftright(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
 
 
 def octets(text: Column, first_byte: int, unknown: int) -> Column:
@@ -207,35 +202,36 @@ def dictionary(counts: DataFrame, path: str, table: Pieces) -> DataFrame:
     boundary bits cannot hold, are encoded by the library."""
     spark = counts.sparkSession
     known = piece_table(spark, table)
-    marked = counts.withColumn("marked", F.replace("unit", F.lit(" "), F.lit(SPACE))).withColumn("length", F.char_length("unit"))
-    short = marked.where(F.col("length") <= LONGEST)
-    starts = short.select("unit", "n", "marked", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("start"))
-    ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, F.col("length")))
-    parts = starts.select("unit", "marked", "n", "length", "start", F.explode(ends).alias("end"))
-    parts = parts.withColumn("piece", F.substr("marked", F.col("start") + 1, F.col("end") - F.col("start")))
+    short = counts.where(F.char_length("unit") <= LONGEST).select(F.xxhash64("unit").alias("h"), "unit", "n")
+    starts = short.select("h", "unit", "n", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("start"))
+    ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, F.char_length("unit")))
+    parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("end"))
+    parts = parts.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     # The piece table has the size of a vocabulary, whatever the corpus.
     matched = parts.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
     code = packed_edge(F.coalesce("rank", F.lit((1 << WIDE) - 1)), F.col("start"), F.col("end"), F.coalesce("early", F.lit(False)), F.coalesce("id", F.lit(-1)))
-    edge = F.struct(code.alias("code"), F.col("score").alias("score")) if table.unigram else code
-    lattice = matched.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("codes"))
-    edges = F.transform("codes", lambda e: unpacked_edge(e["code"], e["score"]) if table.unigram else unpacked_edge(e))
-    marks = F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("marked"), F.char_length("unit").alias("length")
-    lattice = lattice.select("unit", "n", *marks, edges.alias("edges"))
+    one = F.lit(1).cast("bigint")
+    both = F.call_function("shiftleft", one, F.col("start")).bitwiseOR(F.call_function("shiftleft", one, F.col("end")))
+    edge = [code.alias("code"), both.alias("ends"), interior(F.col("start"), F.col("end")).alias("inner")]
+    # The hash only makes the sort of the groups cheaper.
+    listed = F.sort_array(F.collect_list(F.struct(*edge, *([F.col("score")] if table.unigram else []))))
+    lattice = matched.groupBy("h", "unit", "n").agg(listed.alias("edges"))
+    length = F.char_length("unit")
 
     def boundaries(edges: Column) -> Column:
         if table.unigram:
-            return best_path(edges, F.col("length"), min(s for _, _, s in table.pieces) - 10.0)
-        return merged(edges, F.col("length"))
+            known_edges = F.filter(edges, lambda e: part(e["code"], 0, WIDE) > 0)
+            return bound(known_edges, lambda k: best_path(k, length, min(s for _, _, s in table.pieces) - 10.0))
+        return bound(F.filter(edges, lambda e: e["inner"] != 0), lambda merges: merged(merges, length))
 
     def ids_of(mask: Column) -> Column:
         """The edges that the boundaries leave, in order of place."""
         left = F.filter("edges", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
-        ordered = F.sort_array(F.transform(left, lambda e: F.struct(e["start"], e["id"])))
-        lone = lambda e: octets(F.substr("marked", e["start"] + 1, F.lit(1)), table.first_byte, table.unknown)
-        return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNull(), lone(e)).otherwise(F.array(e["id"]))))
+        ordered = F.sort_array(F.transform(left, lambda e: F.struct(part(e["code"], 27, 6).alias("start"), part(e["code"], 0, WIDE).alias("piece"))))
+        lone = lambda e: octets(F.substr("unit", e["start"] + 1, F.lit(1)), table.first_byte, table.unknown)
+        return F.flatten(F.transform(ordered, lambda e: F.when(e["piece"] == 0, lone(e)).otherwise(F.array(e["piece"] - 1))))
 
-    known_edges = F.filter("edges", lambda e: e["id"].isNotNull() & (F.lit(table.unigram) | (e["end"] - e["start"] > 1)))
-    encoded = lattice.select("unit", "n", bound(known_edges, lambda e: bound(boundaries(e), ids_of)).alias("ids"))
+    encoded = lattice.select("unit", "n", bound(boundaries(F.col("edges")), ids_of).alias("ids"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,10 +243,10 @@ def dictionary(counts: DataFrame, path: str, table: Pieces) -> DataFrame:
 
 
 def encode_alone(path: str, unit: str) -> list[int]:
-    """The library's pieces of one word. It puts a space before every text; a word without one is encoded after a line end,
+    """The library's pieces of one word. It puts a space mark before every text; a word without one is encoded after a line end,
     over which no piece reaches."""
     model = library(path)
-    if unit.startswith(" "):
+    if unit.startswith(SPACE):
         return model.encode(unit[1:])
     return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
@@ -263,11 +259,14 @@ def frequent_words(place: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     if place not in _frequent:
         _frequent.clear()
         store, root = fs.FileSystem.from_uri(place)
-        found = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["unit", "ids"])
-        lists = found.column("ids").combine_chunks()
-        lengths = lists.value_lengths().to_numpy() if found.num_rows else np.zeros(0, np.int64)
-        rows = {u: i for i, u in enumerate(found.column("unit").to_pylist())}
-        _frequent[place] = rows, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), lists.flatten().to_numpy() if found.num_rows else np.zeros(0, np.int32)
+        rows: dict[str, int] = {}
+        sizes, ids = [], []
+        for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(columns=["unit", "ids"], batch_size=1 << 14):
+            rows.update(zip(batch.column(0).to_pylist(), range(len(rows), len(rows) + batch.num_rows), strict=True))
+            sizes.append(batch.column(1).value_lengths().to_numpy().astype(np.int64))
+            ids.append(batch.column(1).flatten().to_numpy().astype(np.int32))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        _frequent[place] = rows, offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32)
     return _frequent[place]
 
 
@@ -322,9 +321,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = frequent_words(place)[0]
         for batch in batches:
-            found = [{u for u in set(units(t or "")) if u not in rows} for t in batch.column(1).to_pylist()]
-            keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(chain.from_iterable(found)), pa.string())], names=["key", "unit"])
+            keys, words_of = [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [u for u in set(units(text.as_py() or "")) if u not in rows]
+                keys += [k] * len(found)
+                words_of += found
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words_of, pa.string())], names=["key", "unit"])
 
     asked = docs.select(key, text_col).mapInArrow(missing, "key bigint, unit string")
     rare = asked.join(words.where(~often).select("unit", "ids"), "unit")
@@ -333,21 +335,21 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in batch.column(2).to_pylist()]
+            texts = [t and zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in (x.as_py() for x in batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "key", "packed"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else zlib.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size < CHARS_AT_ONCE):
-                    size += len(texts[high] or "")
-                    high += 1
-                made = gathered(texts[low:high], batch.column(2).slice(low, high - low).to_pylist(), place)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), made], names=["id", "ids"])
-                low = high
+            while low < batch.num_rows:
+                texts, size = [], 0
+                while low + len(texts) < batch.num_rows and size < CHARS_AT_ONCE:
+                    held = batch.column(1)[low + len(texts)].as_py()
+                    texts.append(zlib.decompress(held).decode("utf-8", "surrogatepass") if held else None)
+                    size += len(texts[-1] or "") + 100
+                made = gathered(texts, batch.column(2).slice(low, len(texts)).to_pylist(), place)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), made], names=["id", "ids"])
+                low += len(texts)
 
     own = docs.select(F.col(id_col).alias("id"), key, text_col).mapInArrow(packed, f"id {kind}, key bigint, packed binary")
     return own.join(per_text, "key", "left").select("id", "packed", "rare").mapInArrow(put_together, f"id {kind}, ids array<int>")

@@ -44,7 +44,7 @@ def test_viterbi_finds_the_best_path(spark, pieces):
     table = pieces_of(pieces, unigram=True)
     score = {p: s for p, _, s in table.pieces}
     names = {i: p for p, i, _ in table.pieces}
-    words = [" the", " internationale", " Straße", " ab12", "xyzzy"]
+    words = ["▁the", "▁internationale", "▁Straße", "▁ab12", "xyzzy"]
     counts = spark.createDataFrame([(w, 1) for w in words], "unit string, n bigint")
     got = {r["unit"]: r["ids"] for r in dictionary(counts, pieces, table).collect()}
 
