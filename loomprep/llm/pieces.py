@@ -29,13 +29,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomprep.llm.common import written
 from loomprep.session import scratch_path
 
-FREQUENT = 1 << 19  # words of the table that every worker holds
+FREQUENT = 1 << 18  # words of the table that every worker holds
 WIDE = 20  # bits of a piece number or rank
 LONGEST = 60  # characters of a word in the lattice, whose boundaries are the bits of a long
 CHARS_AT_ONCE = 1 << 21
 TALLIED = 1 << 18  # distinct words after which a task hands on its counts
 SPACE = "▁"
-UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+LETTER, STOPS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,;:!?"
+# A word ends before a space mark or line end, and between a Latin letter and a full stop or the like.
+UNITS = re.compile(
+    f"{SPACE}*(?:[^{SPACE}\n{STOPS}]+(?:(?<!{LETTER})[{STOPS}][^{SPACE}\n]*)?|[{STOPS}][^{SPACE}\n]*)|{SPACE}+|\n"
+)
 
 
 @dataclass(frozen=True)
@@ -61,7 +65,8 @@ def pieces_of(path: str, unigram: bool = False) -> Pieces:
     ids = range(model.vocab_size())
     own = tuple((model.id_to_piece(i), i, model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
     octets = [i for i in ids if model.is_byte(i)]
-    if any("\n" in p and p != "\n" or SPACE in p.lstrip(SPACE) for p, _, _ in own):
+    over = re.compile(f"{LETTER}[{STOPS}]")
+    if any("\n" in p and p != "\n" or SPACE in p.lstrip(SPACE) or over.search(p) for p, _, _ in own):
         raise ValueError(f"{path}: a piece reaches over the end of a word")
     if model.encode("  a  b ") != model.encode(model.decode(model.encode("  a  b "))) or model.decode(model.encode("  a  b ")) != "  a  b ":
         raise ValueError(f"{path}: texts are normalised before encoding")
@@ -102,8 +107,8 @@ def tallied(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["unit", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(units(text or ""))
+            for text in batch.column(0):
+                found.update(units(text.as_py() or ""))
                 if len(found) > TALLIED:
                     yield rows()
                     found.clear()
@@ -202,7 +207,9 @@ def dictionary(counts: DataFrame, path: str, table: Pieces) -> DataFrame:
     boundary bits cannot hold, are encoded by the library."""
     spark = counts.sparkSession
     known = piece_table(spark, table)
-    short = counts.where(F.char_length("unit") <= LONGEST).select(F.xxhash64("unit").alias("h"), "unit", "n")
+    # Words are dealt out once, in even shares; what is exploded from one stays in its task, where its edges are grouped.
+    dealt = counts.where(F.char_length("unit") <= LONGEST).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
+    short = dealt.select(F.xxhash64("unit").alias("h"), "unit", "n")
     starts = short.select("h", "unit", "n", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("start"))
     ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, F.char_length("unit")))
     parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("end"))
@@ -306,7 +313,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     table = pieces_of(path, unigram)
-    words = written(dictionary(tallied(docs, text_col), path, table), "piece-words")
+    words = written(dictionary(written(tallied(docs, text_col), "piece-counts"), path, table), "piece-words")
     sizes = words.where(F.char_length("unit") <= LONGEST).groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     room, least = frequent, None
     for n, size in sorted(map(tuple, sizes.collect()), reverse=True):
@@ -365,10 +372,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "id
         parts = [shown(model, i) for i in range(model.vocab_size())]
         for batch in batches:
             texts = []
-            for ids in batch.column(1).to_pylist():
+            for row in batch.column(1):  # one text's numbers at a time
+                ids = row.as_py() or ()
                 if ids and min(ids) < 0:
                     raise IndexError("a piece number below zero")
-                joined = b"".join([parts[i] for i in ids or ()])
+                joined = b"".join([parts[i] for i in ids])
                 texts.append((joined[1:] if joined.startswith(b" ") else joined).decode("utf-8", "replace"))
             columns = [batch.column(0), pa.array(texts, pa.string()), *batch.columns[1 : 1 + keep_ids]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "ids"][: len(columns)])
