@@ -133,30 +133,36 @@ def cell(level: int) -> Column:
     return F.substring("seeded", 1 + DIGITS * level, DIGITS)
 
 
-def boundary(rows: DataFrame, level: int, rest: str, keep: list[str]) -> DataFrame:
-    """Per pattern the cell of this level in which the cumulative size reaches ``rest``, and what is left before it."""
-    summed = rows.groupBy("pattern", rest, cell(level).alias(f"cell{level}")).agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy(f"cell{level}"))
-    reached = summed.withColumn("upto", upto).where(f"upto - n < {rest} and upto >= {rest}")
-    return reached.select("pattern", f"cell{level}", F.expr(f"{rest} - (upto - n)").alias(f"left{level}"), *keep)
+def boundary(rows: DataFrame, level: int, needs: DataFrame) -> DataFrame:
+    """Per pattern the cell of this level in which the cumulative size reaches its ``need``, and what is left before it.
+
+    Sizes are summed per cell before anything is brought together by pattern, which then has 4,096 rows at most.
+    """
+    name = f"cell{level}"
+    summed = rows.groupBy("pattern", cell(level).alias(name)).agg(F.sum("size").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy(name))
+    reached = summed.join(needs, "pattern").withColumn("upto", upto).where("upto - n < need and upto >= need")
+    return reached.select("pattern", name, F.expr("need - (upto - n)").alias("need"))
 
 
 def chosen(sized: DataFrame, routed: DataFrame) -> DataFrame:
     """Rows with ``taken``: base times the size, and once more in the seeded order until the rest is used up."""
-    rows = sized.join(routed, "pattern", "left")
-    first = boundary(rows, 0, "rest", [])
-    inside = sized.join(first, "pattern").where(cell(0) == F.col("cell0"))
-    second = boundary(inside, 1, "left0", [])
-    cells = written(first.join(second, "pattern").select("pattern", "cell0", "cell1", "left1"), "mix-cells")
-    placed = rows.join(cells, "pattern", "left")
-    last = (cell(0) == F.col("cell0")) & (cell(1) == F.col("cell1"))
-    before = (cell(0) < F.col("cell0")) | ((cell(0) == F.col("cell0")) & (cell(1) < F.col("cell1")))
+    celled = sized.withColumns({"cell0": cell(0), "cell1": cell(1)})
+    first = written(boundary(sized, 0, routed.selectExpr("pattern", "rest AS need")), "mix-first")
+    inside = celled.join(first.select("pattern", "cell0"), ["pattern", "cell0"])
+    second = boundary(inside, 1, first.select("pattern", "need"))
+    ends = first.join(second.withColumnRenamed("need", "last_need"), "pattern").selectExpr("pattern", "cell0 AS end0", "cell1 AS end1", "last_need")
+    plan = written(routed.join(ends, "pattern", "left"), "mix-plan")
     base = F.coalesce("base", F.lit(0)) * F.col("size")
-    whole = placed.where(~F.coalesce(last, F.lit(False))).withColumn("taken", base + F.when(before, F.col("size")).otherwise(0))
-    upto = F.sum("size").over(
-        Window.partitionBy("pattern").orderBy("seeded", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cut = placed.where(last).withColumn("upto", upto)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("left1 - (upto - size)")))
+    placed = celled.join(plan, "pattern", "left")
+    before = (F.col("cell0") < F.col("end0")) | ((F.col("cell0") == F.col("end0")) & (F.col("cell1") < F.col("end1")))
+    at_end = F.coalesce((F.col("cell0") == F.col("end0")) & (F.col("cell1") == F.col("end1")), F.lit(False))
+    whole = placed.where(~at_end).withColumn("taken", base + F.when(before, F.col("size")).otherwise(0))
+    # The rows of the last cell of a pattern: about one of 16 million.
+    last = plan.where("end0 is not null").selectExpr("pattern", "end0 AS cell0", "end1 AS cell1", "base", "last_need")
+    order = Window.partitionBy("pattern").orderBy("seeded", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = celled.join(last, ["pattern", "cell0", "cell1"]).withColumn("upto", F.sum("size").over(order))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("last_need - (upto - size)")))
     cut = cut.withColumn("taken", base + part)
-    return whole.unionByName(cut.drop("upto"))
+    columns = [*sized.columns, "taken"]
+    return whole.select(columns).unionByName(cut.select(columns))
