@@ -113,6 +113,8 @@ def tallied(docs: DataFrame, text_col: str) -> DataFrame:
                     yield rows()
                     found.clear()
         yield rows()
+        found.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(text_col).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -305,8 +307,8 @@ def gathered(texts: list[str | None], rare: list[list[dict] | None], place: str)
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values[at], pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False, frequent: int = FREQUENT) -> DataFrame:
-    """(id, ids) for every row: the piece numbers of the whole text, as the library gives them without begin or end.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False, frequent: int = FREQUENT, read_back: bool = False) -> DataFrame:
+    """(id, ids), with ``read_back`` also the text that the numbers decode to, for every row: the piece numbers of the whole text, as the library gives them without begin or end.
 
     A null or empty text has no pieces. Repeated rows and null ids are rows like any other; other columns are left out.
     ``unigram`` takes the file's scores as probabilities whatever its kind.
@@ -355,34 +357,43 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     texts.append(zlib.decompress(held).decode("utf-8", "surrogatepass") if held else None)
                     size += len(texts[-1] or "") + 100
                 made = gathered(texts, batch.column(2).slice(low, len(texts)).to_pylist(), place)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), made], names=["id", "ids"])
+                columns = [batch.column(0).slice(low, len(texts)), made]
+                if read_back:
+                    columns.append(pa.array([decoded(row.as_py(), path) for row in made], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
                 low += len(texts)
+        pa.default_memory_pool().release_unused()
 
     own = docs.select(F.col(id_col).alias("id"), key, text_col).mapInArrow(packed, f"id {kind}, key bigint, packed binary")
-    return own.join(per_text, "key", "left").select("id", "packed", "rare").mapInArrow(put_together, f"id {kind}, ids array<int>")
+    return own.join(per_text, "key", "left").select("id", "packed", "rare").mapInArrow(put_together, f"id {kind}, ids array<int>" + ", text string" * read_back)
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
-    """(id, text), with ``keep_ids`` also ids, for every row: the library's text of the piece numbers. Null numbers give an
-    empty text; a number that the file does not have raises."""
+def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, text) for every row: the library's text of the piece numbers. Null numbers give an empty text; a number that
+    the file does not have raises."""
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = library(path)
-        parts = [shown(model, i) for i in range(model.vocab_size())]
         for batch in batches:
-            texts = []
-            for row in batch.column(1):  # one text's numbers at a time
-                ids = row.as_py() or ()
-                if ids and min(ids) < 0:
-                    raise IndexError("a piece number below zero")
-                joined = b"".join([parts[i] for i in ids])
-                texts.append((joined[1:] if joined.startswith(b" ") else joined).decode("utf-8", "replace"))
-            columns = [batch.column(0), pa.array(texts, pa.string()), *batch.columns[1 : 1 + keep_ids]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "ids"][: len(columns)])
-
-    slim = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return slim.mapInArrow(run, f"id {kind}, text string" + ", ids array<int>" * keep_ids)
+            texts = [decoded(row.as_py(), path) for row in batch.column(1)]  # one text's numbers at a time
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+
+
+@lru_cache(maxsize=2)
+def shown_pieces(path: str) -> list[bytes]:
+    model = library(path)
+    return [shown(model, i) for i in range(model.vocab_size())]
+
+
+def decoded(ids: list[int] | None, path: str) -> str:
+    """The text of one list of piece numbers, without the space that encoding puts first."""
+    parts = shown_pieces(path)
+    if ids and min(ids) < 0:
+        raise IndexError("a piece number below zero")
+    joined = b"".join([parts[i] for i in ids or ()])
+    return (joined[1:] if joined.startswith(b" ") else joined).decode("utf-8", "replace")
 
 
 def shown(model: sentencepiece.SentencePieceProcessor, piece: int) -> bytes:

@@ -37,11 +37,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from loomprep.llm.pieces import decode, encode
+    from loomprep.llm.pieces import encode
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode(table(spark, sf_dir, "documents"), path)
-    read = decode(encoded, path, keep_ids=True)
+    # Read back in the same tasks: the numbers of a text need not be kept for a second pass.
+    read = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), read_back=True)
     return read.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_pieces"),
