@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomprep.llm.chat import CONTROL, conversations, loss_text, turns_of
 from loomprep.llm.common import components
+from loomprep.llm.minhash import near_copies
 from loomprep.llm.mixing import mix, route, water_fill
 from loomprep.llm.simhash import fingerprint, near_duplicates, near_pairs, segments
 from loomprep.llm.weighted import edited_fingerprints
@@ -219,3 +220,38 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def shingle_set(text):
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}
+
+
+def alike(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_near_copies_from_four_fifths_on_are_found(spark):
+    draw, texts, pairs = np.random.default_rng(5), [], []
+    for n in range(300):
+        own = [f"w{x}" for x in draw.integers(0, 5000, 300)]
+        other = list(own)
+        for place in draw.choice(300, n % 12, replace=False):
+            other[place] = "new"
+        texts += [" ".join(own), " ".join(other)]
+        if alike(*texts[-2:]):
+            pairs.append((2 * n, 2 * n + 1))
+    # A group whose members differ from the first and more from one another, past what a bucket compares pair by pair.
+    base = len(texts)
+    group = [f"g{x}" for x in range(400)]
+    for n in range(60):
+        texts.append(" ".join("x%d" % n if i in (5 * n, 5 * n + 50) else w for i, w in enumerate(group)))
+    every = range(base, len(texts))
+    pairs += [(a, b) for a, b in itertools.combinations(every, 2) if alike(texts[a], texts[b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["id"]: r["component"] for r in near_copies(df).collect()}
+    assert len(pairs) > 200 and len(found) == len(texts)
+    assert all(found[a] == found[b] for a, b in pairs)
+    want = groups(range(len(texts)), pairs)
+    assert len(set(found.values())) == len(set(want.values()))
