@@ -255,3 +255,14 @@ def test_near_copies_from_four_fifths_on_are_found(spark):
     assert all(found[a] == found[b] for a, b in pairs)
     want = groups(range(len(texts)), pairs)
     assert len(set(found.values())) == len(set(want.values()))
+
+
+def test_rows_are_kept_by_text_and_not_by_id(spark):
+    common = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, common, "en"), (5, common, "en"), (5, "a text of its own that nobody else has", "en"), (7, "one more text that stands alone here", "en"),
+            (7, "and another under the same number as that", "en"), (None, "no number but a copy of the same words", "en"),
+            (None, "no number but a copy of the same words", "de"), (9, "twice the same row in every column", None), (9, "twice the same row in every column", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    got = corpus_pipeline.distinct_documents(spark, df, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(i, t) for i, t, _ in rows} - {(5, common)})
+    assert len(got) == len({t for _, t, _ in rows})
