@@ -23,7 +23,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from loomprep.llm.common import written
 
-SAMPLED = 2048  # training documents per language, drawn by a hash of the text
+SAMPLED = 2048  # distinct training texts per language, drawn by a hash of the text
+PLACES = 1 << 62  # range of that hash
 ROUNDS = 2  # of expectation-maximisation
 ADDED = 0.1  # count added to every piece
 SHORT = 32  # characters of a word that is scored together with others
@@ -179,24 +180,48 @@ def word_counts(labelled: DataFrame, languages: list[str]) -> DataFrame:
     return labelled.mapInArrow(tally, "word string, lang int, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
+def below(limits: dict[str, int]) -> Column:
+    """Whether the place of a row lies under the limit of its language."""
+    limit = F.lit(0)
+    for lang, most in limits.items():
+        limit = F.when(F.col("lang") == lang, most).otherwise(limit)
+    return F.col("place") < limit
+
+
+def last_places(labelled: DataFrame, sizes: dict[str, int], sampled: int) -> dict[str, int]:
+    """For each language the place under which its ``sampled`` first distinct texts lie. ``sizes`` are estimates; they only
+    bound what is brought together, about twice the sample."""
+    open_, out = {lang: int(min(1.0, 2 * sampled / max(n, 1)) * PLACES) for lang, n in sizes.items()}, {}
+    while open_:
+        found: dict[str, list[int]] = {lang: [] for lang in open_}
+        for r in labelled.where(below(open_)).select("lang", "place").distinct().toLocalIterator():
+            found[r["lang"]].append(r["place"])
+        for lang, places in found.items():
+            if len(places) >= sampled:
+                out[lang] = sorted(places)[sampled - 1] + 1
+            elif open_[lang] >= PLACES:
+                out[lang] = PLACES
+        open_ = {lang: min(PLACES, 2 * most) for lang, most in open_.items() if lang not in out}
+    return out
+
+
 def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_col: str = "lang", sampled: int = SAMPLED, rounds: int = ROUNDS) -> Model:
-    """Model of the languages of the rows in ``use``, from at most about ``sampled`` of each.
+    """Model of the languages of the rows in ``use``, from the ``sampled`` distinct texts of each with the smallest hashes.
 
     Words over 31 characters do not train; they are scored like any other. The driver holds a number per piece and
     language, and so do the workers.
     """
     labelled = docs.where(use & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = labelled.withColumn("place", F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(PLACES)))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("place").alias("n")).collect()}
     languages = sorted(sizes)
     pieces = vocabulary(path)
     model = Model(path, languages, np.full((len(pieces) + 1, len(languages)), 1.0 / (len(pieces) + 1)))
     if not languages:
         return model
-    place = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, int(min(1.0, sampled / n) * (1 << 30))).otherwise(limit)
-    counts = written(word_counts(labelled.where(place < limit), languages), "language-words")
+    last = last_places(labelled, sizes, sampled)
+    drawn = labelled.where(below(last)).select("text", "lang").distinct()
+    counts = written(word_counts(drawn, languages), "language-words")
     short = counts.where(F.char_length("word") < SHORT).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,11 +4,12 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomprep.llm.language import Model, folded, identify, train, vocabulary
+from loomprep.llm.language import PLACES, Model, below, folded, identify, last_places, train, vocabulary
 from loomprep.llm.pieces import decode, dictionary, encode, pieces_of
 from loomprep.llm.pii import pseudonymise
 from loomprep.llm.tokens import counted, token_counts
@@ -157,3 +158,20 @@ def test_pseudonyms_are_a_permutation(spark):
     assert made.where("not text rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'").count() == 0
     days = spark.range(0, 2000).select(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     assert pseudonymise(days, "key").select(F.to_date("text").alias("d")).where("d is not null").distinct().count() == 2000
+
+
+def test_training_draws_distinct_texts(spark, pieces):
+    # 4,000 copies each of three texts: all of them train, once, however their hashes fall.
+    few = [("aa", f"kala{i} maja{i} suvi{i}") for i in range(3)] * 4000
+    many = [("bb", f"word{i} house{i}") for i in range(500)]
+    df = spark.createDataFrame(few + many, "lang string, text string")
+    labelled = df.withColumn("place", F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(PLACES)))
+    last = last_places(labelled, {"aa": 3, "bb": 500}, 100)
+    drawn = labelled.where(below(last)).select("lang", "text").distinct().groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in drawn} == {"aa": 3, "bb": 100}
+    model = train(df, pieces, use=F.lit(True), sampled=100)
+    assert all(model.chances[:, i].std() > 0 for i in range(2))
+    # A single text among 6,000 copies, outside the old share of hashes with near certainty.
+    for n in range(3):
+        own = spark.createDataFrame([("aa", f"kala{n} maja suvi")] * 6000 + [("bb", "word house")], "lang string, text string")
+        assert train(own, pieces, use=F.lit(True), sampled=1, rounds=1).chances[:, 0].std() > 0
