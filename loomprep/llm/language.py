@@ -28,6 +28,7 @@ PLACES = 1 << 62  # range of that hash
 ROUNDS = 2  # of expectation-maximisation
 ADDED = 0.1  # count added to every piece
 SHORT = 32  # characters of a word that is scored together with others
+SPAN = 4096  # characters of a long word that train together
 LIFT = 100.0  # per character; keeps products of a short word within the range of a double
 CACHED = 1 << 18  # words of a worker's cache
 CHARS_AT_ONCE = 1 << 22
@@ -151,6 +152,52 @@ class Model:
         return np.stack([np.bincount(piece, share[:, i], len(self.chances)) for i in range(share.shape[1])], axis=1)
 
 
+    def expected_long(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """The same for words of any length, from logarithms of the sums. Words over SPAN characters go span by span."""
+        spans, owners = [], []
+        for i, word in enumerate(words):
+            marked = SPACE + word
+            for low in range(0, len(marked), SPAN):
+                spans.append(marked[low : low + SPAN])
+                owners.append(i)
+        total = np.zeros_like(self.chances)
+        part: list[int] = []
+        for i in sorted(range(len(spans)), key=lambda i: len(spans[i])):
+            if part and (len(part) + 1) * len(spans[i]) * len(self.languages) > CHARS_AT_ONCE >> 3:
+                total += self.log_shares([spans[j] for j in part], times[[owners[j] for j in part]])
+                part = []
+            part.append(i)
+        return total + self.log_shares([spans[j] for j in part], times[[owners[j] for j in part]]) if part else total
+
+    def log_shares(self, spans: list[str], times: np.ndarray) -> np.ndarray:
+        """Expected number of each piece. A sum is kept as a logarithm and worked out against that of the place beside it,
+        so that no product leaves the range of a double: every place is reached by one character at least."""
+        w, start, end, piece = edges(spans, self.path)
+        lengths = np.array([len(x) for x in spans])
+        longest = int(lengths.max())
+        logs = np.log(self.chances)
+        upto = np.zeros((len(spans), longest + 1, len(self.languages)))
+        bounds = np.searchsorted(end, np.arange(longest + 2))
+        for place in range(1, longest + 1):
+            part = slice(bounds[place], bounds[place + 1])
+            beside = upto[:, place - 1]
+            total = np.zeros_like(beside)
+            np.add.at(total, w[part], np.exp(upto[w[part], start[part]] + logs[piece[part]] - beside[w[part]]))
+            upto[:, place] = beside + np.log(np.where(total > 0, total, 1.0))
+        onward = np.zeros_like(upto)
+        order = np.argsort(start, kind="stable")
+        bounds = np.searchsorted(start[order], np.arange(longest + 1))
+        for place in range(longest - 1, -1, -1):
+            part = order[bounds[place] : bounds[place + 1]]
+            beside = onward[:, place + 1]
+            total = np.zeros_like(beside)
+            np.add.at(total, w[part], np.exp(onward[w[part], end[part]] + logs[piece[part]] - beside[w[part]]))
+            onward[:, place] = beside + np.log(np.where(total > 0, total, 1.0))
+        whole = upto[np.arange(len(spans)), lengths]
+        share = np.exp(upto[w, start] + logs[piece] + onward[w, end] - whole[w]) * times[w]
+        return np.stack([np.bincount(piece, share[:, i], len(self.chances)) for i in range(share.shape[1])], axis=1)
+
+
 def folded(id_col: str) -> Column:
     """Remainder of the document number's checksum, which tells training from held-out documents."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
@@ -208,7 +255,7 @@ def last_places(labelled: DataFrame, sizes: dict[str, int], sampled: int) -> dic
 def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_col: str = "lang", sampled: int = SAMPLED, rounds: int = ROUNDS) -> Model:
     """Model of the languages of the rows in ``use``, from the ``sampled`` distinct texts of each with the smallest hashes.
 
-    Words over 31 characters do not train; they are scored like any other. The driver holds a number per piece and
+    Words of any length train; those over ``SPAN`` characters span by span. The driver holds a number per piece and
     language, and so do the workers.
     """
     labelled = docs.where(use & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -222,7 +269,7 @@ def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_
     last = last_places(labelled, sizes, sampled)
     drawn = labelled.where(below(last)).select("text", "lang").distinct()
     counts = written(word_counts(drawn, languages), "language-words")
-    short = counts.where(F.char_length("word") < SHORT).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    dealt = counts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -234,11 +281,15 @@ def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_
                     part = batch.slice(low, 4096)
                     times = np.zeros((part.num_rows, len(own.languages)))
                     times[np.arange(part.num_rows), part.column(1).to_numpy()] = part.column(2).to_numpy()
-                    total += own.expected(part.column(0).to_pylist(), times)
+                    words = part.column(0).to_pylist()
+                    short = np.array([len(x) < SHORT for x in words])
+                    for chosen, sums in ((short, own.expected), (~short, own.expected_long)):
+                        if chosen.any():
+                            total += sums([words[i] for i in np.flatnonzero(chosen)], times[chosen])
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], names=["piece", "lang", "n"])
 
-        found = short.mapInArrow(expect, "piece bigint, lang bigint, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        found = dealt.mapInArrow(expect, "piece bigint, lang bigint, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         total = np.full_like(model.chances, ADDED)
         total[found["piece"], found["lang"]] += np.round(found["n"], 6)
         model = Model(path, languages, total / total.sum(axis=0))

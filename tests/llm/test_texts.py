@@ -175,3 +175,21 @@ def test_training_draws_distinct_texts(spark, pieces):
     for n in range(3):
         own = spark.createDataFrame([("aa", f"kala{n} maja suvi")] * 6000 + [("bb", "word house")], "lang string, text string")
         assert train(own, pieces, use=F.lit(True), sampled=1, rounds=1).chances[:, 0].std() > 0
+
+
+def test_long_words_train(spark, pieces):
+    # Both sums agree on short words; a long word gives one character per place, none lost.
+    draw = np.random.default_rng(2)
+    model = Model(pieces, ["x", "y"], draw.dirichlet(np.ones(len(vocabulary(pieces)) + 1), 2).T)
+    words, times = ["straße", "the", "information", "a"], np.array([[1.0, 0.0], [2.0, 3.0], [0.0, 1.0], [1.0, 1.0]])
+    assert np.allclose(model.expected(words, times), model.expected_long(words, times))
+    sizes = np.array([1, *map(len, vocabulary(pieces))])
+    got = model.expected_long(["abcdefghij" * 1000], np.array([[1.0, 2.0]]))
+    assert np.isfinite(got).all() and np.allclose(sizes @ got, [10001, 20002])
+    # Two languages written without spaces, whose sentences are single long words.
+    rows = []
+    for lang, letters in (("ja", "のはがをにたでとし"), ("zh", "的是在有我他这中大")):
+        rows += [(lang, "".join(draw.choice(list(letters), 60)), n) for n in range(80)]
+    df = spark.createDataFrame(rows, "lang string, text string, doc_id bigint")
+    found = identify(df.where("doc_id >= 40"), train(df.where("doc_id < 40"), pieces, use=F.lit(True)), id_col="lang").collect()
+    assert len(found) == 80 and all(r["lang_pred"] == r["id"] and r["score"] > 0.99 for r in found)
