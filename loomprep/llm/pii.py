@@ -22,10 +22,21 @@ DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+RUN = r"(?<![\w-])\d(?:[ -]?\d){12,510}(?:(?![\w-]|[./]\d)|(?<![ -]\d{1,3})(?![\w-]))"  # may hold a card and more
 PHONE = r"(?<![\w+(])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
 SECRET = r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/-]{8,}|\bAKIA[A-Z0-9]{16}\b"
 SECRET_HEAD = r"^((?i:[a-z_-]+\s{0,4}[=:]\s{0,4}[\"']?)|AKIA)"
-FINDINGS = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, DATE, SSN, ADDRESS, CARD, PHONE, SECRET))
+FINDINGS = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, DATE, SSN, ADDRESS, RUN, PHONE, SECRET))
+INNER = "|".join(f"(?:{p})" for p in (EMAIL, DATE, SSN, ADDRESS, PHONE, SECRET))
+#: Usual groups of card numbers, in the order in which they are tried; then any groups, by the number of digits.
+USUAL_CARDS = (r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}", r"\d{4}([ -])\d{6}\1\d{5}", r"\d{13,19}", r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}")
+ANY_CARDS = tuple(rf"\d(?:[ -]?\d){{{n - 1}}}" for n in range(19, 12, -1))
+COUNTRIES = {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+             23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL",
+             29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC"}
+ACCOUNTS = tuple(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in COUNTRIES.items()) + tuple(
+    rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n in range(34, 14, -1)
+)
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -202,20 +213,70 @@ def address(text: Column, key: str, undo: bool) -> Column:
     return F.array_join(moved.cast("array<string>"), ".")
 
 
-def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
-    """The pseudonym of one candidate; a candidate that is not valid stays as it is."""
+def true_card(x: Column) -> Column:
     digits = F.regexp_replace(x, "[ -]", "")
-    true_card = F.substr(digits, F.length(digits)) == check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1))
+    return F.substr(digits, F.length(digits)) == check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1))
+
+
+def true_iban(x: Column) -> Column:
     bare = F.replace(x, F.lit(" "), F.lit(""))
+    return mod_97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
+
+
+def taken_out(text: Column, patterns: tuple[str, ...], true: Callable[[Column], Column]) -> Column:
+    """``text`` as texts and findings in turn. At every start of a group, from the left, the first pattern is taken that
+    ends with a group and whose match is ``true``."""
+    shapes = F.array(*[F.lit(f"^{p}(?![A-Za-z0-9])") for p in patterns])
+
+    def scan(own: Column) -> Column:
+        def first(i: Column) -> Column:
+            matches = F.transform(shapes, lambda p: F.regexp_substr(F.substr(own, i), p))
+            return F.get(F.filter(matches, lambda m: m.isNotNull() & true(m)), F.lit(0))
+
+        def step(s: Column, i: Column) -> Column:
+            def add(found: Column) -> Column:
+                more = F.array(F.substr(own, s["at"], i - s["at"]), found)
+                longer = F.struct((i + F.length(found)).alias("at"), F.concat(s["parts"], more).alias("parts"))
+                return F.when(found.isNull(), s).otherwise(longer)
+
+            return F.when(i < s["at"], s).otherwise(bound(first(i), add))
+
+        starts = F.filter(F.sequence(F.lit(1), F.length(own)), lambda i: (i == 1) | F.substr(own, F.greatest(i - 1, F.lit(1)), F.lit(1)).isin(" ", "-"))
+        none = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.aggregate(starts, none, step, lambda s: F.concat(s["parts"], F.array(F.substr(own, s["at"]))))
+
+    return F.when(F.length(text) < 13, F.array(text)).otherwise(bound(text, scan))
+
+
+def cut_at(text: Column, pattern: str) -> Column:
+    """``text`` as texts and candidates of the pattern in turn."""
+    return F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}{CUT}$1{MARK}{CUT}"), MARK + CUT)
+
+
+def recut(x: Column) -> Column:
+    """A candidate that is no valid account or card number as a whole, as texts and findings in turn: account numbers, cards
+    in usual groups, the other kinds, cards in any groups, each in what those before it left."""
+
+    def among(parts: Column, use: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(use(p))))
+
+    parts = F.when(x.rlike("[A-Z]"), taken_out(x, ACCOUNTS, true_iban)).otherwise(F.array(x))
+    parts = among(parts, lambda p: taken_out(p, USUAL_CARDS, true_card))
+    parts = among(parts, lambda p: cut_at(p, INNER))
+    return among(parts, lambda p: taken_out(p, ANY_CARDS, true_card))
+
+
+def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
+    """The pseudonym of one candidate; a candidate that is not valid stays as it is."""
     octets = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     out = F.when(is_a(x, EMAIL), F.concat(by_class(F.regexp_extract(x, r"^(.*)\.", 1), key, "email", undo), F.regexp_extract(x, r"\.[^.]*$", 0)))
-    out = out.when(is_a(x, IBAN), F.when(mod_97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1, iban(x, key, undo)).otherwise(x))
+    out = out.when(is_a(x, IBAN) & true_iban(x), iban(x, key, undo))
     for order, shape in (("yyyy-MM-dd", r"\d{4}-\d\d-\d\d"), ("dd/MM/yyyy", r"\d\d/\d\d/\d{4}"), ("dd.MM.yyyy", r"\d\d\.\d\d\.\d{4}")):
         known = F.year(calendar_day(x, order)).between(1700, 2099)
         out = out.when(is_a(x, shape), F.when(known, date(x, order, key, undo)).otherwise(x))
     out = out.when(is_a(x, SSN), F.when(x.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"), ssn(x, key, undo)).otherwise(x))
     out = out.when(is_a(x, r"\d+(?:\.\d+){3}"), F.when(x.rlike(rf"^{octets}(?:\.{octets}){{3}}$"), address(x, key, undo)).otherwise(x))
-    out = out.when(is_a(x, CARD) & true_card, card(x, key, undo))
+    out = out.when(is_a(x, CARD) & true_card(x), card(x, key, undo))
     country = F.regexp_extract(x, r"^\+\d{1,3}", 0)
     out = out.when(is_a(x, PHONE), F.concat(country, by_class(F.substr(x, F.length(country) + 1), key, "phone", undo, leading=True)))
     head = F.regexp_extract(x, SECRET_HEAD, 0)
@@ -227,18 +288,29 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
 
     Handled: e-mail addresses (the last label stays), account numbers (IBAN), dates of 1700 to 2099 (year first, or day
     first with / or .), US social security numbers, IPv4 addresses, card numbers with a true check digit, telephone numbers
-    (the country code stays), passwords, tokens and access keys. A candidate that fails its validation, such as a number
-    with a wrong check digit or a month-first date that is no day-first date, stays. A null text stays null with 0 found.
+    (the country code stays), passwords, tokens and access keys. Within a run of digit groups or
+    capital groups the valid numbers are looked for at the groups' bounds, then the other kinds. What fails its validation,
+    such as a number with a wrong check digit or a month-first date that is no day-first date, stays. A null text stays null with 0 found.
     All other columns and rows stay as they are; a column that is named like ``found_col`` is replaced. ``undo`` with the
-    same key restores the texts.
+    same key restores the texts, unless a new number makes another choice of groups in its run valid as well.
     """
     text = F.col(text_col)
     guarded = F.replace(text, F.lit(MARK), F.lit(MARK + KEPT))
-    parts = F.split(F.regexp_replace(guarded, f"({FINDINGS})", f"{MARK}{CUT}$1{MARK}{CUT}"), MARK + CUT)
     names = [c for c in docs.columns if c != found_col]
-    cut = docs.select(*names, parts.alias("_parts"))
-    made = F.transform("_parts", lambda x, i: F.when(i % 2 == 1, pseudonym(x, key, undo)).otherwise(x))
-    cut = cut.select(*names, "_parts", F.when(F.size("_parts") > 1, made).otherwise(F.col("_parts")).alias("_made"))
+
+    def opened(x: Column) -> Column:
+        return F.concat(F.array(F.lit("")), recut(x), F.array(F.lit("")))
+
+    def refined(parts: Column) -> Column:
+        runs = F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (is_a(x, IBAN) | is_a(x, RUN)), opened(x)).otherwise(F.array(x)))
+        return F.when(F.size(parts) > 1, F.flatten(runs)).otherwise(parts)
+
+    def replaced(parts: Column) -> Column:
+        made = F.transform(parts, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key, undo)).otherwise(x))
+        return F.when(F.size(parts) > 1, made).otherwise(parts)
+
+    cut = docs.select(*names, bound(cut_at(guarded, FINDINGS), refined).alias("_parts"))
+    cut = cut.select(*names, "_parts", bound(F.col("_parts"), replaced).alias("_made"))
     changed = F.coalesce(F.size(F.filter(F.zip_with("_parts", "_made", lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("bigint")
     whole = F.replace(F.array_join("_made", ""), F.lit(MARK + KEPT), F.lit(MARK))
     shown = [whole.alias(c) if c == text_col else F.col(c) for c in names]

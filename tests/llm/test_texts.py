@@ -193,3 +193,19 @@ def test_long_words_train(spark, pieces):
     df = spark.createDataFrame(rows, "lang string, text string, doc_id bigint")
     found = identify(df.where("doc_id >= 40"), train(df.where("doc_id < 40"), pieces, use=F.lit(True)), id_col="lang").collect()
     assert len(found) == 80 and all(r["lang_pred"] == r["id"] and r["score"] > 0.99 for r in found)
+
+
+def test_pseudonyms_within_longer_runs(spark):
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "555-123-4567"
+    cases = [(f"pay {card} 12/27 now", [card]), ("pay 4111111111111111 123", ["4111111111111111"]), (f"call {phone} 100", [phone]), (f"to {iban} EUR 5", [iban]),
+             (f"{card} 5500 0000 0000 0004", [card, "5500 0000 0000 0004"]), (f"{card} 12/05/1990", [card, "12/05/1990"]), (f"{card} {phone}", [card, phone]),
+             (f"AB12 CDEF {iban}", [iban]), (f"AB12 CDEF {card}", [card]), (f"{card} 42.144.35.254", [card, "42.144.35.254"]), ("1234 5678 9012 3456 7", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    made = pseudonymise(df, "key", found_col="n")
+    rows = sorted(made.collect(), key=lambda r: r["doc_id"])
+    for row, (before, gone) in zip(rows, cases, strict=True):
+        assert row["n"] == len(gone) and not any(x in row["text"] for x in gone), (before, row["text"])
+        assert "42.144" in before or len(row["text"]) == len(before)
+    assert all(luhn(re.sub("[^0-9]", "", r["text"][4:23])[:16]) for r in rows[:2])
+    undone = sorted(pseudonymise(made.limit(4), "key", undo=True).collect(), key=lambda r: r["doc_id"])
+    assert [r["text"] for r in undone] == [df.collect()[r["doc_id"]]["text"] for r in undone]
