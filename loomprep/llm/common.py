@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from loomprep.session import scratch_path
 
@@ -45,3 +50,48 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = facts
     roots = stars.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def scanned(df: DataFrame, order: list[Column], xors: Sequence[str] = (), label: str = "scanned") -> DataFrame:
+    """``df`` with ``number``, each row's place from 1 in the given order over all rows, and for every long column named in
+    ``xors`` its ``<name>_up_to``: the exclusive or of the column over all rows up to this one.
+
+    A scan in two steps: rows are range-partitioned and sorted, every task runs its own part, and one row per task carries
+    the rest. Rows with equal keys are told apart by where they were read, so that a key of a third of all rows is spread as
+    well; which of them comes first is not defined. Nulls in ``xors`` count as zero.
+    """
+    spark, columns = df.sparkSession, df.columns
+    ups = [f"{x}_up_to" for x in xors]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in ("_part", "number", *ups))])
+
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, carried = TaskContext.get().partitionId(), 0, [np.int64(0)] * len(xors)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            made = [np.full(n, part, np.int64), np.arange(before + 1, before + n + 1)]
+            for i, x in enumerate(xors):
+                values = np.asarray(batch.column(x).fill_null(0), np.int64)
+                made.append(np.bitwise_xor.accumulate(values) ^ carried[i])
+                carried[i] = made[-1][-1]
+            before += n
+            own = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, made)], names=names)
+
+    marked = df.withColumn("_read", F.monotonically_increasing_id())
+    keys = [*order, F.col("_read")]
+    rows = marked.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read")
+    local = written(rows.mapInArrow(run, schema), label)
+    last = local.groupBy("_part").agg(F.max("number").alias("n"), *(F.max_by(u, "number").alias(u) for u in ups))
+    offsets, total, carried = [], 0, [0] * len(ups)
+    for r in sorted(last.collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], total, *carried))
+        total += r["n"]
+        carried = [c ^ r[u] for c, u in zip(carried, ups, strict=True)]
+    parts = spark.createDataFrame(offsets, ", ".join(f"{n} bigint" for n in ["_part", "_n0", *(f"_x{i}" for i in range(len(ups)))]))
+    joined = local.join(F.broadcast(parts), "_part")
+    up_to = [F.col(u).bitwiseXOR(F.col(f"_x{i}")).alias(u) for i, u in enumerate(ups)]
+    return joined.select(*(F.col(c) for c in df.columns), (F.col("number") + F.col("_n0")).alias("number"), *up_to)

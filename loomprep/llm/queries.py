@@ -211,6 +211,119 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def rebuilt(rows: DataFrame, convs: DataFrame) -> DataFrame:
+    """(conv, place, role, text): every conversation c takes the first h turns of conversation c - c % 100 and its own after
+    its first h; h is the checksum of its id modulo 6."""
+    headed = convs.select("conv", (F.col("conv") - F.col("conv") % 100).alias("base"), (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).alias("h"))
+    heads = rows.where("place <= 5").select(F.col("conv").alias("base"), "place", "role", "text")
+    taken = headed.join(heads, "base").where("place <= h").select("conv", "place", "role", "text")
+    lengths = rows.groupBy(F.col("conv").alias("base")).agg(F.max("place").alias("length"))
+    own = headed.join(lengths, "base", "left").select("conv", "h", F.least("h", F.coalesce("length", F.lit(0))).alias("before"))
+    kept = rows.join(own, "conv").where("place > h").select("conv", (F.col("before") + F.col("place") - F.col("h")).alias("place"), "role", "text")
+    return taken.unionByName(kept)
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.common import written
+    from loomprep.llm.trie import placed_turns, prefix_trie
+
+    rows = written(placed_turns(table(spark, sf_dir, "conversations")), "trie-placed")
+    convs = rows.select("conv").distinct()
+    return prefix_trie(rebuilt(rows, convs), convs).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.col("ends").alias("ends_sha256"),
+    )
+
+
+def target_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.resample import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+# CRC-32 by its table: the remainder of every byte, then one step a byte.
+CRC_TABLE = """
+crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 of a text, beside ``CRC_TABLE`` in the FROM clause."""
+    octets = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(steps[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)))"
+
+
+CONVERSATION_TRIE = f"""
+WITH {CRC_TABLE}, t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT conv_id, max(place) AS length FROM t GROUP BY conv_id
+), ids AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS name FROM l
+), h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, CAST({crc_sql("name")} % 6 AS BIGINT) AS h FROM ids, crc
+), r AS (
+  SELECT h.conv_id, t.place, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.place <= h.h
+  UNION ALL
+  SELECT t.conv_id, least(h.h, coalesce(l.length, 0)) + t.place - h.h, t.role, t.text
+  FROM t JOIN h ON h.conv_id = t.conv_id LEFT JOIN l ON l.conv_id = h.base WHERE t.place > h.h
+), p AS (
+  SELECT conv_id, place AS depth, md5(string_agg(md5(role) || md5(text), '' ) OVER (PARTITION BY conv_id ORDER BY place)) AS k, length(text) AS chars FROM r
+  UNION ALL SELECT conv_id, 0, 'root', 0 FROM l
+), n AS (
+  SELECT k, CAST(depth AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM p GROUP BY k, depth
+), up AS (
+  SELECT n.*, a.k AS above FROM n LEFT JOIN p a ON a.conv_id = n.conv_id AND a.depth = n.depth - 1
+), kids AS (SELECT above AS k, count(*) AS n_children FROM up WHERE above IS NOT NULL GROUP BY above
+), tree AS (
+  SELECT a.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens
+  FROM n JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids ON kids.k = n.k GROUP BY a.k
+), e AS (
+  SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id) GROUP BY k
+)
+SELECT up.conv_id, up.depth, m.conv_id AS parent_conv_id, up.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       coalesce(ends, sha256('')) AS ends_sha256
+FROM up LEFT JOIN n m ON m.k = up.above LEFT JOIN kids ON kids.k = up.k JOIN tree ON tree.k = up.k LEFT JOIN e ON e.k = up.k
+"""
+
+
+TARGET_DRAW = rf"""
+WITH {CRC_TABLE}, texts AS (
+  SELECT 0 AS part, doc_id, text, row_number() OVER () AS r FROM documents
+  UNION ALL SELECT 1, item_id, text, 0 FROM benchmark
+), worded AS (
+  SELECT part, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts
+), w AS (SELECT part, doc_id, r, unnest(words) AS word FROM worded
+), b AS (SELECT word, CAST({crc_sql("word")} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT word FROM w), crc
+), n AS (
+  SELECT bucket, CAST(count(*) FILTER (part = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (part = 1) AS DOUBLE) AS t
+  FROM w JOIN b USING (word) GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM n
+), m AS (
+  SELECT doc_id, r, len(words) AS n_features FROM worded WHERE part = 0
+), f AS (
+  SELECT r, sum(gain) AS total FROM w JOIN b USING (word) JOIN g USING (bucket) WHERE part = 0 GROUP BY r
+), scored AS (
+  SELECT doc_id, CAST(n_features AS BIGINT) AS n_features,
+         CAST(CASE WHEN n_features = 0 THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS BIGINT) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM m LEFT JOIN f USING (r)
+), o AS (
+  SELECT *, weight + noise AS score,
+         row_number() OVER (ORDER BY n_features >= 20 DESC, weight + noise DESC, doc_id) AS place,
+         count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM o
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_exact_top_k": (best_scores, BEST_SCORES),
     "op2_sentencepiece": (text_pieces, None),
@@ -222,4 +335,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_source_mix": (source_mix, SOURCE_MIX),
     "op9_simhash_near_dedup": (near_copies, None),
     "op10_token_counts": (token_lengths, None),
+    "op12_conversation_trie": (conversation_trie, CONVERSATION_TRIE),
+    "op13_target_resampling": (target_draw, TARGET_DRAW),
 }
