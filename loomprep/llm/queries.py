@@ -211,6 +211,44 @@ def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomprep.llm.repeats import repeated_bytes
+
+    found = repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+# Bytes are two hex digits each; texts are cut into parts of 1,000 bytes first, each with what its last strings need beyond.
+REPEATED_STRINGS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), parts AS (
+  SELECT r, doc_id, p * 1000 AS low, substr(x, CAST(p * 2000 + 1 AS BIGINT), 2098) AS part, n
+  FROM (SELECT *, unnest(range(0, n // 1000 + 1)) AS p FROM d WHERE n >= 50)
+), w AS (
+  SELECT r, doc_id, low + i AS pos, md5_number(substr(part, CAST(2 * i + 1 AS BIGINT), 100)) AS string
+  FROM (SELECT *, unnest(range(0, least(1000, n - 49 - low))) AS i FROM parts WHERE low <= n - 50)
+), f AS (SELECT string, min(doc_id) AS first FROM w GROUP BY string HAVING min(doc_id) < max(doc_id)
+), hit AS (SELECT r, pos FROM w JOIN f USING (string) WHERE first < doc_id
+), runs AS (
+  SELECT r, pos, sum(CASE WHEN pos <= prior + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS run
+  FROM (SELECT r, pos, coalesce(lag(pos) OVER (PARTITION BY r ORDER BY pos), -1000) AS prior FROM hit)
+), s AS (SELECT r, min(pos) AS low, max(pos) + 50 AS high FROM runs GROUP BY r, run
+), gaps AS (
+  SELECT r, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low) AS a, low AS b FROM s
+  UNION ALL SELECT s.r, max(high), max(n) FROM s JOIN d USING (r) GROUP BY s.r
+), kept AS (SELECT r, string_agg(substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a, b) AS x FROM gaps JOIN d USING (r) WHERE b > a GROUP BY r
+), sums AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN d.x ELSE coalesce(kept.x, '') END)) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def rebuilt(rows: DataFrame, convs: DataFrame) -> DataFrame:
     """(conv, place, role, text): every conversation c takes the first h turns of conversation c - c % 100 and its own after
     its first h; h is the checksum of its id modulo 6."""
@@ -335,6 +373,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_source_mix": (source_mix, SOURCE_MIX),
     "op9_simhash_near_dedup": (near_copies, None),
     "op10_token_counts": (token_lengths, None),
+    "op11_suffix_dedup": (repeated_strings, REPEATED_STRINGS),
     "op12_conversation_trie": (conversation_trie, CONVERSATION_TRIE),
     "op13_target_resampling": (target_draw, TARGET_DRAW),
 }
