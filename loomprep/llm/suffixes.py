@@ -253,12 +253,14 @@ def suffixes(
         return i if at is None else at[i]
 
     if 1 << level >= depth:
-        queue = Queue(space)
+        queue, index = Queue(space), 0
         for low in range(0, n, BLOCK):
             x = np.asarray(symbols[low : low + BLOCK])
-            queue.push(np.zeros(len(x), np.uint64), x.astype(np.uint64), np.arange(low, low + len(x)))
+            q = np.arange(len(x)) if want is None else np.flatnonzero(want[low : low + BLOCK])
+            queue.push(np.zeros(len(q), np.uint64), x[q].astype(np.uint64), np.arange(index, index + len(q)), q + low)
+            index += len(q)
         last, last_q = None, None
-        for _, x, q in queue.pop():
+        for _, x, index, q in queue.pop():
             pair_x = np.concatenate([x[:1] if last is None else [last], x])
             pair_q = np.concatenate([q[:1] if last is None else [last_q], q])
             shared = np.full(len(q), depth, np.uint8)
@@ -267,7 +269,7 @@ def suffixes(
             if last is None:
                 shared[0] = 0
             last, last_q = x[-1], q[-1]
-            yield q, shared
+            yield index, shared
         return
     star = stars(space, symbols)
     m = sum(int(star[low : low + BLOCK].sum()) for low in range(0, n, BLOCK))
