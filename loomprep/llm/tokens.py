@@ -1,13 +1,16 @@
 """Token counts without shuffling words: a broadcast table of frequent pre-token lengths, worker caches for the rest.
 
 Byte-level BPE cuts a text into pre-tokens and encodes each by itself, so a text's count is the sum over its pre-tokens.
-The lengths of the most frequent ones (of a bounded sample; they only save time) are broadcast. A pre-token missing there
-is encoded once by the library and kept in a cache of the worker, which is emptied when full.
+The lengths of the most frequent ones (of a bounded sample; they only save time) are broadcast. A single space between two
+other characters always begins a pre-token, so a text is cut there first: the number of tokens of a stretch between two such
+spaces is kept in a cache of the worker. A stretch that is not there is cut into pre-tokens, and those that are not in the
+broadcast table are encoded by the library. Both caches are emptied when full.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +26,9 @@ CACHED = 1 << 18  # entries of a worker's cache
 SAMPLED = 4096  # documents that the table of frequent pre-tokens is drawn from
 COUNTED_AT_ONCE = 1 << 20  # characters of a text cut up in one go
 
+# White space to the library is white space here too.
+SPACE = re.compile(r"(?<=\S) (?=\S)")
+
 # Fixed value: the pattern by which byte-level BPE cuts text.
 PRE_TOKENS = regex.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -56,39 +62,80 @@ def pieces_of(text: str) -> Iterator[str]:
             yield found.group()
 
 
-def counted(path: str, texts: list[str], known: dict[str, int], cache: dict[str, int]) -> list[int]:
-    """Number of tokens of each text."""
-    tokenizer, special = loaded(path)
-    out = []
-    for text in texts:
-        total = 0
-        parts = [text]
-        if special is not None and special.search(text):
-            parts = special.split(text)
-            total = len(parts) - 1
-        for part in parts:
-            found = Counter(pieces_of(part))
-            missing = []
-            for piece, times in found.items():
-                length = known.get(piece) or cache.get(piece)
+def stretches(text: str) -> Iterator[list[str]]:
+    """The text cut at its single spaces, in lists of bounded length; every stretch but the very first lost a space."""
+    low = 0
+    while len(text) - low > COUNTED_AT_ONCE:
+        cut = SPACE.search(text, low + COUNTED_AT_ONCE)
+        if cut is None:
+            break
+        yield SPACE.split(text[low : cut.start()])
+        low = cut.end()
+    yield SPACE.split(text[low:] if low else text)
+
+
+class Lengths:
+    """Numbers of tokens: of pre-tokens by the broadcast table and a cache, of stretches by a cache of their own."""
+
+    def __init__(self, path: str, frequent: dict[str, int]) -> None:
+        self.tokenizer, self.special = loaded(path)
+        self.frequent, self.pieces, self.known = frequent, {}, {}
+
+    def learn(self, wanted: set[str]) -> dict[str, int]:
+        """Numbers of tokens of texts; those of their pre-tokens come from the table, the cache or the library."""
+        cut = {text: pieces_of(text) if len(text) > COUNTED_AT_ONCE else PRE_TOKENS.findall(text) for text in wanted}
+        out = {}
+        for text, pieces in cut.items():
+            total, missing = 0, Counter()
+            for piece in pieces:
+                length = self.frequent.get(piece) or self.pieces.get(piece)
                 if length is None:
-                    missing.append(piece)
+                    missing[piece] += 1
                 else:
-                    total += times * length
+                    total += length
             if missing:
-                if len(cache) > CACHED:
-                    cache.clear()
-                for piece, made in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                    length = len(made.ids)
-                    total += found[piece] * length
+                if len(self.pieces) > CACHED:
+                    self.pieces.clear()
+                asked = list(missing)
+                for piece, made in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
+                    total += missing[piece] * len(made.ids)
                     if len(piece) <= LONGEST_KEPT:
-                        cache[piece] = length
-        out.append(total)
-    return out
+                        self.pieces[piece] = len(made.ids)
+            out[text] = total
+        return out
+
+    def of(self, text: str) -> int:
+        total, parts = 0, [text]
+        if self.special is not None and self.special.search(text):
+            parts = self.special.split(text)
+            total = len(parts) - 1
+        for part in parts:
+            first = True
+            for cut in stretches(part):
+                if first and cut[0]:
+                    total += self.learn({cut[0]})[cut[0]]
+                rest = cut[1:] if first else cut
+                first = False
+                new = set(rest) - self.known.keys()
+                passing = {}
+                if new:
+                    if len(self.known) > CACHED:
+                        self.known.clear()
+                        new = set(rest)
+                    for text_of, length in self.learn({" " + s for s in new}).items():
+                        (self.known if len(text_of) <= LONGEST_KEPT else passing)[text_of[1:]] = length
+                if passing:
+                    total += sum(passing[s] if s in passing else self.known[s] for s in rest)
+                else:
+                    total += sum(map(self.known.__getitem__, rest))
+        return total
 
 
-#: Lengths that this worker has found so far, by tokenizer file.
-_caches: dict[str, dict[str, int]] = {}
+def counted(path: str, texts: list[str], frequent: dict[str, int], cache: dict[str, int]) -> list[int]:
+    """Number of tokens of each text, with a table of frequent pre-tokens and a cache of others."""
+    lengths = Lengths(path, frequent)
+    lengths.pieces = cache
+    return [lengths.of(text) for text in texts]
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", entries: int = FREQUENT, sampled: int = SAMPLED) -> dict[str, int]:
@@ -127,9 +174,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cache = shared.value, _caches.setdefault(path, {})
+        lengths = Lengths(path, shared.value)
         for batch in batches:
-            n = counted(path, [t.as_py() for t in batch.column(2)], known, cache)
+            n = [lengths.of(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

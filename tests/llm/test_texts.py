@@ -9,6 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomprep.llm import tokens
 from loomprep.llm.language import PLACES, Model, below, folded, identify, last_places, train, vocabulary
 from loomprep.llm.pieces import decode, dictionary, encode, pieces_of
 from loomprep.llm.pii import pseudonymise
@@ -78,6 +79,22 @@ def test_every_character_is_cut_as_the_library_cuts_it(bpe):
     assert counted(bpe, texts, {}, {}) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_cuts_at_single_spaces_change_no_count(bpe):
+    library = Tokenizer.from_file(bpe)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for pattern in ("x {0}y", "{0} {0}", "x{0} 's", ". {0} {0}  {0} "):
+        texts = ["|".join(pattern.format(c) for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+        assert counted(bpe, texts, {}, {}) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_texts_and_full_caches_change_no_count(bpe, monkeypatch):
+    library = Tokenizer.from_file(bpe)
+    texts = ["", " ", "ab " * 50 + " " + "日本" * 40 + "\n\n x  y <|endoftext|> z" * 9, "word" * 100, "a " * 99 + "<|endoftext|> b"]
+    monkeypatch.setattr(tokens, "COUNTED_AT_ONCE", 7)
+    monkeypatch.setattr(tokens, "CACHED", 2)
+    assert counted(bpe, texts * 2, {"ab": 1, " ab": 1}, {}) == 2 * [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_forward_sums_all_segmentations(pieces):
     import numpy as np
 
