@@ -51,6 +51,12 @@ def unpacked(value: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value)
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Values spread over all 64 bits, one to one."""
+    values = (values ^ (values >> np.uint64(29))) * np.uint64(MIX)
+    return values ^ (values >> np.uint64(32))
+
+
 def gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
     """64-bit hash of the ``gram`` bytes from every place."""
     whole, have, part, size, power = None, 0, LETTERS[octets], 1, BASE
@@ -68,8 +74,7 @@ def gram_hashes(octets: np.ndarray, gram: int) -> np.ndarray:
             n = len(octets) - 2 * size + 1
             part = part[:n] * np.uint64(power) + part[size : size + n]
             size, power = 2 * size, power * power % (1 << 64)
-    whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(MIX)
-    return whole ^ (whole >> np.uint64(32))
+    return mixed(whole)
 
 
 def least_of_runs(values: np.ndarray, run: int) -> np.ndarray:
@@ -105,7 +110,7 @@ def fragments(octets: np.ndarray, sizes: np.ndarray, valid: np.ndarray, length:
     if not found:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     start, count, hashed = (np.concatenate(c) for c in zip(*found, strict=True))
-    return start, count, hashed, np.searchsorted(ends, start, "right")
+    return start, count, mixed(hashed), np.searchsorted(ends, start, "right")  # the least of many hashes is small
 
 
 def slots(hashed: np.ndarray, buckets: int) -> np.ndarray:
