@@ -116,7 +116,7 @@ class Lengths:
                     total += self.learn({cut[0]})[cut[0]]
                 rest = cut[1:] if first else cut
                 first = False
-                new = set(rest) - self.known.keys()
+                new = {s for s in rest if s not in self.known}
                 passing = {}
                 if new:
                     if len(self.known) > CACHED:
