@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -81,29 +82,37 @@ class Lengths:
         self.tokenizer, self.special = loaded(path)
         self.frequent, self.pieces, self.known = frequent, {}, {}
 
-    def learn(self, wanted: set[str]) -> dict[str, int]:
+    def encoded(self, pieces: list[str]) -> None:
+        """Ask the library for pre-tokens that neither table has."""
+        for piece, made in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
+            self.pieces[piece] = len(made.ids)
+
+    def learn(self, wanted: list[str]) -> list[int]:
         """Numbers of tokens of texts; those of their pre-tokens come from the table, the cache or the library."""
-        cut = {text: pieces_of(text) if len(text) > COUNTED_AT_ONCE else PRE_TOKENS.findall(text) for text in wanted}
-        out = {}
-        for text, pieces in cut.items():
-            total, missing = 0, Counter()
-            for piece in pieces:
-                length = self.frequent.get(piece) or self.pieces.get(piece)
-                if length is None:
-                    missing[piece] += 1
-                else:
-                    total += length
-            if missing:
-                if len(self.pieces) > CACHED:
-                    self.pieces.clear()
-                asked = list(missing)
-                for piece, made in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
-                    total += missing[piece] * len(made.ids)
-                    if len(piece) <= LONGEST_KEPT:
-                        self.pieces[piece] = len(made.ids)
-            out[text] = total
+        if sum(map(len, wanted)) > COUNTED_AT_ONCE and len(wanted) > 1:
+            return [self.learn([text])[0] for text in wanted]
+        if len(wanted) == 1 and len(wanted[0]) > COUNTED_AT_ONCE:
+            return [self.long(wanted[0])]
+        frequent, pieces = self.frequent, self.pieces
+        cut = list(map(PRE_TOKENS.findall, wanted))
+        missing = {p for found in cut for p in found if p not in frequent and p not in pieces}
+        if missing:
+            if len(pieces) > CACHED:  # what was emptied is asked for again
+                pieces.clear()
+                missing = {p for found in cut for p in found if p not in frequent}
+            self.encoded(list(missing))
+        out = [sum([frequent.get(p) or pieces[p] for p in found]) for found in cut]
+        for piece in missing:
+            if len(piece) > LONGEST_KEPT:
+                del pieces[piece]
         return out
 
+    def long(self, text: str) -> int:
+        total, found = 0, pieces_of(text)
+        while some := list(islice(found, CACHED)):
+            total += sum(len(made.ids) for made in self.tokenizer.encode_batch(some, add_special_tokens=False))
+        return total
+
     def of(self, text: str) -> int:
         total, parts = 0, [text]
         if self.special is not None and self.special.search(text):
@@ -113,21 +122,20 @@ class Lengths:
             first = True
             for cut in stretches(part):
                 if first and cut[0]:
-                    total += self.learn({cut[0]})[cut[0]]
+                    total += self.learn([cut[0]])[0]
                 rest = cut[1:] if first else cut
                 first = False
                 new = {s for s in rest if s not in self.known}
-                passing = {}
                 if new:
                     if len(self.known) > CACHED:
                         self.known.clear()
                         new = set(rest)
-                    for text_of, length in self.learn({" " + s for s in new}).items():
-                        (self.known if len(text_of) <= LONGEST_KEPT else passing)[text_of[1:]] = length
-                if passing:
-                    total += sum(passing[s] if s in passing else self.known[s] for s in rest)
-                else:
-                    total += sum(map(self.known.__getitem__, rest))
+                    asked = list(new)
+                    self.known.update(zip(asked, self.learn([" " + s for s in asked]), strict=True))
+                total += sum(map(self.known.__getitem__, rest))
+                for s in new:
+                    if len(s) > LONGEST_KEPT:
+                        del self.known[s]
         return total
 
 

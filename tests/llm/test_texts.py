@@ -82,9 +82,8 @@ def test_every_character_is_cut_as_the_library_cuts_it(bpe):
 def test_cuts_at_single_spaces_change_no_count(bpe):
     library = Tokenizer.from_file(bpe)
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
-    for pattern in ("x {0}y", "{0} {0}", "x{0} 's", ". {0} {0}  {0} "):
-        texts = ["|".join(pattern.format(c) for c in points[i : i + 500]) for i in range(0, len(points), 500)]
-        assert counted(bpe, texts, {}, {}) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(f"x {c}y{c} 's {c} {c}  {c} |" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    assert counted(bpe, texts, {}, {}) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_long_texts_and_full_caches_change_no_count(bpe, monkeypatch):
