@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,6 +25,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are dealt by ``column``: joins on it move only the other side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the smallest node it can reach.
 

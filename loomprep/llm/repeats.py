@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from loomprep.llm import suffixes
-from loomprep.llm.common import written
+from loomprep.llm.common import bucketed, written
 
 LENGTH = 50
 GRAM = 16
@@ -37,6 +37,8 @@ STRINGS_AT_ONCE = 1 << 20
 MEMORY = 96 << 20  # bytes that an array or queue of a shard's sort may take before it goes to disk
 TOGETHER = 64 << 20  # bytes of distinct fragments that a shard remembers to recognise equal ones
 
+MOST_BUCKETS = 100_000  # files of a table that Spark deals by a key
+
 _draw = np.random.default_rng(11)
 LETTERS = _draw.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, MIX = (int(x) | 1 for x in _draw.integers(1 << 62, 1 << 63, 2, np.uint64))
@@ -44,13 +46,24 @@ BASE, MIX = (int(x) | 1 for x in _draw.integers(1 << 62, 1 << 63, 2, np.uint64))
 
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
 
 
 def unpacked(value: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value)
 
 
+def columns_packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers as one compressed value: all first bytes, all second bytes and so on."""
+    octets = np.stack([np.asarray(c, np.int64) for c in columns]).view(np.uint8)
+    return packed(np.ascontiguousarray(octets.reshape(len(columns), -1, 8).transpose(0, 2, 1)))
+
+
+def columns_unpacked(value: bytes, columns: int) -> np.ndarray:
+    octets = np.frombuffer(unpacked(value), np.uint8).reshape(columns, 8, -1)
+    return np.ascontiguousarray(octets.transpose(0, 2, 1)).view(np.int64)[..., 0]
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Values spread over all 64 bits, one to one."""
     values = (values ^ (values >> np.uint64(29))) * np.uint64(MIX)
@@ -177,7 +190,7 @@ def packs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, "pack bigint, size bigint, facts binary, texts binary")
 
 
-#: What goes to packs: kind 0 to 2 are answers and notes by bucket, kind 9 the pack itself.
+#: What packs, buckets and shards tell each other.
 ITEM = "pack bigint, kind int, bucket int, a binary, b binary"
 
 
@@ -251,10 +264,10 @@ def repeated_hashes(sent: DataFrame, buckets: int) -> DataFrame:
     return together.mapInArrow(run, ITEM)
 
 
-def with_packs(packs: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
-    """Every pack after its answers, which are in the order of kinds and buckets."""
-    own = packs.select("pack", F.lit(9).alias("kind"), F.lit(0).alias("bucket"), F.col("facts").alias("a"), F.col("texts").alias("b"))
-    return answers.select(*own.columns).unionByName(own).repartition(buckets, "pack").sortWithinPartitions("pack", "kind", "bucket")
+def with_packs(packs: DataFrame, told: DataFrame) -> DataFrame:
+    """(pack, facts, texts, told) of every pack: what it was told, a list as long as what it sent."""
+    lists = told.groupBy("pack").agg(F.collect_list(F.struct("kind", "bucket", "a", "b")).alias("told"))
+    return packs.join(lists, "pack", "left").select("pack", "facts", "texts", "told")
 
 
 def sent_fragments(packs: DataFrame, repeated: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -262,13 +275,10 @@ def sent_fragments(packs: DataFrame, repeated: DataFrame, length: int, buckets:
     for the pack of where its fragments stand and which they are in which shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in gathered(batches, "pack"):
-            bits = {}
-            for row in rows:
-                if row["kind"] == 0:
-                    bits[row["bucket"]] = np.frombuffer(row["a"], np.uint8)
-                    continue
-                pack = Pack(row["a"], row["b"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                number, pack = row["pack"], Pack(row["facts"], row["texts"])
+                bits = {t["bucket"]: np.frombuffer(t["a"], np.uint8) for t in row["told"] or ()}
                 start, count, hashed, text = fragments(pack.octets, pack.sizes, pack.valid, length)
                 distinct, place, _, _ = distinct_slots(slots(hashed, buckets))
                 often = [np.unpackbits(bits[b], count=high - low) for b, low, high in by_bucket(distinct)]
@@ -289,10 +299,10 @@ def sent_fragments(packs: DataFrame, repeated: DataFrame, length: int, buckets:
                     inside[own] = np.arange(high - low)
                     texts = [kept[i] for i in own]
                     sizes = np.array([len(t) for t in texts], np.int64)
-                    yield items((number, 1, int(home[own[0]]), np.concatenate([sizes, owner[own]]).tobytes(), packed(np.frombuffer(b"".join(texts), np.uint8))))
-                yield items((number, 2, 0, packed(start, count, text, shard, inside[which]), b""))
+                    yield items((number, 1, int(home[own[0]]), columns_packed(sizes, owner[own]), packed(np.frombuffer(b"".join(texts), np.uint8))))
+                yield items((number, 2, 0, columns_packed(np.diff(start, prepend=0), count, shard, inside[which]), b""))
 
-    return with_packs(packs, repeated, buckets).mapInArrow(run, ITEM)
+    return with_packs(packs, repeated).mapInArrow(run, ITEM)
 
 
 def first_documents(space: suffixes.Space, text: np.ndarray, want: np.ndarray, owner_of: np.ndarray, strings: int, length: int) -> np.ndarray:
@@ -331,8 +341,7 @@ def sorted_shards(sent: DataFrame, length: int, buckets: int, memory: int) -> Da
                 space, seen, held = suffixes.Space(folder, memory), {}, 0
                 packs, asked, sizes, owners = [], [], [], []
                 for row in rows:
-                    facts = np.frombuffer(row["a"], np.int64)
-                    own, owner = np.split(facts, 2)
+                    own, owner = columns_unpacked(row["a"], 2)
                     whole, low, which = unpacked(row["b"]), 0, []
                     for size, smallest in zip(own.tolist(), owner.tolist(), strict=True):
                         fragment = whole[low : low + size]
@@ -383,8 +392,8 @@ def sorted_shards(sent: DataFrame, length: int, buckets: int, memory: int) -> Da
                 for pack, which in zip(packs, asked, strict=True):
                     marked = which[touched[which]]
                     bits = [smaller[before[i] : before[i + 1]] for i in marked]
-                    facts = (owner[which], touched[which], np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8))
-                    yield items((pack, 1, bucket, packed(*facts), np.array([len(which)], np.int64).tobytes()))
+                    facts = np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8)
+                    yield items((pack, 1, bucket, columns_packed(owner[which], touched[which]), packed(facts)))
                 del octets, text, want, of, smaller, touched, ends
 
     together = sent.where("kind = 1").repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -415,28 +424,28 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError("ids must be integral")
     spark = docs.sparkSession
-    packs = written(packs_of(docs, id_col, text_col), "repeats-packs")
-    octets = packs.agg(F.sum("size")).first()[0] or 0
+    octets = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), octets >> SHARE, 1)
+    packs = bucketed(packs_of(docs, id_col, text_col), "repeats-packs", "pack", min(buckets, MOST_BUCKETS))
     repeated = written(repeated_hashes(sent_hashes(packs, length, buckets), buckets), "repeats-hashes")
     sent = written(sent_fragments(packs, repeated, length, buckets), "repeats-fragments")
     answers = written(sorted_shards(sent, length, buckets, memory), "repeats-found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for _, rows in gathered(batches, "pack"):
-            told, note = {}, None
-            for row in rows:
-                if row["kind"] == 1:
-                    n = int(np.frombuffer(row["b"], np.int64)[0])
-                    facts = unpacked(row["a"])
-                    told[row["bucket"]] = (np.frombuffer(facts, np.int64, n), np.frombuffer(facts, bool, n, 8 * n), np.frombuffer(facts, np.uint8, -1, 9 * n))
-                    continue
-                if row["kind"] == 2:
-                    note = np.frombuffer(unpacked(row["a"]), np.int64).reshape(5, -1)
-                    continue
-                pack = Pack(row["a"], row["b"])
-                start, count, text, shard, inside = note
+        for batch in batches:
+            for row in batch.to_pylist():
+                pack = Pack(row["facts"], row["texts"])
+                told, note = {}, np.zeros((4, 0), np.int64)
+                for t in row["told"] or ():
+                    if t["kind"] == 1:
+                        owner, touch = columns_unpacked(t["a"], 2)
+                        told[t["bucket"]] = (owner, touch > 0, np.frombuffer(unpacked(t["b"]), np.uint8))
+                    else:
+                        note = columns_unpacked(t["a"], 4)
+                step, count, shard, inside = note
+                start = np.cumsum(step)
+                text = np.searchsorted(np.cumsum(pack.sizes), start, "right")
                 # One list of all fragments the pack sent: first document, whether bits follow, where they begin.
                 base = np.zeros(buckets, np.int64)
                 owners, touched, sizes, bits = [], [], [], []
@@ -478,4 +487,4 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = answers.unionByName(sent.where("kind = 2"))
     schema = "id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
-    return with_packs(packs, whole, buckets).mapInArrow(run, schema)
+    return with_packs(packs, whole).mapInArrow(run, schema)
