@@ -4,12 +4,13 @@ Byte-level BPE cuts a text into pre-tokens and encodes each by itself, so a text
 The lengths of the most frequent ones (of a bounded sample; they only save time) are broadcast. A single space between two
 other characters always begins a pre-token, so a text is cut there first: the number of tokens of a stretch between two such
 spaces is kept in a cache of the worker. A stretch that is not there is cut into pre-tokens, and those that are not in the
-broadcast table are encoded by the library. Both caches are emptied when full.
+broadcast table are encoded by the library. Both caches are bounded.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,6 +40,7 @@ PRE_TOKENS = regex.compile(
 @lru_cache(maxsize=2)
 def loaded(path: str) -> tuple[Tokenizer, regex.Pattern | None]:
     """The library's tokenizer and the pattern of its special strings; raises where counts would not add up."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; handing words to threads costs more than it saves
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -80,7 +82,7 @@ class Lengths:
 
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
         self.tokenizer, self.special = loaded(path)
-        self.frequent, self.pieces, self.known = frequent, {}, {}
+        self.frequent, self.pieces, self.known, self.passed = frequent, {}, {}, 0
 
     def encoded(self, pieces: list[str]) -> None:
         """Ask the library for pre-tokens that neither table has."""
@@ -127,14 +129,17 @@ class Lengths:
                 first = False
                 new = {s for s in rest if s not in self.known}
                 if new:
-                    if len(self.known) > CACHED:
+                    if self.passed > CACHED:
                         self.known.clear()
-                        new = set(rest)
+                        self.passed, new = 0, set(rest)
                     asked = list(new)
                     self.known.update(zip(asked, self.learn([" " + s for s in asked]), strict=True))
                 total += sum(map(self.known.__getitem__, rest))
+                # A full cache keeps what it has, which is mostly what is frequent, until as many others have passed by.
+                full = len(self.known) > CACHED
+                self.passed += len(new) if full else 0
                 for s in new:
-                    if len(s) > LONGEST_KEPT:
+                    if full or len(s) > LONGEST_KEPT:
                         del self.known[s]
         return total
 
