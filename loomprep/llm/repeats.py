@@ -31,7 +31,7 @@ from loomprep.llm.common import bucketed, written
 
 LENGTH = 50
 GRAM = 16
-PACK = 1 << 22  # bytes of text in a pack; a longer text is a pack of its own
+PACK = 1 << 23  # bytes of text in a pack; a longer text is a pack of its own
 SHARE = 23  # a bucket or shard for so many bits of text bytes
 STRINGS_AT_ONCE = 1 << 20
 MEMORY = 96 << 20  # bytes that an array or queue of a shard's sort may take before it goes to disk

@@ -18,7 +18,7 @@ from pathlib import Path
 
 import numpy as np
 
-BLOCK = 1 << 20  # positions that are worked on at a time
+BLOCK = 1 << 18  # positions that are worked on at a time
 
 
 class Space:
@@ -37,6 +37,24 @@ class Space:
         return np.memmap(self.file(), dtype, "w+", shape=(n,))
 
 
+def sorting(key: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    """Order by key, then sub; rows that agree in both in any order."""
+    low, high = key.min(), key.max()
+    if low == high:
+        return np.argsort(sub)
+    if sub.min() == sub.max():
+        return np.argsort(key)
+    # One number for both, by the ranks of sub, is sorted faster than one after the other.
+    order = np.argsort(sub)
+    ordered = sub[order]
+    rank = np.zeros(len(sub), np.uint64)
+    rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1], dtype=np.uint64)
+    ranks = int(rank.max()) + 1
+    if int(high) * ranks >= 1 << 64:
+        return np.lexsort((sub, key))
+    return np.argsort(key * np.uint64(ranks) + rank)
+
+
 class Queue:
     """Priority queue of rows (key, sub, ...) that takes in blocks and gives out blocks in ascending order."""
 
@@ -52,8 +70,7 @@ class Queue:
 
     def _sorted(self, rows: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
         columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        key, sub = columns[:2]
-        order = np.argsort(sub) if key[0] == key.min() == key.max() else np.lexsort((sub, key))
+        order = sorting(*columns[:2])
         return [c[order] for c in columns]
 
     def _write(self) -> None:
@@ -182,7 +199,7 @@ def named(space: Space, symbols: np.ndarray, wanted: Iterator[tuple[np.ndarray,
     A stretch that is the beginning of a longer one is greater: its last symbol is a minimum, so it goes on upwards, where
     the longer one goes down.
     """
-    n = len(symbols)
+    n, small = len(symbols), np.int32 if max(len(symbols), total) < 1 << 31 else np.int64
     greatest = max((int(symbols[low : low + BLOCK].max()) for low in range(0, n, BLOCK)), default=0)
     bits = (greatest + 3).bit_length()
     beyond, each = (1 << bits) - 1, 63 // bits
@@ -191,16 +208,17 @@ def named(space: Space, symbols: np.ndarray, wanted: Iterator[tuple[np.ndarray,
         out = np.zeros(len(q), np.uint64)
         for t in range(each):
             i = q + (turn * each + t)
-            code = symbols[np.minimum(i, n - 1)].astype(np.int64) + 1
-            code[i == n] = 0
+            code = symbols[np.minimum(i, n - 1)].astype(np.uint64) + np.uint64(1)
+            if len(i) and i.max() >= n:
+                code[i == n] = 0
             code[i > e] = beyond
-            out = (out << np.uint64(bits)) | code.astype(np.uint64)
+            out = (out << np.uint64(bits)) | code
         return out
 
     names = Placed(space, total, np.int64)
     queue, slot, turn = Queue(space), 0, 0
     for q, e in wanted:
-        queue.push(np.zeros(len(q), np.uint64), word(q, e, 0), np.arange(slot, slot + len(q)), q, e)
+        queue.push(np.zeros(len(q), np.uint64), word(q, e, 0), np.arange(slot, slot + len(q), dtype=small), q.astype(small), e.astype(small))
         slot += len(q)
     while True:
         further, seen, empty = Queue(space), 0, True
@@ -246,6 +264,8 @@ def suffixes(
     common prefix of ``depth``. ``want`` marks positions (default: all); index counts the wanted ones from 0. The other
     arguments are for the levels below the text: its own symbols and the place of each symbol in it.
     """
+    if not 0 < depth < 256:
+        raise ValueError("depth is 1 to 255")
     n = len(symbols)
     text = symbols if text is None else text
 
@@ -311,7 +331,7 @@ def suffixes(
     ranks.push(np.array([m]), np.array([0]))
     ranks = ranks.read()
     least = Least(space, shared)
-    queue, slot, index = Queue(space), 0, 0
+    queue, slot, index, small = Queue(space), 0, 0, np.int32 if n < 1 << 31 else np.int64
     for q, k, _ in blocks():
         name, keep = names[slot : slot + len(q)], slice(None)
         slot += len(q)
@@ -320,7 +340,7 @@ def suffixes(
         q, k, name = q[keep], k[keep], name[keep]
         stretch = np.minimum(place(minima[k]) - place(q), depth)
         end = np.where(stretch < depth, ranks[k], 0)
-        queue.push(name.astype(np.uint64) * np.uint64(m + 1) + end.astype(np.uint64), np.zeros(len(q), np.uint64), np.arange(index, index + len(q)), q, stretch)
+        queue.push(name.astype(np.uint64) * np.uint64(m + 1) + end.astype(np.uint64), np.zeros(len(q), np.uint64), np.arange(index, index + len(q), dtype=small), q.astype(small), stretch.astype(np.uint8))
         index += len(q)
     last = None
     for key, _, index, q, stretch in queue.pop():
@@ -333,7 +353,7 @@ def suffixes(
         full = same & (stretch >= depth)
         prefix[full] = depth
         rest = np.flatnonzero(same & ~full & (end[1:] > end[:-1]))
-        prefix[rest] = np.minimum(depth, stretch[rest] + least.of(end[rest] + 1, end[rest + 1]).astype(np.int64))
+        prefix[rest] = np.minimum(depth, stretch[rest].astype(np.int64) + least.of(end[rest] + 1, end[rest + 1]).astype(np.int64))
         if last is None:
             prefix[0] = 0
         last = (key[-1], q[-1])
