@@ -30,7 +30,7 @@ from loomprep.llm import suffixes
 from loomprep.llm.common import bucketed, written
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 PACK = 1 << 23  # bytes of text in a pack; a longer text is a pack of its own
 SHARE = 23  # a bucket or shard for so many bits of text bytes
 STRINGS_AT_ONCE = 1 << 20
