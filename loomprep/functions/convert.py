@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomprep.functions.columns import col, field, is_numeric, is_string, is_temporal, with_column
@@ -23,6 +25,9 @@ MONTH_NAME = (
 )
 MONTH_FIRST = rf"^({MONTH_NAME})[ -](\d{{1,2}})(?:st|nd|rd|th)?,?[ -](\d{{4}})(?=[ T]|$)"
 MONTH_SECOND = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]({MONTH_NAME}),?[ -](\d{{4}})(?=[ T]|$)"
+# How every date begins, in one look: most texts are settled by it. None is longer than LONGEST_DATE.
+POSSIBLE = r"^(?:\d{8}$|\d{1,4}[-/.]\d|\d{1,2}(?:st|nd|rd|th|ST|ND|RD|TH|St|Nd|Rd|Th|sT|nD|rD|tH)?[ -][A-Za-z]|[A-Za-z]{3,9}\.?[ -]\d)"
+LONGEST_DATE = 64
 # Two-digit years from this one on belong to the last century.
 CENTURY = 69
 
@@ -41,8 +46,13 @@ def numeric_value(value: Column, data_type: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def _plain_date(text: Column) -> Column:
-    """Month names, two-digit years, compact dates and half-day clocks written as numbers; other texts as they are."""
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once and stands once in the plan, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _plain_day(text: Column) -> Column:
+    """Month names, two-digit years and compact dates written as numbers; other texts as they are."""
 
     def named(pattern: str, month: int, day: int) -> Column:
         name = F.lower(F.substring(F.regexp_extract(text, pattern, month), 1, 3))
@@ -53,13 +63,17 @@ def _plain_date(text: Column) -> Column:
     year = F.regexp_extract(text, SHORT_YEAR, 2)
     century = F.when(year >= str(CENTURY), "19").otherwise("20")
     longer = F.concat(F.regexp_extract(text, SHORT_YEAR, 1), century, year, F.regexp_replace(text, SHORT_YEAR, ""))
-    date = (
+    return (
         F.when(text.rlike(COMPACT), F.regexp_replace(text, COMPACT, "$1-$2-$3"))
         .when(text.rlike(SHORT_YEAR), longer)
         .when(text.rlike(MONTH_FIRST), named(MONTH_FIRST, 1, 2))
         .when(text.rlike(MONTH_SECOND), named(MONTH_SECOND, 2, 1))
         .otherwise(text)
     )
+
+
+def _plain_clock(date: Column) -> Column:
+    """A half-day clock at the end of a date written over the whole day."""
     hour = F.regexp_extract(date, HALF_DAY, 1).try_cast("int") % 12
     hour = hour + F.when(F.lower(F.regexp_extract(date, HALF_DAY, 4)) == "p", 12).otherwise(0)
     minutes = F.regexp_extract(date, HALF_DAY, 2)
@@ -73,15 +87,18 @@ def datetime_value(value: Column, data_type: T.DataType) -> Column:
         return value.cast("timestamp")
     if not is_string(data_type):
         return F.lit(None).cast("timestamp")
-    # A text of another shape fails at its first characters. With the year last, the month is tried first.
-    text = _plain_date(F.trim(value))
 
-    def read(pattern: str, order: str) -> Column:
-        return F.regexp_replace(text, pattern, order).try_cast("timestamp")
+    def read(text: Column) -> Column:
+        # A text of another shape fails at its first characters. With the year last, the month is tried first.
+        def moment(pattern: str, order: str) -> Column:
+            return F.regexp_replace(text, pattern, order).try_cast("timestamp")
 
-    return F.when(text.rlike(YEAR_FIRST), read(YEAR_FIRST, "$1-$2-$3 $4")).when(
-        text.rlike(YEAR_LAST), F.coalesce(read(YEAR_LAST, "$3-$1-$2 $4"), read(YEAR_LAST, "$3-$2-$1 $4"))
-    )
+        last = F.coalesce(moment(YEAR_LAST, "$3-$1-$2 $4"), moment(YEAR_LAST, "$3-$2-$1 $4"))
+        return F.when(text.rlike(YEAR_FIRST), moment(YEAR_FIRST, "$1-$2-$3 $4")).when(text.rlike(YEAR_LAST), last)
+
+    whole = F.trim(value)
+    found = _bound(whole, lambda text: _bound(_plain_day(text), lambda date: _bound(_plain_clock(date), read)))
+    return F.when((F.length(whole) <= LONGEST_DATE) & whole.rlike(POSSIBLE), found)
 
 
 def boolean_value(value: Column) -> Column:

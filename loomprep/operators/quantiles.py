@@ -3,7 +3,7 @@
 A random sample proposes cut values around each wanted rank, an exact count tells which gap between cuts
 holds the rank, and only that gap is looked at again. When a gap holds few rows they are sorted in one
 aggregate. The sample only steers; the answer is exact whatever it proposes, and equal values (however many)
-are settled by the count alone. All columns go through a round together: one job samples, one counts.
+are settled by the count alone. Sketches, counts and sorted gaps are aggregates of single columns: no row is multiplied or joined.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomprep.functions.columns import chunked, collect_aggregates, run_jobs
+from loomprep.functions.columns import collect_aggregates, run_jobs
 
 # A gap of at most this many rows is sorted inside one aggregate buffer.
 SORTED_ROWS = 100_000
@@ -24,8 +24,8 @@ LARGEST_SAMPLE = 5_000_000
 
 # Quantiles of the sample that cuts are chosen from.
 GRID = 1_000
-# One generated row per column and input row: wider tables take several scans of few columns each.
-COLUMNS_PER_SCAN = 64
+# Rows that the sorted gaps of one job hold together.
+ROWS_A_JOB = 500_000
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,9 @@ def exact_quantiles(
         counts = collect_aggregates(df, {n: F.count(columns[n]) for n in names})
     out: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in names}
 
-    def job(part: Sequence[str]):
-        return lambda: _quantiles(df, {n: columns[n] for n in part}, [int(counts[n]) for n in part], probabilities, sorted_rows)
-
-    for part in run_jobs([job(part) for part in chunked([n for n in names if counts[n]], COLUMNS_PER_SCAN)]):
-        out.update(part)
+    present = [n for n in names if counts[n]]
+    sizes = [int(counts[n]) for n in present]
+    out.update(_quantiles(df, {n: columns[n] for n in present}, sizes, probabilities, sorted_rows))
     return out
 
 
@@ -73,8 +71,7 @@ def approximate_quantiles(
 def _quantiles(
     df: DataFrame, columns: Mapping[str, Column], sizes: Sequence[int], probabilities: Sequence[float], sorted_rows: int
 ) -> dict[str, list[float | None]]:
-    entries = [F.struct(F.lit(i).alias("c"), e.alias("v")) for i, e in enumerate(columns.values())]
-    values = df.select(F.explode(F.array(*entries)).alias("e")).select("e.c", "e.v").where(F.col("v").isNotNull())
+    values = df.select([e.alias(f"v{i}") for i, e in enumerate(columns.values())])
     positions = [[p * (n - 1) for p in probabilities] for n in sizes]
     wanted = [sorted({r for x in xs for r in (math.floor(x), min(math.ceil(x), n - 1))}) for xs, n in zip(positions, sizes)]
     found = _order_statistics(values, [Gap(c, None, None, 0, n, tuple(r)) for c, (n, r) in enumerate(zip(sizes, wanted))], sorted_rows)
@@ -98,16 +95,10 @@ def _order_statistics(values: DataFrame, gaps: Sequence[Gap], sorted_rows: int)
         round_number += 1
         shares = [1.0 if g in unlucky else min(1.0, min(max(SAMPLE_ROWS, g.size // 1000), LARGEST_SAMPLE) / g.size) for g in wide]
         proposed = _sampled_grid(values, wide, shares, round_number)
+        cuts = [_cuts(g, proposed[i], shares[i]) for i, g in enumerate(wide)]
         narrowed = [g for g in gaps if g.size <= sorted_rows]
-        cells: list[tuple[int, float | None, float | None, bool]] = []
-        for i, g in enumerate(wide):
-            cuts = _cuts(g, proposed.get(i), shares[i])
-            ends = [g.low, *cuts, g.high]
-            cells += [(i, low, high, False) for low, high in zip(ends, ends[1:])] + [(i, x, x, True) for x in cuts]
-        counted = _counted(values, [(wide[i].column, low, high, point) for i, low, high, point in cells])
-        for i, g in enumerate(wide):
-            own = {(low, high, point): n for (j, low, high, point), n in zip(cells, counted) if j == i}
-            parts = _narrow(g, own, found)
+        for g, counts in zip(wide, _counted(values, wide, cuts)):
+            parts = _narrow(g, counts, found)
             narrowed += parts
             unlucky |= {p for p in parts if p == g}
         gaps = narrowed
@@ -116,24 +107,23 @@ def _order_statistics(values: DataFrame, gaps: Sequence[Gap], sorted_rows: int)
     return found
 
 
-def _placed(values: DataFrame, rows: Sequence[tuple], extra: str = "") -> DataFrame:
-    """Values beside the interval they lie in: (number, column, low, high, point, ...), no two of them overlapping.
-
-    The table of intervals is broadcast; it has a few rows per column and wanted rank.
-    """
-    schema = f"number int, gc int, low double, high double, point boolean{extra}"
-    table = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
-    v, low, high = F.col("v"), F.col("low"), F.col("high")
-    between = (low.isNull() | (v > low)) & (high.isNull() | (v < high))
-    return values.join(table, (F.col("c") == F.col("gc")) & F.when(F.col("point"), v == low).otherwise(between))
+def _inside(gap: Gap) -> Column:
+    """Value of a gap's column where it lies in the gap, else NULL."""
+    v = F.col(f"v{gap.column}")
+    if gap.low is None and gap.high is None:
+        return v
+    above = F.lit(True) if gap.low is None else v > gap.low
+    under = F.lit(True) if gap.high is None else v < gap.high
+    return F.when(above & under, v)
 
 
-def _sampled_grid(values: DataFrame, gaps: Sequence[Gap], shares: Sequence[float], seed: int) -> dict[int, list[float]]:
-    """Evenly spaced quantiles of a sample of every gap that the sample has rows of."""
-    rows = [(i, g.column, g.low, g.high, False, s) for i, (g, s) in enumerate(zip(gaps, shares))]
-    drawn = _placed(values, rows, ", share double").where((F.col("share") >= 1) | (F.rand(seed) < F.col("share")))
-    grid = F.percentile_approx("v", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), 10 * GRID)
-    return {r["number"]: r["grid"] for r in drawn.groupBy("number").agg(grid.alias("grid")).collect()}
+def _sampled_grid(values: DataFrame, gaps: Sequence[Gap], shares: Sequence[float], seed: int) -> list[Sequence[float] | None]:
+    """Evenly spaced quantiles of a sample of every gap that the sample has rows of: sketches that tasks merge."""
+    drawn = values.withColumn("drawn", F.rand(seed))
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    picked = {i: _inside(g) if s >= 1 else F.when(F.col("drawn") < s, _inside(g)) for i, (g, s) in enumerate(zip(gaps, shares))}
+    got = collect_aggregates(drawn, {i: F.percentile_approx(v, grid, 10 * GRID) for i, v in picked.items()})
+    return [got[i] for i in range(len(gaps))]
 
 
 def _cuts(gap: Gap, grid: Sequence[float] | None, share: float) -> list[float]:
@@ -148,18 +138,45 @@ def _cuts(gap: Gap, grid: Sequence[float] | None, share: float) -> list[float]:
     return sorted(picked)
 
 
-def _counted(values: DataFrame, cells: Sequence[tuple[int, float | None, float | None, bool]]) -> list[int]:
-    rows = [(i, *cell) for i, cell in enumerate(cells)]
-    got = {r["number"]: r["n"] for r in _placed(values, rows).groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [got.get(i, 0) for i in range(len(cells))]
+def _counted(values: DataFrame, gaps: Sequence[Gap], cuts: Sequence[Sequence[float]]) -> list[dict[tuple[float | None, float | None, bool], int]]:
+    """Rows of every gap between its cuts and at them, by (low, high, at the cut): counts that each task makes for itself."""
+    exprs = {}
+    for i, (g, own) in enumerate(zip(gaps, cuts)):
+        for c in own:
+            exprs[(i, c, "under")] = F.count_if(_inside(g) < c)
+            exprs[(i, c, "up to")] = F.count_if(_inside(g) <= c)
+    got = collect_aggregates(values, exprs) if exprs else {}
+    out = []
+    for i, (g, own) in enumerate(zip(gaps, cuts)):
+        cells: dict[tuple[float | None, float | None, bool], int] = {}
+        low, passed = g.low, 0
+        for c in own:
+            cells[(low, c, False)] = got[(i, c, "under")] - passed
+            cells[(c, c, True)] = got[(i, c, "up to")] - got[(i, c, "under")]
+            low, passed = c, got[(i, c, "up to")]
+        cells[(low, g.high, False)] = g.size - passed
+        out.append(cells)
+    return out
 
 
 def _sorted_values(values: DataFrame, gaps: Sequence[Gap]) -> dict[tuple[int, int], float]:
-    rows = [(i, g.column, g.low, g.high, False, [r - g.below for r in g.ranks]) for i, g in enumerate(gaps)]
-    inside = F.sort_array(F.collect_list("v"))
-    listed = _placed(values, rows, ", places array<int>").groupBy("number").agg(inside.alias("inside"), F.first("places").alias("places"))
-    picked = listed.select("number", F.transform("places", lambda i: F.get("inside", i)).alias("picked")).collect()
-    return {(gaps[r["number"]].column, rank): x for r in picked for rank, x in zip(gaps[r["number"]].ranks, r["picked"])}
+    """The wanted ranks of small gaps, each sorted in one aggregate; a job takes gaps of a bounded number of rows."""
+    groups: list[list[Gap]] = []
+    for g in gaps:
+        if not groups or sum(x.size for x in groups[-1]) + g.size > ROWS_A_JOB:
+            groups.append([])
+        groups[-1].append(g)
+
+    def job(part: Sequence[Gap]):
+        def run() -> dict[tuple[int, int], float]:
+            listed = values.agg(*[F.sort_array(F.collect_list(_inside(g))).alias(f"g{i}") for i, g in enumerate(part)])
+            picked = [F.get(f"g{i}", F.lit(r - g.below)) for i, g in enumerate(part) for r in g.ranks]
+            keys = [(g.column, r) for g in part for r in g.ranks]
+            return dict(zip(keys, listed.select(*[p.alias(f"p{i}") for i, p in enumerate(picked)]).first()))
+
+        return run
+
+    return {k: v for found in run_jobs([job(part) for part in groups]) for k, v in found.items()}
 
 
 def _narrow(gap: Gap, counts: Mapping[tuple[float | None, float | None, bool], int], found: dict[tuple[int, int], float]) -> list[Gap]:
