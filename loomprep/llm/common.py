@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(name: str, columns: Sequence[str]) -> str:
+    """A column name that is not taken."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: The one large table that this Python worker holds: workers live on after a task, and so would tables of earlier jobs.
+_held: dict[str, Any] = {}
+
+
+def worker_table(key: str, load: Callable[[], Any]) -> Any:
+    """What ``load`` gives for the key, kept until this worker asks for another."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = load()
+    return _held[key]
+
+
 def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder whose files are dealt by ``column``: joins on it move only the other side."""
     spark = df.sparkSession

@@ -7,7 +7,6 @@ each piece by its share in all segmentations of the training words. A text's sco
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -17,11 +16,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from loomprep.llm.common import written
+from loomprep.llm.common import worker_table, written
 
 SAMPLED = 2048  # distinct training texts per language, drawn by a hash of the text
 PLACES = 1 << 62  # range of that hash
@@ -33,7 +33,7 @@ LIFT = 100.0  # per character; keeps products of a short word within the range o
 CACHED = 1 << 18  # words of a worker's cache
 CHARS_AT_ONCE = 1 << 22
 SPACE = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @lru_cache(maxsize=2)
@@ -345,10 +345,6 @@ def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
-#: The scorer of the model this worker saw last.
-_scorers: dict[str, Scorer] = {}
-
-
 def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior; columns that have these names already are replaced.
 
@@ -360,11 +356,9 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
     number = uuid.uuid4().hex  # of this call, by which a worker knows its scorer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _scorers:
-            _scorers.clear()
-            _scorers[number] = Scorer(shared.value)
+        scorer = worker_table(number, lambda: Scorer(shared.value))
         for batch in batches:
-            names, scores = _scorers[number].predict(batch.column(text_col).to_pylist())
+            names, scores = scorer.predict(batch.column(text_col).to_pylist())
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_col, score_col])
 

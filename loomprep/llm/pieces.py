@@ -26,7 +26,7 @@ import sentencepiece
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomprep.llm.common import written
+from loomprep.llm.common import worker_table, written
 from loomprep.session import scratch_path
 
 FREQUENT = 1 << 18  # words of the table that every worker holds
@@ -260,13 +260,10 @@ def encode_alone(path: str, unit: str) -> list[int]:
     return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
 
-#: The table of frequent words that this worker has loaded last: its place, the words' rows, offsets and pieces.
-_frequent: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
-
-
 def frequent_words(place: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    if place not in _frequent:
-        _frequent.clear()
+    """The table of frequent words: the words' rows, offsets and pieces."""
+
+    def load() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
         store, root = fs.FileSystem.from_uri(place)
         rows: dict[str, int] = {}
         sizes, ids = [], []
@@ -275,8 +272,9 @@ def frequent_words(place: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
             sizes.append(batch.column(1).value_lengths().to_numpy().astype(np.int64))
             ids.append(batch.column(1).flatten().to_numpy().astype(np.int32))
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-        _frequent[place] = rows, offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    return _frequent[place]
+        return rows, offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32)
+
+    return worker_table(place, load)
 
 
 def gathered(texts: list[str | None], rare: list[list[dict] | None], place: str) -> pa.ListArray:
@@ -339,7 +337,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     asked = docs.select(key, text_col).mapInArrow(missing, "key bigint, unit string")
     rare = asked.join(words.where(~often).select("unit", "ids"), "unit")
-    per_text = rare.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
+    # Copies of a text ask for the same words: a group holds each once, however many copies there are.
+    per_text = rare.groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("rare"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomprep.llm.common import spare
+
 ROUNDS = 8
 MARK, KEPT, CUT = "\ue000", "\ue001", "\ue002"  # a mark in a text becomes MARK KEPT; MARK CUT stands around a finding
 DAYS = (189, 773)  # their product is the number of days in 400 years
@@ -309,9 +311,10 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
         made = F.transform(parts, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key, undo)).otherwise(x))
         return F.when(F.size(parts) > 1, made).otherwise(parts)
 
-    cut = docs.select(*names, bound(cut_at(guarded, FINDINGS), refined).alias("_parts"))
-    cut = cut.select(*names, "_parts", bound(F.col("_parts"), replaced).alias("_made"))
-    changed = F.coalesce(F.size(F.filter(F.zip_with("_parts", "_made", lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("bigint")
-    whole = F.replace(F.array_join("_made", ""), F.lit(MARK + KEPT), F.lit(MARK))
+    parts, made = (spare(name, docs.columns) for name in ("_parts", "_made"))
+    cut = docs.select(*names, bound(cut_at(guarded, FINDINGS), refined).alias(parts))
+    cut = cut.select(*names, parts, bound(F.col(parts), replaced).alias(made))
+    changed = F.coalesce(F.size(F.filter(F.zip_with(parts, made, lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("bigint")
+    whole = F.replace(F.array_join(made, ""), F.lit(MARK + KEPT), F.lit(MARK))
     shown = [whole.alias(c) if c == text_col else F.col(c) for c in names]
     return cut.select(*shown, *([changed.alias(found_col)] if found_col else []))

@@ -105,7 +105,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text replaces the last floor(n / 2) code points by the first as many, or all, of the next document by
     ascending id; the last is followed by the first. A null text is empty and has the empty fingerprint, as any text
     without words. Rows that share an id follow by the hash of the text; rows that also share the text are one document
-    with one row. A row with a null id has no next document: nothing is put in and ``near_next`` is null. Other columns
+    and come back as often as they came. A row with a null id has no next document: nothing is put in and ``near_next`` is null. Other columns
     are left out.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
@@ -122,14 +122,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = own.select("id", "h", "text", F.explode(stays).alias("at")).select("at.range", "at.visits", "id", "h", "text")
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range")
     keys = ["range", "visits", "id", "h"]
-    single = dealt.groupBy(*keys).agg(F.first("text").alias("text"))
+    single = dealt.groupBy(*keys).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("range").orderBy("visits", "id", "h")
     n = F.char_length("text")
     half = F.expr("char_length(text) div 2").cast("int")
     head = F.when(F.col("id").isNull(), "").otherwise(F.substr(F.coalesce(F.lead("text").over(order), F.lit("")), F.lit(1), half))
-    texts = single.select(*keys, "text", n.cast("bigint").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - half), head).alias("edited"))
+    texts = single.select(*keys, "copies", "text", n.cast("bigint").alias("n_chars"), F.concat(F.substr("text", F.lit(1), n - half), head).alias("edited"))
     facts = texts.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keys += ["n_chars", "edited_sha256"]
+    keys += ["copies", "n_chars", "edited_sha256"]
     made = signatures(facts, keys, ["text", "edited"], samples)
     both = made.groupBy(*keys).agg(
         F.max(F.when(F.col("variant") == 0, packed(samples))).alias("fingerprint"),
@@ -137,6 +137,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     following = F.when(F.col("id").isNotNull(), F.lead("fingerprint").over(order))
     named = both.withColumn("next_fingerprint", following).where("visits = 0")
+    named = named.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
     return named.select(
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),

@@ -225,3 +225,22 @@ def test_pseudonyms_within_longer_runs(spark):
     assert all(luhn(re.sub("[^0-9]", "", r["text"][4:23])[:16]) for r in rows[:2])
     undone = sorted(pseudonymise(made.limit(4), "key", undo=True).collect(), key=lambda r: r["doc_id"])
     assert [r["text"] for r in undone] == [df.collect()[r["doc_id"]]["text"] for r in undone]
+
+
+def test_only_letters_count_as_letters():
+    import unicodedata
+
+    from loomprep.llm.language import LETTER
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    known = [c for c in points if unicodedata.category(c) != "Cn"]
+    assert all((LETTER.search(c) is not None) == unicodedata.category(c).startswith("L") for c in known)
+    assert not LETTER.search("12 ² 34 ½ Ⅷ ①")
+
+
+def test_copies_of_a_text_share_their_rare_words(spark, pieces):
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    text = " ".join(f"qz{i}xv" for i in range(60))
+    df = spark.createDataFrame([(7, text, "x")] * 60 + [(8, "x " + text, "y")], "doc_id bigint, text string, rare string")
+    rows = encode(df, pieces, frequent=0).collect()
+    assert len(rows) == 61 and all(r["ids"] == model.encode(text if r["id"] == 7 else "x " + text) for r in rows)
