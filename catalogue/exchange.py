@@ -24,6 +24,13 @@ def texts_with_line_breaks(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip("conversations", "csv")(spark, d)
 
 
+def texts_over_many_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, every word on a line of its own: most line breaks of the files do not end a record."""
+    lines = F.translate("text", " ", "\n")
+    source = table(spark, d, "documents").select("doc_id", F.concat(lines, F.lit('\n"end", and')).alias("text"), "lang")
+    return read_table(spark, write_table(source, scratch_path(spark, "lines"), "csv"))
+
+
 def flatten_json(spark: SparkSession, d: str) -> DataFrame:
     """Nested records written as JSON Lines, read and flattened to ``parent.child`` columns."""
     nested = table(spark, d, "events").select(
@@ -58,6 +65,10 @@ QUERIES = {
         texts_with_line_breaks,
         "SELECT conv_id, turn, role, text FROM conversations",
     ),
+    "csv_texts_in_parts": (
+        texts_over_many_lines,
+        """SELECT doc_id, replace(text, ' ', chr(10)) || chr(10) || '"end", and' AS text, lang FROM documents""",
+    ),
     "csv_inferred_types": (_round_trip("customer", "csv"), "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, "
                            "c_acctbal, c_mktsegment FROM customer"),
     "tsv_round_trip": (_round_trip("part", "tsv", typed=True), "SELECT * FROM part"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from loomprep.functions.columns import col, collect_aggregates
+from loomprep.functions.columns import chunked, col, collect_aggregates
 from loomprep.functions.convert import NUMBER
 from loomprep.functions.nulls import normalize_nulls
+from loomprep.sources.records import split_records
 
 # Suffix to file type.
 SUFFIXES = {
@@ -78,20 +80,17 @@ def read_delimited(
 ) -> DataFrame:
     """Header row, quoted fields, missing words to NULL, types from the whole columns unless a schema is given.
 
-    Files are split over tasks unless a quoted field crosses a line (checked when ``multi_line`` is None), which
-    only a reader of whole files can follow.
+    A file is split over tasks also where quoted fields cross lines, which is checked when ``multi_line`` is None. Texts of
+    two or four bytes a character are read by a task per file.
     """
+    wide = encoding.upper().replace("-", "").startswith(("UTF16", "UTF32"))
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
     if multi_line is None:
-        multi_line = _crosses_lines(spark, path, encoding)
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-    )
-    raw = reader.csv(path)
+        multi_line = wide or _crosses_lines(spark, path, encoding)
+    if multi_line and not wide:
+        raw = split_records(spark, path, sep, encoding, reader.option("multiLine", True).csv(path).columns)
+    else:
+        raw = reader.option("multiLine", multi_line).csv(path)
     words = raw.select([F.when(~col(c).isin(*MISSING_WORDS), col(c)).alias(c) for c in raw.columns])
     if schema is None:
         return _typed(words)
@@ -100,11 +99,9 @@ def read_delimited(
 
 
 def _crosses_lines(spark: SparkSession, path: str, encoding: str) -> bool:
-    """A line with an odd number of quotes starts or ends a field that goes over the line break."""
-    if encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
-        return True
+    """Whether some line has an odd number of quotes, as one that starts or ends a field over the line break has."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).where(quotes % 2 == 1).head(1))
+    return bool(spark.read.option("encoding", encoding).text(path).where(quotes % 2 == 1).head(1))
 
 
 def _read_as(value, data_type: T.DataType):
@@ -121,25 +118,39 @@ def _typed(words: DataFrame) -> DataFrame:
     Whole numbers that a BIGINT cannot hold become DECIMAL(38, 0), and text where that cannot hold them either: as a DOUBLE
     different ones would read as one.
     """
-    exprs = {}
-    for c in words.columns:
-        text = F.trim(col(c))
-        exprs[(c, "present")] = F.count(col(c))
-        exprs[(c, "whole")] = F.count_if(text.rlike(INTEGER))
-        exprs[(c, "long")] = F.count_if(text.rlike(INTEGER) & text.try_cast("bigint").isNotNull())
-        exprs[(c, "wide")] = F.count_if(text.rlike(INTEGER) & text.try_cast(WIDE_INTEGER).isNotNull())
-        exprs[(c, "number")] = F.count_if(text.rlike(NUMBER) | text.rlike(INFINITY))
-        exprs[(c, "flag")] = F.count_if(col(c).isin(*BOOLEAN_WORDS))
-    seen = collect_aggregates(words, exprs)
+    bits = {
+        "whole": lambda c, text: text.rlike(INTEGER),
+        "long": lambda c, text: text.rlike(INTEGER) & text.try_cast("bigint").isNotNull(),
+        "wide": lambda c, text: text.rlike(INTEGER) & text.try_cast(WIDE_INTEGER).isNotNull(),
+        "number": lambda c, text: text.rlike(NUMBER) | text.rlike(INFINITY),
+        "flag": lambda c, text: col(c).isin(*BOOLEAN_WORDS),
+        "absent": lambda c, text: F.lit(False),
+    }
+
+    def mask(c: str) -> Column:
+        """A bit for everything that a value could be; a missing one could be anything."""
+        marks = [F.when(test(c, F.trim(col(c))), 1 << i).otherwise(0) for i, test in enumerate(bits.values())]
+        return F.when(col(c).isNull(), (1 << len(bits)) - 1).otherwise(reduce(lambda a, b: a + b, marks)).cast("bigint")
+
+    # What all values of a column could be, ten columns in a number: one job for hundreds of columns.
+    together = list(chunked(words.columns, 63 // len(bits)))
+    exprs = {
+        i: F.bit_and(reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(mask(c), len(bits) * j) for j, c in enumerate(part)]))
+        for i, part in enumerate(together)
+    }
+    found = collect_aggregates(words, exprs)
     out = []
-    for c in words.columns:
-        present = seen[(c, "present")]
-        if present and seen[(c, "whole")] == present:
-            fits = seen[(c, "long")] == present
-            target: T.DataType = T.LongType() if fits else WIDE_INTEGER if seen[(c, "wide")] == present else T.StringType()
-        elif present and seen[(c, "number")] == present:
+    for place, c in enumerate(words.columns):
+        number, shift = divmod(place, 63 // len(bits))
+        left = found[number]
+        could = {name: left is not None and bool(left >> (len(bits) * shift + i) & 1) for i, name in enumerate(bits)}
+        if could["absent"] or left is None:
+            target: T.DataType = T.StringType()
+        elif could["whole"]:
+            target = T.LongType() if could["long"] else WIDE_INTEGER if could["wide"] else T.StringType()
+        elif could["number"]:
             target = T.DoubleType()
-        elif present and seen[(c, "flag")] == present:
+        elif could["flag"]:
             target = T.BooleanType()
         else:
             target = T.StringType()
