@@ -143,6 +143,28 @@ def exact_importances(spark: SparkSession, d: str) -> DataFrame:
     return result.importances
 
 
+def exact_forest(spark: SparkSession, d: str) -> DataFrame:
+    """A target that follows from the only column: every tree of the full-sized forest has to be right."""
+    named = (F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).cast("int").alias("named")
+    customers = table(spark, d, "customer").select("c_custkey", named)
+    result = train_model(customers.withColumn("value", 20.25 - 9.75 * F.col("named")), "value", "Random Forest", "regression", key="c_custkey")
+    if result.error:
+        raise RuntimeError(result.error)
+    numbers = [F.lit(n).cast("bigint").alias(k) for k, n in (
+        ("n_features", result.n_features), ("n_train", result.n_train), ("n_test", result.n_test), ("rows_dropped", result.rows_dropped))]
+    return result.metrics.select(*numbers, *[F.round(k, 4).alias(k) for k in ("r2", "mae", "rmse")])
+
+
+def exact_top_importances(spark: SparkSession, d: str) -> DataFrame:
+    """The segment that decides, then those that do not, by name."""
+    return top_importances(exact_importances(spark, d), 2)
+
+
+def split_by_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The boundary of every class is followed down to a single row."""
+    return stratified_split(table(spark, d, "customer"), "c_custkey", "c_mktsegment", boundary_rows=1).select("c_custkey", "is_test")
+
+
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
     """Nearest neighbours of rows whose key is a text."""
     customers = _two_groups(spark, d).withColumn("c_custkey", F.concat(F.lit("k"), F.col("c_custkey"))).drop("value")
@@ -284,6 +306,13 @@ QUERIES = {
         "SELECT DISTINCT 'segment_' || c_mktsegment AS feature, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END::DOUBLE AS importance "
         "FROM customer WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer)",
     ),
+    "exact_regression_random_forest": (exact_forest, _exact_sql("regression").replace("(count(DISTINCT c_mktsegment) - 1)::BIGINT", "1::BIGINT")),
+    "top_importances": (
+        exact_top_importances,
+        "SELECT DISTINCT 'segment_' || c_mktsegment AS feature, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END::DOUBLE AS importance "
+        "FROM customer WHERE c_mktsegment > (SELECT min(c_mktsegment) FROM customer) ORDER BY importance DESC, feature LIMIT 2",
+    ),
+    "stratified_split_levels": (split_by_levels, f"WITH {split_sql('customer', 'c_custkey', 'c_mktsegment')} SELECT c_custkey, is_test FROM s"),
     "knn_text_keys": (text_keys, "SELECT ceil(0.2::DOUBLE * count(*))::BIGINT AS n_test, 1.0::DOUBLE AS accuracy FROM customer"),
     "one_hot": (
         dummies,

@@ -18,6 +18,8 @@ from loomprep.operators.ordered import row_numbers
 
 SEED = 42
 BOUNDARY_ROWS = 100_000
+# Hexadecimal digits of a key's hash that one level of counts looks at.
+DIGITS_A_LEVEL = 3
 
 FEATURES, LABEL = "features", "label"
 UNUSABLE = ("datetime", "text", "empty")
@@ -173,15 +175,46 @@ def test_sizes(counts: Mapping[object, int], test_size: float) -> dict[object, i
     return sizes
 
 
+def _reached(counted: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
+    """Of counts (g, ``by``, n), from the highest value down, the one per group that holds the wanted row; ``need`` goes on
+    within it."""
+    from_top = Window.partitionBy("g").orderBy(F.col(by).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("upto", F.sum("n").over(from_top)).join(F.broadcast(wanted), "g")
+    inside = (F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))
+    return upto.where(inside).select("g", by, "n", (F.col("need") - F.col("upto") + F.col("n")).alias("need"))
+
+
+def _boundaries(base: DataFrame, sizes: Mapping[str, int], boundary_rows: int) -> list[tuple[str, str, int]]:
+    """(g, h, rows with it): per group of (g, h) the hash at the wanted place from the top.
+
+    A level counts the next digits of the hashes that agree with the boundary so far, 4,096 counts a group at most, until
+    so few rows are left that their hashes themselves are counted.
+    """
+    spark, rows, wanted, level = base.sparkSession, base, list(sizes.items()), 0
+    while True:
+        needs = spark.createDataFrame(wanted, "g string, need bigint")
+        digits = F.substring("h", 1 + DIGITS_A_LEVEL * level, DIGITS_A_LEVEL)
+        found = _reached(rows.groupBy("g", digits.alias("p")).agg(F.count(F.lit(1)).alias("n")), needs, "p").collect()
+        edges = spark.createDataFrame([(r["g"], r["p"]) for r in found], "g string, p string")
+        rows = rows.join(F.broadcast(edges), "g").where(digits == F.col("p")).select("g", "h")
+        wanted, level = [(r["g"], r["need"]) for r in found], level + 1
+        if max((r["n"] for r in found), default=0) <= boundary_rows or DIGITS_A_LEVEL * level >= 32:
+            break
+    needs = spark.createDataFrame(wanted, "g string, need bigint")
+    last = _reached(rows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")), needs, "h")
+    return [(r["g"], r["h"], r["n"]) for r in last.collect()]
+
+
 def stratified_split(
-    df: DataFrame, key: str, label: str | None = None, test_size: float = 0.2, flag: str = "is_test"
+    df: DataFrame, key: str, label: str | None = None, test_size: float = 0.2, flag: str = "is_test", boundary_rows: int = BOUNDARY_ROWS
 ) -> DataFrame:
     """Add a boolean column that marks the test rows.
 
     In each class the rows with the largest md5 of their key are the test rows; without a class column, or where a
-    class is too small, in the whole table. No rows move: counts of hash prefixes give one boundary hash per class,
-    and the flag is a comparison with it. A missing class is a class of its own. The key must be unique. The driver holds
-    one row per class.
+    class is too small, in the whole table. No rows move: counts by three digits of the hash after another give one
+    boundary hash per class, and the flag is a comparison with it. A missing class is a class of its own. Rows that share
+    a key are on one side; where that would make the test side larger than asked for, it is an error. The driver holds one
+    row per class.
     """
     group = F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit("")) if label else F.lit("")
     base = df.select(group.alias("g"), F.md5(col(key).cast("string")).alias("h"))
@@ -194,29 +227,11 @@ def stratified_split(
         base = base.withColumn("g", group)
         total = base.count()
         sizes = {"": math.ceil(test_size * total)}
-        largest = total
-    else:
-        largest = max(r["n"] for r in small)
-    digits = min(8, max(2, math.ceil(math.log(max(largest / BOUNDARY_ROWS, 1), 16)) + 1))
     spark = df.sparkSession
-    wanted = spark.createDataFrame([(g, n) for g, n in sizes.items()], "g string, tests bigint")
-    prefix = F.substring("h", 1, digits)
-    counted = base.groupBy("g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    from_top = Window.partitionBy("g").orderBy(F.col("p").desc())
-    upto = F.sum("n").over(from_top.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = (
-        counted.withColumn("upto", upto)
-        .join(wanted, "g")
-        .where((F.col("upto") >= F.col("tests")) & (F.col("upto") - F.col("n") < F.col("tests")))
-        .select("g", F.col("p").alias("edge"), (F.col("tests") - F.col("upto") + F.col("n")).alias("need"))
-    )
-    near = base.join(edge, "g").where(prefix == F.col("edge"))
-    hashes = near.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    descending = Window.partitionBy("g").orderBy(F.col("h").desc())
-    reached = F.sum("n").over(descending.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at_edge = (F.col("reached") >= F.col("need")) & (F.col("reached") - F.col("n") < F.col("need"))
-    limits = hashes.withColumn("reached", reached).where(at_edge).select("g", "h").collect()
-    limit_table = spark.createDataFrame([(r["g"], r["h"]) for r in limits], "__g string, __limit string")
+    limits = _boundaries(base, sizes, boundary_rows)
+    if double := [g for g, _, n in limits if n > 1]:
+        raise ValueError(f"{key!r} is not unique: rows that share a key stand on the boundary of {len(double)} classes")
+    limit_table = spark.createDataFrame([(g, h) for g, h, _ in limits], "__g string, __limit string")
     marked = df.withColumn("__g", group).join(limit_table, "__g", "left")
     test = F.coalesce(F.md5(col(key).cast("string")) >= F.col("__limit"), F.lit(False))
     return marked.select(*[col(c) for c in df.columns], test.alias(flag))

@@ -129,3 +129,15 @@ def test_scores_where_nothing_is_defined(spark):
     assert regression_metrics(flat).first()["r2"] == 1.0
     sure = spark.createDataFrame([(1, [0.0, 1.0]), (0, [0.0, 1.0])], "label int, probability array<double>")
     assert log_loss(sure, "probability").first()["log_loss"] == pytest.approx(18.0218, abs=1e-3)
+
+
+def test_a_key_that_repeats_on_the_boundary_is_an_error(spark):
+    import pytest
+
+    from loomprep.operators.features import stratified_split
+
+    rows = [(i // 2,) for i in range(20)]  # four test rows of ten pairs: two whole pairs
+    with pytest.raises(ValueError, match="not unique"):
+        stratified_split(spark.createDataFrame(rows, "k int"), "k")
+    alone = stratified_split(spark.createDataFrame([(i,) for i in range(20)], "k int"), "k", boundary_rows=1)
+    assert alone.where("is_test").count() == 4
