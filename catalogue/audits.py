@@ -165,6 +165,56 @@ def event_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _cleaned_session(spark: SparkSession, d: str) -> AuditLog:
+    """Load, two steps of which one is undone, export with a note."""
+    log = AuditLog(spark, scratch_path(spark, "audit"), "s")
+    before = gapped_events(spark, d)
+    log.record_load(before, {"table_name": "events"})
+    after = apply_strategy(before, "user_id", "drop_rows")
+    log.record_operation("missing_values", {"user_id": {"strategy": "drop_rows"}}, before, after)
+    fewer = apply_strategy(after, "value", "drop_rows")
+    log.record_operation("missing_values", {"value": {"strategy": "drop_rows"}}, after, fewer)
+    log.record_undo("missing_values")
+    log.record_export(after, "events.parquet", "parquet", {"reason": "weekly", "rows_kept": after.count()})
+    return log
+
+
+def event_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """What the log keeps of every column at load and export."""
+    found = _cleaned_session(spark, d).column_snapshots()
+    return found.select("seq", "event", "name", "dtype", "missing", "missing_pct", "unique", "min", "max")
+
+
+def _snapshots_sql() -> str:
+    parts = []
+    for seq, event, rows in ((0, "load", "g"), (4, "export", "(SELECT * FROM g WHERE user_id IS NOT NULL)")):
+        for c, kind in (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string")):
+            low, high = (f"min({c})::DOUBLE", f"max({c})::DOUBLE") if kind in ("bigint", "double") else ("NULL::DOUBLE", "NULL::DOUBLE")
+            parts.append(
+                f"SELECT {seq}::BIGINT AS seq, '{event}' AS event, '{c}' AS name, '{kind}' AS dtype, (count(*) - count({c}))::BIGINT AS missing, "
+                f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct, count(DISTINCT {c})::BIGINT AS unique, {low} AS min, {high} AS max FROM {rows}"
+            )
+    return f"WITH {GAPPED_EVENTS} " + " UNION ALL ".join(parts)
+
+
+def session_report(spark: SparkSession, d: str) -> DataFrame:
+    """The session's numbers beside the change of every column."""
+    log = _cleaned_session(spark, d)
+    numbers = log.session_report().where("session_start <= session_end").drop("session_start", "session_end").first()
+    noted = log.report().where("event = 'export'").select(F.col("extra")["reason"].alias("reason")).first()["reason"]
+    changes = log.column_changes().drop("mean_before", "mean_after")
+    return changes.select("*", F.lit(numbers["session"]).alias("session"), *[F.lit(n).cast("bigint").alias(k) for k, n in numbers.asDict().items() if k != "session"], F.lit(noted).alias("reason"))
+
+
+SESSION_REPORT = f"WITH {GAPPED_EVENTS}, k AS (SELECT * FROM g WHERE user_id IS NOT NULL) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, (SELECT count(*) - count({c}) FROM g)::BIGINT AS missing_before, (count(*) - count({c}))::BIGINT AS missing_after,
+    (SELECT count(DISTINCT {c}) FROM g)::BIGINT AS unique_before, count(DISTINCT {c})::BIGINT AS unique_after,
+    (count(*) - count({c}) - (SELECT count(*) - count({c}) FROM g))::BIGINT AS missing_delta, 's' AS session, 5::BIGINT AS total_events,
+    1::BIGINT AS n_loads, 2::BIGINT AS n_operations, 1::BIGINT AS n_undos, 1::BIGINT AS n_exports, 1::BIGINT AS n_standing, 'weekly' AS reason FROM k"""
+    for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+)
+
+
 EVENT_LOG = """
 SELECT 0::BIGINT AS seq, 'load' AS event, NULL::VARCHAR AS operation, count(*)::BIGINT AS n_rows,
        NULL::BIGINT AS rows_delta FROM events
@@ -180,6 +230,8 @@ QUERIES = {
     "before_after_diff": (difference, DIFFERENCE),
     "cleaning_summary": (summary, SUMMARY),
     "event_log": (event_log, EVENT_LOG),
+    "event_log_snapshots": (event_snapshots, _snapshots_sql()),
+    "session_report": (session_report, SESSION_REPORT),
     "undo_resolution": (undo_resolution, UNDO),
     "recipe_replay": (recipe_replay, REPLAY),
 }

@@ -28,6 +28,12 @@ _SHAPE = _record(rows=_COUNT, cols=_COUNT, total_missing=_COUNT)
 # An array, not a map: the order of the steps is part of what they do.
 _DETAIL = _record(column=_TEXT, strategy=_TEXT, method=_TEXT, threshold=T.DoubleType(), custom_value=_TEXT)
 
+_REAL = T.DoubleType()
+# What a snapshot says of a column, as an event keeps it.
+_COLUMN = _record(
+    name=_TEXT, dtype=_TEXT, missing=_COUNT, missing_pct=_REAL, unique=_COUNT, min=_REAL, max=_REAL, mean=_REAL, median=_REAL, std=_REAL
+)
+
 EVENT_SCHEMA = _record(
     session=_TEXT,
     seq=_COUNT,
@@ -41,6 +47,8 @@ EVENT_SCHEMA = _record(
     before=_SHAPE,
     after=_SHAPE,
     diff=_record(rows_delta=_COUNT, cols_delta=_COUNT, missing_delta=_COUNT),
+    columns=T.ArrayType(_COLUMN),
+    extra=T.MapType(_TEXT, _TEXT),
 )
 
 
@@ -129,8 +137,9 @@ class AuditLog:
         return 0 if last is None else last + 1
 
     def record_load(self, df: DataFrame, source: Mapping[str, Any]) -> None:
-        shape = self._shape(df)
-        self._append("load", source={k: str(v) for k, v in source.items()}, before=shape, after=shape)
+        """The table as it came, with a snapshot of every column."""
+        shape, columns = self._snapshot(df)
+        self._append("load", source={k: str(v) for k, v in source.items()}, before=shape, after=shape, columns=columns)
 
     def record_operation(
         self, operation: str, details: Mapping[str, Any], before: DataFrame, after: DataFrame
@@ -148,8 +157,11 @@ class AuditLog:
     def record_undo(self, operation: str | None = None) -> None:
         self._append("undo", operation=operation)
 
-    def record_export(self, df: DataFrame, destination: str, fmt: str) -> None:
-        self._append("export", destination=destination, format=fmt, after=self._shape(df))
+    def record_export(self, df: DataFrame, destination: str, fmt: str, extra: Mapping[str, Any] | None = None) -> None:
+        """The table as it went, with a snapshot of every column and what the caller has to add."""
+        shape, columns = self._snapshot(df)
+        noted = {k: str(v) for k, v in (extra or {}).items()}
+        self._append("export", destination=destination, format=fmt, after=shape, columns=columns, extra=noted)
 
     def events(self) -> DataFrame:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
@@ -158,9 +170,46 @@ class AuditLog:
         """Events of this session in order."""
         return self.events().where(F.col("session") == self.session).orderBy("seq")
 
-    def _shape(self, df: DataFrame) -> tuple[int, int, int]:
-        row = snapshot_table(df).first()
-        return row["rows"], row["cols"], row["total_missing"]
+    def column_snapshots(self) -> DataFrame:
+        """One row per column and recorded snapshot of this session: seq, event and what the snapshot says."""
+        return self.report().select("seq", "event", F.explode("columns").alias("c")).select("seq", "event", "c.*")
+
+    def session_report(self) -> DataFrame:
+        """One row: when the session's last load and last event were, its events by kind, and the steps that were not undone.
+
+        Undo takes back the last step that still stands; an undo without one takes back nothing.
+        """
+        from loomprep.plans.replay import resolve_undo
+
+        own = self.events().where(F.col("session") == self.session)
+        kinds = ("load", "operation", "undo", "export")
+        counts = [F.count_if(F.col("event") == k).alias(f"n_{k}s") for k in kinds]
+        standing = resolve_undo(own).where("event = 'operation'").agg(F.count(F.lit(1)).alias("n_standing"))
+        start = F.max(F.when(F.col("event") == "load", F.col("ts"))).alias("session_start")
+        facts = own.agg(F.lit(self.session).alias("session"), start, F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("total_events"), *counts)
+        return facts.withColumn("n_standing", F.lit(standing.first()[0]))
+
+    def column_changes(self) -> DataFrame:
+        """One row per column of the last load and the last export: gaps, different values and mean in both, and the change.
+
+        A column that only one of them has is null in the other.
+        """
+        snapshots = self.column_snapshots()
+        numbers = ("missing", "unique", "mean")
+        sides = []
+        for event, side in (("load", "before"), ("export", "after")):
+            own = snapshots.where(F.col("event") == event)
+            last = own.agg(F.max("seq")).first()[0]
+            sides.append(own.where(F.col("seq") == F.lit(last)).select("name", *[F.col(n).alias(f"{n}_{side}") for n in numbers]))
+        both = sides[0].join(sides[1], "name", "full")
+        return both.select(
+            "name", *[f"{n}_{side}" for n in numbers for side in ("before", "after")], (F.col("missing_after") - F.col("missing_before")).alias("missing_delta")
+        )
+
+    def _snapshot(self, df: DataFrame) -> tuple[tuple[int, int, int], list[tuple]]:
+        """Shape and columns; what the driver holds is a row per column."""
+        row, columns = run_jobs([lambda: snapshot_table(df).first(), lambda: snapshot_columns(df).collect()])
+        return (row["rows"], row["cols"], row["total_missing"]), [tuple(c[n] for n in _COLUMN.names) for c in columns]
 
     def _append(self, event: str, **values: Any) -> None:
         now = dt.datetime.now(dt.timezone.utc).replace(microsecond=0)

@@ -108,6 +108,12 @@ def test_replay_equals_the_live_run(spark, audited, tmp_path):
     live = apply_remedies(filled, cap)
     log.record_operation("outlier_remediation", cap, filled, live)
     log.record_export(live, str(tmp_path / "out.csv"), "csv")
+    told = log.session_report().first()
+    assert (told["total_events"], told["n_operations"], told["n_undos"], told["n_standing"]) == (6, 3, 1, 2)
+    assert told["session_start"] <= told["session_end"]
+    change = {r["name"]: r for r in log.column_changes().collect()}
+    assert change["age"]["missing_before"] == 1 and change["age"]["missing_delta"] == -1
+    assert change["age"]["mean_before"] == 75.0 and change["name"]["unique_after"] == 5
     events = log.report()
     assert [r["event"] for r in events.collect()] == ["load", "operation", "operation", "undo", "operation", "export"]
     again, _ = replay(spark, log.events(), session="s1")
