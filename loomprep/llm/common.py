@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -42,6 +45,10 @@ def worker_table(key: str, load: Callable[[], Any]) -> Any:
     """What ``load`` gives for the key, kept until this worker asks for another."""
     if key not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL(None).malloc_trim(0)
         _held[key] = load()
     return _held[key]
 

@@ -29,11 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomprep.llm.common import worker_table, written
 from loomprep.session import scratch_path
 
-FREQUENT = 1 << 18  # words of the table that every worker holds
+FREQUENT = 1 << 17  # words of the table that every worker holds
 WIDE = 20  # bits of a piece number or rank
 LONGEST = 60  # characters of a word in the lattice, whose boundaries are the bits of a long
 CHARS_AT_ONCE = 1 << 21
-TALLIED = 1 << 18  # distinct words after which a task hands on its counts
+TALLIED = 1 << 17  # distinct words after which a task hands on its counts
+TEXTS_AT_ONCE = 256  # texts after which a task hands on their rare words
 SPACE = "▁"
 LETTER, STOPS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,;:!?"
 # A word ends before a space mark or line end, and between a Latin letter and a full stop or the like.
@@ -328,12 +329,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = frequent_words(place)[0]
         for batch in batches:
-            keys, words_of = [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [u for u in set(units(text.as_py() or "")) if u not in rows]
-                keys += [k] * len(found)
-                words_of += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words_of, pa.string())], names=["key", "unit"])
+            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(low, TEXTS_AT_ONCE)
+                keys, words_of = [], []
+                for k, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                    found = [u for u in set(units(text.as_py() or "")) if u not in rows]
+                    keys += [k] * len(found)
+                    words_of += found
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words_of, pa.string())], names=["key", "unit"])
 
     asked = docs.select(key, text_col).mapInArrow(missing, "key bigint, unit string")
     rare = asked.join(words.where(~often).select("unit", "ids"), "unit")
@@ -342,9 +345,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t and zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in (x.as_py() for x in batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "key", "packed"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(low, TEXTS_AT_ONCE)
+                texts = [t and zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in (x.as_py() for x in batch.column(2))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "key", "packed"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
