@@ -270,3 +270,9 @@ def test_rows_are_kept_by_text_and_not_by_id(spark):
     got = corpus_pipeline.distinct_documents(spark, df, SF).collect()
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(i, t) for i, t, _ in rows} - {(5, common)})
     assert len(got) == len({t for _, t, _ in rows})
+
+
+def test_repeated_documents_come_back_as_often_as_they_came(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "another text"), (2, None), (None, "x y"), (None, "x y")]
+    got = edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r["id"], r["n_chars"]) for r in got) == Counter((i, len(t or "")) for i, t in rows)
