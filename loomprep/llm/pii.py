@@ -16,6 +16,8 @@ from loomprep.llm.common import spare
 ROUNDS = 8
 MARK, KEPT, CUT = "\ue000", "\ue001", "\ue002"  # a mark in a text becomes MARK KEPT; MARK CUT stands around a finding
 DAYS = (189, 773)  # their product is the number of days in 400 years
+LATE_DAYS = (9, 9833)  # their product is the number of those after the 12th of a month
+WINDOW, LONGEST = 256, 72  # characters: a block of a run, and more than any account or card number takes
 EPOCH = "DATE'1700-01-01'"
 # Candidates, by kind; what a pattern finds still has to be validated.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
@@ -24,8 +26,10 @@ DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-RUN = r"(?<![\w-])\d(?:[ -]?\d){12,510}(?:(?![\w-]|[./]\d)|(?<![ -]\d{1,3})(?![\w-]))"  # may hold a card and more
-PHONE = r"(?<![\w+(])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
+_ENDS = r"(?:(?![\w-]|[./]\d)|(?<![ -]\d{1,3})(?![\w-]))"
+_CHUNK = rf"\d++(?:-\d++)*+{_ENDS}"
+RUN = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){_CHUNK}(?: {_CHUNK})*+(?<=\d{r'[ -]?\d' * 12})"  # digit groups, however many; may hold a card and more
+PHONE = r"(?<![\w+(])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.-])(?:\d{3}\.\d{3}\.|[2-9]\d{2} \d{3} )\d{4}(?![\w-]|\.\d)"
 SECRET = r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b\s{0,4}[=:]\s{0,4}[\"']?)[A-Za-z0-9_+/-]{8,}|\bAKIA[A-Z0-9]{16}\b"
 SECRET_HEAD = r"^((?i:[a-z_-]+\s{0,4}[=:]\s{0,4}[\"']?)|AKIA)"
 FINDINGS = "|".join(f"(?:{p})" for p in (EMAIL, IBAN, DATE, SSN, ADDRESS, RUN, PHONE, SECRET))
@@ -209,6 +213,27 @@ def date(text: Column, order: str, key: str, undo: bool) -> Column:
     return F.date_format(F.date_add(F.expr(EPOCH), moved), order)
 
 
+def month_first(text: Column, key: str, undo: bool) -> Column:
+    """A day after the 12th of its month, which only the month-first reading allows, for another such day."""
+
+    def first(month: Column) -> Column:
+        """Number of late days before a month, both counted from 1700."""
+        return F.date_diff(F.add_months(F.expr(EPOCH), month), F.expr(EPOCH)) - 12 * month
+
+    def numbered(day: Column) -> Column:
+        month = (F.year(day) - 1700) * 12 + F.month(day) - 1
+        return long(first(month) + F.dayofmonth(day) - 13)
+
+    def shown(number: Column) -> Column:
+        about = F.floor(number * 4800 / (LATE_DAYS[0] * LATE_DAYS[1])).cast("int")
+        month = F.when(first(about + 1) <= number, about + 1).when(first(about) <= number, about).otherwise(about - 1)
+        start = F.date_add(F.add_months(F.expr(EPOCH), month), F.lit(12))
+        return F.date_format(F.date_add(start, (number - first(month)).cast("int")), "MM/dd/yyyy")
+
+    number = bound(calendar_day(text, "MM/dd/yyyy"), numbered)
+    return bound(pair(number, LATE_DAYS, key, "month-first", undo), shown)
+
+
 def address(text: Column, key: str, undo: bool) -> Column:
     octets = F.transform(F.split(text, "[.]"), long)
     moved = feistel(octets, F.array(*[long(256)] * 4), key, F.lit("address"), undo)
@@ -230,9 +255,13 @@ def taken_out(text: Column, patterns: tuple[str, ...], true: Callable[[Column],
     ends with a group and whose match is ``true``."""
     shapes = F.array(*[F.lit(f"^{p}(?![A-Za-z0-9])") for p in patterns])
 
-    def scan(own: Column) -> Column:
+    def scan(x: Column) -> Column:
+        own, blocks = x["own"], x["blocks"]
+
         def first(i: Column) -> Column:
-            matches = F.transform(shapes, lambda p: F.regexp_substr(F.substr(own, i), p))
+            block = F.floor((i - 1) / WINDOW).cast("int")
+            near = F.substr(F.concat(F.get(blocks, block), F.coalesce(F.get(blocks, block + 1), F.lit(""))), (i - 1) % WINDOW + 1, F.lit(LONGEST))
+            matches = bound(near, lambda n: F.transform(shapes, lambda p: F.regexp_substr(n, p)))
             return F.get(F.filter(matches, lambda m: m.isNotNull() & true(m)), F.lit(0))
 
         def step(s: Column, i: Column) -> Column:
@@ -243,11 +272,17 @@ def taken_out(text: Column, patterns: tuple[str, ...], true: Callable[[Column],
 
             return F.when(i < s["at"], s).otherwise(bound(first(i), add))
 
-        starts = F.filter(F.sequence(F.lit(1), F.length(own)), lambda i: (i == 1) | F.substr(own, F.greatest(i - 1, F.lit(1)), F.lit(1)).isin(" ", "-"))
+        def behind_separators(block: Column, b: Column) -> Column:
+            places = F.filter(F.sequence(F.lit(1), F.length(block)), lambda j: F.substr(block, j, F.lit(1)).isin(" ", "-"))
+            return F.transform(places, lambda j: b * WINDOW + j + 1)
+
+        starts = F.concat(F.array(F.lit(1)), F.flatten(F.transform(blocks, behind_separators)))
         none = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
         return F.aggregate(starts, none, step, lambda s: F.concat(s["parts"], F.array(F.substr(own, s["at"]))))
 
-    return F.when(F.length(text) < 13, F.array(text)).otherwise(bound(text, scan))
+    # A run of any length is looked at through windows of two blocks, so that a start costs the same wherever it lies.
+    cut = F.struct(text.alias("own"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0)).alias("blocks"))
+    return F.when(F.length(text) < 13, F.array(text)).otherwise(bound(cut, scan))
 
 
 def cut_at(text: Column, pattern: str) -> Column:
@@ -275,7 +310,10 @@ def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
     out = out.when(is_a(x, IBAN) & true_iban(x), iban(x, key, undo))
     for order, shape in (("yyyy-MM-dd", r"\d{4}-\d\d-\d\d"), ("dd/MM/yyyy", r"\d\d/\d\d/\d{4}"), ("dd.MM.yyyy", r"\d\d\.\d\d\.\d{4}")):
         known = F.year(calendar_day(x, order)).between(1700, 2099)
-        out = out.when(is_a(x, shape), F.when(known, date(x, order, key, undo)).otherwise(x))
+        made = F.when(known, date(x, order, key, undo))
+        if order == "dd/MM/yyyy":
+            made = made.when(F.year(calendar_day(x, "MM/dd/yyyy")).between(1700, 2099), month_first(x, key, undo))
+        out = out.when(is_a(x, shape), made.otherwise(x))
     out = out.when(is_a(x, SSN), F.when(x.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"), ssn(x, key, undo)).otherwise(x))
     out = out.when(is_a(x, r"\d+(?:\.\d+){3}"), F.when(x.rlike(rf"^{octets}(?:\.{octets}){{3}}$"), address(x, key, undo)).otherwise(x))
     out = out.when(is_a(x, CARD) & true_card(x), card(x, key, undo))
@@ -288,11 +326,12 @@ def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None, undo: bool = False) -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced; with ``found_col``, also the number of values replaced.
 
-    Handled: e-mail addresses (the last label stays), account numbers (IBAN), dates of 1700 to 2099 (year first, or day
-    first with / or .), US social security numbers, IPv4 addresses, card numbers with a true check digit, telephone numbers
-    (the country code stays), passwords, tokens and access keys. Within a run of digit groups or
-    capital groups the valid numbers are looked for at the groups' bounds, then the other kinds. What fails its validation,
-    such as a number with a wrong check digit or a month-first date that is no day-first date, stays. A null text stays null with 0 found.
+    Handled: e-mail addresses (the last label stays), account numbers (IBAN), dates of 1700 to 2099 (year first, day first
+    with / or ., or month first with / where no day-first date can be read: those are permuted among themselves), US social
+    security numbers, IPv4 addresses, card numbers with a true check digit, telephone numbers (the country code stays; ten
+    digits cut by blanks only with an area code from 200 on), passwords, tokens and access keys. Within
+    a run of digit groups, of any length, or of capital groups the valid numbers are looked for at the groups' bounds, then
+    the other kinds. What fails its validation, such as a number with a wrong check digit, stays. A null text stays null with 0 found.
     All other columns and rows stay as they are; a column that is named like ``found_col`` is replaced. ``undo`` with the
     same key restores the texts, unless a new number makes another choice of groups in its run valid as well.
     """

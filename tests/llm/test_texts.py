@@ -1,5 +1,7 @@
 """Encoding, counts, languages and pseudonyms against the libraries, brute force and round trips."""
 
+import datetime
+import hashlib
 import math
 import re
 from functools import lru_cache
@@ -145,6 +147,10 @@ def luhn(digits):
     return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
 
 
+def luhn_digit(digits):
+    return next(c for c in "0123456789" if luhn(digits + c))
+
+
 def test_pseudonyms_keep_formats_links_and_can_be_undone(spark):
     df = spark.createDataFrame([(i, t, "n", "p") for i, t in enumerate(PERSONAL)], "doc_id bigint, text string, n string, _parts2 string")
     made = pseudonymise(df, "key", found_col="n")
@@ -227,6 +233,88 @@ def test_pseudonyms_within_longer_runs(spark):
     assert [r["text"] for r in undone] == [df.collect()[r["doc_id"]]["text"] for r in undone]
 
 
+def test_pseudonyms_in_runs_of_any_length(spark):
+    card = "4111 1111 1111 1111"
+    before = ["1234 " * n + card for n in (1, 62, 126, 127, 700, 20000)]
+    before += ["12-" * 300 + "x 4111111111111111", "7" * 600 + " " + card, f"{card} " * 40 + "12/05/1990"]
+    found = [1] * 8 + [41]
+    df = spark.createDataFrame(list(enumerate(before)), "doc_id bigint, text string")
+    made = pseudonymise(df, "key", found_col="n")
+    rows = sorted(made.collect(), key=lambda r: r["doc_id"])
+    assert [r["n"] for r in rows] == found
+    for r, old in zip(rows, before, strict=True):
+        assert card not in r["text"] and "4111111111111111" not in r["text"] and len(r["text"]) == len(old)
+    new = {r["text"][-19:] for r in rows[:6]}
+    assert len(new) == 1 and rows[8]["text"].startswith(new.pop())  # linked, wherever they lie
+
+
+def test_months_first_and_other_telephone_numbers(spark):
+    before = ["on 12/25/1990 and 02/29/2000", "call 555.123.4567", "call 555 123 4567 100", "02/30/1990 13/13/1990 12/25/1699", "v1.555.123.4567"]
+    df = spark.createDataFrame(list(enumerate(before)), "doc_id bigint, text string")
+    made = pseudonymise(df, "key", found_col="n")
+    rows = sorted(made.collect(), key=lambda r: r["doc_id"])
+    assert [r["n"] for r in rows] == [2, 1, 1, 0, 0] and rows[3]["text"] == before[3] and rows[4]["text"] == before[4]
+    assert re.fullmatch(r"call [2-9]\d\d\.[01]\d\d\.[2-9]\d{3}", rows[1]["text"])
+    assert [r["text"] for r in sorted(pseudonymise(made, "key", undo=True).collect(), key=lambda r: r["doc_id"])] == before
+    # Every day after the 12th of 400 years: a permutation of just these.
+    days = spark.range(0, 146097).select(F.date_add(F.lit("1700-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    late = days.where(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy").alias("text"))
+    made = pseudonymise(late, "key")
+    assert late.count() == made.distinct().count() == made.intersect(late).count() == 9 * 9833
+
+
+def plain_feistel(values, bases, key, tweak, width=4):
+    half = -(-len(values) // 2)
+    parts, sizes = [list(values[:half]), list(values[half:])], [bases[:half], bases[half:]]
+    for step in range(8):
+        own, other = (0, 1) if step % 2 == 0 else (1, 0)
+        said = ",".join(map(str, parts[other]))
+        digits = hashlib.sha512(f"{key}|{tweak}|{step}|{said}".encode()).hexdigest()
+        at = [width * (i % (128 // width)) for i in range(len(parts[own]))]
+        parts[own] = [(v + int(digits[a : a + width], 16)) % b for v, a, b in zip(parts[own], at, sizes[own], strict=True)]
+    return parts[0] + parts[1]
+
+
+def plain_pair(value, sizes, key, kind):
+    high, low = plain_feistel(divmod(value, sizes[1]), list(sizes), key, kind, 15)
+    return high * sizes[1] + low
+
+
+def test_pseudonyms_by_brute_force(spark):
+    draw = np.random.default_rng(11)
+    start, late = datetime.date(1700, 1, 1), []
+    for n in range(146097):
+        day = start + datetime.timedelta(n)
+        if day.day > 12:
+            late.append(day)
+    before, after = [], []
+    for _ in range(60):
+        body = [int(x) for x in draw.integers(0, 10, 15)]
+        digits = "".join(map(str, body))
+        before.append(digits + luhn_digit(digits))
+        inner = plain_feistel(body[6:], [10] * 9, "key", "card:" + "9" * 9)
+        digits = digits[:6] + "".join(map(str, inner))
+        after.append(digits + luhn_digit(digits))
+        n = int(draw.integers(0, 146097))
+        for shape, order in (("%Y-%m-%d", "yyyy-MM-dd"), ("%d.%m.%Y", "dd.MM.yyyy")):
+            before.append((start + datetime.timedelta(n)).strftime(shape))
+            after.append((start + datetime.timedelta(plain_pair(n, (189, 773), "key", order))).strftime(shape))
+        n = int(draw.integers(0, len(late)))
+        before.append(late[n].strftime("%m/%d/%Y"))
+        after.append(late[plain_pair(n, (9, 9833), "key", "month-first")].strftime("%m/%d/%Y"))
+        octets = [int(x) for x in draw.integers(0, 256, 4)]
+        before.append(".".join(map(str, octets)))
+        after.append(".".join(map(str, plain_feistel(octets, [256] * 4, "key", "address"))))
+        areas = [a for a in range(1, 900) if a != 666]
+        area, group, serial = (int(draw.integers(0, n)) for n in (898, 99, 9999))
+        before.append(f"{areas[area]:03}-{group + 1:02}-{serial + 1:04}")
+        n = plain_pair((area * 99 + group) * 9999 + serial, (898, 99 * 9999), "key", "ssn")
+        after.append(f"{areas[n // (99 * 9999)]:03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}")
+    df = spark.createDataFrame([(i, f"so {t}, then") for i, t in enumerate(before)], "doc_id bigint, text string")
+    rows = sorted(pseudonymise(df, "key").collect(), key=lambda r: r["doc_id"])
+    assert [r["text"] for r in rows] == [f"so {t}, then" for t in after]
+
+
 def test_only_letters_count_as_letters():
     import unicodedata
 
