@@ -116,17 +116,20 @@ def inferred_long_ids(spark: SparkSession, d: str) -> DataFrame:
     return back.select("o_orderkey", "long_id", F.col("wide_id").cast("string").alias("wide_id"))
 
 
+ARRAY_KEYS = 1000  # keys of one array
+
+
 def mixed_json(spark: SparkSession, d: str) -> DataFrame:
-    """A folder with JSON lines, lines that are arrays, and an array over several lines."""
-    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    """A folder with JSON lines, lines that are arrays, and arrays over several lines, an array for so many keys."""
+    names = ["o_orderkey", "o_custkey", "o_orderpriority"]
+    orders = table(spark, d, "orders").select(*names)
     folder = scratch_path(spark, "mixed") + ".json"
-    nations.where("n_nationkey % 2 = 0").write.json(folder)
-    odd = nations.where("n_nationkey % 2 = 1")
-    row = F.struct("n_nationkey", "n_name", "n_regionkey")
-    odd.where("n_regionkey < 3").groupBy("n_regionkey").agg(F.to_json(F.collect_list(row)).alias("value")).select("value").write.mode("append").text(folder)
-    spread = odd.where("n_regionkey >= 3").agg(F.to_json(F.collect_list(row), {"pretty": "true"}).alias("value"))
-    spread.write.mode("append").text(folder)
-    return read_table(spark, folder).select("n_nationkey", "n_name", "n_regionkey")
+    orders.where("o_orderkey % 3 = 0").write.json(folder)
+    for part, shape in ((1, {}), (2, {"pretty": "true"})):
+        ranges = orders.where(F.col("o_orderkey") % 3 == part).groupBy(F.floor(F.col("o_orderkey") / ARRAY_KEYS))
+        arrays = ranges.agg(F.to_json(F.collect_list(F.struct(*names)), shape).alias("value"))
+        arrays.select("value").write.mode("append").text(folder)
+    return read_table(spark, folder).select(*names)
 
 
 FORMATS = ("MMM d, yyyy", "d MMMM yyyy", "yyyyMMdd", "MM/dd/yyyy", "MM/dd/yy", "yyyy-MM-dd")
@@ -242,7 +245,7 @@ QUERIES = {
         inferred_long_ids,
         "SELECT o_orderkey, 9100000000000000000 + o_orderkey AS long_id, '123456789012345' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS wide_id FROM orders",
     ),
-    "json_mixed_folder": (mixed_json, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"),
+    "json_mixed_folder": (mixed_json, "SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderpriority FROM orders"),
     "convert_datetime_formats": (datetime_formats, DATETIME_FORMATS),
     "histogram_infinite": (infinite_histogram, INFINITE_HISTOGRAM),
     "fill_mode_decimal": (mode_of_decimals, MODE_OF_DECIMALS),

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from loomprep.functions.columns import chunked, col, collect_aggregates
 from loomprep.functions.convert import NUMBER
 from loomprep.functions.nulls import normalize_nulls
+from loomprep.session import scratch_path
+from loomprep.sources.elements import split_elements
 from loomprep.sources.records import split_records
 
 # Suffix to file type.
@@ -165,11 +167,13 @@ def read_json(
     multi_line: bool | None = None,
     flatten: bool = False,
 ) -> DataFrame:
-    """Records from JSON Lines, or from an array or object that goes over several lines; a file is told by its first line.
+    """Records from JSON Lines, or from an array or objects that go over several lines; a file is told by its first line.
 
-    The driver holds the names of the files that are not in lines, or of those that are, when a folder has both.
+    A file over several lines is read in parts by many tasks; without a schema its records are written as lines first. The
+    driver holds the names of the files that are not in lines, or of those that are, when a folder has both.
     """
     reader = spark.read.schema(schema) if schema else spark.read
+    files: dict[bool, str | list[str]] = {not multi_line: path}
     if multi_line is None:
         first = (
             spark.read.text(path)
@@ -180,16 +184,23 @@ def read_json(
         )
         in_lines = first.select("file", F.get_json_object("line", "$").isNotNull().alias("lines"))
         kinds = {r["lines"] for r in in_lines.select("lines").distinct().collect()}
+        files = {kinds != {False}: path}
         if len(kinds) > 1:
             files = {k: [r["file"] for r in in_lines.where(F.col("lines") == k).collect()] for k in (True, False)}
-            parts = [reader.option("multiLine", not k).json(files[k]) for k in (True, False)]
-            df = parts[0].unionByName(parts[1], allowMissingColumns=True)
-            return flatten_structs(df) if flatten else df
-        multi_line = kinds == {False}
-    df = reader.option("multiLine", multi_line).json(path)
+    parts = [reader.json(where) if lines else _over_lines(spark, reader, where, schema) for lines, where in files.items()]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return flatten_structs(df) if flatten else df
 
 
+def _over_lines(spark: SparkSession, reader: DataFrameReader, path: str | list[str], schema: T.StructType | str | None) -> DataFrame:
+    records = split_elements(spark, path)
+    if schema:
+        return records.select(F.from_json("value", schema).alias("r")).select("r.*")
+    lines = scratch_path(spark, "json-lines")
+    records.write.text(lines)
+    return reader.json(lines)
+
+
 def flatten_structs(df: DataFrame) -> DataFrame:
     """Nested record fields become columns named ``parent.child``."""
 
