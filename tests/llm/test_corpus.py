@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from loomprep.llm import minhash
 from loomprep.llm.chat import CONTROL, conversations, loss_text, turns_of
 from loomprep.llm.common import components
 from loomprep.llm.minhash import near_copies
@@ -261,6 +262,51 @@ def test_near_copies_from_four_fifths_on_are_found(spark):
     assert len(set(found.values())) == len(set(want.values()))
 
 
+def templates(seed, groups, members, words=120):
+    """Texts of a group share most words in place; some of their pairs are near copies, some nearly so."""
+    draw, texts = np.random.default_rng(seed), []
+    for g in range(groups):
+        base = [f"t{g}w{i}" for i in range(words)]
+        for _ in range(members):
+            own = list(base)
+            at = int(draw.integers(0, words))
+            for i in range(int(draw.integers(0, words // 4))):
+                own[(at + i) % words] = f"z{draw.integers(0, 3)}"
+            texts.append(" ".join(own))
+    return texts
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    # Every bucket counts as large, so that links come from the rounds and the exact join alone.
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    texts = [*templates(3, 6, 24), "", None, "one two", "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if alike(texts[a] or "", texts[b] or "")]
+    found = {r["id"]: r["component"] for r in near_copies(df).collect()}
+    want = groups(range(len(texts)), pairs)
+    assert len(set(want.values())) > 20 and groups_of(found) == groups_of(want)
+
+
+def groups_of(components):
+    out = {}
+    for node, component in components.items():
+        out.setdefault(component, set()).add(node)
+    return sorted(map(sorted, out.values()))
+
+
+def test_early_matches_leave_out_no_pair(spark):
+    texts = sorted(set(templates(4, 5, 20)))
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node bigint, text string")
+    sets = minhash.shingle_sets(nodes, 5)
+    every = list(itertools.combinations(range(len(texts)), 2))
+    for own in (lambda i: i, lambda i: i % 7):
+        apart = spark.createDataFrame([(i, own(i)) for i in range(len(texts))], "node bigint, root bigint")
+        asked = {(r["a"], r["b"]) for r in minhash.early_matches(apart, sets, 8).collect()}
+        near = {(a, b) for a, b in every if own(a) != own(b) and alike(texts[a], texts[b])}
+        assert near <= asked and len(asked) < len(every) / 4 and all(own(a) != own(b) for a, b in asked)
+    assert minhash.early_matches(apart.limit(0), sets, 8).count() == 0
+
+
 def test_rows_are_kept_by_text_and_not_by_id(spark):
     common = " ".join(f"w{i}" for i in range(60))
     rows = [(3, common, "en"), (5, common, "en"), (5, "a text of its own that nobody else has", "en"), (7, "one more text that stands alone here", "en"),
