@@ -67,15 +67,17 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 PREPARED = """
+WITH s AS (SELECT list(DISTINCT source ORDER BY source DESC) AS found FROM documents JOIN labels USING (doc_id))
 SELECT d.doc_id, l.quality::DOUBLE AS label, concat_ws(',', n_chars, toxic, len(string_split(text, ' ')),
   length(text) - length(replace(text, chr(10), '')) + 1,
-  (lang = 'fr')::INT, (lang = 'es')::INT, (lang = 'en')::INT) AS features
-FROM documents d JOIN labels l USING (doc_id)
+  (lang = 'fr')::INT, (lang = 'es')::INT, (lang = 'en')::INT,
+  array_to_string(list_transform(s.found[:-2], lambda x: (source = x)::INT), ',')) AS features
+FROM documents d JOIN labels l USING (doc_id), s
 """
 
 
 def prepared_by_language(spark: SparkSession, d: str) -> DataFrame:
-    ready = prepare_features(_documents(spark, d).drop("text", "source"), "quality", ["doc_id"])
+    ready = prepare_features(_documents(spark, d), "quality", ["doc_id"])
     values = vector_to_array("features").cast("array<bigint>")
     return ready.data.select("doc_id", F.array_join(values, ",").alias("features"), "label")
 
@@ -85,9 +87,9 @@ def _training(algorithm: str, task: str):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         if task == "classification":
-            df, target, key = _documents(spark, d).drop("text", "source"), "quality", "doc_id"
+            df, target, key = _documents(spark, d), "quality", "doc_id"
         else:
-            df = table(spark, d, "part").drop("p_name", "p_brand")
+            df = table(spark, d, "part")
             target, key = "p_retailprice", "p_partkey"
         result = train_model(df, target, algorithm, task, key=key, trees=20, tree_depth=6)
         if result.error:
@@ -181,7 +183,7 @@ EXACT_RUNS = (
 
 
 def importances(spark: SparkSession, d: str) -> DataFrame:
-    df = _documents(spark, d).drop("text")
+    df = _documents(spark, d)
     result = train_model(df, "quality", "Random Forest", "classification", key="doc_id", trees=20, tree_depth=6)
     if result.error:
         raise RuntimeError(result.error)

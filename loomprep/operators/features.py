@@ -15,6 +15,7 @@ from loomprep.functions.convert import numeric_value
 from loomprep.functions.nulls import complete_cases
 from loomprep.operators.classify import infer_types
 from loomprep.operators.ordered import row_numbers
+from loomprep.session import scratch_path
 
 SEED = 42
 BOUNDARY_ROWS = 100_000
@@ -116,12 +117,14 @@ def prepare_features(
     tables = [spark.createDataFrame([(i, n) for i, n in enumerate(numeric)], "place bigint, feature string")]
     inputs, width = [f"n{i}" for i in range(len(numeric))], len(numeric)
     whole = complete
+    coded_columns = [*[f"c{i}" for i in range(len(grouped))], *(["__target"] if encode else [])]
+    dictionary, sizes = _dictionary(whole, coded_columns)
     for i, c in enumerate(grouped):
         # Levels are numbered downwards, so that the first one is the last and is the one left out.
-        codes = label_codes(whole, f"c{i}").persist()
-        n = codes.count()
+        n = sizes.get(i, 0)
         if n < 2:
             continue
+        codes = dictionary.where(F.col("place") == i).select("level", "code")
         down = codes.select(F.col("level").alias(f"c{i}"), (F.lit(n - 1) - F.col("code")).cast("double").alias(f"c{i}i"))
         complete = complete.join(down, f"c{i}")
         inputs.append(f"c{i}v")
@@ -134,7 +137,7 @@ def prepare_features(
         complete = encoder.fit(complete).transform(complete)
     classes = None
     if encode:
-        found = label_codes(whole, "__target").persist()
+        found = dictionary.where(F.col("place") == len(grouped)).select("level", "code")
         classes = [r["level"] for r in found.orderBy("code").collect()]  # as many as a model can tell apart
         complete = complete.join(found.select(F.col("level").alias("__target"), F.col("code").cast("double").alias(LABEL)), "__target")
     else:
@@ -144,6 +147,24 @@ def prepare_features(
     return PreparedData(out, reduce(DataFrame.unionByName, tables), width, classes, counted["rows"] - counted["kept"])
 
 
+def _dictionary(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[int, int]]:
+    """(place, level, code) of all columns from one reading of the table, written to the scratch folder, and the number of
+    levels by the column's place. Ascending levels of a column are numbered from 0."""
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "place int, level string, code bigint"), {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), col(c).cast("string").alias("level")) for i, c in enumerate(columns)]))
+    found = df.select(pairs.alias("one")).select("one.*").where("level IS NOT NULL").distinct()
+    path = scratch_path(spark, "levels")
+    numbered = row_numbers(found, ["place", "level"], name="number")
+    numbered.write.parquet(path)
+    numbered = spark.read.parquet(path)
+    ranges = numbered.groupBy("place").agg(F.min("number").alias("low"), F.count(F.lit(1)).alias("n")).collect()  # a row per column
+    lows = F.create_map(*[F.lit(x) for r in ranges for x in (r["place"], r["low"])]) if ranges else F.lit(None)
+    coded = numbered.select("place", "level", (F.col("number") - F.element_at(lows, F.col("place"))).alias("code")) if ranges else numbered.withColumnRenamed("number", "code")
+    return coded, {r["place"]: r["n"] for r in ranges}
+
+
 def _all_present(names: Sequence[str]) -> Column:
     condition = F.lit(True)
     for n in names:

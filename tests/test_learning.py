@@ -141,3 +141,17 @@ def test_a_key_that_repeats_on_the_boundary_is_an_error(spark):
         stratified_split(spark.createDataFrame(rows, "k int"), "k")
     alone = stratified_split(spark.createDataFrame([(i,) for i in range(20)], "k int"), "k", boundary_rows=1)
     assert alone.where("is_test").count() == 4
+
+
+def test_one_dictionary_for_all_categories(spark):
+    rows = [(i, f"v{i % 7}" if i % 11 else None, f"w{i % 3}", "same", float(i), f"t{i % 2}") for i in range(210)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string, x double, y string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ready = prepare_features(df, "y", ["id"])
+    assert ready.feature_names == ["x", *[f"a_v{j}" for j in range(6, 0, -1)], "b_w2", "b_w1"] and ready.classes == ["t0", "t1"]
+    for r in ready.data.collect():
+        i = r["id"]
+        one_of_seven = [float(i % 11 != 0 and i % 7 == j) for j in range(6, 0, -1)]
+        assert r["features"].toArray().tolist() == [float(i), *one_of_seven, float(i % 3 == 2), float(i % 3 == 1)] and r["label"] == i % 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # nothing is left in memory
+    assert prepare_features(df.where("id < 0"), "x", ["id"]).data.count() == 0
