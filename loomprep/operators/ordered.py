@@ -29,12 +29,13 @@ METHODS = ("forward", "backward", "interpolate")
 
 @dataclass(frozen=True)
 class Ranges:
-    """Ascending cut keys; range i holds the keys from cut i up to, but without, cut i + 1."""
+    """Ascending cut keys; range i holds the keys from cut i up to, but without, cut i + 1. ``rows`` is the table's size."""
 
     order_by: tuple[str, ...]
     partition_by: tuple[str, ...]
     cuts: tuple[tuple, ...] = ()
     types: tuple[T.DataType, ...] = ()
+    rows: int = 0
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -80,7 +81,7 @@ def plan_ranges(
             cut = picked[min(len(picked) - 1, i * len(picked) // wanted)]
             if not cuts or cut != cuts[-1]:
                 cuts.append(cut)
-    return Ranges(order, parts, tuple(cuts), tuple(field(df, k).dataType for k in parts + order))
+    return Ranges(order, parts, tuple(cuts), tuple(field(df, k).dataType for k in parts + order), rows)
 
 
 def _names(names: str | Sequence[str]) -> tuple[str, ...]:
@@ -116,10 +117,12 @@ def assign_ranges(df: DataFrame, plan: Ranges) -> DataFrame:
 
 
 def bring_together(ranged: DataFrame, plan: Ranges) -> DataFrame:
-    """Bring each range together; at least as many shuffle partitions as ranges."""
+    """Bring each range together. Small ranges share a task: what every task reports to the driver grows with the number of
+    partitions, so that follows the rows, not the ranges."""
     configured = int(ranged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if plan.count > configured:
-        return ranged.repartition(plan.count, BUCKET)
+    wanted = min(plan.count, math.ceil(plan.rows / ROWS_PER_RANGE))
+    if wanted > configured:
+        return ranged.repartition(wanted, BUCKET)
     return ranged.repartition(BUCKET)
 
 
