@@ -19,6 +19,8 @@ from loomprep.session import scratch_path
 
 SEED = 42
 BOUNDARY_ROWS = 100_000
+# A column's levels up to this many are broadcast to the rows; they were counted before.
+BROADCAST_LEVELS = 100_000
 # Hexadecimal digits of a key's hash that one level of counts looks at.
 DIGITS_A_LEVEL = 3
 
@@ -71,6 +73,7 @@ class PreparedData:
     n_features: int
     classes: list[str] | None
     rows_dropped: int
+    rows: int = 0
 
     @cached_property
     def feature_names(self) -> list[str]:
@@ -126,7 +129,7 @@ def prepare_features(
             continue
         codes = dictionary.where(F.col("place") == i).select("level", "code")
         down = codes.select(F.col("level").alias(f"c{i}"), (F.lit(n - 1) - F.col("code")).cast("double").alias(f"c{i}i"))
-        complete = complete.join(down, f"c{i}")
+        complete = complete.join(F.broadcast(down) if n <= BROADCAST_LEVELS else down, f"c{i}")
         inputs.append(f"c{i}v")
         shown = F.concat(F.lit(f"{c}_"), F.col("level"))
         tables.append(codes.where("code > 0").select((F.lit(width + n - 1) - F.col("code")).alias("place"), shown.alias("feature")))
@@ -139,12 +142,13 @@ def prepare_features(
     if encode:
         found = dictionary.where(F.col("place") == len(grouped)).select("level", "code")
         classes = [r["level"] for r in found.orderBy("code").collect()]  # as many as a model can tell apart
-        complete = complete.join(found.select(F.col("level").alias("__target"), F.col("code").cast("double").alias(LABEL)), "__target")
+        coded_classes = found.select(F.col("level").alias("__target"), F.col("code").cast("double").alias(LABEL))
+        complete = complete.join(F.broadcast(coded_classes), "__target")
     else:
         complete = complete.withColumn(LABEL, F.col("__target"))
     data = VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(complete)
     out = data.select(*[col(k) for k in keep], FEATURES, LABEL)
-    return PreparedData(out, reduce(DataFrame.unionByName, tables), width, classes, counted["rows"] - counted["kept"])
+    return PreparedData(out, reduce(DataFrame.unionByName, tables), width, classes, counted["rows"] - counted["kept"], counted["kept"])
 
 
 def _dictionary(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[int, int]]:
@@ -253,6 +257,7 @@ def stratified_split(
     if double := [g for g, _, n in limits if n > 1]:
         raise ValueError(f"{key!r} is not unique: rows that share a key stand on the boundary of {len(double)} classes")
     limit_table = spark.createDataFrame([(g, h) for g, h, _ in limits], "__g string, __limit string")
-    marked = df.withColumn("__g", group).join(limit_table, "__g", "left")
+    # Without the hint all rows of a class would be brought into one task.
+    marked = df.withColumn("__g", group).join(F.broadcast(limit_table), "__g", "left")
     test = F.coalesce(F.md5(col(key).cast("string")) >= F.col("__limit"), F.lit(False))
     return marked.select(*[col(c) for c in df.columns], test.alias(flag))

@@ -45,10 +45,13 @@ BOOSTING_RATE = 0.1
 ITERATIONS = 1000
 RIDGE_ALPHA = 1.0
 LEAST_ROWS = 10
+# Prepared rows of one task: every core gets some of them, and no task more than it can hold.
+FEWEST_TASK_ROWS, MOST_TASK_ROWS = 1_000, 50_000
 ROW = "__row"
 TRUE_PROBABILITY = "true_probability"
 
-# MLlib grows a tree level by level and keeps it on the driver; it allows 30 levels at most.
+# MLlib grows a tree level by level and keeps it on the driver; it allows 30 levels at most. Deep trees keep the node of every
+# row between the levels (``cacheNodeIds``) instead of walking down all trees again; they come out the same.
 TREE_DEPTH = 30
 FOURIER_FEATURES = 256
 
@@ -106,7 +109,7 @@ def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | Non
     prepared = prepare_features(named, result.target, [key or ROW], result.task)
     # Row numbers change when rows are computed again, so they are written down before anything depends on them.
     # The split looks at the keys and classes several times.
-    data = prepared.data.persist() if key else _written(prepared.data)
+    data = spread(prepared.data, prepared.rows, key).persist() if key else spread(_written(prepared.data), prepared.rows, ROW)
     flagged = stratified_split(data, key or ROW, stratified, test_size)
     key = key or ROW
     # Every iteration reads the training rows again; kept in memory, spilled to disk, recomputed if an executor goes.
@@ -136,6 +139,13 @@ def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | Non
         data.unpersist()
 
 
+def spread(data: DataFrame, rows: int, key: str) -> DataFrame:
+    """The rows over as many tasks as their number asks for: a small file becomes one task, though its vectors are large."""
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    wanted = min(math.ceil(rows / FEWEST_TASK_ROWS), max(cores, math.ceil(rows / MOST_TASK_ROWS)))
+    return data.repartition(max(1, wanted), col(key))
+
+
 def _written(data: DataFrame) -> DataFrame:
     path = scratch_path(data.sparkSession, "prepared")
     data.write.parquet(path)
@@ -194,9 +204,9 @@ def classifier(algorithm: str, classes: int, rows: int, trees: int = TREES, dept
         # A penalty of 1/n on the mean loss is a penalty of one on the summed loss.
         return LogisticRegression(regParam=1.0 / rows, standardization=False, maxIter=ITERATIONS, tol=1e-10)
     if algorithm == "Random Forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, cacheNodeIds=True, seed=SEED)
     if algorithm == "Decision Tree":
-        return DecisionTreeClassifier(maxDepth=depth, seed=SEED)
+        return DecisionTreeClassifier(maxDepth=depth, cacheNodeIds=True, seed=SEED)
     if algorithm == "Gradient Boosting":
         boosted = GBTClassifier(maxIter=trees, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_RATE, seed=SEED)
         return boosted if classes <= 2 else OneVsRest(classifier=boosted)
@@ -213,9 +223,9 @@ def regressor(
         penalty = RIDGE_ALPHA / rows * (label_spread or 0.0)
         return LinearRegression(solver="normal", regParam=penalty, elasticNetParam=0.0, standardization=False)
     if algorithm == "Random Forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED)
+        return RandomForestRegressor(numTrees=trees, maxDepth=depth, cacheNodeIds=True, seed=SEED)
     if algorithm == "Decision Tree":
-        return DecisionTreeRegressor(maxDepth=depth, seed=SEED)
+        return DecisionTreeRegressor(maxDepth=depth, cacheNodeIds=True, seed=SEED)
     if algorithm == "Gradient Boosting":
         return GBTRegressor(maxIter=trees, maxDepth=BOOSTING_DEPTH, stepSize=BOOSTING_RATE, seed=SEED)
     raise ValueError(f"unknown regressor {algorithm!r}")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomprep.operators.models import classifier, regressor, train_model
 from loomprep.operators.ordered import assign_ranges, bring_together, fill_ordered, plan_ranges, row_numbers
 
 
@@ -14,3 +15,18 @@ def test_small_ranges_share_tasks(spark):
     filled = {r["id"]: r["x"] for r in fill_ordered(df, {"x": "backward"}, plan=plan).collect()}
     assert all(filled[i] == (i + (3 - i) % 7 if i + (3 - i) % 7 < 3000 else None) for i in range(3000))
     assert all(r["n"] == r["id"] + 1 for r in row_numbers(df, "id", name="n", plan=plan).collect())
+
+
+def test_one_large_file_is_trained_on_by_many_tasks(spark):
+    rows = spark.range(8000).coalesce(1).select("id", (F.col("id") % 97).cast("double").alias("x"), F.concat(F.lit("g"), F.col("id") % 5).alias("c"))
+    df = rows.withColumn("y", F.col("x") * 2 + F.length("c"))
+    for algorithm, task, target in (("Decision Tree", "regression", "y"), ("Decision Tree", "classification", "c")):
+        result = train_model(df, target, algorithm, task, key="id", tree_depth=30)
+        assert result.error is None
+        each = [r["count"] for r in result.predictions.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(each) == 1600 and max(each) < 600
+
+
+def test_deep_trees_keep_the_nodes_of_rows():
+    for made in (classifier("Random Forest", 2, 10), classifier("Decision Tree", 2, 10), regressor("Random Forest", 10), regressor("Decision Tree", 10)):
+        assert made.getCacheNodeIds()
