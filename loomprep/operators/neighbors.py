@@ -4,6 +4,8 @@ Train rows go to the cell of their nearest pivot. For a query row the cell radii
 neighbours must lie; cells wholly beyond it are skipped. Cells are cut into blocks of bounded size and query rows
 into batches, so one task meets one block and one batch; it emits the k nearest of each query row, never all pairs.
 Of train rows with the same vector only the k smallest ids can ever be neighbours, so copies do not pile up.
+Inside a block a matrix product gives squared distances with a known rounding error; what it cannot rule out is measured
+exactly.
 """
 
 from __future__ import annotations
@@ -17,11 +19,15 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
+from loomprep.session import scratch_path
+
 # Executors get these functions with the task and need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEIGHBORS = 5
 FEWEST_PIVOTS, MOST_PIVOTS = 16, 2048
+# A query row is sent to every cell it cannot skip, which costs more than comparing it with this many rows.
+CELL_ROWS = 2048
 BLOCK_ROWS = 8192
 BATCH_ROWS = 8192
 # Query rows compared at a time inside a task, which bounds the distance matrix it holds.
@@ -42,13 +48,13 @@ def nearest(
     """
     spark = queries.sparkSession
     copies = Window.partitionBy("vector").orderBy("id")
-    kept = train.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k).drop("__c")
-    rows = train.count()
+    kept = _written(train.withColumn("__c", F.row_number().over(copies)).where(F.col("__c") <= k).drop("__c"), "neighbors-kept")
+    rows = kept.count()
     if rows == 0:
         return spark.createDataFrame([], "id bigint, rank int, neighbor bigint, label double, distance double")
-    pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(rows) // 2))
+    pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, min(math.isqrt(rows) // 2, rows // CELL_ROWS)))
     fraction = min(1.0, 4.0 * pivots / rows)
-    sampled = train.select("vector").sample(fraction, seed=11).orderBy(F.xxhash64("vector")).limit(pivots).collect() or train.select("vector").take(1)
+    sampled = kept.select("vector").sample(fraction, seed=11).orderBy(F.xxhash64("vector")).limit(pivots).collect() or kept.select("vector").take(1)
     centers = np.unique(np.array([r["vector"] for r in sampled], dtype=float), axis=0)
 
     def to_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,7 +63,7 @@ def nearest(
                 d = _distances(np.stack(pdf["vector"].to_numpy()), centers)
                 yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), reach=d.min(axis=1))
 
-    placed = kept.mapInPandas(to_cells, "id bigint, vector array<double>, label double, cell int, reach double")
+    placed = _written(kept.mapInPandas(to_cells, "id bigint, vector array<double>, label double, cell int, reach double"), "neighbors-placed")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).collect()
     size = {r["cell"]: r["n"] for r in cells}
     blocks = {c: math.ceil(n / block_rows) for c, n in size.items()}
@@ -80,7 +86,8 @@ def nearest(
             near = d - radius <= bound[:, None] * (1 + 1e-9) + 1e-12
             yield pdf.assign(cell=[cell_ids[m].astype("int32").tolist() for m in near])
 
-    routed = queries.select("id", "vector").mapInPandas(route, "id bigint, vector array<double>, cell array<int>")
+    asking_rows = queries.select("id", "vector").repartition(max(spark.sparkContext.defaultParallelism, math.ceil(queries.count() / BATCH_ROWS)), "id")
+    routed = _written(asking_rows.mapInPandas(route, "id bigint, vector array<double>, cell array<int>"), "neighbors-routed")
     routed = routed.select("id", "vector", F.explode("cell").alias("cell"))
     # One row per cell, at most MOST_PIVOTS rows.
     plan = spark.createDataFrame([(c, blocks[c]) for c in order], "cell int, blocks int")
@@ -114,18 +121,15 @@ def nearest(
         parts = []
         for start in range(0, len(asking), SLICE_ROWS):
             part = asking.iloc[start : start + SLICE_ROWS]
-            d = _distances(np.stack(part["vector"].to_numpy()), vectors)
-            # Everything up to the k-th distance, ties included, in order of query, distance, id.
-            limit = np.partition(d, each - 1, axis=1)[:, each - 1]
-            row, at = np.nonzero(d <= limit[:, None])
-            order = np.lexsort((at, d[row, at], row))
-            row, at = row[order], at[order]
+            row, at, d = _candidates(np.stack(part["vector"].to_numpy()), vectors, each)
+            order = np.lexsort((at, d, row))
+            row, at, d = row[order], at[order], d[order]
             first = np.searchsorted(row, np.arange(len(part)))
             kept = np.arange(len(row)) - first[row] < each
-            row, at = row[kept], at[kept]
+            row, at, d = row[kept], at[kept], d[kept]
             parts.append(
                 pd.DataFrame(
-                    {"id": part["id"].to_numpy()[row], "neighbor": ids[at], "label": labels[at], "distance": d[row, at]}
+                    {"id": part["id"].to_numpy()[row], "neighbor": ids[at], "label": labels[at], "distance": d}
                 )
             )
         return pd.concat(parts)
@@ -141,6 +145,30 @@ def nearest(
     return ranked.select("id", "rank", "neighbor", "label", "distance")
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of pairs that hold the k nearest of every row of a, with all ties."""
+    squares_a, squares_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    # Far above what rounding makes of the product, of the distances and of their roots.
+    slack = 16 * (a.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(squares_a) + np.sqrt(squares_b.max())) ** 2
+    if np.isfinite(slack).all():
+        rough = squares_a[:, None] + squares_b - 2.0 * (a @ b.T)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
+        row, at = np.nonzero(rough <= limit[:, None])
+    else:
+        row, at = (x.ravel() for x in np.indices((len(a), len(b))))
+    total = np.zeros(len(row))
+    for j in range(a.shape[1]):  # added up as in _distances
+        step = a[row, j] - b[at, j]
+        total += step * step
+    return row, at, np.sqrt(total)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances, added up dimension by dimension so that equal vectors always get equal sums."""
     total = np.zeros((len(a), len(b)))
