@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, the whole shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints (as in op9) and MinHash bands propose pairs,
+the whole shingle sets decide.
+
+Fingerprints that are equal or differ in few bits propose one pair each, and every set one with the smallest of its
+fingerprint. At 0.8 most pairs differ in more bits than that; those come through the bands.
 
 A text's set holds the XXH64 hashes of its shingles. Texts with equal sets are one node. Every node enters BANDS buckets,
 each keyed by ROWS minimum hashes: two sets of similarity s share one with chance 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8.
@@ -18,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomprep.llm.common import components, written
+from loomprep.llm.simhash import fingerprint, near_pairs
 
 SEED = 42
 ROWS, BANDS = 5, 24
@@ -53,23 +58,25 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def marked_rows(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """All columns but the text, with ``node``, the number of the set, and ``keys`` of its buckets."""
+    """All columns but the text, with ``node``, the number of the set, ``fp``, the text's fingerprint, and ``keys`` of its
+    buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, prints = [], [], []
             for text in batch.column(text_col):
                 own = shingles(text.as_py(), words)
+                prints.append(fingerprint(text.as_py(), words))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 keys.append(bands(own))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             rest = batch.drop_columns([text_col])
-            made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=[*rest.schema.names, "node", "keys"])
+            made = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), lists]
+            yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=[*rest.schema.names, "node", "fp", "keys"])
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    return docs.mapInArrow(run, f"{rest}, node bigint, keys array<bigint>")
+    return docs.mapInArrow(run, f"{rest}, node bigint, fp bigint, keys array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -119,6 +126,16 @@ def early_matches(apart: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return enough.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def close_prints(marked: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of ``marked`` (node, fp) that SimHash proposes; a row per node and per pair of prints."""
+    nodes = marked.select("fp", "node").distinct()
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "minhash-prints")
+    same = nodes.join(least, "fp").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    sides = [least.select(F.col("fp").alias(p), F.col("least").alias(x)) for p, x in (("a", "x"), ("b", "y"))]
+    close = near_pairs(least.select("fp")).join(sides[0], "a").join(sides[1], "b").select("x", "y")
+    return same.unionByName(close).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, tenths: int = 8) -> DataFrame:
     """(_k1, _k2, id, component) for every row; ``_k1`` and ``_k2`` are the row's ``row_keys``. Rows share a component when a
     chain of texts of similarity ``tenths`` tenths or more joins them, whatever their ids; texts without words are one."""
@@ -127,12 +144,15 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     entries = written(marked.select("node", F.explode("keys").alias("key")).distinct(), "minhash-entries")
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(entries.join(sizes, "key"), "minhash-shared")
-    chosen = marked.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"))
+    proposed = written(close_prints(marked), "minhash-proposed")
+    asked_for = shared.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    chosen = marked.join(asked_for, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"))
     chosen = written(chosen.select("node", "row.*"), "minhash-chosen")
     texts = keyed.select("_k1", "_k2", "text").join(chosen, ["_k1", "_k2"]).dropDuplicates(["node"])
     sets = written(shingle_sets(texts, words), "minhash-sets")
     small, large = shared.where(f"size <= {SMALL}"), written(shared.where(f"size > {SMALL}"), "minhash-large")
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(proposed)
     links, roots, tried, turn = None, None, None, 0
     while True:
         # One member of every large bucket that still holds several components is compared with those of the others.
