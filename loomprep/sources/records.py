@@ -10,9 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from loomprep.session import scratch_path
+
 QUOTE = '"'
 
 
@@ -41,41 +45,60 @@ def ends_inside(line: str, inside: bool, sep: str) -> bool:
         at = following + len(sep)
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[str]]]:
-    """(part, lines) in the order of reading; a part comes in several lists where it is large."""
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Array]]:
+    """(part, lines) in the order of reading; a part comes in several arrays where it is large."""
     for batch in batches:
-        files, starts, lines = (batch.column(i).to_pylist() for i in range(3))
-        low = 0
-        for i in range(1, len(lines) + 1):
-            if i == len(lines) or (files[i], starts[i]) != (files[low], starts[low]):
-                yield (files[low], starts[low]), lines[low:i]
-                low = i
+        files, starts = (batch.column(i).to_numpy() for i in range(2))
+        turns = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
+        bounds = [0, *turns.tolist(), batch.num_rows]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if high > low:
+                yield (int(files[low]), int(starts[low])), batch.column(2).slice(low, high - low)
+
+
+def runs_of(lines: pa.Array) -> Iterator[tuple[str | None, pa.Array]]:
+    """The lines in order: a line with a quote as a text, those between two such lines as an array."""
+    low = 0
+    for place in np.flatnonzero(pc.match_substring(lines, QUOTE).to_numpy(zero_copy_only=False)).tolist():
+        if place > low:
+            yield None, lines.slice(low, place - low)
+        yield lines[place].as_py(), lines.slice(place, 1)
+        low = place + 1
+    if low < len(lines):
+        yield None, lines.slice(low)
+
+
+def joined_lines(lines: pa.Array) -> str:
+    """Lines with the line feeds between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_py()
 
 
 def split_records(spark: SparkSession, path: str, sep: str, encoding: str, columns: list[str]) -> DataFrame:
     """All fields as text, of the files at ``path`` with a header each. Lines end with a line feed, with or without a carriage
-    return. The driver holds one row per part of a file, as many as tasks that read it."""
+    return. The driver holds one row per part of a file, as many as tasks that read it. Two passes read the lines, the second
+    writes the records to the shared folder."""
     lines = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # A file is told by the hash of its name, so that a line does not carry the name.
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
     def both_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[str, int], list[bool]] = {}
+        rows: dict[tuple[int, int], list[bool]] = {}
         for part, some in parts_of(batches):
             # Now inside, any record begun: for a part that begins outside and for one that begins inside.
             state = rows.setdefault(part, [False, False, True, False])
-            for line in some:
+            for line, _ in runs_of(some):
                 for case in (0, 2):
                     state[case + 1] |= not state[case]
-                    if QUOTE in line:
+                    if line is not None:
                         state[case] = ends_inside(line, state[case], sep)
         columns = [[f for f, _ in rows], [s for _, s in rows], *([r[i] for r in rows.values()] for i in range(4))]
-        kinds = [pa.string(), pa.int64(), *[pa.bool_()] * 4]
+        kinds = [pa.int64(), pa.int64(), *[pa.bool_()] * 4]
         names = ["file", "start", "outside_ends", "outside_begins", "inside_ends", "inside_begins"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     flags = "outside_ends boolean, outside_begins boolean, inside_ends boolean, inside_begins boolean"
-    told = lines.mapInArrow(both_cases, f"file string, start bigint, {flags}").orderBy("file", "start").collect()
-    begins: dict[tuple[str, int], tuple[bool, int]] = {}  # inside a field, part that its record began in
+    told = sorted(lines.mapInArrow(both_cases, f"file bigint, start bigint, {flags}").collect(), key=lambda r: (r["file"], r["start"]))
+    begins: dict[tuple[int, int], tuple[bool, int]] = {}  # inside a field, part that its record began in
     file, inside, origin = None, False, 0
     for r in told:
         if r["file"] != file:
@@ -89,7 +112,7 @@ def split_records(spark: SparkSession, path: str, sep: str, encoding: str, colum
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(file, origin, start, whole, record): a record is not whole where it goes over an end of the part."""
         at, inside, pieces, origin, headed, named = None, False, [], 0, False, False
-        out: list[tuple[str, int, int, bool, str]] = []
+        out: list[tuple[int, int, int, bool, str]] = []
 
         def closed(over: bool) -> None:
             nonlocal pieces, headed, named, origin
@@ -103,7 +126,7 @@ def split_records(spark: SparkSession, path: str, sep: str, encoding: str, colum
             pieces, headed, origin = [], False, at[1]
 
         def made() -> pa.RecordBatch:
-            kinds = {"file": pa.string(), "start": pa.int64(), "origin": pa.int64(), "whole": pa.bool_(), "record": pa.string()}
+            kinds = {"file": pa.int64(), "start": pa.int64(), "origin": pa.int64(), "whole": pa.bool_(), "record": pa.string()}
             columns = list(zip(*out, strict=True)) or [[]] * 5
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
@@ -117,18 +140,27 @@ def split_records(spark: SparkSession, path: str, sep: str, encoding: str, colum
                 headed = inside  # goes on with a record from before
                 if not inside:
                     origin = part[1]
-            for line in some:
-                if not inside and pieces:
-                    closed(False)
-                pieces.append(line)
-                if QUOTE in line:
+            for line, run in runs_of(some):
+                if inside and line is None:
+                    pieces.append(joined_lines(run))
+                    continue
+                for text in run.to_pylist() if line is None else (line,):
+                    if not inside and pieces:
+                        closed(False)
+                    pieces.append(text)
+                if line is not None:
                     inside = ends_inside(line, inside, sep)
-            yield made()
+            if out:
+                yield made()
         if at is not None:
             closed(inside)
         yield made()
 
-    found = lines.mapInArrow(cut, "file string, start bigint, origin bigint, whole boolean, record string")
+    # Written, as types and rows are found in several passes: the lines are cut once.
+    place = scratch_path(spark, "csv-records")
+    kinds = "file bigint, start bigint, origin bigint, whole boolean, record string"
+    lines.mapInArrow(cut, kinds).write.parquet(place)
+    found = spark.read.schema(kinds).parquet(place)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "record"))), lambda p: p["record"]), "\n")
     over = found.where("not whole").groupBy("file", "origin").agg(joined.alias("record"), F.min("start").alias("least")).where("least >= 0")
     whole = found.where("whole").select("record").unionByName(over.select("record"))

@@ -60,6 +60,15 @@ def test_parts_give_the_records_of_the_whole_file(spark, small_parts, tmp_path,
     assert got.count() == 120
 
 
+def test_lines_are_read_in_two_passes(spark, tmp_path):
+    """One that tells how parts end, one that cuts them: nothing that is done with the records reads the lines again."""
+    rows = [("x", "\n".join(["many", 'short ""lines""', "of", ""] * 50)) for _ in range(40)]
+    written(tmp_path, "a.csv", rows)
+    got = split_records(spark, str(tmp_path), ",", "UTF-8", ["id", "one", "two"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and as_set(got) == as_set(whole_file(spark, str(tmp_path)))
+
+
 def test_a_header_that_goes_over_lines_and_parts(spark, small_parts, tmp_path):
     with open(tmp_path / "a.csv", "w") as file:
         file.write('\n"a\nlong name of a column that fills the first part",b\n1,"x\ny"\n2,z\n')
