@@ -1,26 +1,25 @@
 """SentencePiece encoding and decoding over a relational lattice of the distinct words.
 
 The bounded-length substrings of every distinct word are exploded and joined to the piece table; the matches are the edges
-of the word's lattice and are grouped by word. A fold over the edges in order of score then finds the word's pieces. For a
-unigram file the fold is Viterbi's: the best path to every place. For a byte-pair file, whose scores are merge ranks and
-not probabilities, no best path gives the library's pieces; there the fold replays the merges over the same lattice, each
-edge removing the one boundary inside it. Words are counted once, so a word is encoded once however often it occurs.
+of the word's lattice, one word's edges after the other. A fold over the edges then finds the word's pieces. For a unigram
+file the fold is Viterbi's: the best path to every place. For a byte-pair file, whose scores are merge ranks and not
+probabilities, no best path gives the library's pieces; there the fold replays the merges over the same lattice, each edge
+removing the one boundary inside it. Both go over the edges of many words at a time.
 
-The words of a text are put together again in the tasks that read it: the pieces of frequent words come from a table of
-bounded size, those of a document's rare words are joined to it.
+Frequent words are encoded once, into a table of bounded size that every worker holds. The rare words of some texts go
+through the lattice in the task that reads these texts, just before them, so that neither texts nor rare words are moved.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import sentencepiece
 from pyarrow import fs
@@ -29,14 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomprep.llm.common import worker_table, written
 from loomprep.session import scratch_path
 
-FREQUENT = 1 << 17  # words of the table that every worker holds
+FREQUENT = 1 << 19  # words of the table that every worker holds
 WIDE = 20  # bits of a piece number or rank
 LONGEST = 60  # characters of a word in the lattice, whose boundaries are the bits of a long
-CHARS_AT_ONCE = 1 << 21
-TALLIED = 1 << 17  # distinct words after which a task hands on its counts
-TEXTS_AT_ONCE = 256  # texts after which a task hands on their rare words
+BYTES_AT_ONCE = 1 << 23  # of texts that are cut into words, and share their rare words
+WORDS_AT_ONCE = 1 << 18  # of texts that are put together
+EDGES_AT_ONCE = 1 << 17
 SPACE = "▁"
 LETTER, STOPS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,;:!?"
+ENDS = f"[\n{STOPS}]"  # what may end a word inside a run without spaces
 # A word ends before a space mark or line end, and between a Latin letter and a full stop or the like.
 UNITS = re.compile(
     f"{SPACE}*(?:[^{SPACE}\n{STOPS}]+(?:(?<!{LETTER})[{STOPS}][^{SPACE}\n]*)?|[{STOPS}][^{SPACE}\n]*)|{SPACE}+|\n"
@@ -79,18 +79,10 @@ def pieces_of(path: str, unigram: bool = False) -> Pieces:
 
 
 def piece_table(spark: SparkSession, table: Pieces) -> DataFrame:
-    """(piece, id, rank, early) per text piece: rank 0 is the best score; ``early`` says that some piece of better rank
-    has this one as a half, so that making this one can make that one possible."""
+    """(_piece, _id, _rank, score) per text piece: rank 0 is the best score."""
     ordered = sorted(table.pieces, key=lambda x: (-x[2], x[1]))
-    rank = {p: r for r, (p, _, _) in enumerate(ordered)}
-    early = set()
-    for p, r in rank.items():
-        for cut in range(1, len(p)):
-            halves = (p[:cut], p[cut:])
-            if all(len(half) == 1 or half in rank for half in halves):
-                early.update(half for half in halves if len(half) > 1 and rank[half] > r)
-    rows = [(p, i, rank[p], p in early, s) for p, i, s in table.pieces]
-    return spark.createDataFrame(rows, "piece string, id int, rank int, early boolean, score double")
+    rows = [(p, i, rank, s) for rank, (p, i, s) in enumerate(ordered)]
+    return spark.createDataFrame(rows, "_piece string, _id int, _rank int, score double")
 
 
 def units(text: str) -> list[str]:
@@ -98,158 +90,247 @@ def units(text: str) -> list[str]:
     return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def tallied(docs: DataFrame, text_col: str) -> DataFrame:
-    """(unit, n) of all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["unit", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                found.update(units(text.as_py() or ""))
-                if len(found) > TALLIED:
-                    yield rows()
-                    found.clear()
-        yield rows()
-        found.clear()
-        pa.default_memory_pool().release_unused()
-
-    return docs.select(text_col).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
-
+def some_texts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of texts that are cut into words together."""
+    low, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        size += n
+        if size >= BYTES_AT_ONCE or i == len(texts) - 1:
+            yield low, i + 1
+            low, size = i + 1, 0
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named in it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
 
-
-def interior(start: Column, end: Column) -> Column:
-    """Bits of the places strictly between two places of a word."""
-    one = F.lit(1).cast("bigint")
-    return F.when(end - start < 2, 0).otherwise(F.call_function("shiftleft", one, end) - F.call_function("shiftleft", one, start + 1))
+def taken(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of the lists named by ``index``, one after the other."""
+    lengths = offsets[index + 1] - offsets[index]
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[index] - ends + lengths, lengths)
+    return np.concatenate([np.zeros(1, np.int64), ends]), values[at]
 
 
-def merged(edges: Column, n: Column) -> Column:
-    """Places that are still boundaries, as bits, after all merges in order of rank, leftmost first.
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, offsets, words): per text the numbers of its words, as ``units`` gives them.
 
-    One pass over the edges makes each merge that is possible at its turn. A merge that makes a better one possible ends
-    the pass, and the next pass starts again from the best edge, so the order is that of the library's queue.
+    Runs between single spaces are told apart first and only the distinct ones are cut; a text with other spaces is cut as it
+    is.
     """
-    all_places = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
-
-    def early(e: Column) -> Column:
-        return e["code"].bitwiseAND(F.lit(1 << 20).cast("bigint")) != 0
-
-    def possible(mask: Column, e: Column) -> Column:
-        return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
-
-    def step(state: Column, e: Column) -> Column:
-        after = state["mask"].bitwiseAND(F.bitwise_not(e["inner"]))
-        better = lambda f: (f["code"] < e["code"]) & possible(after, f)
-        made = F.struct(after.alias("mask"), (early(e) & F.exists(edges, better)).alias("stop"))
-        return F.when(~state["stop"] & possible(state["mask"], e), made).otherwise(state)
+    texts = pc.fill_null(texts, "")
+    plain = pc.invert(pc.or_(pc.match_substring_regex(texts, f"  |^ |{SPACE}"), pc.equal(texts, "")))
+    single = plain.to_numpy(zero_copy_only=False)
+    runs = pc.split_pattern(texts.filter(plain), " ")
+    of_run = runs.flatten().dictionary_encode()
+    rows = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = of_run.dictionary
+    ended = pc.match_substring_regex(distinct, ENDS).to_numpy(zero_copy_only=False)
+    whole = pc.binary_join_element_wise(pa.scalar(SPACE), distinct.filter(pa.array(~ended)), "")
+    parted = [units(run) for run in distinct.filter(pa.array(ended)).to_pylist()]
+    odd = [units(text) for text in texts.filter(pa.array(~single)).to_pylist()]
+    listed = pa.array([u for some in (parted, odd) for found in some for u in found], pa.string())
+    words = pa.concat_arrays([whole, listed]).dictionary_encode()
+    number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # The words of every distinct run, then those of every odd text.
+    sizes = np.ones(len(distinct) + len(odd), np.int64)
+    sizes[np.concatenate([np.flatnonzero(ended), np.arange(len(distinct), len(sizes))])] = [len(x) for some in (parted, odd) for x in some]
+    order = np.concatenate([np.flatnonzero(~ended), np.flatnonzero(ended), np.arange(len(distinct), len(sizes))])
+    starts = np.zeros(len(sizes), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    of_list = np.argsort(starts, kind="stable")  # lists in the order in which their words lie
+    place = np.empty(len(sizes), np.int64)
+    place[of_list] = np.arange(len(sizes))
+    bounds = np.concatenate([[0], np.cumsum(sizes[of_list])])
+    per_text = np.ones(len(texts), np.int64)
+    per_text[single] = rows
+    ends = np.cumsum(per_text)
+    named = np.empty(ends[-1] if len(ends) else 0, np.int64)
+    in_plain = np.repeat(single, per_text)
+    named[in_plain] = of_run.indices.to_numpy(zero_copy_only=False)
+    named[~in_plain] = len(distinct) + np.arange(len(odd))
+    at, found = taken(bounds, number, place[named])
+    return words.dictionary, at[np.concatenate([[0], ends])], found
 
-    def one_pass(state: Column, _: Column) -> Column:
-        start = F.struct(state["mask"].alias("mask"), F.lit(False).alias("stop"))
-        return F.when(state["stop"], F.aggregate(edges, start, step)).otherwise(state)
 
-    passes = F.sequence(F.lit(0), F.size(F.filter(edges, early)))
-    first = F.struct(all_places.alias("mask"), F.lit(True).alias("stop"))
-    return F.aggregate(passes, first, one_pass, lambda s: s["mask"])
-
-
-def best_path(edges: Column, n: Column, unknown: float) -> Column:
-    """Viterbi: the boundaries of the path with the highest sum of scores, as bits. Of equal paths the one whose last
-    piece is longer wins. A character without a piece costs ``unknown``."""
-    one = F.lit(1).cast("bigint")
+def tallied(docs: DataFrame, text_col: str) -> DataFrame:
+    """(unit, n) of all texts."""
 
-    def step(best: Column, place: Column) -> Column:
-        start_of = lambda e: part(e["code"], 27, 6)
-        here = F.filter(edges, lambda e: part(e["code"], 21, 6) == place)
-        known = F.exists(here, lambda e: e["inner"] == 0)
-        lone = F.struct((F.get(best, place - 1)["score"] + unknown).alias("score"), (-(place - 1)).alias("back"), F.get(best, place - 1)["mask"].alias("mask"))
-        paths = F.transform(
-            here,
-            lambda e: F.struct((F.get(best, start_of(e))["score"] + e["score"]).alias("score"), (-start_of(e)).alias("back"), F.get(best, start_of(e))["mask"].alias("mask")),
-        )
-        top = F.array_max(F.concat(paths, F.when(known, F.filter(F.array(lone), lambda x: F.lit(False))).otherwise(F.array(lone))))
-        moved = F.transform(F.array(top), lambda t: F.struct(t["score"].alias("score"), t["back"].alias("back"), t["mask"].bitwiseOR(F.call_function("shiftleft", one, place)).alias("mask")))
-        return F.concat(best, moved)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in some_texts(batch.column(0)):
+                words, _, found = cut(batch.column(0).slice(low, high - low))
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(found, minlength=len(words)))], names=["unit", "n"])
+        pa.default_memory_pool().release_unused()
 
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), one.alias("mask")))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["mask"])
+    return docs.select(text_col).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def packed_edge(rank: Column, start: Column, end: Column, early: Column, piece: Column) -> Column:
+def packed_edge(rank: Column, start: Column, end: Column, piece: Column) -> Column:
     """An edge in one long, in order of rank and start; piece -1 stands for a character without a piece."""
-    fields = ((rank, WIDE), (start, 6), (end, 6), (early.cast("int"), 1), (piece + 1, WIDE))
+    fields = ((rank, WIDE), (start, 6), (end, 6), (piece + 1, WIDE))
     code = F.lit(0).cast("bigint")
     for value, width in fields:
         code = F.shiftleft(code, width).bitwiseOR(value.cast("bigint"))
     return code
 
 
-def part(code: Column, shift: int, width: int) -> Column:
-    """Some bits of a packed edge: rank at 33, start at 27, end at 21, early at 20, piece + 1 at 0."""
-    return F.shiftright(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")).cast("int")
+def lattice(words: DataFrame, table: Pieces) -> DataFrame:
+    """A row per edge of every ``unit``, in its place among the rows: the other columns, unit (only in its first row), edge, for
+    a unigram file also score. Words over LONGEST characters have the one edge -1. Rows without a unit stay as they are.
 
-
-def octets(text: Column, first_byte: int, unknown: int) -> Column:
+    What is exploded and joined with a broadcast table is not moved, so a word's edges follow one another.
+    """
+    others = [c for c in words.columns if c != "unit"]
+    length = F.char_length("unit")
+    starts = F.when(length.between(1, LONGEST), F.sequence(F.lit(0), length - 1))
+    begun = words.select(*others, "unit", F.explode_outer(starts).alias("_start"))
+    ends = F.when(F.col("_start").isNotNull(), F.sequence(F.col("_start") + 1, F.least(F.col("_start") + table.longest, length)))
+    parts = begun.select(*others, "unit", "_start", F.explode_outer(ends).alias("_end"))
+    size = F.col("_end") - F.col("_start")
+    parts = parts.withColumn("_piece", F.substr("unit", F.col("_start") + 1, size))
+    # The piece table has the size of a vocabulary, whatever the corpus.
+    matched = parts.join(F.broadcast(piece_table(words.sparkSession, table)), "_piece", "left")
+    alone = F.col("_start").isNull()
+    code = packed_edge(F.coalesce("_rank", F.lit((1 << WIDE) - 1)), F.col("_start"), F.col("_end"), F.coalesce("_id", F.lit(-1)))
+    edge = F.when(alone, F.when(F.col("unit").isNotNull(), F.lit(-1).cast("bigint"))).otherwise(code)
+    first = F.when(alone | (F.col("_end") == 1), F.col("unit"))  # a place is the end of its character, which is always there
+    kept = matched.where(alone | F.col("_id").isNotNull() | (size == 1))
+    return kept.select(*others, first.alias("unit"), edge.alias("edge"), *["score"] * table.unigram)
+
+
+def merged(firsts: np.ndarray, word: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places that are still boundaries, as bits, after all merges in order of rank, leftmost first. Every round makes the best
+    merge that is possible in each word."""
+    one = np.int64(1)
+    masks = (one << (lengths + 1)) - 1
+    left = np.flatnonzero(end - start > 1)
+    word, code, start, end = word[left], code[left], start[left], end[left]
+    ends, inner = (one << start) | (one << end), (one << end) - (one << (start + 1))
+    never = np.iinfo(np.int64).max
+    while len(word):
+        mask = masks[word]
+        inside = np.bitwise_count(mask & inner)
+        # An end that is gone does not come back, nor does the last boundary inside.
+        left = ((mask & ends) == ends) & (inside > 0)
+        word, code, ends, inner, inside = word[left], code[left], ends[left], inner[left], inside[left]
+        if not len(word):
+            break
+        begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        best = np.minimum.reduceat(np.where(inside == 1, code, never), begin)
+        made = np.flatnonzero((code == np.repeat(best, np.diff(np.append(begin, len(word))))) & (inside == 1))
+        masks[word[made]] &= ~inner[made]
+        going = np.repeat(best < never, np.diff(np.append(begin, len(word))))
+        word, code, ends, inner = word[going], code[going], ends[going], inner[going]
+    return masks
+
+
+def best_paths(firsts: np.ndarray, word: np.ndarray, score: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Viterbi: the boundaries of the path with the highest sum of scores, as bits. Of equal paths the one whose last piece is
+    longer wins."""
+    top = int(lengths.max(initial=0))
+    best = np.zeros((len(lengths), top + 1))
+    masks = np.ones((len(lengths), top + 1), np.int64)
+    for place in range(1, top + 1):
+        here = np.flatnonzero(end == place)
+        sums = best[word[here], start[here]] + score[here]
+        order = np.lexsort((-start[here], sums, word[here]))
+        last = order[np.append(word[here][order][1:] != word[here][order][:-1], True)] if len(here) else order
+        w = word[here][last]
+        best[w, place] = sums[last]
+        masks[w, place] = masks[w, start[here][last]] | (np.int64(1) << np.int64(place))
+    return masks[np.arange(len(lengths)), lengths]
+
+
+def folded(units_: pa.Array, firsts: np.ndarray, edges: np.ndarray, score: np.ndarray | None, table: Pieces, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, pieces) of words, from their edges: a word's begin at ``firsts``."""
+    counts = np.diff(np.append(firsts, len(edges)))
+    word = np.repeat(np.arange(len(firsts)), counts)
+    lengths = pc.utf8_length(units_).to_numpy(zero_copy_only=False).astype(np.int64)
+    alone = np.flatnonzero(edges[firsts] < 0)
+    lengths[alone] = 0
+    start, end = (edges >> (WIDE + 6)) & 63, (edges >> WIDE) & 63
+    piece = (edges & ((1 << WIDE) - 1)) - 1
+    if table.unigram:
+        lone = min(s for _, _, s in table.pieces) - 10.0
+        shown = edges >= 0
+        masks = best_paths(firsts, word[shown], np.where(piece < 0, lone, score)[shown], start[shown], end[shown], lengths)
+    else:
+        shown = edges >= 0
+        masks = merged(firsts, word[shown], edges[shown] >> (WIDE + 6), start[shown], end[shown], lengths)
+    one = np.int64(1)
+    mask, ends, inner = masks[word], (one << start) | (one << end), (one << end) - (one << (start + 1))
+    left = np.flatnonzero((edges >= 0) & ((mask & ends) == ends) & ((mask & inner) == 0))
+    left = left[np.lexsort((start[left], word[left]))]
+    # In order of word and place: one piece an edge, the bytes of a character without a piece, the library's of a long word.
+    at, sizes, values = word[left], np.ones(len(left), np.int64), piece[left]
+    if len(alone) or (values < 0).any():
+        more = {int(i): octets(units_[int(at[i])].as_py()[int(start[left[i]])], table) for i in np.flatnonzero(values < 0)}
+        for i, ids in more.items():
+            sizes[i] = len(ids)
+        per_word = np.bincount(at, sizes, len(firsts)).astype(np.int64)
+        long = {int(w): encode_alone(path, units_[int(w)].as_py()) for w in alone}
+        parts: list[np.ndarray] = []
+        done = 0
+        for i, w, ids in sorted([(i, -1, ids) for i, ids in more.items()] + [(int(np.searchsorted(at, w)), w, ids) for w, ids in long.items()], key=lambda x: (x[0], x[1] < 0, x[1])):
+            parts += [values[done:i], np.array(ids, np.int64)]
+            done = i + (w < 0)
+        values = np.concatenate([*parts, values[done:]])
+        for w, ids in long.items():
+            per_word[w] = len(ids)
+    else:
+        per_word = np.bincount(at, minlength=len(firsts))
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(per_word)]), values.astype(np.int32)
+
+
+def octets(char: str, table: Pieces) -> list[int]:
     """Byte pieces of a character that has no piece, or the unknown piece where the file has none."""
-    if first_byte < 0:
-        return F.array(F.lit(unknown))
-    digits = F.hex(text.cast("binary"))
-    places = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
-    return F.transform(places, lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("int") + first_byte)
+    return [table.unknown] if table.first_byte < 0 else [table.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
+
+
+def read_lattice(batches: Iterator[pa.RecordBatch], table: Pieces, path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray] | pa.RecordBatch]:
+    """In the order of rows: (words, offsets, pieces) of whole words, and batches of rows without a word."""
+    held: list[pa.RecordBatch] = []
+
+    def made(all_: bool) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        rows = pa.Table.from_batches(held).combine_chunks() if held else None
+        held.clear()
+        if rows is None:
+            return
+        firsts = np.flatnonzero(rows["unit"].is_valid().to_numpy(zero_copy_only=False))
+        whole = rows.num_rows if all_ else int(firsts[-1])  # of the last word there may be more
+        if whole < rows.num_rows:
+            held.extend(rows.slice(whole).to_batches())
+            rows, firsts = rows.slice(0, whole), firsts[:-1]
+        if len(firsts):
+            words = rows["unit"].drop_null().combine_chunks()
+            words = words if isinstance(words, pa.Array) and not isinstance(words, pa.ChunkedArray) else pa.concat_arrays(words.chunks)
+            score = rows["score"].fill_null(0.0).to_numpy() if table.unigram else None
+            yield words, *folded(words, firsts, rows["edge"].to_numpy(), score, table, path)
+
+    for batch in batches:
+        names = ["unit", "edge", *["score"] * table.unigram]
+        without = batch.column("edge").is_null().to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(without[1:] != without[:-1]) + 1
+        for low, high in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows], strict=True):
+            if low == high:
+                continue
+            if without[low]:
+                yield from made(True)
+                yield batch.slice(low, high - low)
+            else:
+                held.append(batch.select(names).slice(low, high - low))
+                if sum(b.num_rows for b in held) >= EDGES_AT_ONCE:
+                    yield from made(False)
+    yield from made(True)
 
 
 def dictionary(counts: DataFrame, path: str, table: Pieces) -> DataFrame:
-    """(unit, n, ids): the pieces of every distinct word, from its lattice. Words over LONGEST characters, which the
-    boundary bits cannot hold, are encoded by the library."""
-    spark = counts.sparkSession
-    known = piece_table(spark, table)
-    # Words are dealt out once, in even shares; what is exploded from one stays in its task, where its edges are grouped.
-    dealt = counts.where(F.char_length("unit") <= LONGEST).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit")
-    short = dealt.select(F.xxhash64("unit").alias("h"), "unit", "n")
-    starts = short.select("h", "unit", "n", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("start"))
-    ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, F.char_length("unit")))
-    parts = starts.select("h", "unit", "n", "start", F.explode(ends).alias("end"))
-    parts = parts.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("end") - F.col("start")))
-    # The piece table has the size of a vocabulary, whatever the corpus.
-    matched = parts.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") - F.col("start") == 1))
-    code = packed_edge(F.coalesce("rank", F.lit((1 << WIDE) - 1)), F.col("start"), F.col("end"), F.coalesce("early", F.lit(False)), F.coalesce("id", F.lit(-1)))
-    one = F.lit(1).cast("bigint")
-    both = F.call_function("shiftleft", one, F.col("start")).bitwiseOR(F.call_function("shiftleft", one, F.col("end")))
-    edge = [code.alias("code"), both.alias("ends"), interior(F.col("start"), F.col("end")).alias("inner")]
-    # The hash only makes the sort of the groups cheaper.
-    listed = F.sort_array(F.collect_list(F.struct(*edge, *([F.col("score")] if table.unigram else []))))
-    lattice = matched.groupBy("h", "unit", "n").agg(listed.alias("edges"))
-    length = F.char_length("unit")
-
-    def boundaries(edges: Column) -> Column:
-        if table.unigram:
-            known_edges = F.filter(edges, lambda e: part(e["code"], 0, WIDE) > 0)
-            return bound(known_edges, lambda k: best_path(k, length, min(s for _, _, s in table.pieces) - 10.0))
-        return bound(F.filter(edges, lambda e: e["inner"] != 0), lambda merges: merged(merges, length))
+    """(unit, ids): the pieces of every word, from its lattice. Words over LONGEST characters, which the boundary bits cannot
+    hold, are encoded by the library."""
 
-    def ids_of(mask: Column) -> Column:
-        """The edges that the boundaries leave, in order of place."""
-        left = F.filter("edges", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
-        ordered = F.sort_array(F.transform(left, lambda e: F.struct(part(e["code"], 27, 6).alias("start"), part(e["code"], 0, WIDE).alias("piece"))))
-        lone = lambda e: octets(F.substr("unit", e["start"] + 1, F.lit(1)), table.first_byte, table.unknown)
-        return F.flatten(F.transform(ordered, lambda e: F.when(e["piece"] == 0, lone(e)).otherwise(F.array(e["piece"] - 1))))
-
-    encoded = lattice.select("unit", "n", bound(boundaries(F.col("edges")), ids_of).alias("ids"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [encode_alone(path, u) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, offsets, ids in read_lattice(batches, table, path):
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([words, lists], names=["unit", "ids"])
 
-    long = counts.where(F.char_length("unit") > LONGEST).mapInArrow(whole, "unit string, n bigint, ids array<int>")
-    return encoded.unionByName(long)
+    return lattice(counts.select("unit").where("unit <> ''"), table).mapInArrow(run, "unit string, ids array<int>")
 
 
 def encode_alone(path: str, unit: str) -> list[int]:
@@ -261,49 +342,18 @@ def encode_alone(path: str, unit: str) -> list[int]:
     return model.encode("\n" + unit)[len(model.encode("\n")) :]
 
 
-def frequent_words(place: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """The table of frequent words: the words' rows, offsets and pieces."""
+def frequent_words(place: str, column: str) -> pa.Array:
+    """The words of the table of frequent words, or their pieces, in the order of the table."""
 
-    def load() -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    def load() -> pa.Array:
         store, root = fs.FileSystem.from_uri(place)
-        rows: dict[str, int] = {}
-        sizes, ids = [], []
-        for batch in ds.dataset(root, filesystem=store, format="parquet").to_batches(columns=["unit", "ids"], batch_size=1 << 14):
-            rows.update(zip(batch.column(0).to_pylist(), range(len(rows), len(rows) + batch.num_rows), strict=True))
-            sizes.append(batch.column(1).value_lengths().to_numpy().astype(np.int64))
-            ids.append(batch.column(1).flatten().to_numpy().astype(np.int32))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-        return rows, offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32)
-
-    return worker_table(place, load)
-
-
-def gathered(texts: list[str | None], rare: list[list[dict] | None], place: str) -> pa.ListArray:
-    """The pieces of whole texts: those of frequent words from the table, of others from the text's own list."""
-    rows, offsets, values = frequent_words(place)
-    own: list[np.ndarray] = []
-    named: list[int] = []
-    per_text = np.zeros(len(texts), np.int64)
-    base = len(offsets) - 1
-    for t, text in enumerate(texts):
-        found = units(text or "")
-        per_text[t] = len(found)
-        extra = {}
-        for r in rare[t] or ():
-            if r["unit"] not in extra:
-                extra[r["unit"]] = base + len(own)
-                own.append(np.array(r["ids"], np.int32))
-        named.extend(rows[u] if u in rows else extra[u] for u in found)
-    if own:
-        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(x) for x in own])])
-        values = np.concatenate([values, *own])
-    index = np.array(named, np.int64)
-    lengths = offsets[index + 1] - offsets[index]
-    ends = np.cumsum(lengths)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - offsets[index], lengths)
-    words = np.concatenate([[0], np.cumsum(per_text)])
-    bounds = np.concatenate([[0], ends])[words]
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values[at], pa.int32()))
+        files = sorted(ds.dataset(root, filesystem=store, format="parquet").files)
+        if not files:
+            return pa.array([], pa.string() if column == "unit" else pa.list_(pa.int32()))
+        found = ds.dataset(files, filesystem=store, format="parquet").to_table(columns=[column], use_threads=False)[column]
+        return pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], found.type)
+
+    return worker_table(f"{place} {column}", load)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", unigram: bool = False, frequent: int = FREQUENT, read_back: bool = False) -> DataFrame:
@@ -314,62 +364,74 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     table = pieces_of(path, unigram)
-    words = written(dictionary(written(tallied(docs, text_col), "piece-counts"), path, table), "piece-words")
-    sizes = words.where(F.char_length("unit") <= LONGEST).groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    # A word that occurs once is encoded once with or without the table.
+    several = (F.col("n") > 1) & (F.char_length("unit") <= LONGEST)
+    counts = written(tallied(docs, text_col).where(several), "piece-counts")
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     room, least = frequent, None
     for n, size in sorted(map(tuple, sizes.collect()), reverse=True):
         if size > room:
             break
         room, least = room - size, n
-    often = (F.col("n") >= (least or 0)) & (F.char_length("unit") <= LONGEST) & F.lit(least is not None)
+    often = counts.where((F.col("n") >= (least or 0)) & F.lit(least is not None))
     place = scratch_path(spark, "piece-frequent")
-    words.where(often).select("unit", "ids").write.parquet(place)
-    key = F.xxhash64(id_col, text_col).alias("key")
-
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = frequent_words(place)[0]
-        for batch in batches:
-            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                some = batch.slice(low, TEXTS_AT_ONCE)
-                keys, words_of = [], []
-                for k, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
-                    found = [u for u in set(units(text.as_py() or "")) if u not in rows]
-                    keys += [k] * len(found)
-                    words_of += found
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words_of, pa.string())], names=["key", "unit"])
-
-    asked = docs.select(key, text_col).mapInArrow(missing, "key bigint, unit string")
-    rare = asked.join(words.where(~often).select("unit", "ids"), "unit")
-    # Copies of a text ask for the same words: a group holds each once, however many copies there are.
-    per_text = rare.groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("rare"))
+    dictionary(often, path, table).write.parquet(place)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(low, TEXTS_AT_ONCE)
-                texts = [t and zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in (x.as_py() for x in batch.column(2))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "key", "packed"])
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rare words of some texts, then the texts: the numbers of their words, where the rare ones follow the frequent. They
+        are bytes, as Spark's time to write null lists grows with the square of their number."""
+        known = frequent_words(place, "unit")
+        names = ["id", "words", "unit"]
+        for batch in batches:
+            for low, high in some_texts(batch.column(1)):
+                ids = batch.column(0).slice(low, high - low)
+                words, offsets, found = cut(batch.column(1).slice(low, high - low))
+                number = pc.index_in(words, value_set=known)
+                rare = number.is_null()
+                number = number.fill_null(0).to_numpy().astype(np.int32)
+                lone = np.flatnonzero(rare.to_numpy(zero_copy_only=False))
+                number[lone] = len(known) + np.arange(len(lone))
+                asked = words.filter(rare)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(asked), ids.type), pa.nulls(len(asked), pa.binary()), asked], names=names)
+                bounds = pa.py_buffer((offsets * 4).astype(np.int32))
+                listed = pa.Array.from_buffers(pa.binary(), len(ids), [None, bounds, pa.py_buffer(number[found])])
+                yield pa.RecordBatch.from_arrays([ids, listed, pa.nulls(len(ids), pa.string())], names=names)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known = frequent_words(place, "ids")
+        base = np.concatenate([[0], np.cumsum(known.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        offsets, values, after = base, known.flatten().to_numpy(), False
+        rare: list[tuple[np.ndarray, np.ndarray]] = []
+        for some in read_lattice(batches, table, path):
+            if isinstance(some, tuple):
+                if after:  # rare words of the next texts
+                    rare, after = [], False
+                rare.append(some[1:])
+                continue
+            if not after:
+                after = True
+                lengths = [np.diff(o) for o, _ in rare]
+                offsets = np.concatenate([base, base[-1] + np.cumsum(np.concatenate(lengths))]) if rare else base
+                values = np.concatenate([known.flatten().to_numpy(), *(v for _, v in rare)])
+            listed = some.column("words")
+            _, bounds, numbers = listed.buffers()
+            first = np.frombuffer(bounds, np.int32)[listed.offset : listed.offset + len(listed) + 1] // 4
+            number = np.frombuffer(numbers, np.int32, first[-1]) if first[-1] else np.zeros(0, np.int32)
             low = 0
-            while low < batch.num_rows:
-                texts, size = [], 0
-                while low + len(texts) < batch.num_rows and size < CHARS_AT_ONCE:
-                    held = batch.column(1)[low + len(texts)].as_py()
-                    texts.append(zlib.decompress(held).decode("utf-8", "surrogatepass") if held else None)
-                    size += len(texts[-1] or "") + 100
-                made = gathered(texts, batch.column(2).slice(low, len(texts)).to_pylist(), place)
-                columns = [batch.column(0).slice(low, len(texts)), made]
+            while low < len(listed):
+                high = max(low + 1, int(np.searchsorted(first, first[low] + WORDS_AT_ONCE, "right")) - 1)
+                at, ids = taken(offsets, values, number[first[low] : first[high]])
+                bounds = at[first[low : high + 1] - first[low]]
+                columns = [some.column("id").slice(low, high - low), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 if read_back:
-                    columns.append(pa.array([decoded(row.as_py(), path) for row in made], pa.string()))
+                    columns.append(pa.array([decoded(ids[a:b].tolist(), path) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
-                low += len(texts)
+                low = high
         pa.default_memory_pool().release_unused()
 
-    own = docs.select(F.col(id_col).alias("id"), key, text_col).mapInArrow(packed, f"id {kind}, key bigint, packed binary")
-    return own.join(per_text, "key", "left").select("id", "packed", "rare").mapInArrow(put_together, f"id {kind}, ids array<int>" + ", text string" * read_back)
+    rows = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(numbered, f"id {kind}, words binary, unit string")
+    return lattice(rows, table).mapInArrow(put_together, f"id {kind}, ids array<int>" + ", text string" * read_back)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
