@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -44,15 +45,36 @@ _held: dict[str, Any] = {}
 def worker_table(key: str, load: Callable[[], Any]) -> Any:
     """What ``load`` gives for the key, kept until this worker asks for another."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
-            ctypes.CDLL(None).malloc_trim(0)
+        no_table()
         _held[key] = load()
     return _held[key]
 
 
+def no_table() -> None:
+    """For tasks that need no table: the one that this worker holds goes."""
+    _held.clear()
+    gc.collect()
+    given_back()
+
+
+def given_back() -> None:
+    """Gives memory that is free to the system. Spark keeps a worker after its task, with all that it has not given back, and
+    lets the others of the executor run beside it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def some_texts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of texts that go together, about ``most`` bytes."""
+    low, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        size += n
+        if size >= most or i == len(texts) - 1:
+            yield low, i + 1
+            low, size = i + 1, 0
+
+
 def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder whose files are dealt by ``column``: joins on it move only the other side."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from loomprep.llm.common import worker_table, written
+from loomprep.llm.common import given_back, no_table, some_texts, worker_table, written
 
 SAMPLED = 2048  # distinct training texts per language, drawn by a hash of the text
 PLACES = 1 << 62  # range of that hash
@@ -30,7 +30,9 @@ ADDED = 0.1  # count added to every piece
 SHORT = 32  # characters of a word that is scored together with others
 SPAN = 4096  # characters of a long word that train together
 LIFT = 100.0  # per character; keeps products of a short word within the range of a double
-CACHED = 1 << 18  # words of a worker's cache
+COUNTED = 1 << 18  # words that a task counts before it passes the counts on
+CACHED = 1 << 17  # words of a worker's cache
+BYTES_AT_ONCE = 1 << 20  # of texts that are scored together
 CHARS_AT_ONCE = 1 << 22
 SPACE = "▁"
 LETTER = regex.compile(r"\p{L}")
@@ -214,15 +216,18 @@ def word_counts(labelled: DataFrame, languages: list[str]) -> DataFrame:
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["word", "lang", "n"])
 
+        no_table()
         number = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, n in Counter(text.split()).items():
                     found[word, number[lang]] += n
-                if len(found) > CACHED:
+                if len(found) > COUNTED:
                     yield rows()
                     found.clear()
         yield rows()
+        found.clear()
+        given_back()
 
     return labelled.mapInArrow(tally, "word string, lang int, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
@@ -274,6 +279,7 @@ def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
+            no_table()
             own: Model = shared.value
             total = np.zeros_like(own.chances)
             for batch in batches:
@@ -288,6 +294,7 @@ def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_
                             total += sums([words[i] for i in np.flatnonzero(chosen)], times[chosen])
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], names=["piece", "lang", "n"])
+            given_back()
 
         found = dealt.mapInArrow(expect, "piece bigint, lang bigint, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         total = np.full_like(model.chances, ADDED)
@@ -297,54 +304,41 @@ def train(docs: DataFrame, path: str, use: Column, text_col: str = "text", lang_
 
 
 class Scorer:
-    """A worker's model and the logarithms of the words it has met first, up to a bound."""
+    """A worker's model and the logarithms of words that it has met in several texts, up to a bound."""
 
     def __init__(self, model: Model):
         self.model, self.known, self.rows = model, {}, np.zeros((0, len(model.languages)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for part in portions(texts):
-            counters = [Counter(t.split()) if t and LETTER.search(t) else None for t in part]
-            new = list({w for c in counters if c for w in c if w not in self.known}) if self.model.languages else []
-            place = {w: len(self.rows) + i for i, w in enumerate(new)}
-            known = self.known.get
-            made = [self.model.logs(new[i : i + 4096]) for i in range(0, len(new), 4096)]
-            rows = np.concatenate([self.rows, *made])
-            for counter in counters:
-                if counter is None or not self.model.languages:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                at = np.fromiter(map(known, counter, repeat(-1)), np.int64, len(counter))
-                if len(missing := np.flatnonzero(at < 0)):
-                    words = list(counter)
-                    at[missing] = [place[words[i]] for i in missing]
-                total = np.fromiter(counter.values(), np.float64, len(counter)) @ rows[at]
-                chance = np.exp(total - total.max())
-                best = int(total.argmax())
-                names.append(self.model.languages[best])
-                scores.append(float(chance[best] / chance.sum()))
-            room = CACHED - len(self.known)
-            if room > 0:
-                self.known |= {w: place[w] for w in new[:room]}
-                self.rows = rows[: len(self.known)].copy()
+        counters = [Counter(t.split()) if t and LETTER.search(t) else None for t in texts]
+        met = Counter(w for c in counters if c for w in c if w not in self.known) if self.model.languages else Counter()
+        new = [w for w, n in met.items() if n > 1]
+        room = min(len(new), CACHED - len(self.known))
+        new += [w for w, n in met.items() if n == 1]
+        place = {w: len(self.rows) + i for i, w in enumerate(new)}
+        known = self.known.get
+        rows = np.concatenate([self.rows, *(self.model.logs(new[i : i + 4096]) for i in range(0, len(new), 4096))])
+        for counter in counters:
+            if counter is None or not self.model.languages:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            at = np.fromiter(map(known, counter, repeat(-1)), np.int64, len(counter))
+            if len(missing := np.flatnonzero(at < 0)):
+                words = list(counter)
+                at[missing] = [place[words[i]] for i in missing]
+            total = np.fromiter(counter.values(), np.float64, len(counter)) @ rows[at]
+            chance = np.exp(total - total.max())
+            best = int(total.argmax())
+            names.append(self.model.languages[best])
+            scores.append(float(chance[best] / chance.sum()))
+        if room:
+            self.known.update((w, place[w]) for w in new[:room])
+            self.rows = rows[: len(self.known)].copy()
         return names, scores
 
 
-def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Runs of texts of about CHARS_AT_ONCE characters."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text or "") + 1
-        if size > CHARS_AT_ONCE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior; columns that have these names already are replaced.
 
@@ -358,9 +352,12 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_table(number, lambda: Scorer(shared.value))
         for batch in batches:
-            names, scores = scorer.predict(batch.column(text_col).to_pylist())
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_col, score_col])
+            for low, high in some_texts(batch.column(text_col), BYTES_AT_ONCE):
+                part = batch.slice(low, high - low)
+                names, scores = scorer.predict(part.column(text_col).to_pylist())
+                columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, lang_col, score_col])
+        given_back()
 
     schema = StructType([*kept.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
     return kept.mapInArrow(run, schema)

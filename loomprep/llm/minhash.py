@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomprep.llm.common import components, written
+from loomprep.llm.common import components, given_back, no_table, written
 from loomprep.llm.simhash import fingerprint, near_pairs
 
 SEED = 42
@@ -62,6 +62,7 @@ def marked_rows(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table()
         for batch in batches:
             nodes, keys, prints = [], [], []
             for text in batch.column(text_col):
@@ -74,6 +75,7 @@ def marked_rows(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             rest = batch.drop_columns([text_col])
             made = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)), lists]
             yield pa.RecordBatch.from_arrays([*rest.columns, *made], names=[*rest.schema.names, "node", "fp", "keys"])
+        given_back()
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
     return docs.mapInArrow(run, f"{rest}, node bigint, fp bigint, keys array<bigint>")
@@ -83,11 +85,13 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, own) of (node, text): the hashes themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
+        given_back()
 
     return texts.select("node", "text").mapInArrow(run, "node bigint, own array<bigint>")
 

@@ -25,7 +25,7 @@ import sentencepiece
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loomprep.llm.common import worker_table, written
+from loomprep.llm.common import given_back, some_texts, worker_table, written
 from loomprep.session import scratch_path
 
 FREQUENT = 1 << 19  # words of the table that every worker holds
@@ -33,6 +33,7 @@ WIDE = 20  # bits of a piece number or rank
 LONGEST = 60  # characters of a word in the lattice, whose boundaries are the bits of a long
 BYTES_AT_ONCE = 1 << 23  # of texts that are cut into words, and share their rare words
 WORDS_AT_ONCE = 1 << 18  # of texts that are put together
+WORDS_HELD = 1 << 14  # that are strings of Python at a time
 EDGES_AT_ONCE = 1 << 17
 SPACE = "▁"
 LETTER, STOPS = "[A-Za-zÀ-ÖØ-öø-ɏ]", ".,;:!?"
@@ -90,14 +91,17 @@ def units(text: str) -> list[str]:
     return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def some_texts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, after the last) of texts that are cut into words together."""
-    low, size = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
-        size += n
-        if size >= BYTES_AT_ONCE or i == len(texts) - 1:
-            yield low, i + 1
-            low, size = i + 1, 0
+def all_units(texts: pa.Array) -> tuple[list[pa.Array], list[int]]:
+    """The words of the texts, one text after the other, and how many each has."""
+    parts, held, sizes = [], [], []
+    for text in texts:
+        found = units(text.as_py())
+        sizes.append(len(found))
+        held += found
+        if len(held) >= WORDS_HELD:
+            parts.append(pa.array(held, pa.string()))
+            held = []
+    return [*parts, pa.array(held, pa.string())], sizes
 
 
 def taken(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +124,18 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     runs = pc.split_pattern(texts.filter(plain), " ")
     of_run = runs.flatten().dictionary_encode()
     rows = runs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    del runs
     distinct = of_run.dictionary
     ended = pc.match_substring_regex(distinct, ENDS).to_numpy(zero_copy_only=False)
     whole = pc.binary_join_element_wise(pa.scalar(SPACE), distinct.filter(pa.array(~ended)), "")
-    parted = [units(run) for run in distinct.filter(pa.array(ended)).to_pylist()]
-    odd = [units(text) for text in texts.filter(pa.array(~single)).to_pylist()]
-    listed = pa.array([u for some in (parted, odd) for found in some for u in found], pa.string())
-    words = pa.concat_arrays([whole, listed]).dictionary_encode()
+    parted, parted_sizes = all_units(distinct.filter(pa.array(ended)))
+    odd, odd_sizes = all_units(texts.filter(pa.array(~single)))
+    words = pa.concat_arrays([whole, *parted, *odd]).dictionary_encode()
+    del whole, parted, odd
     number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     # The words of every distinct run, then those of every odd text.
-    sizes = np.ones(len(distinct) + len(odd), np.int64)
-    sizes[np.concatenate([np.flatnonzero(ended), np.arange(len(distinct), len(sizes))])] = [len(x) for some in (parted, odd) for x in some]
+    sizes = np.ones(len(distinct) + len(odd_sizes), np.int64)
+    sizes[np.concatenate([np.flatnonzero(ended), np.arange(len(distinct), len(sizes))])] = parted_sizes + odd_sizes
     order = np.concatenate([np.flatnonzero(~ended), np.flatnonzero(ended), np.arange(len(distinct), len(sizes))])
     starts = np.zeros(len(sizes), np.int64)
     starts[order] = np.cumsum(sizes[order]) - sizes[order]
@@ -144,7 +149,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     named = np.empty(ends[-1] if len(ends) else 0, np.int64)
     in_plain = np.repeat(single, per_text)
     named[in_plain] = of_run.indices.to_numpy(zero_copy_only=False)
-    named[~in_plain] = len(distinct) + np.arange(len(odd))
+    named[~in_plain] = len(distinct) + np.arange(len(odd_sizes))
     at, found = taken(bounds, number, place[named])
     return words.dictionary, at[np.concatenate([[0], ends])], found
 
@@ -154,10 +159,14 @@ def tallied(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in some_texts(batch.column(0)):
+            for low, high in some_texts(batch.column(0), BYTES_AT_ONCE):
                 words, _, found = cut(batch.column(0).slice(low, high - low))
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(found, minlength=len(words)))], names=["unit", "n"])
-        pa.default_memory_pool().release_unused()
+                times = pa.array(np.bincount(found, minlength=len(words)))
+                del found
+                yield pa.RecordBatch.from_arrays([words, times], names=["unit", "n"])
+                del words, times
+                given_back()
+        given_back()
 
     return docs.select(text_col).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -329,6 +338,7 @@ def dictionary(counts: DataFrame, path: str, table: Pieces) -> DataFrame:
         for words, offsets, ids in read_lattice(batches, table, path):
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([words, lists], names=["unit", "ids"])
+        given_back()
 
     return lattice(counts.select("unit").where("unit <> ''"), table).mapInArrow(run, "unit string, ids array<int>")
 
@@ -384,7 +394,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         known = frequent_words(place, "unit")
         names = ["id", "words", "unit"]
         for batch in batches:
-            for low, high in some_texts(batch.column(1)):
+            for low, high in some_texts(batch.column(1), BYTES_AT_ONCE):
                 ids = batch.column(0).slice(low, high - low)
                 words, offsets, found = cut(batch.column(1).slice(low, high - low))
                 number = pc.index_in(words, value_set=known)
@@ -393,10 +403,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 lone = np.flatnonzero(rare.to_numpy(zero_copy_only=False))
                 number[lone] = len(known) + np.arange(len(lone))
                 asked = words.filter(rare)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(asked), ids.type), pa.nulls(len(asked), pa.binary()), asked], names=names)
                 bounds = pa.py_buffer((offsets * 4).astype(np.int32))
                 listed = pa.Array.from_buffers(pa.binary(), len(ids), [None, bounds, pa.py_buffer(number[found])])
+                del words, offsets, found, number, rare, lone
+                given_back()
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(asked), ids.type), pa.nulls(len(asked), pa.binary()), asked], names=names)
                 yield pa.RecordBatch.from_arrays([ids, listed, pa.nulls(len(ids), pa.string())], names=names)
+                del asked, listed, bounds
+        given_back()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent_words(place, "ids")
@@ -428,7 +442,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     columns.append(pa.array([decoded(ids[a:b].tolist(), path) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "text"][: len(columns)])
                 low = high
-        pa.default_memory_pool().release_unused()
+        given_back()
 
     rows = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(numbered, f"id {kind}, words binary, unit string")
     return lattice(rows, table).mapInArrow(put_together, f"id {kind}, ids array<int>" + ", text string" * read_back)

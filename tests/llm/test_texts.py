@@ -338,3 +338,47 @@ def test_encoding_moves_neither_texts_nor_rare_words(spark, pieces):
     df = docs(spark, TEXTS)
     plan = encode(df, pieces, frequent=3, read_back=True)._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"\w*Exchange", plan) == ["BroadcastExchange"]
+
+
+def test_scorer_keeps_words_of_several_texts(pieces, monkeypatch):
+    from loomprep.llm import language
+
+    chances = np.random.default_rng(5).random((len(vocabulary(pieces)) + 1, 3))
+    model = Model(pieces, ["a", "b", "c"], chances / chances.sum(axis=0))
+    texts = [f"common other lone{i} single{i} common" for i in range(50)] + [None, "", "12 3"]
+    alone = [language.Scorer(model).predict([t]) for t in texts]
+    scorer = language.Scorer(model)
+    for _ in range(2):
+        names, scores = scorer.predict(texts)
+        assert names == [n for n, _ in alone for n in n] and scores == [s for _, s in alone for s in s]
+    assert set(scorer.known) == {"common", "other"} and scorer.rows.shape == (2, 3)
+    monkeypatch.setattr(language, "CACHED", 1)
+    full = language.Scorer(model)
+    assert all(full.predict(texts) == (names, scores) for _ in range(2)) and len(full.known) == len(full.rows) == 1
+
+
+def test_texts_go_in_portions(spark, pieces):
+    import pyarrow as pa
+
+    from loomprep.llm.common import some_texts
+
+    texts = pa.array(["a" * 60, None, "b" * 60, "", "c" * 300, "d", None])
+    assert list(some_texts(texts, 100)) == [(0, 3), (3, 5), (5, 7)] and list(some_texts(texts[:0], 100)) == []
+    # Over one portion a batch: every row comes back once, in its place.
+    words = ["huis boom water", "house tree water"]
+    rows = [(i, " ".join([words[i % 2]] * 20_000) if i % 3 else None, words[i % 2][:4]) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    found = identify(df, train(df, pieces, use=F.lit(True)))
+    assert sorted((r["id"], r["lang_pred"]) for r in found.collect()) == [(i, lang if text else "und") for i, text, lang in rows]
+
+
+def test_cut_of_many_words(monkeypatch):
+    import pyarrow as pa
+
+    from loomprep.llm import pieces as module
+
+    texts = ["a b.c  d", None, "", "x. y, z", " lead", "one two", "line\nline two"]
+    monkeypatch.setattr(module, "WORDS_HELD", 2)
+    words, offsets, found = module.cut(pa.array(texts, pa.string()))
+    named = words.to_pylist()
+    assert [[named[i] for i in found[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [module.units(t or "") for t in texts]
