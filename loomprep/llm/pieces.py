@@ -132,7 +132,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     odd, odd_sizes = all_units(texts.filter(pa.array(~single)))
     words = pa.concat_arrays([whole, *parted, *odd]).dictionary_encode()
     del whole, parted, odd
-    number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    number = words.indices.to_numpy(zero_copy_only=False)
     # The words of every distinct run, then those of every odd text.
     sizes = np.ones(len(distinct) + len(odd_sizes), np.int64)
     sizes[np.concatenate([np.flatnonzero(ended), np.arange(len(distinct), len(sizes))])] = parted_sizes + odd_sizes
@@ -140,18 +140,20 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     starts = np.zeros(len(sizes), np.int64)
     starts[order] = np.cumsum(sizes[order]) - sizes[order]
     of_list = np.argsort(starts, kind="stable")  # lists in the order in which their words lie
-    place = np.empty(len(sizes), np.int64)
+    place = np.empty(len(sizes), np.int32)
     place[of_list] = np.arange(len(sizes))
     bounds = np.concatenate([[0], np.cumsum(sizes[of_list])])
     per_text = np.ones(len(texts), np.int64)
     per_text[single] = rows
     ends = np.cumsum(per_text)
-    named = np.empty(ends[-1] if len(ends) else 0, np.int64)
+    named = np.empty(ends[-1] if len(ends) else 0, np.int32)
     in_plain = np.repeat(single, per_text)
-    named[in_plain] = of_run.indices.to_numpy(zero_copy_only=False)
-    named[~in_plain] = len(distinct) + np.arange(len(odd_sizes))
-    at, found = taken(bounds, number, place[named])
-    return words.dictionary, at[np.concatenate([[0], ends])], found
+    named[in_plain] = place[of_run.indices.to_numpy(zero_copy_only=False)]
+    named[~in_plain] = place[len(distinct) + np.arange(len(odd_sizes))]
+    del of_run, distinct, in_plain
+    parts = [taken(bounds, number, named[low : low + WORDS_AT_ONCE])[1] for low in range(0, len(named), WORDS_AT_ONCE)]
+    at = np.concatenate([[0], np.cumsum(np.diff(bounds)[named])])
+    return words.dictionary, at[np.concatenate([[0], ends])], np.concatenate([np.zeros(0, number.dtype), *parts])
 
 
 def tallied(docs: DataFrame, text_col: str) -> DataFrame:
@@ -166,6 +168,7 @@ def tallied(docs: DataFrame, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([words, times], names=["unit", "n"])
                 del words, times
                 given_back()
+            del batch
         given_back()
 
     return docs.select(text_col).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -409,7 +412,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 given_back()
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(asked), ids.type), pa.nulls(len(asked), pa.binary()), asked], names=names)
                 yield pa.RecordBatch.from_arrays([ids, listed, pa.nulls(len(ids), pa.string())], names=names)
-                del asked, listed, bounds
+                del asked, listed, bounds, ids
+            del batch
         given_back()
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
