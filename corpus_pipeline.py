@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomprep.llm.common import spare, table, written
+from loomprep.llm.common import sieve, sifted, spare, table, written
 from loomprep.llm.language import folded, identified, train
 from loomprep.llm.minhash import near_copies, row_keys
 from loomprep.llm.mixing import mix
@@ -38,15 +38,20 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     but not their text are rows of their own."""
     found = written(near_copies(docs), "pipeline-components")
     first = F.min(F.struct(F.col("id").isNull(), "id", "_k1", "_k2")).alias("first")
-    kept = found.groupBy("component").agg(first).select("first._k1", "first._k2")
-    equal = found.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"))
-    own = {c: spare(c, docs.columns) for c in ("_k1", "_k2", "_n")}
-    kept = written(kept.join(equal, ["_k1", "_k2"]).withColumnsRenamed(own), "pipeline-kept")
-    k1, k2, n = own.values()
+    kept = found.groupBy("component").agg(first).select("first._k1", "first._k2", F.lit(True).alias("keep"))
+    equal = found.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+    # Most rows are kept as they are; the others, and those that stand more than once, are named.
+    named = equal.join(kept, ["_k1", "_k2"], "left").where("keep IS NULL OR n > 1")
+    own = {c: spare(f"_{c.strip('_')}", docs.columns) for c in ("_k1", "_k2", "keep", "n")}
+    named = written(named.withColumnsRenamed(own), "pipeline-named")
+    k1, k2, keep, n = own.values()
+    maybe = spare("_maybe", docs.columns)
     keys = [k.alias(name) for k, name in zip(row_keys(docs.columns), (k1, k2), strict=True)]
-    rows = docs.select(*docs.columns, *keys).join(kept, [k1, k2])
-    once = rows.where(F.col(n) > 1).dropDuplicates([k1, k2])
-    return rows.where(F.col(n) == 1).unionByName(once).select(*docs.columns)
+    rows = sifted(docs.select(*docs.columns, *keys), k1, sieve(named.select(k1), "pipeline-sieve"), maybe)
+    told = rows.where(F.col(maybe)).join(named, [k1, k2], "left")
+    once = told.where(F.col(keep)).dropDuplicates([k1, k2])
+    left = rows.where(~F.col(maybe)).select(*docs.columns).unionByName(told.where(F.col(n).isNull()).select(*docs.columns))
+    return left.unionByName(once.select(*docs.columns))
 
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +61,12 @@ def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes their words; a document of which it takes a part counts as taken."""
-    row, times, time = (spare(c, docs.columns) for c in ("_row", "_times", "_time"))
+    row, sized, taken, time = (spare(c, docs.columns) for c in ("_row", "_size", "_taken", "_time"))
     own = docs.withColumn(row, F.xxhash64("doc_id", "source", "text"))
-    rows, _ = mix(own, F.array("source"), id_col=row)
-    often = F.ceil(F.max("taken") / F.max("size")).cast("int").alias(times)
-    taken = written(rows.where("taken > 0").groupBy(F.col("id").alias(row)).agg(often), "pipeline-taken")
-    again = F.explode(F.sequence(F.lit(1), F.col(times))).alias(time)
-    return own.join(taken, row).select(*docs.columns, again).select(*docs.columns)
+    rows, _ = mix(own, F.array("source"), id_col=row, carried={"size": sized, "taken": taken})
+    often = F.ceil(F.col(taken) / F.col(sized)).cast("int")
+    again = F.explode(F.sequence(F.lit(1), often)).alias(time)
+    return rows.where(F.col(taken) > 0).select(*docs.columns, again).select(*docs.columns)
 
 
 def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

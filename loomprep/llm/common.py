@@ -84,6 +84,32 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+#: Cells of a sieve, each of 64 bits.
+CELLS = 1 << 18
+
+
+def _spot(value: Column) -> tuple[Column, Column]:
+    """The cell of a value, and its bit there."""
+    hashed = F.xxhash64(value)
+    return hashed.bitwiseAND(F.lit(CELLS - 1)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(hashed, 32).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def sieve(values: DataFrame, label: str) -> DataFrame:
+    """(cell, bits) of the only column of ``values``, for ``sifted``: at most CELLS rows, however many the values are."""
+    cell, bit = _spot(F.col(values.columns[0]))
+    return written(values.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")), label)
+
+
+def sifted(df: DataFrame, column: str, cells: DataFrame, name: str = "maybe") -> DataFrame:
+    """``df`` with a boolean column ``name``: true in all rows whose ``column`` is one of the values of the sieve, and in
+    some others. No row is moved: what is rare in a large table is picked out before a join that would move all of it, and
+    that join still decides."""
+    cell, bit = _spot(F.col(column))
+    place, bits = spare("_cell", df.columns), spare("_bits", df.columns)
+    marked = df.withColumn(place, cell).join(F.broadcast(cells.select(F.col("cell").alias(place), F.col("bits").alias(bits))), place, "left")
+    return marked.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))).drop(place, bits)
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the smallest node it can reach.
 

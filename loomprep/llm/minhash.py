@@ -8,7 +8,7 @@ A text's set holds the XXH64 hashes of its shingles. Texts with equal sets are o
 each keyed by ROWS minimum hashes: two sets of similarity s share one with chance 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8.
 A small bucket proposes all its pairs. In a larger one all are compared with one member, which joins a large group of near
 copies without making its square; members left in different components are compared with other members in further rounds
-until a round finds no link. What large buckets then still hold apart is settled by an exact join: two sets of the asked
+until a round links no more than a hundredth of its pairs. What large buckets then still hold apart is settled by an exact join: two sets of the asked
 similarity share one of their rarest shingles, and early enough in the order from rare to frequent.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomprep.llm.common import components, given_back, no_table, written
+from loomprep.llm.common import components, given_back, no_table, sieve, sifted, written
 from loomprep.llm.simhash import fingerprint, near_pairs
 
 SEED = 42
@@ -111,6 +111,12 @@ def similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return shared.where(10 * F.col("n") >= tenths * (F.col("total") - F.col("n"))).select("a", "b")
 
 
+def held(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """The sets of all nodes in ``asked`` (one or more columns of nodes), and few others."""
+    nodes = asked.select(F.explode(F.array(*asked.columns)).alias("node"))
+    return sifted(sets, "node", sieve(nodes, "minhash-sieve")).where("maybe").select("node", "own")
+
+
 def early_matches(apart: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """The pairs (a, b) of nodes with different roots of ``apart`` (node, root) that may have a similarity of ``tenths``
     tenths; none that has is left out. A pair comes through a shingle that both hold, where so few stand before it in both
@@ -140,6 +146,20 @@ def close_prints(marked: DataFrame) -> DataFrame:
     return same.unionByName(close).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with a link, from those before (none: no link yet) and the links ``found`` (a, b). Links are
+    drawn between roots, so that a round works on what it has found and not on all links again."""
+    if roots is None:
+        return written(components(found, "minhash-components"), "minhash-roots")
+    sides = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    ends = found.join(sides[0], "a", "left").join(sides[1], "b", "left")
+    tops = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), "minhash-components")
+    tops = written(tops, "minhash-tops")
+    raised = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    fresh = tops.join(roots, "node", "left_anti").select("node", "root")
+    return written(raised.select("node", F.coalesce("top", "root").alias("root")).unionByName(fresh), "minhash-roots")
+
+
 def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, tenths: int = 8) -> DataFrame:
     """(_k1, _k2, id, component) for every row; ``_k1`` and ``_k2`` are the row's ``row_keys``. Rows share a component when a
     chain of texts of similarity ``tenths`` tenths or more joins them, whatever their ids; texts without words are one."""
@@ -152,39 +172,40 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     asked_for = shared.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
     chosen = marked.join(asked_for, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("row"))
     chosen = written(chosen.select("node", "row.*"), "minhash-chosen")
-    texts = keyed.select("_k1", "_k2", "text").join(chosen, ["_k1", "_k2"]).dropDuplicates(["node"])
+    picked = sifted(keyed.select("_k1", "_k2", "text"), "_k1", sieve(chosen.select("_k1"), "minhash-sieve")).where("maybe")
+    texts = picked.join(chosen, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
     sets = written(shingle_sets(texts, words), "minhash-sets")
     small, large = shared.where(f"size <= {SMALL}"), written(shared.where(f"size > {SMALL}"), "minhash-large")
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     pairs = pairs.unionByName(proposed)
-    links, roots, tried, turn = None, None, None, 0
-    while True:
+    some_large = not large.isEmpty()
+    roots, tried, turn, n_asked, n_found = None, None, 0, 0, 0
+    while turn == 0 or some_large:
         # One member of every large bucket that still holds several components is compared with those of the others.
         placed = large.select("key", "node", F.col("node").alias("root"))
         if roots is not None:
             placed = large.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
             placed = written(placed, "minhash-placed")
         heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
-        asked = placed.join(heads.where("low < high").select("key", "head"), "key").where(F.col("root") != F.col("head.root"))
+        heads = heads.where("low < high").select("key", "head")
+        if turn and 100 * n_found <= n_asked:
+            break
+        asked = placed.join(heads, "key").where(F.col("root") != F.col("head.root"))
         asked = asked.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
         asked = (asked.unionByName(pairs) if turn == 0 else asked).distinct()
         if tried is not None:
             asked = asked.join(tried, ["a", "b"], "left_anti")
         asked = written(asked, "minhash-asked")
-        found = written(similar(asked, sets, tenths), "minhash-links")
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else written(links.unionByName(found), "minhash-all-links")
+        found = written(similar(asked, sets if turn == 0 else held(sets, asked), tenths), "minhash-links")
+        n_asked, n_found = asked.count(), found.count()
+        roots = joined(roots, found)
         tried = asked if tried is None else tried.unionByName(asked)
-        roots = written(components(links, "minhash-components"), "minhash-roots")
         turn += 1
-        if large.isEmpty():
-            break
-    if not large.isEmpty():
-        apart = placed.join(heads.where("low < high").select("key"), "key", "left_semi").select("node", "root").distinct()
-        asked = written(early_matches(written(apart, "minhash-apart"), sets, tenths).join(tried, ["a", "b"], "left_anti"), "minhash-asked")
-        found = written(similar(asked, sets, tenths), "minhash-links")
+    if some_large:
+        apart = written(placed.join(heads.select("key"), "key", "left_semi").select("node", "root").distinct(), "minhash-apart")
+        asked = written(early_matches(apart, held(sets, apart.select("node")), tenths).join(tried, ["a", "b"], "left_anti"), "minhash-asked")
+        found = written(similar(asked, held(sets, asked), tenths), "minhash-links")
         if not found.isEmpty():
-            roots = written(components(links.unionByName(found), "minhash-components"), "minhash-roots")
+            roots = joined(roots, found)
     named = marked.select("_k1", "_k2", "id", "node").join(roots, "node", "left")
     return named.select("_k1", "_k2", "id", F.coalesce("root", "node").alias("component"))

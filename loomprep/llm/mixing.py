@@ -95,6 +95,7 @@ def mix(
     text_col: str = "text",
     repeats: int = REPEATS,
     seed: str = "mix",
+    carried: dict[str, str] | None = None,
 ) -> tuple[DataFrame, list[dict[str, object]]]:
     """(rows, sources): per row (id, sources, size, taken); per source its name, size, weight, target and routed words.
 
@@ -104,16 +105,16 @@ def mix(
     pattern is taken in part, so a source gets its target to the word where its documents suffice. Rows without words
     take nothing. Repeated rows and null ids are rows like any other. An empty table gives no rows and no sources. The
     order depends on seed, id and size alone, so reruns agree. The driver holds a row per membership pattern.
+
+    ``carried``, new names for size and taken, asks for the rows of ``docs`` with all their columns and these two; they are
+    read again where they lie and not joined with the result.
     """
     counted = word_count(F.col(text_col)) if size is None else size
     own = F.sort_array(F.array_distinct(F.coalesce(sources.cast("array<string>"), F.array().cast("array<string>"))))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    sized = written(
-        docs.select(
-            F.col(id_col).alias("id"), own.alias("sources"), F.to_json(own, {"ignoreNullFields": "false"}).alias("pattern"), counted.alias("size"), order.alias("seeded")
-        ),
-        "mix-sized",
-    )
+    pattern = F.to_json(own, {"ignoreNullFields": "false"})
+    slim = [F.col(id_col).alias("id"), own.alias("sources"), pattern.alias("pattern"), counted.alias("size"), order.alias("seeded")]
+    sized = written(docs.select(*slim), "mix-sized")
     totals = {tuple(json.loads(r["pattern"])): int(r["n"]) for r in sized.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     names = sorted({s for p in totals for s in p}, key=lambda s: (s is None, (s or "").encode()))
     sizes = {s: sum(n for p, n in totals.items() if s in p) for s in names}
@@ -126,7 +127,10 @@ def mix(
     plan = [(json.dumps(list(p), ensure_ascii=False, separators=(",", ":")), *divmod(sum(sent[p].values()), totals[p])) for p in sent if totals[p]]
     spark = docs.sparkSession
     routed = spark.createDataFrame(plan, "pattern string, base bigint, rest bigint")
-    return chosen(sized, routed).select("id", "sources", "size", "taken"), report
+    if carried is None:
+        return chosen(sized, routed).select("id", "sources", "size", "taken"), report
+    whole = docs.select(*slim, F.struct(*docs.columns).alias("row"))
+    return chosen(sized, routed, whole).select("row.*", *(F.col(c).alias(name) for c, name in carried.items())), report
 
 
 def cell(level: int) -> Column:
@@ -145,14 +149,18 @@ def boundary(rows: DataFrame, level: int, needs: DataFrame) -> DataFrame:
     return reached.select("pattern", name, F.expr("need - (upto - n)").alias("need"))
 
 
-def chosen(sized: DataFrame, routed: DataFrame) -> DataFrame:
-    """Rows with ``taken``: base times the size, and once more in the seeded order until the rest is used up."""
+def chosen(sized: DataFrame, routed: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Rows with ``taken``: base times the size, and once more in the seeded order until the rest is used up. ``rows`` are
+    those of ``sized`` with more columns, which are returned in their place and, but for the last cells, not moved."""
     celled = sized.withColumns({"cell0": cell(0), "cell1": cell(1)})
+    returned = sized if rows is None else rows
     first = written(boundary(sized, 0, routed.selectExpr("pattern", "rest AS need")), "mix-first")
     inside = celled.join(first.select("pattern", "cell0"), ["pattern", "cell0"])
     second = boundary(inside, 1, first.select("pattern", "need"))
     ends = first.join(second.withColumnRenamed("need", "last_need"), "pattern").selectExpr("pattern", "cell0 AS end0", "cell1 AS end1", "last_need")
     plan = written(routed.join(ends, "pattern", "left"), "mix-plan")
+    if rows is not None:
+        celled, plan = rows.withColumns({"cell0": cell(0), "cell1": cell(1)}), F.broadcast(plan)
     base = F.coalesce("base", F.lit(0)) * F.col("size")
     placed = celled.join(plan, "pattern", "left")
     before = (F.col("cell0") < F.col("end0")) | ((F.col("cell0") == F.col("end0")) & (F.col("cell1") < F.col("end1")))
@@ -161,8 +169,10 @@ def chosen(sized: DataFrame, routed: DataFrame) -> DataFrame:
     # The rows of the last cell of a pattern: about one of 16 million.
     last = plan.where("end0 is not null").selectExpr("pattern", "end0 AS cell0", "end1 AS cell1", "base", "last_need")
     order = Window.partitionBy("pattern").orderBy("seeded", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if rows is not None:
+        last = F.broadcast(last)
     cut = celled.join(last, ["pattern", "cell0", "cell1"]).withColumn("upto", F.sum("size").over(order))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.expr("last_need - (upto - size)")))
     cut = cut.withColumn("taken", base + part)
-    columns = [*sized.columns, "taken"]
+    columns = [*returned.columns, "taken"]
     return whole.select(columns).unionByName(cut.select(columns))
