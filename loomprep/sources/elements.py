@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomprep.sources.records import parts_of
@@ -19,7 +20,7 @@ from loomprep.sources.records import parts_of
 ESCAPED = re.compile(rb"\\.", re.DOTALL)
 STEP = np.zeros(256, np.int8)
 STEP[list(b"[{")], STEP[list(b"]}")] = 1, -1
-AT_ONCE = 1 << 20  # characters looked at together
+AT_ONCE = 1 << 20  # bytes looked at together
 BETWEEN = b" ,[]\t\r\n\xef\xbb\xbf"
 
 
@@ -31,14 +32,16 @@ def steps(data: bytes) -> np.ndarray:
     return np.where(inside == 1, np.int8(0), STEP[seen])
 
 
-def together(lines: list[str]) -> Iterator[bytes]:
-    """Whole lines, joined by blanks, up to about AT_ONCE characters."""
-    low = size = 0
-    for i, line in enumerate(lines):
-        size += len(line) + 1
-        if size >= AT_ONCE or i + 1 == len(lines):
-            yield (" ".join(lines[low : i + 1]) + " ").encode("utf-8", "surrogatepass")
-            low, size = i + 1, 0
+def together(lines: pa.Array) -> Iterator[bytes]:
+    """Whole lines, each followed by a blank, up to about AT_ONCE bytes."""
+    ends = np.cumsum(pc.binary_length(lines).to_numpy().astype(np.int64) + 1)
+    low = 0
+    while low < len(lines):
+        before = int(ends[low - 1]) if low else 0
+        high = min(len(lines), int(np.searchsorted(ends, before + AT_ONCE)) + 1)
+        some = lines.slice(low, high - low).cast(pa.binary())
+        yield pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), b" ")[0].as_py() + b" "
+        low = high
 
 
 def split_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -46,10 +49,11 @@ def split_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     line of text each. An element that is no object comes as it is. What a cut-off file leaves open comes as a broken
     object. The driver holds one row per part of a file, as many as tasks that read it."""
     lines = spark.read.text(path if isinstance(path, str) else list(path))
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # As in split_records, a file is told by the hash of its name.
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
 
     def depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[str, int], list] = {}
+        rows: dict[tuple[int, int], list] = {}
         for part, some in parts_of(batches):
             state = rows.setdefault(part, [0, 0, None])
             for data in together(some):
@@ -57,12 +61,13 @@ def split_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
                 state[0], state[1] = int(run[-1]), min(state[1], int(run.min()))
                 state[2] = state[2] or data.lstrip(b" \t\r\xef\xbb\xbf")[:1].decode("latin-1") or None
         columns = [[f for f, _ in rows], [s for _, s in rows], *([r[i] for r in rows.values()] for i in range(3))]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [*[pa.int64()] * 4, pa.string()]
         names = ["file", "start", "change", "least", "first"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    told = lines.mapInArrow(depths, "file string, start bigint, change bigint, least bigint, first string").orderBy("file", "start").collect()
-    begins: dict[tuple[str, int], tuple[int, int, int]] = {}  # depth, part that the open object began in, depth of the objects
+    kinds = "file bigint, start bigint, change bigint, least bigint, first string"
+    told = sorted(lines.mapInArrow(depths, kinds).collect(), key=lambda r: (r["file"], r["start"]))
+    begins: dict[tuple[int, int], tuple[int, int, int]] = {}  # depth, part that the open object began in, depth of the objects
     file, depth, origin, base = None, 0, 0, None
     for r in told:
         if r["file"] != file:
@@ -78,10 +83,10 @@ def split_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(file, start, origin, whole, value): an object is not whole where it goes over an end of the part."""
         at, depth, origin, base, over, held = None, 0, 0, 0, False, []
-        out: list[tuple[str, int, int, bool, str]] = []
+        out: list[tuple[int, int, int, bool, str]] = []
 
         def made() -> pa.RecordBatch:
-            kinds = {"file": pa.string(), "start": pa.int64(), "origin": pa.int64(), "whole": pa.bool_(), "value": pa.string()}
+            kinds = {"file": pa.int64(), "start": pa.int64(), "origin": pa.int64(), "whole": pa.bool_(), "value": pa.string()}
             columns = list(zip(*out, strict=True)) or [[]] * 5
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
@@ -120,7 +125,7 @@ def split_elements(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             put(False, held)
         yield made()
 
-    found = lines.mapInArrow(cut, "file string, start bigint, origin bigint, whole boolean, value string")
+    found = lines.mapInArrow(cut, "file bigint, start bigint, origin bigint, whole boolean, value string")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda p: p["value"]), "")
     over = found.where("not whole").groupBy("file", "origin").agg(joined.alias("value"))
     return found.where("whole").select("value").unionByName(over.select("value"))

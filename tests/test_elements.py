@@ -4,10 +4,11 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomprep.sources.elements import split_elements, steps
+from loomprep.sources.elements import AT_ONCE, split_elements, steps, together
 from loomprep.sources.readers import read_json, read_table
 
 STRINGS = ["plain", "", 'say "hi"', "br[ack]et{s}", "back\\slash\\", '\\"', "é 日本 🎉", "two\nlines", "}]", '"{', "x" * 300]
@@ -66,6 +67,29 @@ def test_equal_to_reading_whole_files(spark, tmp_path, small_parts):
     assert read_table(spark, path, flatten=True).columns == ["id", "in.k", "in.l", "s"]
 
 
+def test_files_that_share_a_task_and_parts_that_cross_batches(spark, tmp_path, small_parts):
+    records = some_records(60)
+    (tmp_path / "d").mkdir()
+    for i in range(6):
+        (tmp_path / "d" / f"{i}.json").write_text(json.dumps(records[10 * i : 10 * i + 10], indent=2, ensure_ascii=False))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        small_parts(2500)
+        assert read_back(split_elements(spark, str(tmp_path / "d"))) == records
+    finally:
+        spark.conf.set(size, old)
+
+
+def test_lines_are_taken_together_as_bytes():
+    lines = pa.array(["", '{"a"', "x" * AT_ONCE, "é}", "y" * (AT_ONCE // 2), "z" * AT_ONCE, ""])
+    for some in (lines, lines.slice(1, 5), lines.slice(3, 1), lines.slice(0, 0)):
+        found = list(together(some))
+        assert b"".join(found) == "".join(f"{t} " for t in some.to_pylist()).encode()
+        assert all(len(part) < AT_ONCE * 2 + 2 for part in found) and len(found) <= 1 + len(some)
+
+
 def test_odd_files(spark, tmp_path):
     cases = {"empty": "", "blank": "\n \n", "no_elements": "[\n]\n", "not_objects": '[\n {"id": 1},\n 2,\n "x{"\n]', "cut_off": '[\n {"id": 1},\n {"id":\n'}
     for name, text in cases.items():
