@@ -1,4 +1,5 @@
-"""Training runs: the twelve algorithms on MLlib (nearest neighbours on joins), their scores and importances."""
+"""Training runs: the twelve algorithms on MLlib (nearest neighbours on joins, the regression forest on packed rows), their
+scores and importances."""
 
 from __future__ import annotations
 
@@ -29,6 +30,7 @@ from pyspark.sql.types import IntegralType
 from loomprep.functions.columns import col, field
 from loomprep.operators.classify import infer_task
 from loomprep.operators.features import FEATURES, LABEL, SEED, PreparedData, prepare_features, stratified_split
+from loomprep.operators.forest import grow_forest
 from loomprep.operators.metrics import classification_metrics, log_loss, loss_of, regression_metrics
 from loomprep.operators.neighbors import mean_of_neighbors, nearest, vote
 from loomprep.operators.ordered import row_numbers
@@ -58,7 +60,8 @@ FOURIER_FEATURES = 256
 
 @dataclass
 class TrainingResult:
-    """``metrics`` has one row, ``importances`` (feature, importance) one row per feature; ``error`` is None on success."""
+    """``metrics`` has one row, ``importances`` (feature, importance) one row per feature; ``predictions`` has the label and the
+    prediction of each test row, beside other columns; ``error`` is None on success."""
 
     task: str
     algorithm: str
@@ -124,6 +127,8 @@ def _run(df: DataFrame, result: TrainingResult, test_size: float, key: str | Non
             raise ValueError(f"not enough rows after preparation: at least {LEAST_ROWS} are needed")
         if result.algorithm == "KNN":
             predictions, weights = _neighbors(train, test, result.task, key), None
+        elif (result.task, result.algorithm) == ("regression", "Random Forest"):
+            predictions, weights = grow_forest(train, test, key, prepared.n_features, trees, depth)
         else:
             predictions, weights = _fit(train, test, result, prepared, trees, depth)
         result.predictions = predictions
