@@ -100,6 +100,15 @@ def test_cuts():
     assert near[0] <= cut < near[1]
 
 
+def test_a_value_too_rare_for_the_sample_is_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLED", 20)
+    monkeypatch.setattr(forest, "BINS", 4)
+    rows = [(i, Vectors.sparse(3, [(0, i % 2 + 1.0), (1, 1.0)] if i != 777 else [(0, 1.0), (1, 1.0), (2, 1.0)]), 500.0 if i == 777 else 1.0) for i in range(3000)]
+    train = spark.createDataFrame(rows, ["key", FEATURES, LABEL])
+    got, weights = grow_forest(train, train, "key", 3, trees=1, depth=1, bootstrap=False)
+    assert weights.tolist() == [0, 0, 1] and all(r["prediction"] == r[LABEL] for r in got.collect())
+
+
 def test_jobs_do_not_grow_with_the_depth(spark):
     df = spark.range(3000).select("id", (F.col("id") * 7919 % 1000).cast("double").alias("x"), (F.col("id") * 104729 % 3001).cast("double").alias("y"))
     jobs = []
